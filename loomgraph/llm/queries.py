@@ -6,14 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import simhash_dedup
+from loomgraph.llm import secrets, simhash, simhash_dedup, url_lm
+
+
+def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash_fingerprints": op3_simhash_fingerprints,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
