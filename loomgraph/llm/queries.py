@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import secrets, simhash, simhash_dedup, url_lm
+from loomgraph.llm import language_id, packing, secrets, simhash, simhash_dedup, url_lm
 
 
 def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,18 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -28,7 +36,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_fingerprints": op3_simhash_fingerprints,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
