@@ -59,7 +59,8 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     order = settle(next_keys(d.select("doc_id", "h", "n").distinct()), "next")
     same = [F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), F.col("d.h") == F.col("o.h")]
     t = d.alias("d").join(order.alias("o"), same).select("d.doc_id", "d.h", "n", "text", "before")
-    heads = t.select(F.col("before.doc_id").alias("doc_id"), F.col("before.h").alias("h"), F.expr("substring(text, 1, before.n div 3)").alias("head"))
+    # reads n as the join below does, so that both share one exchange of the texts
+    heads = t.select(F.col("before.doc_id").alias("doc_id"), F.col("before.h").alias("h"), F.expr("substring(text, 1, least(n, before.n div 3))").alias("head"))
     heads = heads.dropDuplicates(["doc_id", "h"])
     own = d.alias("d").join(heads.alias("o"), same).select("d.doc_id", "d.h", "n", "text", F.expr("concat(substring(text, 1, n - n div 3), head)").alias("edited"))
     own = own.select("doc_id", "h", "n", F.sha2("edited", 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("edit"), "text"), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text")))).alias("t"))
