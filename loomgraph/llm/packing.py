@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import settle
-from loomgraph.llm.tokens import chunks, ragged
+from loomgraph.llm.tokens import chunks, ragged, whole
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
@@ -77,8 +77,7 @@ class Encoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row with END_ID after each, tokens of each text)."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        lists = pc.split_pattern(pc.replace_substring(whole(texts), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) > MEMO:

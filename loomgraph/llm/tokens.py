@@ -27,11 +27,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
             lo = hi
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """Texts as large strings in buffers of their own, null as empty: Arrow's ascii_lower reads a slice's buffers from their start."""
+    return pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+
+
 class Words:
     """The words of some texts: `unique` (Arrow), `codes` into it for each word, `ends` and `doc` by text."""
 
     def __init__(self, texts: pa.Array, lower: bool = True) -> None:
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = whole(texts)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
         flat = lists.flatten()
         at = np.asarray(lists.offsets) - lists.offsets[0].as_py()
