@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import kneser_ney, language_id, packing, secrets, simhash, simhash_dedup, url_lm
+from loomgraph.llm import kneser_ney, language_id, packing, secrets, simhash, simhash_dedup, toxicity, url_lm
 
 
 def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_lm.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_packing": op5_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_toxicity": op7_toxicity,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
