@@ -139,7 +139,7 @@ def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Model:
     share = min(1.0, limit / max(1, d.select("label").count()))
     d = d.where(F.pmod("order", F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
     t = settle(d.mapInArrow(_terms_task, "order long, label int, terms array<int>"), "terms")
-    rows = t.groupBy(F.lit(0)).applyInArrow(_learn_task, "place binary, bias binary, w binary, v binary").collect()  # one row of bounded size
+    rows = t.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_learn_task, "place binary, bias binary, w binary, v binary").collect()  # one row of bounded size
     if not rows:
         return learn(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
     r = rows[0]
