@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Characters of text that a task takes up at a time; a longer text is taken by itself.
-CHUNK = 8_000_000
+CHUNK = 4_000_000
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = CHUNK) -> Iterator[pa.RecordBatch]:
