@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import kneser_ney, language_id, packing, secrets, simhash, simhash_dedup, toxicity, url_lm
+from loomgraph.llm import decontaminate, html_text, kneser_ney, language_id, packing, secrets, simhash, simhash_dedup, toxicity, url_lm
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op3_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +50,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_html_text": op2_html_text,
     "op3_simhash_fingerprints": op3_simhash_fingerprints,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_packing": op5_packing,
