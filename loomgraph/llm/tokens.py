@@ -11,6 +11,8 @@ import xxhash
 
 #: Characters of text that a task takes up at a time; a longer text is taken by itself.
 CHUNK = 4_000_000
+#: Characters that bare words don't begin or end with.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»„…–—¿¡"
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -46,6 +48,17 @@ class Words:
         self.unique, self.codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.counts = np.diff(np.r_[0, self.ends])
 
+    def bare(self) -> Words:
+        """The same words in lower case without marks around them; those of marks alone go."""
+        coded = pc.utf8_trim(pc.utf8_lower(self.unique), characters=MARKS).dictionary_encode()
+        full = pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.codes = code[self.codes] if len(code) else self.codes
+        keep = full[self.codes] if len(full) else np.empty(0, bool)
+        self.ends = np.r_[0, np.cumsum(keep)][self.ends]
+        self.codes, self.unique, self.counts = self.codes[keep], coded.dictionary, np.diff(np.r_[0, self.ends])
+        return self
+
     @property
     def starts(self) -> np.ndarray:
         return self.ends - self.counts
