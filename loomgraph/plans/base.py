@@ -72,7 +72,7 @@ def people(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.timestamp_micros(F.lit(NOW) - (F.col("c_custkey") % 90) * DAY)
     return c.select(
         F.col("c_custkey").alias("id"), F.lit("Person").alias("_type"), F.col("c_mktsegment").alias("_owner"), (F.col("c_custkey") % 4 + 1).cast("bigint").alias("_version"), (F.col("c_acctbal") < 0).alias("_deleted"),
-        F.when(F.col("c_acctbal") < 0, day).alias("_deleted_at"), (F.col("c_custkey") % 17 == 0).alias("_pending_delete"), F.when(F.col("c_custkey") % 17 == 0, day).alias("_pending_delete_at"),
+        F.when(F.col("c_acctbal") < 0, day).alias("_deleted_at"), day.alias("_modified_at"), (F.col("c_custkey") % 17 == 0).alias("_pending_delete"), F.when(F.col("c_custkey") % 17 == 0, day).alias("_pending_delete_at"),
         F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"),
     )
 
