@@ -162,9 +162,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learns from labelled documents whose crc32(doc_id) mod 5 is not 0 and scores all.
 
-    Null doc_ids have no label. Of rows that repeat a doc_id in labels each counts; without labels every score is 0.5.
+    Null doc_ids have no label. Labels that repeat count once; without labels every score is 0.5.
     """
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     d = docs.select("doc_id", "text", held_out.alias("held_out"))
-    marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")).where("label is not null")
-    return score(d, fit(d.where(~F.col("held_out")).join(marked, F.col("doc_id") == F.col("id")).select("text", "label")))
+    marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")).where("label is not null").distinct()
+    marked = marked.where(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(5)) != 0)
+    share = min(1.0, FIT_DOCS / max(1, marked.count()))
+    marked = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    sample = d.join(F.broadcast(marked), F.col("doc_id") == F.col("id"))  # about FIT_DOCS rows of two numbers
+    return score(d, fit(sample.where(~F.col("held_out")).select("text", "label")))
