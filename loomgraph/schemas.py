@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+KINDS = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "map<string,string>": T.MapType(T.StringType(), T.StringType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """`name type, name type`, without needing a session."""
+    return T.StructType([T.StructField(n, KINDS[k]) for n, k in (f.split() for f in spec.split(", "))])
 
 
 ENVELOPE = _struct("id string, type string, timestamp bigint, source string, pid bigint, session_id string, payload string, uid bigint, project_id string")
