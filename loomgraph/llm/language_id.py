@@ -134,7 +134,8 @@ class Model:
             c = counts[counts["kind"] == kind]
             into[c["bucket"].to_numpy(), c["lang"].map(at).to_numpy(int)] = c["n"]
         self.logp = np.log(grams + ALPHA) - np.log(grams.sum(axis=0) + ALPHA * BUCKETS)
-        self.logp = (self.logp - self.logp.mean(axis=1, keepdims=True)).astype(np.float32)  # only differences count
+        if at:
+            self.logp = (self.logp - self.logp.mean(axis=1, keepdims=True)).astype(np.float32)  # only differences count
         self.uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1)
 
     def words(self, g: Grams) -> np.ndarray:
@@ -176,10 +177,10 @@ def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 def steady(s: np.ndarray, doc: np.ndarray, best: np.ndarray, docs: int, switch: float = SWITCH) -> np.ndarray:
     """Whether a text surely keeps its best language: no run of its words gains more than one change costs, whatever language each word took."""
-    own = s[np.arange(len(s)), best[doc]]
-    other = s.copy()
-    other[np.arange(len(s)), best[doc]] = -np.inf
-    gain = other.max(axis=1) - own if s.shape[1] > 1 else np.full(len(s), -1.0)
+    own, gain = s[np.arange(len(s)), best[doc]], np.full(len(s), -np.inf)
+    for k in range(s.shape[1]):
+        np.maximum(gain, np.where(best[doc] == k, -np.inf, s[:, k]), out=gain)
+    gain = gain - own if s.shape[1] > 1 else np.full(len(s), -1.0)
     total = np.cumsum(gain)
     reach = float(np.abs(total).max(initial=0)) * 2 + 1
     before = (total - gain) - doc * reach

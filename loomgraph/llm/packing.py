@@ -33,7 +33,7 @@ POOL_TOKENS, POOL_DOCS = 2_000_000, 20_000
 STEP_TOKENS = 64 * WINDOW
 TAILS = 512
 #: Words whose ids a worker remembers.
-MEMO = 500_000
+MEMO = 300_000
 VOCABULARY = "word_bpe_49k.json"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, part long, ids binary"

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Characters of text that a task takes up at a time; a longer text is taken by itself.
-CHUNK = 4_000_000
+CHUNK = 2_500_000
 #: Characters that bare words don't begin or end with.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»„…–—¿¡"
 
@@ -82,6 +82,8 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def runs_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of values (by their first axis) over runs of that many rows; empty runs give 0."""
-    total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
-    ends = np.cumsum(counts)
-    return total[ends] - total[ends - counts]
+    out = np.zeros((len(counts), *values.shape[1:]))
+    full = np.flatnonzero(counts)
+    if len(full):
+        out[full] = np.add.reduceat(values, (np.cumsum(counts) - counts)[full], axis=0, dtype=np.float64)
+    return out
