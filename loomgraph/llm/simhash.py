@@ -55,22 +55,23 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     one doc_id stay rows of their own, in the order of their hash; null doc_ids come last. Other columns are not read.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text")
-    order = settle(next_keys(d.select("doc_id", "h", "n").distinct()), "next")
-    same = [F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")), F.col("d.h") == F.col("o.h")]
-    t = d.alias("d").join(order.alias("o"), same).select("d.doc_id", "d.h", "n", "text", "before")
+    # k and h name a row without nulls, so that joins and sums by them share one way of dealing rows out
+    d = d.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), F.length("text").alias("n"), "text")
+    order = settle(next_keys(d.select("doc_id", "h", "n").distinct()), "next").withColumn("k", F.coalesce("doc_id", F.lit(0)))
+    before_k = F.coalesce("before.doc_id", F.lit(0))
+    t = d.join(order.select("k", "h", "before"), ["k", "h"]).select("k", "h", "n", "text", "before")
     # reads n as the join below does, so that both share one exchange of the texts
-    heads = t.select(F.col("before.doc_id").alias("doc_id"), F.col("before.h").alias("h"), F.expr("substring(text, 1, least(n, before.n div 3))").alias("head"))
-    heads = heads.dropDuplicates(["doc_id", "h"])
-    own = d.alias("d").join(heads.alias("o"), same).select("d.doc_id", "d.h", "n", "text", F.expr("concat(substring(text, 1, n - n div 3), head)").alias("edited"))
-    own = own.select("doc_id", "h", "n", F.sha2("edited", 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("edit"), "text"), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text")))).alias("t"))
-    v = votes(own.select("doc_id", "h", "n", "sha", "t.edit", "t.text"), ["doc_id", "h", "n", "sha", "edit"])
-    both = v.groupBy("doc_id", "h", "n", "sha").agg(*[F.max(F.when(F.col("edit") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("hi", "lo")])
+    heads = t.select(before_k.alias("k"), F.col("before.h").alias("h"), F.expr("substring(text, 1, least(n, before.n div 3))").alias("head"))
+    heads = heads.dropDuplicates(["k", "h"])
+    own = d.join(heads, ["k", "h"]).select("k", "h", "n", "text", F.expr("concat(substring(text, 1, n - n div 3), head)").alias("edited"))
+    keys = ["k", "h", "n", "sha"]
+    own = own.select("k", "h", "n", F.sha2("edited", 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("edit"), "text"), F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text")))).alias("t"))
+    v = votes(own.select(*keys, "t.edit", "t.text"), [*keys, "edit"])
+    both = v.groupBy(*keys).agg(*[F.max(F.when(F.col("edit") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("hi", "lo")])
     both = settle(both, "votes")
-    nxt = order.select(F.col("before.doc_id").alias("doc_id"), F.col("before.h").alias("h"), F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"))
-    a = both.alias("d").join(nxt.alias("o"), same).select("d.*", "next_id", "next_h")
-    b = both.select(F.col("doc_id").alias("i"), F.col("h").alias("j"), F.col("hi0").alias("hi2"), F.col("lo0").alias("lo2"))
-    return a.join(b, F.col("next_id").eqNullSafe(F.col("i")) & (F.col("next_h") == F.col("j")))
+    nxt = order.select(before_k.alias("k"), F.col("before.h").alias("h"), F.col("before.doc_id").alias("doc_id"), F.col("k").alias("next_k"), F.col("h").alias("next_h"))
+    b = both.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("hi0").alias("hi2"), F.col("lo0").alias("lo2"))
+    return both.join(nxt, ["k", "h"]).join(b, ["next_k", "next_h"])
 
 
 def report(docs: DataFrame) -> DataFrame:
