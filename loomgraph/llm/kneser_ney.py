@@ -27,7 +27,7 @@ START, END = np.uint64(0x51A7E0F5EB6C3D21), np.uint64(0xE2D0F7A95C1B4483)
 #: Bytes of text to a part; the share of tokens above which a word is hot (so there are at most HOT hot words).
 PART_BYTES, HOT = 16_000_000, 64
 #: Distinct entries that a task gathers before it hands them on.
-PENDING = 3_000_000
+PENDING = 2_000_000
 PSEUDO = 0.5
 
 
