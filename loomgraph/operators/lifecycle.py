@@ -175,3 +175,12 @@ def import_rows(existing: DataFrame, imported: DataFrame, mode: str) -> DataFram
 
 def outcome_counts(rows: DataFrame, column: str = "outcome") -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
+
+
+def cleanup(entities: DataFrame, edges: DataFrame, rows: DataFrame, field: str, retention: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One cleanup: expired trash goes for good with its edges, references to it are emptied. Returns entities, edges, rows and counts by action."""
+    gone = expired_trash(entities, retention, now).select("id")
+    nodes, kept = delete_for_good(entities, edges, gone)
+    hit = rows.join(gone.select(F.col("id").alias(field)).distinct(), field, "left_semi")
+    counts = gone.select(F.lit("deleted").alias("outcome")).unionByName(hit.select(F.lit("nullified").alias("outcome")))
+    return nodes, kept, nullify(rows, field, gone), outcome_counts(counts)

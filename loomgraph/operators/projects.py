@@ -132,3 +132,24 @@ def prune(projects: DataFrame, directories: DataFrame) -> DataFrame:
     """projects with outcome: alive, deleted (root gone, inferred) or archived (root gone, explicit)."""
     d = projects.join(directories.select(F.col("path").alias("root_path")).distinct().withColumn("__there", F.lit(True)), "root_path", "left")
     return d.withColumn("outcome", F.when(F.col("__there"), "alive").when(F.col("inferred"), "deleted").otherwise("archived")).drop("__there")
+
+
+FIXED = ("root_path", "created_at", "archived_at", "last_accessed")
+
+
+def change_projects(projects: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """projects after changes (id, action, any columns to set): update (never a FIXED column), archive, promote, touch, delete.
+
+    One change of each id and action; actions on one id add up, a delete takes the row out.
+    """
+    done = changes.groupBy("id").agg(*[F.max(F.col("action") == a).alias(f"__{a}") for a in ("update", "archive", "promote", "touch", "delete")], *[F.max(F.when(F.col("action") == "update", F.col(c))).alias(f"__new_{c}") for c in changes.columns if c in projects.columns and c not in ("id", *FIXED)])
+    d = projects.join(done, "id", "left").where(~F.coalesce("__delete", F.lit(False)))
+    hit = lambda a: F.coalesce(f"__{a}", F.lit(False))
+    d = d.withColumns({c.removeprefix("__new_"): F.when(hit("update"), F.coalesce(c, c.removeprefix("__new_"))).otherwise(F.col(c.removeprefix("__new_"))) for c in done.columns if c.startswith("__new_")})
+    d = d.withColumns({"status": F.when(hit("archive"), "archived").otherwise(F.col("status")), "archived_at": F.when(hit("archive"), now).otherwise(F.col("archived_at")), "promoted": F.col("promoted") | hit("promote"), "last_accessed": F.when(hit("touch"), now).otherwise(F.col("last_accessed"))})
+    return d.select(*projects.columns)
+
+
+def unlink_files(part_of: DataFrame, project_ids: DataFrame) -> DataFrame:
+    """FILE_PART_OF edges without those of some projects."""
+    return part_of.join(project_ids.select(F.col("id").alias("dst_id")).distinct(), "dst_id", "left_anti").select("src_id", "dst_id")

@@ -65,3 +65,9 @@ def admit(requests: DataFrame, rate: Column, burst: float = 2.0) -> DataFrame:
         return F.struct((level - F.when(ok, 1.0).otherwise(0.0)).alias("tokens"), x["at"].alias("at"), F.concat(acc.out, one).alias("out"))
 
     return g.select("key", F.explode(F.aggregate("r", start, step).out).alias("o")).select("key", "o.*")
+
+
+def cap_rows(result: DataFrame, tiers: DataFrame, app: str) -> DataFrame:
+    """A result cut to the rows that the caller's tier may get; the cut is the feature."""
+    most = tiers.where(F.col("app") == app).select("max_rows").first()
+    return result if most is None or most[0] is None else result.limit(most[0])

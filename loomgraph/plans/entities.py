@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars as X
 from loomgraph.operators import access, dedup, lifecycle, migrate, projects, quota, tables, validation
 from loomgraph.plans.base import DAY, NOW, PEOPLE, ROOTS, E, activity, people, roots, sql, table
+from loomgraph.plans.checkpoints import ensure
 from loomgraph.sources import export
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,8 +244,6 @@ def apply_merge(spark, sf):  # noqa: ANN001, ANN201
     m = c.where("id % 4 in (0, 1)").select(F.col("id").alias("source_id"), (F.col("id") + 1).alias("target_id"))
     e = _order_edges(spark, sf).select(F.concat(F.lit("o"), "src_id").alias("src_id"), F.concat(F.lit("c"), "dst_id").alias("dst_id"))
     m = m.select(F.concat(F.lit("c"), F.col("source_id").cast("string")).alias("source_id"), F.concat(F.lit("c"), F.col("target_id").cast("string")).alias("target_id"))
-    from loomgraph.plans.checkpoints import ensure
-
     ensure(spark)
     d = dedup.apply_merges(c.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id")), e, m)[1]
     return d.select(F.expr("cast(substring(src_id, 2) as bigint)").alias("src_id"), F.expr("cast(substring(dst_id, 2) as bigint)").alias("dst_id"))
@@ -317,8 +316,6 @@ def migration_rejects(spark, sf):  # noqa: ANN001, ANN201
 , W AS (SELECT 0 AS at_, [0] AS way UNION ALL SELECT b, list_append(way, b) FROM W JOIN S ON at_ = a WHERE b <= 20), T AS (SELECT way FROM W WHERE at_ = 20 ORDER BY len(way), way LIMIT 1)
  SELECT i AS n, 'v' || printf('%02d', way[i]) AS from_version, 'v' || printf('%02d', way[i + 1]) AS to_version FROM (SELECT way, unnest(generate_series(1, len(way) - 1)) AS i FROM T)""")
 def migration_chain(spark, sf):  # noqa: ANN001, ANN201
-    from loomgraph.plans.checkpoints import ensure
-
     ensure(spark)
     n = F.col("n_nationkey")
     v = lambda c: F.concat(F.lit("v"), F.lpad(c.cast("string"), 2, "0"))
@@ -537,3 +534,32 @@ def export_manifest(spark, sf):  # noqa: ANN001, ANN201
 def path_helpers(spark, sf):  # noqa: ANN001, ANN201
     u = F.col("url")
     return table(spark, sf, "pages").select("page_id", X.basename(u).alias("base"), X.stem(u).alias("stem"), X.extension(u).alias("ext"), X.sanitize_dirname(u).alias("dir"), X.repo_name(u).alias("repo"))
+
+
+@query(sql(E, ROOTS, select=f"""SELECT project_id AS id, CASE WHEN k % 4 = 1 THEN upper(project_id) ELSE project_id END AS name, root_path, CASE WHEN k % 3 = 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN k % 3 = 0 THEN {NOW} END AS archived_at,
+ inferred AND k % 8 = 0 AS promoted, CASE WHEN k % 2 = 0 THEN {NOW} ELSE k END AS last_accessed FROM R WHERE k % 7 <> 0"""))
+def change_projects(spark, sf):  # noqa: ANN001, ANN201
+    r, k = roots(spark, sf), F.col("k")
+    p = r.select(F.col("project_id").alias("id"), F.col("project_id").alias("name"), "root_path", F.lit("active").alias("status"), F.lit(None).cast("long").alias("archived_at"), F.lit(False).alias("promoted"), k.cast("long").alias("last_accessed"))
+    act = lambda hit, name: r.where(hit).select(F.col("project_id").alias("id"), F.lit(name).alias("action"), F.upper("project_id").alias("name"), F.lit("/never").alias("root_path"))
+    c = act(k % 4 == 1, "update").unionByName(act(k % 3 == 0, "archive")).unionByName(act(k % 8 == 0, "promote")).unionByName(act(k % 2 == 0, "touch")).unionByName(act(k % 7 == 0, "delete"))
+    return projects.change_projects(p, c, F.lit(NOW))
+
+
+@query("SELECT o_orderkey AS src_id, o_custkey AS dst_id FROM orders WHERE o_custkey % 5 <> 0")
+def unlink_files(spark, sf):  # noqa: ANN001, ANN201
+    return projects.unlink_files(_order_edges(spark, sf), people(spark, sf).where("id % 5 = 0"))
+
+
+@query(sql(PEOPLE, f"X AS (SELECT id FROM P WHERE _deleted AND deleted_us < {NOW} - CASE WHEN nation % 2 = 0 THEN 50 ELSE 30 END * {DAY})", select="SELECT 'deleted' AS outcome, count(*) AS n FROM X UNION ALL SELECT 'nullified', count(*) FROM orders WHERE o_custkey IN (SELECT id FROM X)"))
+def cleanup_run(spark, sf):  # noqa: ANN001, ANN201
+    p = people(spark, sf).withColumn("_type", F.col("nation").cast("string"))
+    days = p.where("nation % 2 = 0").select("_type", F.lit(50).alias("days")).distinct()
+    orders = _order_edges(spark, sf)
+    return lifecycle.cleanup(p, orders, orders.select(F.col("src_id").alias("id"), F.col("dst_id").alias("customer")), "customer", days, _now())[3]
+
+
+@query("SELECT o_orderkey AS id FROM orders ORDER BY id LIMIT 10000")
+def capped_result(spark, sf):  # noqa: ANN001, ANN201
+    tiers = quota.assign_tiers(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("app")).distinct(), None, [], [], "first.")
+    return quota.cap_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).orderBy("id"), tiers, "MACHINERY")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomgraph.operators.tables import append_absent, merge_nodes
+from loomgraph.operators.tables import append_absent
 
 CAPACITY = 10_000
 
@@ -78,5 +78,3 @@ def drop_late(events: DataFrame, high_water: int) -> DataFrame:
     """The option to leave out events at or before the last one promoted."""
     return events.where(F.col("timestamp") > high_water)
 
-
-__all__ = ["shed", "ingest", "promote", "current_version", "day_counts", "drop_late", "merge_nodes"]
