@@ -26,6 +26,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Fewer rows at a time between Spark and Python, for tasks that hold several times their texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage in a form that lost executors don't take away."""
     path = scratch(df.sparkSession, name)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import scratch, settle
+from loomgraph.llm.common import scratch, settle, small_batches
 from loomgraph.llm.tokens import Words, chunks, runs_sum
 
 #: Hashes of the start (a context only) and of the end (a token).
@@ -273,6 +273,7 @@ class Model:
 def fit(docs: DataFrame) -> Model:
     """Counts all texts of docs (null: empty)."""
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select("text")
     rows, size = d.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     parts, root = max(4, -(-(size or 0) // PART_BYTES)), scratch(spark, "lm")

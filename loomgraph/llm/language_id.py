@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import small_batches
 from loomgraph.llm.tokens import Words, chunks, ragged, runs_sum
 
 #: Hashed grams of 1 to GRAM characters and of the whole word; pseudo-count; weight of a word's log-likelihood.
@@ -227,6 +228,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     `und` and score 0 for null texts, for texts without a letter, and for all texts if no language was learned. Ties go to the
     first language by name.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages times buckets
     fields = "lang_pred string, score double, spans array<struct<first:int,until:int,lang:string>>"
 
