@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bit_votes, hex16, majority, settle, shingles, words
 from loomgraph.llm.components import components
+from loomgraph.llm.near_copies import keep_one  # noqa: F401
 
 RADIUS, BLOCKS, WIDTH = 3, 4, 3
 #: Fingerprints under one node, above which it is factored again; over 2 ** 15, what the last level can hold at most.
@@ -235,17 +236,5 @@ def near_duplicates(docs: DataFrame, limit: int = NODE) -> DataFrame:
     return d.join(named, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their component: one of each group of near-duplicates, all columns as they were.
-
-    Of rows that repeat a doc_id the one with the smallest text hash stays.
-    """
-    near = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = near.groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    d = docs.withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = d.join(chosen.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__chosen")), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__chosen")), "left_semi")
-    return kept.drop("__hash")
-
-
 def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")

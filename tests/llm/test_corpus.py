@@ -88,6 +88,28 @@ def test_op4_odd(odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id = 8").count() == 0
 
 
+def test_keep_one_finds_all_pairs_of_similarity_08(spark, small):
+    """Edited copies (bit distances far over three), repeated rows and one doc_id with two texts, against brute force."""
+    rng, texts = random.Random(8), [r.text for r in small.where("length(text) > 800").orderBy("doc_id").limit(40).collect()]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts):
+        for share in (0.005, 0.015, 0.03):
+            w = t.split()
+            for k in rng.sample(range(len(w)), max(1, int(share * len(w)))):
+                w[k] = f"edit{rng.random()}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [rows[0], rows[0], (5, "another text under the same number as the fifth one"), (None, "no number and a text of its own"), (None, "no number, another text entirely")]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (words(t) for _, t in rows)]
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = sorted((root[a], root[b]))
+            root = [x if r == y else r for r in root]
+    want = sorted({(rows[r][0] is None, rows[r][0] or 0, rows[r][1]) for r in root})
+    kept = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == want
+
+
 @pytest.mark.parametrize("limit", [4, 40_000])
 def test_gray_index_links_match_brute_force(spark, limit):
     """Random, near and crowded fingerprints; a small limit factors nodes again and again."""
