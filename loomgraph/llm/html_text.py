@@ -44,6 +44,8 @@ EDGE, HALF = 1.2, 2.0
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Dropped elements that never stay open; one that a new paragraph doesn't close; elements of svg and math that hold HTML; what a head holds.
+POINTS, SCOPE, HTML_INSIDE, METADATA = frozenset(["embed", "option"]), "object", frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split()), frozenset("meta link base".split())
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.IGNORECASE) for t in RAW}
 
@@ -82,7 +84,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     """Blocks in page order, and the elements that they stand in."""
     elements = [Element("", -1, 0)]
     blocks: list[Block] = []
-    stack, inline, drop = [0], [], 0
+    stack, inline = [0], []
+    dropped: list[tuple[str, int]] = []  # open dropped elements by name, and the elements of the stack around each
     parts: list[str] = []
     linked = 0
 
@@ -95,11 +98,23 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             parts.clear()
         linked = 0
 
+    def leave(k: int) -> None:
+        """Closes the k-th open dropped element, and what stands in it."""
+        if len(stack) > dropped[k][1]:
+            close()
+            del stack[dropped[k][1] :]
+        del dropped[k:]
+
+    def outlive() -> None:
+        """Closes the dropped elements whose enclosing element is closed."""
+        while dropped and dropped[-1][1] > len(stack):
+            dropped.pop()
+
     at, size = 0, len(page)
     while at < size:
         m = TAG.search(page, at)
         if text := page[at : m.start() if m else size]:
-            if not drop:
+            if not dropped:
                 parts.append(text)
                 if "a" in inline:
                     linked += len(text)
@@ -111,7 +126,9 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             continue
         if m[1]:  # an end
             if tag in DROPPED:
-                drop = max(0, drop - 1)
+                k = next((k for k in range(len(dropped) - 1, -1, -1) if dropped[k][0] == tag), -1)
+                if k >= 0:
+                    leave(k)
             elif tag in INLINE:
                 if tag in inline:
                     inline.remove(tag)
@@ -119,6 +136,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
                 close()
                 while elements[stack.pop()].tag != tag:
                     pass
+                outlive()
             elif tag == "p":
                 close()
             continue
@@ -126,24 +144,33 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             end = RAW_END[tag].search(page, at)
             at = end.end() if end else size
             continue
+        if dropped:
+            top, depth = dropped[-1]
+            if top == "head" and tag not in METADATA or top == "select" == tag:
+                leave(len(dropped) - 1)
+            elif top in ("svg", "math") and tag in CLOSES_P and not any(elements[i].tag in HTML_INSIDE for i in stack[depth:]):
+                leave(len(dropped) - 1)
         if tag in DROPPED:
-            drop += not m[3].rstrip(">").endswith("/")
+            if tag not in POINTS and not m[3].rstrip(">").endswith("/"):
+                dropped.append((tag, len(stack)))
         elif tag == "br":
             parts.append(" ")
         elif tag in INLINE:
             inline.append(tag)
         elif tag == "body":
-            drop = 0
+            dropped.clear()
         elif tag in VOID:
             if tag == "hr":
                 close()
         else:
             close()
             inline.clear()
-            if tag in CLOSES_P and elements[stack[-1]].tag == "p":
+            inside = dropped and dropped[-1] == (SCOPE, len(stack))
+            if tag in CLOSES_P and elements[stack[-1]].tag == "p" and not inside:
                 stack.pop()
-            if elements[stack[-1]].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th"):
+            if elements[stack[-1]].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th") and not inside:
                 stack.pop()
+            outlive()
             e = Element(tag, stack[-1], len(stack))
             _marks(e, tag, m[3])
             elements.append(e)

@@ -268,6 +268,25 @@ def test_op2(spark):
     assert html_text.extract(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<form><select><option>A<option>B</select></form>", "<form><select><option>A</option><option>B</form>", "<object><embed src=x></object>", "<embed src=x>", "<div><canvas>no canvas</div>",
+        "<div><audio src=x>no audio</div>", "<div><video><source src=x>no video</div>", "<div><svg><path d=x><g></div>", "<svg><path d=x>", "<p>A sentence before it.<canvas>no canvas", "<map><area></map>",
+        "<div><svg><svg></svg><text>drawn</text></svg></div>", "</select></svg></object>", "<p>A sentence before it.<object><p>no plug-in</p></object></p>", "<datalist><option value=1><option value=2></datalist>",
+    ],
+)
+def test_op2_open_and_void_dropped_elements(before):
+    """The article after elements that are dropped and never closed, or have no end, is whole, and what they hold stays out."""
+    article = "<article><h1>The title</h1><p>One whole paragraph is here, as a sentence.<p>Second paragraph is here, as a sentence.</article>"
+    want = "The title\n\nOne whole paragraph is here, as a sentence.\n\nSecond paragraph is here, as a sentence."
+    for page in (f"<html><body>{before}{article}</body></html>", f"<html><head><meta x=y>{before}{article}"):
+        got = html_text.main_text(page)
+        assert got.endswith(want) and "no " not in got and "drawn" not in got
+    inside = article.replace("<p>Second", f"{before}<p>Second")
+    assert html_text.main_text(f"<body>{inside}</body>").endswith("Second paragraph is here, as a sentence.")
+
+
 def test_op2_given_pages(spark):
     import html
 
