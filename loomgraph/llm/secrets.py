@@ -26,8 +26,9 @@ PROVIDER = re.compile(r"gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|
 HINTS = ("gh", "xox", "eyJ", "sk-", "-----BEGIN")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_ENTROPY = 3.2
-#: A candidate seen with more owners than this is a copied example.
-OWNERS = 1
+#: A value is a widely copied example with so many owners, or so large a share of all owners if that is fewer (two at least), or in so many
+#: different texts whoever owns them.
+OWNERS, SHARE, TEXTS = 10, 0.5, 1000
 
 
 def entropy(s: str) -> float:
@@ -90,21 +91,25 @@ def scan(docs: DataFrame, owner: str = "source", repo: str = "source") -> DataFr
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repos, copies) of candidates (hash, owner, repo). Rows are summed by owner and repository first, so that a value that a third of all rows holds meets as a few rows."""
-    each = found.groupBy("hash", "owner", "repo").agg(F.count("*").alias("copies"))
-    return each.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.sum("copies").alias("copies"))
+    """(hash, owners, repos, texts) of candidates (hash, text_hash, owner, repo). A text that is copied counts once, for its smallest owner and repository.
+
+    Rows are summed by text and by owner and repository first, so that a value that a third of all rows holds meets as a few rows.
+    """
+    each = found.groupBy("hash", "text_hash").agg(F.min("owner").alias("owner"), F.min("repo").alias("repo"))
+    each = each.groupBy("hash", "owner", "repo").agg(F.count("*").alias("texts"))
+    return each.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.sum("texts").alias("texts"))
 
 
 def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "source") -> DataFrame:
     """One row for each row of docs: base counts, and found, an array of (start, kind, end, live) by start and kind.
 
-    Base spans and issuers' formats always stay; other runs stay if they are owner-specific. live: the value belongs to no more than
-    OWNERS owners; others are widely copied examples. Null texts are empty, null owners count as no owner, repeated rows count as
-    copies. An empty table gives an empty result.
+    Base spans and issuers' formats always stay; other runs stay if they are owner-specific. live: the value is no widely copied
+    example by OWNERS, SHARE and TEXTS. Null texts are empty, null owners count as no owner, copies of a text count once. An empty table gives an empty result.
     """
     s = settle(scan(docs, owner, repo), "spans")
-    each = s.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("f")).select("row", "owner", "repo", "f.*")
-    known = ownership(each).select("hash", (F.col("owners") <= OWNERS).alias("live"))
+    each = s.where(F.size("found") > 0).select("row", "text_hash", "owner", "repo", F.explode("found").alias("f")).select("row", "text_hash", "owner", "repo", "f.*")
+    wide = max(2, min(OWNERS, math.ceil(SHARE * s.select("owner").distinct().where("owner is not null").count())))
+    known = ownership(each).select("hash", ((F.col("owners") < wide) & (F.col("texts") < TEXTS)).alias("live"))
     spans = each.join(known, "hash").where(F.col("live") | (F.col("kind") < KINDS.index("owned")))
     by_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("kept"))
     return s.join(by_row, "row", "left").select("row", "doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("kept", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")).alias("found"))

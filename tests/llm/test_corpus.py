@@ -399,6 +399,19 @@ def test_op10(odd, none, spark):
     assert m[1].text == t and m[3].text == "key <secret>" and m[3].n_chars == 12 and m[4].text is None
 
 
+def test_op10_copied_values_need_many_owners_or_texts(spark):
+    """20 owners: a value of 3 of them, and one in a text that all have, are live; one of 12 owners and one in 1,000 texts of one owner are examples."""
+    few, same, wide, hot = "kQ9zX8wV7uT6sR5pN4mL", "bQ9zX8wV7uT6sR5pN4mK", "cQ9zX8wV7uT6sR5pN4mJ", "dQ9zX8wV7uT6sR5pN4mH"
+    rows = [(f"note {i} password={few} and run {few}x", f"s{i}") for i in range(3)] + [(f"shared {same}", f"s{i}") for i in range(20)]
+    rows += [(f"page {i} {wide}", f"s{i}") for i in range(12)] + [(f"page {i} {hot}", "s1") for i in range(1000)]
+    d = spark.createDataFrame([(i, t, s, len(t)) for i, (t, s) in enumerate(rows)], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r for r in secrets.report(d).collect()}
+    text = {r.doc_id: r.text for r in secrets.mask_secrets(d).collect()}
+    assert all((got[i].n_live, got[i].n_example) == (2, 0) and text[i] == f"note {i} <secret> and run <secret>" for i in range(3))
+    assert all(got[i].n_live == 1 and text[i] == "shared <secret>" for i in range(3, 23))
+    assert all(got[i].spans == "" and text[i] == rows[i][0] for i in range(23, len(rows)))
+
+
 def brute_base(t):
     kinds = [(re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 8, 1), (re.compile("AKIA[A-Z0-9]+"), 16, 0), (re.compile("[0-9a-f]+"), 32, 0)]
     return sorted((m.start(), k, m.end()) for k, (p, n, g) in enumerate(kinds) for m in p.finditer(t or "") if len(m[g]) >= n)
