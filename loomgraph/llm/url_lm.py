@@ -96,23 +96,23 @@ def calibrate(scored: DataFrame) -> float:
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
-    """Rows (page_id, host, path, rule, verdict, score), one for each row of pages.
+    """Rows (page_id, host, path, rule, verdict, score), one for each row of pages. Rules read host and path, the models the whole url.
 
     Urls that a rule decides are the models' accepted and rejected examples; where no rule fits, the length-normalised
     log-likelihood difference against the calibrated threshold decides. Null urls count as empty. Without examples every score is 0
     and undecided urls are allowed. Other columns are not read.
     """
-    host, path = split_url(F.coalesce("url", F.lit("")))
-    d = pages.select("page_id", host.alias("host"), path.alias("path"))
+    host, path = split_url(F.col("text"))
+    d = pages.select("page_id", F.coalesce("url", F.lit("")).alias("text"))
+    texts = d.groupBy("text").agg(F.count("*").alias("n")).select("*", host.alias("host"), path.alias("path"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
-    texts = d.groupBy("host", "path").agg(F.count("*").alias("n")).select("*", F.concat("host", "path").alias("text"), rule.alias("rule"), verdict.alias("verdict"))
-    texts = settle(texts, "urls")
+    texts = settle(texts.select("*", rule.alias("rule"), verdict.alias("verdict")), "urls")
     fold = F.pmod(F.crc32("text"), F.lit(FOLDS))
     model = train(texts.where(F.col("verdict").isNotNull() & (fold != CALIBRATE)).select("text", "verdict", "n"))
-    grams = _grams(texts, ["host", "path"])
+    grams = _grams(texts, ["text"])
     table = settle(ratios(grams.select("gram").distinct(), model), "ratios")
-    scores = grams.join(table, "gram").groupBy("host", "path").agg(F.round(F.avg("llr"), 9).alias("score"))
-    scored = settle(texts.join(scores, ["host", "path"]).select("host", "path", "rule", "verdict", "n", "score"), "scores")
-    least = calibrate(scored.join(texts.where(F.col("verdict").isNotNull() & (fold == CALIBRATE)).select("host", "path"), ["host", "path"], "left_semi"))
+    scores = grams.join(table, "gram").groupBy("text").agg(F.round(F.avg("llr"), 9).alias("score"))
+    scored = settle(texts.join(scores, "text").select("text", "host", "path", "rule", "verdict", "n", "score"), "scores")
+    least = calibrate(scored.where(F.col("verdict").isNotNull() & (fold == CALIBRATE)))
     said = F.coalesce("verdict", F.when(F.col("score") >= least, "allow").otherwise("block"))
-    return d.join(scored.select("host", "path", "rule", said.alias("verdict"), "score"), ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "score")
+    return d.join(scored.select("text", "host", "path", "rule", said.alias("verdict"), "score"), "text").select("page_id", "host", "path", "rule", "verdict", "score")

@@ -228,6 +228,16 @@ def test_op6_rules(spark):
     assert url_lm.judge(d.limit(0)).count() == 0
 
 
+def test_op6_models_read_the_whole_url(spark):
+    """Urls that differ in scheme, query or fragment only have scores of their own, those without a host too; host and path stay as they were."""
+    known = [f"http://a{i}.com/x?page={i}" for i in range(40)] + [f"https://b{i}.net/es/{i}?utm_source=feed#top" for i in range(40)]
+    free = ["http://c.org/x", "https://c.org/x", "http://c.org/x?page=2", "http://c.org/x?utm_source=feed", "http://c.org/x#top", "plain", "other/words", "http://c.org/x?page=2"]
+    d = spark.createDataFrame(list(enumerate(known + free)), "page_id long, url string")
+    got = {r.page_id - len(known): r for r in url_lm.judge(d).collect()}
+    assert len(got) == len(known) + len(free) and all((got[i].host, got[i].path, got[i].rule) == ("c.org", "/x", None) for i in (*range(5), 7))
+    assert len({got[i].score for i in range(7)}) == 7 and got[2].score == got[7].score and got[2].score > got[3].score
+
+
 def test_op6_model_is_the_smoothed_ratio(spark):
     """Scores equal those of a plain implementation of the two models."""
     labelled = [("a.com/x1", "allow", 2), ("b.com/yy", "allow", 1), ("c.net/es/1", "block", 1), ("d.net/fr/q", "block", 3)]
