@@ -15,10 +15,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir or, where it is unset and all runs in one process, one of our own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: executors would write where no other one reads")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return sc.getCheckpointDir()
 
 
@@ -26,11 +29,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Fewer rows at a time between Spark and Python, for tasks that hold several times their texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage in a form that lost executors don't take away."""
     path = scratch(df.sparkSession, name)

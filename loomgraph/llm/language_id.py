@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches
-from loomgraph.llm.tokens import Words, chunks, ragged, runs_sum
+from loomgraph.llm.tokens import Memo, Words, chunks, pieces, ragged, runs_sum, strings
 
 #: Hashed grams of 1 to GRAM characters and of the whole word; pseudo-count; weight of a word's log-likelihood.
 BUCKETS, GRAM, ALPHA, WEIGHT = 1 << 16, 4, 0.3, 0.5
@@ -21,6 +22,8 @@ BUCKETS, GRAM, ALPHA, WEIGHT = 1 << 16, 4, 0.3, 0.5
 SWITCH, FOREIGN = 12.0, 40.0
 #: Documents that the model is fitted on at most; a language uses a script that holds at least this share of its letters.
 FIT_DOCS, SCRIPT_SHARE = 20_000, 0.01
+#: Words whose scores a worker remembers; bytes of a long text that are looked at a time.
+MEMO, PIECE = 100_000, 500_000
 #: In the pipeline a document stays from this score on.
 LEAST_SCORE = 0.2
 #: Code point ranges by script.
@@ -67,7 +70,7 @@ class Grams:
 
     def __init__(self, unique: pa.Array) -> None:
         script, letter, lower = _tables()
-        words = unique.to_pylist()
+        words = strings(unique)
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         size = np.fromiter(map(len, words), np.int64, len(words))
         of = np.repeat(np.arange(len(words)), size)
@@ -109,15 +112,16 @@ COUNTS = "lang string, kind int, bucket int, n double"
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    for b in chunks(batches):
-        w = Words(b.column("text"), lower=False)
-        g = Grams(w.unique)
+    for b in chunks(batches, chars=PIECE):
         lang = np.array(b.column("lang").to_pylist(), object)
-        for name in set(lang):
-            use = np.bincount(w.codes[(lang == name)[w.doc]], minlength=len(w.unique))
-            grams, scripts = total.setdefault(name, (np.zeros(BUCKETS), np.zeros(len(NAMES) + 1)))
-            grams += np.bincount(g.bucket, weights=np.repeat(use, g.counts).astype(float), minlength=BUCKETS)
-            scripts += use @ g.scripts
+        for texts in pieces(b.column("text"), PIECE, words=False):
+            w = Words(texts, lower=False)
+            g = Grams(w.unique)
+            for name in set(lang):
+                use = np.bincount(w.codes[(lang == name)[w.doc]], minlength=len(w.unique))
+                grams, scripts = total.setdefault(name, (np.zeros(BUCKETS), np.zeros(len(NAMES) + 1)))
+                grams += np.bincount(g.bucket, weights=np.repeat(use, g.counts).astype(float), minlength=BUCKETS)
+                scripts += use @ g.scripts
     for name, arrays in total.items():
         for kind, a in enumerate(arrays):
             at = np.flatnonzero(a)
@@ -128,6 +132,7 @@ class Model:
     """langs, log-probabilities by bucket and language, and whether a language uses a script."""
 
     def __init__(self, counts: pd.DataFrame) -> None:
+        self.name = uuid.uuid4().hex
         self.langs = sorted(counts["lang"].unique())
         at = {x: i for i, x in enumerate(self.langs)}
         grams, scripts = np.zeros((BUCKETS, len(at))), np.zeros((len(NAMES) + 1, len(at)))
@@ -157,23 +162,58 @@ def fit(docs: DataFrame, limit: int = FIT_DOCS) -> Model:
     return Model(counts.toPandas())  # bounded by languages times buckets
 
 
-def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best language for each word (rows of s), where each change costs switch."""
+class Scorer:
+    """A worker's scores and letters of words, kept from task to task."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.memo = model, Memo(MEMO)
+        self.scores, self.letters = np.empty((0, len(model.langs)), np.float32), np.empty(0, np.int32)
+
+    def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(score by language, letters) of each of the unique words."""
+        if (keep := self.memo.shrink()) is not None:
+            self.scores, self.letters = self.scores[keep], self.letters[keep]
+        rows, new = self.memo.find(strings(w.unique))
+        if new:
+            g = Grams(pa.array(new, pa.large_string()))
+            self.scores = np.concatenate([self.scores, self.model.words(g).astype(np.float32)])
+            self.letters = np.r_[self.letters, g.letters.astype(np.int32)]
+        return self.scores[rows], self.letters[rows]
+
+
+def forward(s: np.ndarray, before: list[float] | None, switch: float) -> tuple[list[float], np.ndarray, np.ndarray]:
+    """One more stretch of words: (best sums after it, for each word the best language before it, and which languages are entered from that one)."""
     rows = s.tolist()
-    best, tops, jumps = rows[0], [], []
-    for row in rows[1:]:
+    best, tops, jumps = before, [], []
+    for row in rows:
+        if best is None:
+            best = row
+            tops.append(0)
+            jumps.append([False] * len(row))
+            continue
         most = max(best)
         least = most - switch
         jump = [x < least for x in best]
         tops.append(best.index(most))
         jumps.append(jump)
         best = [(least if j else x) + y for j, x, y in zip(jump, best, row, strict=True)]
-    at = best.index(max(best))
-    path = [at]
-    for top, jump in zip(reversed(tops), reversed(jumps), strict=True):
-        at = top if jump[at] else at
+    return best, np.array(tops, np.int16), np.packbits(np.array(jumps, bool).reshape(len(rows), -1), axis=1)
+
+
+def backward(at: int, tops: np.ndarray, jumps: np.ndarray, langs: int) -> tuple[np.ndarray, int]:
+    """(the languages of a stretch that ends in language at, the language before it)."""
+    path = []
+    jump = np.unpackbits(jumps, axis=1, count=langs).tolist()
+    for top, j in zip(reversed(tops.tolist()), reversed(jump), strict=True):
         path.append(at)
-    return np.array(path[::-1])
+        at = top if j[at] else at
+    return np.array(path[::-1], np.int16), at
+
+
+def viterbi(s: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """The best language for each word (rows of s), where each change costs switch."""
+    best, tops, jumps = forward(s, None, switch)
+    return backward(best.index(max(best)), tops, jumps, s.shape[1])[0]
 
 
 def steady(s: np.ndarray, doc: np.ndarray, best: np.ndarray, docs: int, switch: float = SWITCH) -> np.ndarray:
@@ -191,51 +231,97 @@ def steady(s: np.ndarray, doc: np.ndarray, best: np.ndarray, docs: int, switch:
     return out < switch
 
 
-def label(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
+def spans_of(path: np.ndarray, langs: list[str]) -> list[tuple[int, int, str]]:
+    turn = np.flatnonzero(np.r_[True, path[1:] != path[:-1]]).tolist() if len(path) else []
+    return [(lo, hi, langs[path[lo]]) for lo, hi in zip(turn, [*turn[1:], len(path)], strict=True)]
+
+
+def label_long(texts: pa.Array, scorer: Scorer) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
+    """As label, for one long text: piece by piece, so that only a few bytes a word are held of the whole."""
+    langs, best, kept = scorer.model.langs, None, []
+    total = np.zeros(len(langs))
+    for x in pieces(texts, PIECE, words=False):
+        w = Words(x, lower=False)
+        if len(w.codes):
+            score, letters = scorer(w)
+            total += np.bincount(w.codes, minlength=len(score)) @ score.astype(float)
+            best, tops, jumps = forward(score[w.codes], best, SWITCH)
+            kept.append((tops, jumps, letters[w.codes]))
+    if best is None:
+        return ["und"], np.zeros(1), [[]]
+    at, paths = best.index(max(best)), []
+    for tops, jumps, _ in reversed(kept):
+        path, at = backward(at, tops, jumps, len(langs))
+        paths.append(path)
+    path = np.concatenate(paths[::-1])
+    share = np.bincount(path, np.concatenate([x for _, _, x in kept]), len(langs))
+    found, score = decided(share[None], total[None], langs)
+    return found, score, [spans_of(path, langs)]
+
+
+def decided(share: np.ndarray, total: np.ndarray, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """Languages and scores from each text's letters by language and its words' summed scores."""
+    n, every, pred, best = len(share), share.sum(axis=1), share.argmax(axis=1), total.argmax(axis=1)
+    p = np.exp(total - total.max(axis=1, keepdims=True))
+    p = (p / p.sum(axis=1, keepdims=True))[np.arange(n), pred]
+    part = share[np.arange(n), pred] / np.maximum(every, 1)
+    score = np.where(every > 0, part * np.where(pred == best, np.maximum(p, 0.5), 0.5), 0.0)
+    return [langs[k] if c else "und" for k, c in zip(pred, every, strict=True)], score
+
+
+def label(texts: pa.Array, scorer: Scorer) -> tuple[list[str], np.ndarray, list[list[tuple[int, int, str]]]]:
     """Language, score and spans (first word, end word, language) of each text."""
+    langs, n = scorer.model.langs, len(texts)
+    if not langs:
+        return ["und"] * n, np.zeros(n), [[] for _ in range(n)]
+    if n == 1 and (pc.binary_length(texts)[0].as_py() or 0) > 2 * PIECE:
+        return label_long(texts, scorer)
     w = Words(texts, lower=False)
-    g = Grams(w.unique)
-    s, letters, n = model.words(g)[w.codes], g.letters[w.codes], len(texts)
-    if not model.langs or not len(w.codes):
+    if not len(w.codes):
         return ["und"] * n, np.zeros(n), [[] for _ in range(n)]
+    score, letters = scorer(w)
+    s, letters = score[w.codes], letters[w.codes]
     total = runs_sum(s, w.counts)
     best = total.argmax(axis=1)
     path = best[w.doc]
     for d in np.flatnonzero(~steady(s, w.doc, best, n)):
         at = slice(w.starts[d], w.ends[d])
         path[at] = viterbi(s[at])
-    share = np.zeros((n, len(model.langs)))
-    np.add.at(share, (w.doc, path), letters)
-    all_letters = share.sum(axis=1)
-    pred = share.argmax(axis=1)
-    top = total.max(axis=1, keepdims=True)
-    p = np.exp(total - top)
-    p = (p / p.sum(axis=1, keepdims=True))[np.arange(n), pred]
-    part = share[np.arange(n), pred] / np.maximum(all_letters, 1)
-    score = np.where(all_letters > 0, part * np.where(pred == best, np.maximum(p, 0.5), 0.5), 0.0)
-    langs = [model.langs[k] if c else "und" for k, c in zip(pred, all_letters, strict=True)]
+    share = np.bincount(w.doc * len(langs) + path, letters, n * len(langs)).reshape(n, -1)
+    found, score = decided(share, total, langs)
     turn = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (w.doc[1:] != w.doc[:-1])])
     spans: list[list[tuple[int, int, str]]] = [[] for _ in range(n)]
     for lo, hi in zip(turn.tolist(), [*turn[1:].tolist(), len(path)], strict=True):
         d = int(w.doc[lo])
-        spans[d].append((lo - int(w.starts[d]), hi - int(w.starts[d]), model.langs[path[lo]]))
-    return langs, score, spans
+        spans[d].append((lo - int(w.starts[d]), hi - int(w.starts[d]), langs[path[lo]]))
+    return found, score, spans
+
+
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer_of(model: Model) -> Scorer:
+    """The worker's scorer of this model; another model's goes."""
+    if model.name not in _scorers:
+        _scorers.clear()
+        _scorers[model.name] = Scorer(model)
+    return _scorers[model.name]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score (0 to 1) and spans; every column stays.
 
     `und` and score 0 for null texts, for texts without a letter, and for all texts if no language was learned. Ties go to the
-    first language by name.
+    first language by name. A word of over half a million bytes counts as several in a text of over a million.
     """
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages times buckets
     fields = "lang_pred string, score double, spans array<struct<first:int,until:int,lang:string>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("until", pa.int32()), ("lang", pa.string())]))
+        scorer = scorer_of(sent.value)
         for b in chunks(batches):
-            langs, score, spans = label(b.column("text"), sent.value)
+            langs, score, spans = label(b.column("text"), scorer)
             new = [pa.array(langs, pa.string()), pa.array(score), pa.array([[{"first": f, "until": u, "lang": x} for f, u, x in y] for y in spans], span)]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "lang_pred", "score", "spans"])
 

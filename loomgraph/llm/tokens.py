@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Characters of text that a task takes up at a time; a longer text is taken by itself.
-CHUNK = 2_500_000
+#: Bytes of text that a task takes up at a time; a longer text is taken by itself, and cut where its parts add up.
+CHUNK = 800_000
+#: Bytes of a word up to which it is hashed in steps of eight, with all others at once.
+SHORT_WORD = 64
 #: Characters that bare words don't begin or end with.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»„…–—¿¡"
 
@@ -27,6 +30,30 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int =
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chars, "right")))
             yield b.slice(lo, hi - lo)
             lo = hi
+        pa.default_memory_pool().release_unused()  # workers live on from task to task
+
+
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(texts: pa.Array, size: int = CHUNK, words: bool = True) -> Iterator[pa.Array]:
+    """The texts as they are or, if they are one text of over twice that size, parts of it that end at white space.
+
+    Unless words, a word of over `size` bytes is cut too, between characters: so no part is larger than twice the size.
+    """
+    if len(texts) != 1 or not texts[0].is_valid or len(b := texts.cast(pa.large_binary())[0].as_buffer()) <= 2 * size:
+        yield texts
+        return
+    view, lo = memoryview(b), 0
+    while lo < len(view):
+        end = len(view)
+        if lo + 2 * size < end:
+            m = _BLANK.search(view, lo + size, end if words else lo + 2 * size)
+            end = m.start() if m else end if words else lo + 2 * size
+            while end < len(view) and view[end] & 0xC0 == 0x80:
+                end -= 1
+        yield pa.array([bytes(view[lo:end])], pa.large_binary()).cast(pa.large_string())
+        lo = end
 
 
 def whole(texts: pa.Array) -> pa.Array:
@@ -68,9 +95,68 @@ class Words:
         return np.repeat(np.arange(len(self.ends)), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """XXH64 of each unique word, as uint64."""
-        h = xxhash.xxh64_intdigest
-        return np.fromiter((h(w) for w in self.unique.cast(pa.large_binary()).to_pylist()), np.uint64, len(self.unique))
+        """A 64-bit hash of each unique word."""
+        return hashes(self.unique)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string: eight bytes at a time of all short ones, XXH64 of the others."""
+    a = strings.cast(pa.large_binary())
+    n = pc.binary_length(a).to_numpy(zero_copy_only=False).astype(np.int64)
+    h = mix((n + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    if not len(n) or not n.max():
+        return h
+    starts = np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, a.offset * 8)[:-1]
+    data = np.concatenate([np.frombuffer(a.buffers()[2], np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # those from each byte on
+    left = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    at = np.flatnonzero((n > 0) & (n <= SHORT_WORD))
+    k = 0
+    while at.size:
+        x = eight[starts[at] + k] & left[np.minimum(n[at] - k, 8)]
+        h[at] = mix((h[at] ^ x) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))
+        k += 8
+        at = at[n[at] > k]
+    for i in np.flatnonzero(n > SHORT_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(a[i].as_buffer())
+    return h
+
+
+def strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
+class Memo:
+    """Rows of a worker's own tables by word. Words that come again stay; over the limit those that came once go."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, self.at, self.hits = limit, {}, np.zeros(0, np.int32)
+
+    def shrink(self) -> np.ndarray | None:
+        """If there are too many: the rows that stay, in their new order."""
+        if len(self.at) <= self.limit:
+            return None
+        keep = np.flatnonzero(self.hits > 1)
+        if len(keep) > self.limit // 2:
+            keep = np.sort(keep[np.argsort(-self.hits[keep], kind="stable")[: self.limit // 2]])
+        names = list(self.at)
+        self.at, self.hits = {names[k]: i for i, k in enumerate(keep.tolist())}, self.hits[keep] // 2 + 1
+        return keep
+
+    def find(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """(rows of distinct words, the new ones among them, whose rows follow those before)."""
+        new = [w for w in words if w not in self.at]
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        rows = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        self.hits = np.r_[self.hits, np.zeros(len(new), np.int32)]
+        self.hits[rows] += 1
+        return rows, new
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
