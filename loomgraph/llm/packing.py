@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import settle
-from loomgraph.llm.tokens import chunks, ragged, whole
+from loomgraph.llm.tokens import Memo, chunks, pieces, ragged, strings, whole
 
 WINDOW = 4096
 TIERS = (512, 1024, 2048, 4096)
@@ -34,6 +35,8 @@ STEP_TOKENS = 64 * WINDOW
 TAILS = 512
 #: Words whose ids a worker remembers.
 MEMO = 300_000
+#: Marks that may close a word, and the last character of one that they surely are no part of.
+CLOSING, LETTER_LAST = ".,;:!?%$&*#", "[a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u03b1-\u03c9\u0430-\u044f]$"
 VOCABULARY = "word_bpe_49k.json"
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, part long, ids binary"
@@ -56,39 +59,67 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Token ids of whole texts, by way of their stretches between spaces and line feeds: the tokenizer never joins across those."""
+def _tails(all_: pa.Array, starts: pa.Array) -> pa.Array:
+    """What follows in each large string after its given beginning."""
+    skip, n = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, all_))
+    at = np.frombuffer(all_.buffers()[1], np.int64, len(all_) + 1, all_.offset * 8)[:-1] + skip
+    data = np.frombuffer(all_.buffers()[2] or b"", np.uint8)[ragged(at, n - skip)]
+    return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(np.r_[0, np.cumsum(n - skip)].astype(np.int64)), pa.py_buffer(data))
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {}
-        self.forget()
 
-    def forget(self) -> None:
-        self.known.clear()
-        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+class Encoder:
+    """Token ids of whole texts, by way of their stretches between spaces and line feeds: the tokenizer never joins across those.
 
-    def _learn(self, words: list[str]) -> None:
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.update(zip(words, range(len(self.starts), len(self.starts) + len(words)), strict=True))
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(n) - n]
-        self.lengths = np.r_[self.lengths, n]
-        self.flat = np.concatenate([self.flat, *ids])
+    A stretch's closing marks are a token group of their own, so that it is looked up as two words: one without them in lower case
+    (the tokenizer lower-cases all), and the marks. A worker keeps what it has learned from task to task.
+    """
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row with END_ID after each, tokens of each text)."""
+    def __init__(self, path: str) -> None:
+        self.tokenizer, self.memo = _tokenizer(path), Memo(MEMO)
+        self.flat, self.starts, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _rows(self, words: list[str]) -> np.ndarray:
+        if (keep := self.memo.shrink()) is not None:
+            n = self.lengths[keep]
+            self.flat = self.flat[ragged(self.starts[keep], n)]
+            self.starts, self.lengths = np.cumsum(n) - n, n
+        rows, new = self.memo.find(words)
+        if new:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int32, len(ids))
+            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(n) - n]
+            self.lengths = np.r_[self.lengths, n]
+            self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))]
+        return rows
+
+    def _part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text's end)."""
         lists = pc.split_pattern(pc.replace_substring(whole(texts), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > MEMO:
-            self.forget()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
-        n = self.lengths[at]
-        ids = self.flat[ragged(self.starts[at], n)]
-        ends = np.r_[0, np.cumsum(n)][(np.asarray(lists.offsets) - lists.offsets[0].as_py())]
-        return np.insert(ids, ends[1:], END_ID), np.diff(ends) + 1
+        low = pc.ascii_lower(coded.dictionary)
+        core = pc.ascii_rtrim(low, characters=CLOSING)
+        core = pc.if_else(pc.match_substring_regex(core, LETTER_LAST), core, low)
+        both = pa.concat_arrays([core, _tails(low, core)]).dictionary_encode()
+        row = self._rows(strings(both.dictionary))[both.indices.to_numpy(zero_copy_only=False)] if len(both) else np.empty(0, np.int64)
+        row = row.reshape(2, -1).T.ravel()  # each stretch's word, then its marks
+        sizes = self.lengths[row].astype(np.int64)
+        own = self.flat[ragged(self.starts[row], sizes)]
+        sizes = sizes.reshape(-1, 2).sum(axis=1)
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        ids = own[ragged((np.cumsum(sizes) - sizes)[at], n)]
+        return ids, np.r_[0, np.cumsum(n)][(np.asarray(lists.offsets) - lists.offsets[0].as_py())[1:]]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row with END_ID after each, tokens of each text)."""
+        parts = [self._part(x) for x in pieces(texts)]
+        ids, ends = parts[0] if len(parts) == 1 else (np.concatenate([x for x, _ in parts]), np.array([sum(len(x) for x, _ in parts)]))
+        return np.insert(ids, ends, END_ID), np.diff(ends, prepend=0) + 1
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 class Pool:
@@ -176,7 +207,7 @@ def _pack_task(path: str):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         base = part << 32
-        encode, pool, sequences, groups = Encoder(path), Pool(), 0, 0
+        encode, pool, sequences, groups = encoder(path), Pool(), 0, 0
 
         def close(pool: Pool) -> tuple[Pool, pa.RecordBatch]:
             nonlocal sequences, groups
