@@ -9,11 +9,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import settle
+from loomgraph.llm.tokens import chunks
 
 #: The base kinds in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -67,6 +69,10 @@ def join_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def hashed(value: str) -> int:
+    return xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 42) - (1 << 63)
+
+
 SCANNED = "row long, doc_id long, text_hash long, owner string, repo string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:int,kind:int,end:int,hash:long>>"
 
 
@@ -78,7 +84,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = base_spans(text)
             kinds = Counter(k for _, k, _, _ in base)
             sha = hashlib.sha256(join_spans([x[:3] for x in base]).encode()).hexdigest()
-            found = [(s, k, e, xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass"), 42) - (1 << 63)) for s, k, e, v in base + more_spans(text, base)]
+            found = [(s, k, e, hashed(v)) for s, k, e, v in base + more_spans(text, base)]
             rows.append((kinds[0], kinds[1], kinds[2], sha, found))
         out = b[["row", "doc_id", "text_hash", "owner", "repo"]].reset_index(drop=True)
         yield pd.concat([out, pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "found"])], axis=1)
@@ -100,6 +106,17 @@ def ownership(found: DataFrame) -> DataFrame:
     return each.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"), F.sum("texts").alias("texts"))
 
 
+def exploded(s: DataFrame) -> DataFrame:
+    """A row for each candidate span of scanned rows."""
+    return s.where(F.size("found") > 0).select("row", "text_hash", "owner", "repo", F.explode("found").alias("f")).select("row", "text_hash", "owner", "repo", "f.*")
+
+
+def judged(s: DataFrame) -> DataFrame:
+    """(hash, live) of all candidate values of scanned rows: whether each is no widely copied example."""
+    wide = max(2, min(OWNERS, math.ceil(SHARE * s.select("owner").distinct().where("owner is not null").count())))
+    return ownership(exploded(s)).select("hash", ((F.col("owners") < wide) & (F.col("texts") < TEXTS)).alias("live"))
+
+
 def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "source") -> DataFrame:
     """One row for each row of docs: base counts, and found, an array of (start, kind, end, live) by start and kind.
 
@@ -107,10 +124,7 @@ def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "source") -
     example by OWNERS, SHARE and TEXTS. Null texts are empty, null owners count as no owner, copies of a text count once. An empty table gives an empty result.
     """
     s = settle(scan(docs, owner, repo), "spans")
-    each = s.where(F.size("found") > 0).select("row", "text_hash", "owner", "repo", F.explode("found").alias("f")).select("row", "text_hash", "owner", "repo", "f.*")
-    wide = max(2, min(OWNERS, math.ceil(SHARE * s.select("owner").distinct().where("owner is not null").count())))
-    known = ownership(each).select("hash", ((F.col("owners") < wide) & (F.col("texts") < TEXTS)).alias("live"))
-    spans = each.join(known, "hash").where(F.col("live") | (F.col("kind") < KINDS.index("owned")))
+    spans = exploded(s).join(judged(s), "hash").where(F.col("live") | (F.col("kind") < KINDS.index("owned")))
     by_row = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("kept"))
     return s.join(by_row, "row", "left").select("row", "doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("kept", F.array().cast("array<struct<start:int,kind:int,end:int,live:boolean>>")).alias("found"))
 
@@ -122,34 +136,57 @@ def report(docs: DataFrame) -> DataFrame:
     return find_secrets(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", text.alias("spans"), live.alias("n_live"), (F.size("found") - live).alias("n_example"))
 
 
-MASK = "<secret>"
-
-
-def _mask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        b = b.copy()
-        b["text"] = [masked(t, f) for t, f in zip(b["text"], b["__found"], strict=True)]
-        yield b.drop(columns="__found")
+#: What live values become; copied examples that tasks hold at most, beyond which spans are joined.
+MASK, EXAMPLES = "<secret>", 1_000_000
 
 
-def masked(text: str | None, found: list | None) -> str | None:
-    """text with its live spans, joined where they overlap, replaced by MASK."""
-    if text is None or found is None or not len(found):
-        return text
+def masked(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """text with its spans, joined where they overlap, replaced by MASK."""
     out, at = [], 0
-    for s, e in sorted((f["start"], f["end"]) for f in found):
+    for s, e in sorted(spans):
         if s >= at:
             out += [text[at:s], MASK]
         at = max(at, e)
-    return "".join([*out, text[at:]])
-
-
-def mask_secrets(docs: DataFrame) -> DataFrame:
-    """docs with live-looking secrets masked in text and n_chars as the text now is; copied examples and all other rows as they were."""
-    found = find_secrets(docs).select("doc_id", "text_hash", F.explode("found").alias("f")).where("f.live")
-    live = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("f.start", "f.end")).alias("__found"))
-    live = settle(live, "live")
-    d = docs.join(live, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left").select(*docs.columns, "__found")
-    hit = d.where(F.col("__found").isNotNull())
-    done = hit.mapInPandas(_mask, docs.schema).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return d.where(F.col("__found").isNull()).drop("__found").unionByName(done)
+    return "".join([*out, text[at:]]) if spans else text
+
+
+def _with_texts(b: pa.RecordBatch, texts: list[str | None]) -> pa.RecordBatch:
+    """The batch with other texts, and n_chars of those that changed if there is such a column."""
+    i, n = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
+    if n >= 0:
+        old = b.column(i).to_pylist()
+        size = [len(y) if x != y else k for x, y, k in zip(old, texts, b.column(n).to_pylist(), strict=True)]
+        b = b.set_column(n, b.schema.field(n), pa.array(size, b.schema.field(n).type))
+    return b.set_column(i, b.schema.field(i), pa.array(texts, b.schema.field(i).type))
+
+
+def mask_secrets(docs: DataFrame, owner: str = "source", repo: str = "source", examples: int = EXAMPLES) -> DataFrame:
+    """docs with live-looking secrets masked in text, and n_chars, if there is one, as the text now is; copied examples and all other rows as they were.
+
+    Tasks scan again and hold the few values that are copied examples; if there are more than `examples`, live spans are joined to their texts.
+    """
+    s = settle(scan(docs, owner, repo), "spans")
+    known = settle(judged(s), "values")
+    copied = known.where("not live").select("hash")
+    if copied.count() <= examples:
+        sent = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in copied.collect()))  # bounded by examples
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in chunks(batches):
+                texts = b.column("text").to_pylist()
+                for i, text in enumerate(texts):
+                    if text and (base := base_spans(text)) + (found := more_spans(text, base)):
+                        texts[i] = masked(text, [(s, e) for s, _, e, v in base + found if hashed(v) not in sent.value])
+                yield _with_texts(b, texts)
+
+        return docs.mapInArrow(run, docs.schema)
+    live = exploded(s).join(known.where("live"), "hash").groupBy("text_hash").agg(F.collect_set(F.struct("start", "end")).alias("live"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.xxhash64("text").alias("text_hash")).join(live, "text_hash", "left")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc = pa.RecordBatch.from_struct_array(b.column("doc"))
+            texts = [masked(t, [(x["start"], x["end"]) for x in f]) if t and f else t for t, f in zip(doc.column("text").to_pylist(), b.column("live").to_pylist(), strict=True)]
+            yield _with_texts(doc, texts)
+
+    return d.select("doc", "live").mapInArrow(apply, docs.schema)
