@@ -190,17 +190,12 @@ def migration_versions(file: Column) -> tuple[Column, Column]:
     return tuple(F.regexp_extract(file, r"^(.+?)_to_(.+)\.toml$", i) for i in (1, 2))  # type: ignore[return-value]
 
 
-def app_of_executable(path: Column, home: str = "/home", store: str = "/usr/share/applications") -> Column:
-    """An app id from an executable's path, by ordered rules: sandbox exports, per-user and system applications, opt, bin, else the name."""
-    rules = [
-        (r"/flatpak/app/([^/]+)/", None),
-        (rf"^{home}/[^/]+/\.local/share/apps/([^/]+)/", None),
-        (rf"^{store}/([^/]+)", None),
-        (r"^/opt/([^/]+)/", None),
-        (r"^/usr/(?:local/)?s?bin/([^/]+)$", "system."),
-    ]
-    out = basename(path)
-    for pattern, prefix in reversed(rules):
-        found = F.regexp_extract(path, pattern, 1)
-        out = F.when(found != "", F.concat(F.lit(prefix or ""), found)).otherwise(out)
-    return F.when(F.coalesce(path, F.lit("")) == "", "unknown").otherwise(out)
+def app_of_executable(path: Column, product: str, development: bool = False) -> Column:
+    """An app id from an executable's path, null for unknown ones. Of the product's installations the system's go first, then the user's, its AI daemon, its other daemons, and builds from source."""
+    after = lambda marker: F.split_part(F.substring_index(F.substr(path, F.instr(path, marker) + len(marker)), "/", 1), F.lit("/"), F.lit(1))
+    system, user = f"/usr/lib/{product}/apps/", f"/.local/share/{product}/apps/"
+    out = F.when(path.startswith(system) & (after(system) != ""), after(system)).when(path.contains(user) & (after(user) != ""), after(user))
+    out = out.when(path.endswith(f"/{product}-ai-daemon") | path.endswith(f"/{product}-ai"), "ai-daemon").when(path.startswith(f"/usr/bin/{product}-"), "system")
+    if development:
+        out = out.when(path.contains("/target/debug/") | path.contains("/target/release/"), F.concat(F.lit("dev."), basename(path)))
+    return out

@@ -29,44 +29,55 @@ def score(a: str, b: str, unique: list[str], fuzzy: dict[str, float]) -> tuple[C
     return F.when(present > 0, total / present).otherwise(0.0), F.array_compact(F.array(*matched))
 
 
-def _likely(names: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of distinct normalised names whose character sets may be alike enough: they share one of the rarest characters of each.
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """(source_id, target_id): each row (key, id) with the smallest id of its key."""
+    least = rows.groupBy(key).agg(F.min("id").alias("source_id"))
+    return rows.join(least, key).where("source_id <> id").select("source_id", F.col("id").alias("target_id"))
 
-    Of a set of m characters, any match at likeness t holds one of its m - ceil(t m) + 1 rarest; those are joined, sizes compared.
+
+def _likely(classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of distinct character sets c, a < b, at likeness `least` or more, as arrays.
+
+    Of a set of m characters, any match at likeness t holds one of its m - ceil(t m) + 1 rarest, in one order of all characters. Sets
+    are joined by each of these, the next one in that order, and their sizes: so a key is shared by few, and each pair is verified.
     """
-    chars = F.array_remove(F.array_distinct(F.split(F.lower("n"), "")), "")
-    d = names.select(F.col("n"), chars.alias("c"))
+    d = classes.select("c", F.size("c").alias("m"))
     freq = d.select(F.explode("c").alias("ch")).groupBy("ch").agg(F.count("*").alias("df"))
-    rare = d.select("n", F.size("c").alias("m"), F.explode("c").alias("ch")).join(freq, "ch")
-    order = rare.groupBy("n", "m").agg(F.array_sort(F.collect_list(F.struct("df", "ch"))).alias("c"))  # an alphabet at most
-    keys = order.select("n", "m", F.explode(F.slice("c", F.lit(1), (F.col("m") - F.ceil(F.col("m") * F.lit(least)) + 1).cast("int"))).alias("k")).select("n", "m", "k.ch")
-    a, b = keys.select(F.col("n").alias("a"), F.col("m").alias("ma"), "ch"), keys.select(F.col("n").alias("b"), F.col("m").alias("mb"), "ch")
-    near = a.join(b, "ch").where((F.col("a") <= F.col("b")) & (F.least("ma", "mb") >= F.lit(least) * F.greatest("ma", "mb"))).select("a", "b").distinct()
-    return near
+    order = d.select("c", "m", F.explode("c").alias("ch")).join(freq, "ch").groupBy("c", "m").agg(F.array_sort(F.collect_list(F.struct("df", "ch"))).alias("o"))  # an alphabet at most
+    keys = order.select("c", "m", F.explode(F.slice("o", F.lit(1), (F.col("m") - F.ceil(F.col("m") * F.lit(least)) + 1).cast("int"))).alias("k")).select("c", "m", "k.ch")
+    sizes = F.sequence(F.ceil(F.col("m") * F.lit(least)).cast("int"), F.col("m"))  # the smaller one's, seen from the larger one
+    a = keys.select(F.col("c").alias("a"), "ch", F.explode(sizes).alias("n"))
+    b = keys.select(F.col("c").alias("b"), "ch", F.col("m").alias("n"))
+    both = F.size(F.array_intersect("a", "b"))
+    near = a.join(b, ["ch", "n"]).where("a <> b").where(both >= F.lit(least) * (F.size("a") + F.size("b") - both))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def candidates(entities: DataFrame, entity_type: str, reject: DataFrame | None = None) -> DataFrame:
     """(source_id, target_id, score, matched) of pairs of one type that score enough, source_id < target_id.
 
-    Pairs meet by equal unique fields, or, where one lacks a unique field, by names whose character sets may be alike. reject: pairs
-    that were turned down before.
+    What n rows share gives n - 1 pairs, not all: each row that has a unique value meets the value's smallest id; where a row lacks
+    its unique fields, names decide: rows of one set of characters meet the set's smallest id, and of two similar sets the smallest
+    ids meet, one of them lacking the unique fields. reject: pairs that were turned down before.
     """
     unique, fuzzy, least = CONFIGS[entity_type]
     fields = list(dict.fromkeys([*unique, *fuzzy]))
     d = entities.select("id", F.struct(*fields).alias("e"))
     pairs = None
     for f in unique:
-        k = d.where(F.col(f"e.{f}").isNotNull()).select(F.col(f"e.{f}").alias("k"), "id")
-        p = k.alias("x").join(k.alias("y"), "k").where("x.id < y.id").select(F.col("x.id").alias("source_id"), F.col("y.id").alias("target_id"))
+        p = _shared(d.where(F.col(f"e.{f}").isNotNull()).select(F.col(f"e.{f}").alias("k"), "id"), "k")
         pairs = p if pairs is None else pairs.unionByName(p)
     lacking = " and ".join(f"e.{f} is null" for f in unique)
     for f, t in fuzzy.items():
-        named = d.where(F.col(f"e.{f}").isNotNull()).select("id", normalize_name(F.col(f"e.{f}")).alias("n"), F.expr(lacking).alias("lacks"))
-        near = _likely(named.where("n <> ''").select("n").distinct(), t)
-        near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        x, y = named.where("lacks").select(F.col("id").alias("i"), F.col("n").alias("a")), named.select(F.col("id").alias("j"), F.col("n").alias("b"))
-        p = x.join(near, "a").join(y, "b").where("i <> j").select(F.least("i", "j").alias("source_id"), F.greatest("i", "j").alias("target_id"))
-        pairs = pairs.unionByName(p)
+        name = normalize_name(F.col(f"e.{f}"))
+        named = d.where(F.col(f"e.{f}").isNotNull()).where(name != "").select("id", F.array_sort(F.array_remove(F.array_distinct(F.split(F.lower(name), "")), "")).alias("c"), F.expr(lacking).alias("lacks"))
+        classes = named.groupBy("c").agg(F.min("id").alias("first"), F.min(F.when(F.col("lacks"), F.col("id"))).alias("lacking"))
+        own = named.join(classes, "c").where("id <> first and (lacks or first = lacking)").select(F.col("first").alias("source_id"), F.col("id").alias("target_id"))
+        side = lambda x: classes.select(F.col("c").alias(x), F.col("first").alias(f"first_{x}"), F.col("lacking").alias(f"lacking_{x}"))
+        near = _likely(classes, t).join(side("a"), "a").join(side("b"), "b").where("lacking_a is not null or lacking_b is not null")
+        i, j = F.when(F.col("lacking_a").isNotNull(), F.col("lacking_a")).otherwise(F.col("first_a")), F.when(F.col("lacking_a").isNotNull(), F.col("first_b")).otherwise(F.col("lacking_b"))
+        across = near.select(F.least(i, j).alias("source_id"), F.greatest(i, j).alias("target_id"))
+        pairs = pairs.unionByName(own).unionByName(across)
     if reject is not None:
         pairs = pairs.join(reject.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
     s, matched = score("x", "y", unique, fuzzy)
@@ -74,6 +85,13 @@ def candidates(entities: DataFrame, entity_type: str, reject: DataFrame | None =
     return full.select("source_id", "target_id", s.alias("score"), matched.alias("matched")).where((F.col("score") >= least) & (F.size("matched") > 0))
 
 
+def rejected(suggested: DataFrame, turned_down: DataFrame, now: Column) -> DataFrame:
+    """Suggestions with those of turned_down (id) marked as rejected; `candidates` leaves such pairs out from then on."""
+    d = suggested.join(turned_down.select("id").distinct().withColumn("__no", F.lit(True)), "id", "left")
+    hit = F.col("__no").isNotNull() & (F.col("status") == "pending")
+    return d.withColumns({"status": F.when(hit, "rejected").otherwise(F.col("status")), "decided_at": F.when(hit, now)}).drop("__no")
+
+
 def suggestions(found: DataFrame, entity_type: str, now: Column) -> DataFrame:
     return found.select(F.sha1(F.concat_ws("|", "source_id", "target_id")).alias("id"), F.lit(entity_type).alias("entity_type"), "source_id", "target_id", "score", "matched", F.lit("pending").alias("status"), now.alias("created_at"))
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from loomgraph.functions.scalars import uuid5
 from loomgraph.operators.tables import latest_by
 
-ANNOTATIONS = uuid.UUID("6f0e3f52-9a41-5c1c-8d3e-2b7a90c4d1e8")
+#: Fixed value: the namespace of annotations' ids.
+ANNOTATIONS = uuid.UUID("6eed7305-c483-4d73-a686-c1734db1297e")
+#: Microseconds of a slice of one app's presence events that is put in order at a time.
+SLICE = 3_600_000_000
 
 
 def of_type(events: DataFrame, *types: str) -> DataFrame:
@@ -79,9 +82,16 @@ def user_actions(events: DataFrame) -> DataFrame:
 
 
 def presence_intervals(events: DataFrame) -> DataFrame:
-    """(app_id, activity, subject, start, end): each set lasts to the app's next set or clear; open ones have no end."""
-    w = Window.partitionBy("app_id").orderBy("timestamp", "id")
-    d = of_type(events, "app.presence.set", "app.presence.clear").withColumn("end", F.lead("timestamp").over(w))
+    """(app_id, activity, subject, start, end): each set lasts to the app's next set or clear; open ones have no end.
+
+    An app's events are put in order by slices of time; a slice's last one ends where the app's next slice begins.
+    """
+    d = of_type(events, "app.presence.set", "app.presence.clear").withColumn("slice", F.floor(F.col("timestamp") / SLICE))
+    first = d.groupBy("app_id", "slice").agg(F.min("timestamp").alias("first"))
+    after = first.select("app_id", "slice", F.lead("first").over(Window.partitionBy("app_id").orderBy("slice")).alias("after"))
+    w = Window.partitionBy("app_id", "slice").orderBy("timestamp", "id")
+    d = d.withColumn("end", F.lead("timestamp").over(w)).join(after.withColumnRenamed("app_id", "__app"), F.col("app_id").eqNullSafe(F.col("__app")) & (d["slice"] == after["slice"]), "left")
+    d = d.withColumn("end", F.coalesce("end", "after"))
     return d.where("type = 'app.presence.set'").select("app_id", "activity", "subject", F.col("timestamp").alias("start"), "end")
 
 
@@ -134,3 +144,8 @@ def subscribed(events: DataFrame, patterns: list[str], uid: int = 0) -> DataFram
     for p in patterns:
         hit = hit | (F.lit(True) if p == "*" else F.col("type").startswith(p[:-1]) if p.endswith(".*") else F.col("type") == p)
     return events.where(hit & ((F.col("uid") == 0) | (F.lit(uid) == 0) | (F.col("uid") == uid)))
+
+
+def annotations_of(annotations: DataFrame, targets: DataFrame) -> DataFrame:
+    """Annotations of a table of targets (target_type, target_id and, for one app's only, namespace)."""
+    return annotations.join(targets.distinct(), [c for c in ("target_type", "target_id", "namespace") if c in targets.columns], "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.validation import validate
+
 RESERVED = ("id", "_type", "_owner", "_version", "_created_at", "_modified_at", "_deleted", "_deleted_at")
 
 
@@ -75,16 +77,46 @@ def create(batch: DataFrame, scopes: DataFrame, known: DataFrame, required: list
     return d.withColumns({"_version": F.when(ok, F.lit(1).cast("bigint")), "_owner": F.when(ok, F.col("app")), "_created_at": F.when(ok, now), "_modified_at": F.when(ok, now), "_deleted": F.when(ok, F.lit(False))}).drop("__scope", "__known")
 
 
-def update(current: DataFrame, changes: DataFrame, immutable: list[str], fields: list[str], now: Column) -> DataFrame:
-    """changes (id, app, expected_version, order, fields) against current: one row each, with reject (missing, owner, version, immutable) or the new row.
+def create_checked(batch: DataFrame, scopes: DataFrame, fields: DataFrame, now: Column) -> DataFrame:
+    """batch (id, _type, app, data as JSON) with reject and field, the first of scope, namespace and what validation finds (type, required, unknown, mismatch), and the reserved columns of accepted rows.
+
+    scopes: (app, _type) an app may write; fields: the declared types, as for validation.
+    """
+    d = batch.join(scopes.select("app", "_type").distinct().withColumn("__scope", F.lit(True)), ["app", "_type"], "left").join(validate(batch, fields), "id", "left")
+    own = F.col("_type").startswith("system.") | F.expr("startswith(_type, concat(app, '.'))")
+    reject = _first([(F.col("__scope").isNull(), "scope"), (~own, "namespace")])
+    d = d.withColumns({"field": F.when(reject.isNull(), F.col("field")), "reject": F.coalesce(reject, F.col("problem"))})
+    ok = F.col("reject").isNull()
+    return d.withColumns({"_version": F.when(ok, F.lit(1).cast("bigint")), "_owner": F.when(ok, F.col("app")), "_created_at": F.when(ok, now), "_modified_at": F.when(ok, now), "_deleted": F.when(ok, F.lit(False))}).drop("__scope", "problem")
+
+
+def answers(requests: DataFrame, current: DataFrame, scopes: DataFrame, deleted: bool) -> DataFrame:
+    """requests (id, _type, app) of soft deletes (deleted: False, what must not yet be) or restores (True) with reject: missing, scope, owner, or deleted / not_deleted.
+
+    scopes: (app, _type, scope): types an app may write, and whether `all` rows or its `own` only. Every request has its answer.
+    """
+    d = requests.join(scopes.select("app", "_type", F.col("scope").alias("__scope")), ["app", "_type"], "left")
+    d = d.join(current.select("id", F.col("_owner").alias("__owner"), F.coalesce("_deleted", F.lit(False)).alias("__deleted")), "id", "left")
+    state = (F.col("__deleted") != F.lit(deleted), "not_deleted" if deleted else "deleted")
+    reject = _first([(F.col("__deleted").isNull(), "missing"), (F.col("__scope").isNull(), "scope"), ((F.col("__scope") == "own") & (F.col("__owner") != F.col("app")), "owner"), state])
+    return d.withColumn("reject", reject).drop("__scope", "__owner", "__deleted")
+
+
+def update(current: DataFrame, changes: DataFrame, immutable: list[str], fields: list[str], now: Column, scopes: DataFrame | None = None) -> DataFrame:
+    """changes (id, app, expected_version, order, fields) against current: one row each, with reject (scope, missing, owner, version, immutable) or the new row.
 
-    Of changes that expect one version of an id the earliest wins; the others meet a version that has moved on.
+    scopes: (app, _type) an app may write, for changes with a column _type; without it all may. Of changes that expect one version of an id the earliest wins; the others meet a version that has moved on.
     """
     c = current.select("id", F.struct("_owner", "_version", *fields).alias("cur"))
     d = changes.join(c, "id", "left")
+    denied = F.lit(False)
+    if scopes is not None:
+        d = d.join(scopes.select("app", "_type").distinct().withColumn("__scope", F.lit(True)), ["app", "_type"], "left")
+        denied = F.col("__scope").isNull()
     n = F.row_number().over(Window.partitionBy("id", "expected_version").orderBy("order"))
     given = [F.col(f).isNotNull() & ~F.col(f).eqNullSafe(F.col(f"cur.{f}")) for f in immutable]
     reject = _first([
+        (denied, "scope"),
         (F.col("cur").isNull(), "missing"),
         (F.col("cur._owner") != F.col("app"), "owner"),
         ((F.col("expected_version") != F.col("cur._version")) | (F.col("n") > 1), "version"),
@@ -93,7 +125,7 @@ def update(current: DataFrame, changes: DataFrame, immutable: list[str], fields:
     d = d.withColumn("n", n).withColumn("reject", reject)
     ok = F.col("reject").isNull()
     new = {f: F.when(ok, F.coalesce(F.col(f), F.col(f"cur.{f}"))) for f in fields}
-    return d.withColumns({**new, "_version": F.when(ok, F.col("cur._version") + 1), "_modified_at": F.when(ok, now)}).drop("cur", "n")
+    return d.withColumns({**new, "_version": F.when(ok, F.col("cur._version") + 1), "_modified_at": F.when(ok, now)}).drop("cur", "n", "__scope")
 
 
 def soft_delete(current: DataFrame, requests: DataFrame, now: Column) -> DataFrame:

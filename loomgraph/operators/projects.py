@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tomllib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.functions.scalars import basename, repo_name
+from loomgraph.functions.scalars import basename, repo_name, stem
+from loomgraph.operators.validation import CONTEXT_SCOPES, PROVIDERS, STATES
+
+HEX_COLOR = re.compile(r"#(?:[0-9a-fA-F]{3}|[0-9a-fA-F]{6})")
 
 #: Fixed values: (signal, file or directory name, kind of match, confidence), best first.
 SIGNALS = [
-    ("explicit", ".project", "file", 100),
-    ("git", ".git", "dir", 90),
+    ("explicit", ".project", "any", 100),
+    ("git", ".git", "any", 90),
     ("cargo", "Cargo.toml", "file", 80),
     ("npm", "package.json", "file", 80),
     ("python", "pyproject.toml", "file", 80),
@@ -24,46 +29,59 @@ SIGNALS = [
     ("gradle", "build.gradle", "prefix", 70),
     ("idea", ".idea", "dir", 70),
     ("vscode", ".vscode", "dir", 60),
-    ("make", "Makefile", "file", 50),
+    ("make", "Makefile", "make", 50),
 ]
 #: Signals that need a name read from their content, directories that hold no projects.
-NAMED = ("cargo", "npm", "python", "go", "maven")
-JUNK = ["node_modules", "target", ".cache", "venv", "__pycache__"]
+NAMED = ("cargo", "npm", "python", "go", "dotnet", "maven")
+JUNK = ["node_modules", "target", "vendor", "__pycache__", ".cache"]
 
 
 def signal_of(name: Column, is_dir: Column) -> Column:
     """Position in SIGNALS of the signal that a name gives, else null."""
     out = F.lit(None).cast("int")
     for i, (_, text, kind, _) in reversed(list(enumerate(SIGNALS))):
-        hit = {"file": ~is_dir & (name == text), "dir": is_dir & (name == text), "suffix": ~is_dir & name.endswith(text), "prefix": ~is_dir & name.isin(text, f"{text}.kts")}[kind]
+        hit = {
+            "any": name == text, "file": ~is_dir & (name == text), "dir": is_dir & (name == text), "suffix": ~is_dir & name.endswith(text) & (F.length(name) > len(text)),
+            "prefix": ~is_dir & name.isin(text, f"{text}.kts"), "make": ~is_dir & name.isin(text, text.lower()),
+        }[kind]
         out = F.when(hit, F.lit(i)).otherwise(out)
     return out
 
 
 def toml_name(content: pd.Series, signal: pd.Series) -> pd.Series:
-    """Package or project name of TOML contents; none if they can't be read."""
+    """Package or project name of TOML contents; none if they can't be read, or if a project's own configuration breaks its rules."""
 
     def one(text: str | None, kind: str) -> str | None:
         try:
             d = tomllib.loads(text or "")
         except tomllib.TOMLDecodeError:
             return None
-        part = d.get("package" if kind == "cargo" else "project") or d.get("tool", {}).get("poetry") or {}
-        return part.get("name") if isinstance(part, dict) else None
+        table = lambda *path: reduce(lambda x, k: x.get(k) if isinstance(x, dict) else None, path, d)
+        if kind == "explicit":
+            found = table("project", "name")
+            color = table("appearance", "accent_color")
+            good = isinstance(found, str) and found.strip() and (table("project", "status") or "active") in STATES and (color is None or HEX_COLOR.fullmatch(str(color)))
+            good = good and (table("tracker") is None or table("tracker", "provider") in PROVIDERS) and (table("ai", "context_scope") or "project") in CONTEXT_SCOPES
+            return found if good else None
+        found = table("package", "name") if kind == "cargo" else table("project", "name") or table("tool", "poetry", "name")
+        return found if isinstance(found, str) else None
 
     return pd.Series([one(t, s) for t, s in zip(content, signal, strict=True)], dtype="object")
 
 
 def with_names(found: DataFrame) -> DataFrame:
-    """found (dir, signal, content, ...) with name: from the content where the signal has one, else the directory's."""
+    """found (dir, file, signal, content, ...) with name: from the content or the file's name where the signal has one, else the directory's."""
     c = F.col("content")
-    plain = found.where("signal not in ('cargo', 'python')").withColumn("read", F.when(F.col("signal") == "npm", F.get_json_object(c, "$.name")).when(F.col("signal") == "go", F.regexp_extract(F.regexp_extract(c, r"(?m)^module\s+(\S+)", 1), r"([^/]+)$", 1)).when(F.col("signal") == "maven", F.regexp_extract(c, r"<artifactId>([^<]+)</artifactId>", 1)).when(F.col("signal") == "git", repo_name(F.regexp_extract(c, r"url\s*=\s*(\S+)", 1))))
+    is_ = lambda x: F.col("signal") == x
+    read = F.when(is_("npm"), F.get_json_object(c, "$.name")).when(is_("go"), F.regexp_extract(F.trim(F.regexp_extract(c, r"\Amodule ([^\r\n]*)", 1)), r"([^/]+)$", 1))
+    read = read.when(is_("maven"), F.trim(F.regexp_extract(c, r"(?s)<project[^>]*>.*?<artifactId>([^<]+)</artifactId>", 1))).when(is_("dotnet"), stem(F.col("file")))
+    plain = found.where("signal not in ('cargo', 'python', 'explicit')").withColumn("read", read.when(is_("git"), repo_name(F.regexp_extract(c, r"url\s*=\s*(\S+)", 1))))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(read=toml_name(b["content"], b["signal"]))
 
-    toml = found.where("signal in ('cargo', 'python')")
+    toml = found.where("signal in ('cargo', 'python', 'explicit')")
     toml = toml.mapInPandas(read, found.schema.add("read", "string") if "read" not in found.columns else found.schema)
     both = plain.unionByName(toml)
     name = F.when(F.coalesce("read", F.lit("")) != "", F.col("read"))
@@ -82,9 +100,9 @@ def detect(listing: DataFrame, max_depth: int = 3, root: str = "") -> DataFrame:
     parts = F.array_remove(F.split(F.expr(f"substring(dir, {len(root) + 1})"), "/"), "")
     d = d.where((F.size(parts) <= max_depth) & ~F.exists(parts, lambda p: p.startswith(".") | p.isin(JUNK)))
     table = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(c).alias("confidence")) for s, _, _, c in SIGNALS])
-    d = with_names(d.withColumn("s", F.get(table, F.col("i"))).select("dir", "i", "s.*", "content"))
+    d = with_names(d.withColumn("s", F.get(table, F.col("i"))).select("dir", "file", "i", "s.*", "content"))
     d = d.where(F.col("readable") | ~F.col("signal").isin(*NAMED))
-    best = d.groupBy("dir").agg(F.min_by(F.struct("signal", "confidence", "name"), "i").alias("b")).select(F.col("dir").alias("root_path"), "b.*")
+    best = d.groupBy("dir").agg(F.min_by(F.struct("signal", "confidence", "name"), F.struct("i", "file")).alias("b")).select(F.col("dir").alias("root_path"), "b.*")
     return outermost(best)
 
 
@@ -153,3 +171,14 @@ def change_projects(projects: DataFrame, changes: DataFrame, now: Column) -> Dat
 def unlink_files(part_of: DataFrame, project_ids: DataFrame) -> DataFrame:
     """FILE_PART_OF edges without those of some projects."""
     return part_of.join(project_ids.select(F.col("id").alias("dst_id")).distinct(), "dst_id", "left_anti").select("src_id", "dst_id")
+
+
+def active_projects(projects: DataFrame, promoted: bool = False) -> DataFrame:
+    """Projects in use; with promoted, only those that are shown."""
+    d = projects.where(F.col("status") == "active")
+    return d.where("promoted") if promoted else d
+
+
+def lookup(projects: DataFrame, keys: DataFrame, by: str = "id") -> DataFrame:
+    """Projects by id or root_path, for a table of keys at once."""
+    return projects.join(keys.select(by).distinct(), by, "left_semi")

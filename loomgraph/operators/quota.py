@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.ordered import fold_in_order
+
 #: Fixed values by tier: entities, bytes, result rows, queries a second, writes a second (null: no bound).
 TIERS = {
     "system": (None, None, 100_000, None, None),
-    "first_party": (1_000_000, 10 << 30, 50_000, 1000, 500),
-    "third_party": (100_000, 1 << 30, 10_000, 100, 50),
+    "first_party": (500_000, 2 * 1024 * 1024 * 1024, 50_000, 1000, 500),
+    "third_party": (100_000, 500 * 1024 * 1024, 10_000, 100, 50),
 }
 LIMITS = ["max_entities", "max_bytes", "max_rows", "query_rate", "write_rate"]
 
 
-def assign_tiers(apps: DataFrame, overrides: DataFrame | None, system: list[str], listed: list[str], prefix: str) -> DataFrame:
-    """apps with tier and limits; an override (app and any limits) wins."""
-    tier = F.when(F.col("app").isin(system), "system").when(F.col("app").isin(listed) | F.col("app").startswith(prefix), "first_party").otherwise("third_party")
+def assign_tiers(apps: DataFrame, overrides: DataFrame | None, listed: list[str], prefix: str) -> DataFrame:
+    """apps with tier and limits. The system's apps are `system` and `system.*`, first parties are listed or have the prefix; an override (app and limits, a missing one is none) replaces all limits."""
+    app = F.col("app")
+    tier = F.when((app == "system") | app.startswith("system."), "system").when(app.isin(listed) | app.startswith(prefix), "first_party").otherwise("third_party")
     d = apps.withColumn("tier", tier)
     for i, c in enumerate(LIMITS):
         value = F.lit(None).cast("bigint")
@@ -26,45 +29,55 @@ def assign_tiers(apps: DataFrame, overrides: DataFrame | None, system: list[str]
         d = d.withColumn(c, value)
     if overrides is None:
         return d
-    o = overrides.select("app", *[F.col(c).alias(f"o_{c}") for c in LIMITS if c in overrides.columns])
-    return d.join(o, "app", "left").withColumns({c: F.coalesce(f"o_{c}", c) for c in LIMITS if c in overrides.columns}).drop(*[f"o_{c}" for c in LIMITS])
+    given = [F.col(c).cast("bigint").alias(c) if c in overrides.columns else F.lit(None).cast("bigint").alias(c) for c in LIMITS]
+    o = overrides.select("app", F.struct(*given).alias("__own"))
+    return d.join(o, "app", "left").withColumns({c: F.when(F.col("__own").isNotNull(), F.col(f"__own.{c}")).otherwise(F.col(c)) for c in LIMITS}).drop("__own")
 
 
-def usage(log: DataFrame) -> DataFrame:
+def usage(log: DataFrame, width: int = 100_000) -> DataFrame:
     """(app, entities, bytes) from a log (app, order, delta, bytes), never under zero at any step.
 
-    A running sum that is held at zero equals the last sum less the least sum so far, so windows do instead of a fold.
+    A running sum that is held at zero equals the last sum less the least sum so far. Both are taken over slices of `width` of the
+    order first, so that no app's whole log meets in one task, then over the slices.
     """
-    w = Window.partitionBy("app").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = log.withColumns({"s": F.sum("delta").over(w), "t": F.sum("bytes").over(w)})
-    held = lambda c: F.max_by(c, "order") - F.least(F.min(c), F.lit(0))
-    return d.groupBy("app").agg(held("s").alias("entities"), held("t").alias("bytes"))
+    d = log.withColumn("slice", F.floor(F.col("order") / width))
+    w = Window.partitionBy("app", "slice").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumns({"s": F.sum("delta").over(w), "t": F.sum("bytes").over(w)})
+    part = d.groupBy("app", "slice").agg(F.sum("delta").alias("s"), F.min("s").alias("least_s"), F.sum("bytes").alias("t"), F.min("t").alias("least_t"))
+    before = Window.partitionBy("app").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in "st"})
+    held = lambda c: F.sum(c) - F.least(F.min(F.col(f"before_{c}") + F.col(f"least_{c}")), F.lit(0))
+    return part.groupBy("app").agg(held("s").alias("entities"), held("t").alias("bytes"))
 
 
 def check_requests(requests: DataFrame, used: DataFrame, tiers: DataFrame) -> DataFrame:
-    """requests (app, order, bytes) with reject: entities or storage that the app's earlier requests in the batch and its usage leave no room for."""
-    w = Window.partitionBy("app").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = requests.join(used.select("app", F.col("entities").alias("e"), F.col("bytes").alias("b")), "app", "left").join(tiers.select("app", "max_entities", "max_bytes"), "app", "left")
-    d = d.withColumns({"n": F.coalesce("e", F.lit(0)) + F.count("*").over(w), "total": F.coalesce("b", F.lit(0)) + F.sum("bytes").over(w)})
-    reject = F.when(F.col("n") > F.col("max_entities"), "entities").when(F.col("total") > F.col("max_bytes"), "storage")
-    return d.withColumn("reject", reject).drop("e", "b", "n", "total", "max_entities", "max_bytes")
+    """requests (app, order, bytes) with reject: entities or storage that the app's usage and its requests admitted before leave no room for."""
+    d = requests.join(used.select("app", F.col("entities").alias("__e"), F.col("bytes").alias("__b")), "app", "left").join(tiers.select("app", F.col("max_entities").alias("__n"), F.col("max_bytes").alias("__t")), "app", "left")
+
+    def step(state: tuple, r: dict) -> tuple:
+        n, total = state
+        size = r["bytes"] or 0
+        reject = "entities" if r["__n"] is not None and n + 1 > r["__n"] else "storage" if r["__t"] is not None and total + size > r["__t"] else None
+        return (state if reject else (n + 1, total + size)), reject
+
+    return fold_in_order(d, "app", ["order"], lambda r: (r["__e"] or 0, r["__b"] or 0), step, "reject string").drop("__e", "__b", "__n", "__t")
 
 
 def admit(requests: DataFrame, rate: Column, burst: float = 2.0) -> DataFrame:
     """requests (key, at in microseconds, id) with admitted, by a token bucket for each key: burst times the rate to begin with, filled all the time.
 
-    rate: requests a second; null admits all. A key's requests are folded in order inside one row.
+    rate: requests a second; null admits all.
     """
-    g = requests.withColumn("rate", rate.cast("double")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("r"), F.max("rate").alias("rate"))
-    start = F.struct((F.col("rate") * burst).alias("tokens"), F.get("r", F.lit(0))["at"].alias("at"), F.array().cast("array<struct<id:bigint,admitted:boolean>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        level = F.least(F.col("rate") * burst, acc.tokens + (x["at"] - acc["at"]) / 1e6 * F.col("rate"))
-        ok = F.coalesce(level >= 1.0, F.lit(True))
-        one = F.array(F.struct(x["id"].alias("id"), ok.alias("admitted")))
-        return F.struct((level - F.when(ok, 1.0).otherwise(0.0)).alias("tokens"), x["at"].alias("at"), F.concat(acc.out, one).alias("out"))
+    def step(state: tuple, r: dict) -> tuple:
+        tokens, at = state
+        if r["__rate"] is None:
+            return state, True
+        level = min(r["__rate"] * burst, tokens + (r["at"] - at) / 1e6 * r["__rate"])
+        return (level - (1.0 if level >= 1.0 else 0.0), r["at"]), level >= 1.0
 
-    return g.select("key", F.explode(F.aggregate("r", start, step).out).alias("o")).select("key", "o.*")
+    d = requests.select("key", "id", "at", rate.cast("double").alias("__rate"))
+    return fold_in_order(d, "key", ["at", "id"], lambda r: ((r["__rate"] or 0.0) * burst, r["at"]), step, "admitted boolean").select("key", "id", "admitted")
 
 
 def cap_rows(result: DataFrame, tiers: DataFrame, app: str) -> DataFrame:

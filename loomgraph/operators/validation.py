@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import is_hex_color, is_pascal_case, is_snake_case
 
-#: Names that declarations may not take.
-RESERVED_FIELDS = ["id", "_type", "_owner", "_version", "_created_at", "_modified_at", "_deleted", "_deleted_at"]
-RESERVED_NAMESPACES = ["system", "shared"]
+#: Names that declarations may not take; a namespace that nobody and one that only first parties may declare in.
+RESERVED_FIELDS = ["id", "_version", "_owner", "_created_at", "_modified_at", "_deleted", "_deleted_at", "_pending_delete"]
+RESERVED_ENTITIES = ["File", "App", "Session", "Project", "UserAction", "Notification", "Person", "Organization", "Event", "Location", "Tag", "Entity", "Node", "Edge", "Relation", "Schema"]
+CLOSED_NAMESPACE, SHARED_NAMESPACE = "system", "shared"
+#: Fixed values of project configurations: states, issue trackers, scopes of context, what is left out of a project's files.
+STATES = ["active", "archived"]
+PROVIDERS = ["github-issues", "gitlab-issues", "openproject", "plane", "jira"]
+CONTEXT_SCOPES = ["minimal", "project", "time-scoped"]
+EXCLUDED = ["node_modules", "target", ".git", "dist", "build", "__pycache__", "*.pyc", ".next", "vendor"]
 
 
 def fits(kind: Column, is_null: Column, required: Column, value: Column, declared: Column) -> Column:
@@ -55,11 +61,11 @@ def validate(rows: DataFrame, fields: DataFrame, update: bool = False) -> DataFr
     return every.groupBy("id").agg(F.min(F.struct("rank", "field", "problem")).alias("m")).select("id", "m.problem", "m.field")
 
 
-def lint(declarations: DataFrame, first_party: list[str], reserved_entities: list[str]) -> DataFrame:
-    """(namespace, entity, field, problem) of declarations that break the naming rules; first-party owners may use reserved namespaces."""
+def lint(declarations: DataFrame, first_party: list[str], reserved_entities: list[str] = RESERVED_ENTITIES) -> DataFrame:
+    """(namespace, entity, field, problem) of declarations that break the naming rules; first-party owners may use the shared namespace, nobody the closed one."""
     c = F.col
     rules = [
-        (c("namespace").isin(RESERVED_NAMESPACES) & ~c("owner").isin(first_party), "reserved_namespace"),
+        ((c("namespace") == CLOSED_NAMESPACE) | ((c("namespace") == SHARED_NAMESPACE) & ~c("owner").isin(first_party)), "reserved_namespace"),
         (c("entity").isin(reserved_entities), "reserved_entity"),
         (~is_pascal_case(c("entity")), "entity_case"),
         (c("field").isin(RESERVED_FIELDS), "reserved_field"),
@@ -103,10 +109,10 @@ def check_config(configs: DataFrame) -> DataFrame:
     """configs with problem: the first rule that a project's configuration breaks, else null."""
     rules = [
         (F.length(F.trim(F.coalesce("name", F.lit("")))) == 0, "name"),
-        (F.col("status").isNotNull() & ~F.col("status").isin("active", "archived"), "status"),
+        (F.col("status").isNotNull() & ~F.col("status").isin(STATES), "status"),
         (F.col("accent_color").isNotNull() & ~is_hex_color(F.col("accent_color")), "accent_color"),
-        (F.col("provider").isNotNull() & ~F.col("provider").isin("github", "gitlab", "gitea", "bitbucket", "custom"), "provider"),
-        (F.col("context_scope").isNotNull() & ~F.col("context_scope").isin("project", "session", "none"), "context_scope"),
+        (F.col("provider").isNotNull() & ~F.col("provider").isin(PROVIDERS), "provider"),
+        (F.col("context_scope").isNotNull() & ~F.col("context_scope").isin(CONTEXT_SCOPES), "context_scope"),
     ]
     out = F.lit(None).cast("string")
     for hit, name in reversed(rules):
@@ -116,9 +122,23 @@ def check_config(configs: DataFrame) -> DataFrame:
 
 def config_defaults(configs: DataFrame) -> DataFrame:
     """configs with missing settings filled in."""
-    exclude = F.array(*[F.lit(x) for x in ("node_modules", "target", ".git", "dist", "build", "__pycache__", ".venv", "*.log", "*.tmp")])
-    fill = {"id": F.uuid(), "status": F.lit("active"), "root": F.lit("."), "exclude": exclude, "branch": F.lit("main"), "context_scope": F.lit("project")}
-    return configs.withColumns({c: F.coalesce(F.col(c), v) if c in configs.columns else v for c, v in fill.items()})
+    exclude = F.array(*[F.lit(x) for x in EXCLUDED])
+    none = F.array().cast("array<string>")
+    fill = {"id": F.uuid(), "status": F.lit("active"), "root": F.lit("."), "include": none, "exclude": exclude, "context_scope": F.lit("project"), "include_files": none}
+    d = configs.withColumns({c: F.coalesce(F.col(c), v) if c in configs.columns else v for c, v in fill.items()})
+    return d.withColumns({c: F.col(c).cast("string") if c in configs.columns else F.lit(None).cast("string") for c in ("description", "created", "due")})
+
+
+def type_catalogue(declarations: DataFrame, system: list[str]) -> DataFrame:
+    """(type, fields) of all types, the system's and the declared ones (namespace, entity, field), with their numbers of fields."""
+    own = declarations.groupBy(F.concat_ws(".", "namespace", "entity").alias("type")).agg(F.countDistinct("field").alias("fields"))
+    names = own.sparkSession.createDataFrame([(f"{CLOSED_NAMESPACE}.{x}",) for x in system], "type string")
+    return own.unionByName(names.withColumn("fields", F.lit(0).cast("bigint")).join(own, "type", "left_anti"))
+
+
+def types_known(wanted: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """wanted (type, ...) with known: whether the catalogue has the type."""
+    return wanted.join(catalogue.select("type").distinct().withColumn("known", F.lit(True)), "type", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
 def integrity(issues: dict[str, DataFrame]) -> DataFrame:

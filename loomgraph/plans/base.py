@@ -51,13 +51,13 @@ ACTIVE = "S AS (SELECT DISTINCT app AS src_id, session_id AS dst_id FROM W)"
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Projects whose root paths are nested as text: /k/1 to /k/9 and every fifth up to /k/95, made of what the log holds."""
-    k = activity(spark, sf_dir).select("k").distinct().where("(k between 1 and 9) or (k between 10 and 95 and k % 5 = 0)")
+    """Projects whose root paths are nested as text, /k/1 and /k/12 and so on: one for each k above 0 that the log holds."""
+    k = activity(spark, sf_dir).select("k").distinct().where("k > 0")
     pid = F.concat(F.lit("p"), F.lpad(F.col("k").cast("string"), 3, "0"))
     return k.select(pid.alias("project_id"), F.concat(F.lit("/k/"), F.col("k").cast("string")).alias("root_path"), (F.col("k") % 2 == 0).alias("inferred"), "k")
 
 
-ROOTS = "R AS (SELECT DISTINCT 'p' || printf('%03d', k) AS project_id, '/k/' || k AS root_path, k % 2 = 0 AS inferred, k FROM E WHERE k BETWEEN 1 AND 9 OR (k BETWEEN 10 AND 95 AND k % 5 = 0))"
+ROOTS = "R AS (SELECT DISTINCT 'p' || printf('%03d', k) AS project_id, '/k/' || k AS root_path, k % 2 = 0 AS inferred, k FROM E WHERE k > 0)"
 NEAREST = """N AS (SELECT path, project_id, root_path FROM (SELECT p.path, R.project_id, R.root_path, row_number() OVER (PARTITION BY p.path ORDER BY length(R.root_path) DESC) AS n FROM (SELECT DISTINCT path FROM F) p JOIN R ON starts_with(p.path, R.root_path)) WHERE n = 1)"""
 PART_OF = "L AS (SELECT F.id AS src_id, N.project_id AS dst_id FROM F JOIN N ON F.path = N.path WHERE F.path <> '')"
 

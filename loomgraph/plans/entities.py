@@ -208,20 +208,23 @@ def import_counts(spark, sf):  # noqa: ANN001, ANN201
 
 # Names that lie close together: suppliers' and customers' numbers, shortened. Every 4th has no email, so that names decide.
 CONTACTS = """T AS (SELECT id, email, name FROM (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 <> 0 THEN 'm' || (s_suppkey % 30) || '@x' END AS email, s_name || '-' || (s_nationkey % 5) AS name FROM supplier
- UNION ALL SELECT 1000000 + c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 'm' || (c_custkey % 30) || '@x' END, 'Supplier#' || right(c_name, 9) || '-' || (c_nationkey % 5) FROM customer WHERE c_custkey < (SELECT count(*) FROM supplier)))"""
+ UNION ALL SELECT 1000000 + c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 'm' || (c_custkey % 30) || '@x' END, 'Supplier#' || right(c_name, 9) || '-' || (c_nationkey % 5) FROM customer))"""
 SET = "list_distinct(list_filter(string_split(lower({0}), ''), lambda z: z <> ''))"
 JACCARD = f"CASE WHEN {{a}} = {{b}} THEN 1.0 WHEN lower({{a}}) = lower({{b}}) THEN 0.95 ELSE len(list_intersect({SET.format('{a}')}, {SET.format('{b}')})) / len(list_distinct(list_concat({SET.format('{a}')}, {SET.format('{b}')}))) END"
-PAIRS = f"""J AS (SELECT x.id AS source_id, y.id AS target_id, x.email IS NOT NULL AND y.email IS NOT NULL AS paired, coalesce(x.email = y.email, FALSE) AS same, {JACCARD.format(a="lower(x.name)", b="lower(y.name)")} AS s FROM T x JOIN T y ON x.id < y.id),
+PAIRS = f"""S AS (SELECT *, list_sort({SET.format("name")}) AS c FROM T), CL AS (SELECT c, min(id) AS first, min(id) FILTER (WHERE email IS NULL) AS lacking FROM S GROUP BY c),
+ NR AS (SELECT x.first AS fx, x.lacking AS lx, y.first AS fy, y.lacking AS ly FROM CL x JOIN CL y ON x.c < y.c AND (x.lacking IS NOT NULL OR y.lacking IS NOT NULL) AND len(list_intersect(x.c, y.c)) >= 0.85 * (len(x.c) + len(y.c) - len(list_intersect(x.c, y.c)))),
+ PR AS (SELECT min(id) OVER (PARTITION BY email) AS a, id AS b FROM T WHERE email IS NOT NULL UNION SELECT CL.first, S.id FROM S JOIN CL USING (c) WHERE S.email IS NULL OR CL.first = CL.lacking
+ UNION SELECT least(i, j), greatest(i, j) FROM (SELECT coalesce(lx, fx) AS i, CASE WHEN lx IS NOT NULL THEN fy ELSE ly END AS j FROM NR)),
+ J AS (SELECT x.id AS source_id, y.id AS target_id, x.email IS NOT NULL AND y.email IS NOT NULL AS paired, coalesce(x.email = y.email, FALSE) AS same, {JACCARD.format(a="lower(x.name)", b="lower(y.name)")} AS s FROM PR JOIN T x ON x.id = a JOIN T y ON y.id = b WHERE a < b),
  D AS (SELECT source_id, target_id, (CASE WHEN same THEN 1.0 ELSE 0.0 END + CASE WHEN s >= 0.85 THEN s ELSE 0.0 END) / (CASE WHEN paired THEN 2 ELSE 1 END) AS score, CASE WHEN same THEN CASE WHEN s >= 0.85 THEN 'email,name' ELSE 'email' END ELSE CASE WHEN s >= 0.85 THEN 'name' ELSE '' END END AS matched FROM J)"""
 
 
 def _contacts(spark, sf):  # noqa: ANN001, ANN202
     s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
-    n = s.count()
     mail = lambda k: F.when(k % 4 != 0, F.concat(F.lit("m"), (k % 30).cast("string"), F.lit("@x"))).alias("email")
     a = s.select(F.col("s_suppkey").alias("id"), mail(F.col("s_suppkey")), F.concat("s_name", F.lit("-"), (F.col("s_nationkey") % 5).cast("string")).alias("name"))
     k = F.col("c_custkey")
-    b = c.where(k < n).select((k + 1000000).alias("id"), mail(k), F.concat(F.lit("Supplier#"), F.right("c_name", F.lit(9)), F.lit("-"), (F.col("c_nationkey") % 5).cast("string")).alias("name"))
+    b = c.select((k + 1000000).alias("id"), mail(k), F.concat(F.lit("Supplier#"), F.right("c_name", F.lit(9)), F.lit("-"), (F.col("c_nationkey") % 5).cast("string")).alias("name"))
     return a.unionByName(b)
 
 
@@ -312,15 +315,15 @@ def migration_rejects(spark, sf):  # noqa: ANN001, ANN201
     return migrate.rejected(p, [{"op": "change_type", "field": "p_size", "type": "string", "transform": "to_string"}, {"op": "change_type", "field": "p_type", "type": "int", "transform": "parse_int"}])
 
 
-@query("""WITH RECURSIVE S AS (SELECT DISTINCT n_nationkey AS a, n_nationkey + CASE WHEN n_nationkey % 5 = 0 THEN 5 ELSE 1 END AS b FROM nation)
-, W AS (SELECT 0 AS at_, [0] AS way UNION ALL SELECT b, list_append(way, b) FROM W JOIN S ON at_ = a WHERE b <= 20), T AS (SELECT way FROM W WHERE at_ = 20 ORDER BY len(way), way LIMIT 1)
- SELECT i AS n, 'v' || printf('%02d', way[i]) AS from_version, 'v' || printf('%02d', way[i + 1]) AS to_version FROM (SELECT way, unnest(generate_series(1, len(way) - 1)) AS i FROM T)""")
+@query("""WITH RECURSIVE S AS (SELECT DISTINCT p_partkey AS a, p_partkey + CASE WHEN p_partkey % 5 = 0 THEN 5 ELSE 1 END AS b FROM part)
+, W AS (SELECT 1 AS at_, [1] AS way UNION ALL SELECT b, list_append(way, b) FROM W JOIN S ON at_ = a WHERE b <= 40), T AS (SELECT way FROM W WHERE at_ = 40 ORDER BY len(way), way LIMIT 1)
+ SELECT i AS n, 'v' || way[i] AS from_version, 'v' || way[i + 1] AS to_version FROM (SELECT way, unnest(generate_series(1, len(way) - 1)) AS i FROM T)""")
 def migration_chain(spark, sf):  # noqa: ANN001, ANN201
     ensure(spark)
-    n = F.col("n_nationkey")
-    v = lambda c: F.concat(F.lit("v"), F.lpad(c.cast("string"), 2, "0"))
-    steps = table(spark, sf, "nation").select(v(n).alias("from_version"), v(n + F.when(n % 5 == 0, 5).otherwise(1)).alias("to_version")).distinct()
-    return migrate.chain(steps, "v00", "v20").select(F.col("n").cast("bigint").alias("n"), "from_version", "to_version")
+    n = F.col("p_partkey")
+    v = lambda c: F.concat(F.lit("v"), c.cast("string"))
+    steps = table(spark, sf, "part").select(v(n).alias("from_version"), v(n + F.when(n % 5 == 0, 5).otherwise(1)).alias("to_version")).distinct()
+    return migrate.chain(steps, "v1", "v40").select(F.col("n").cast("bigint").alias("n"), "from_version", "to_version")
 
 
 GRANTS = "Q AS (SELECT DISTINCT 'app' || n_regionkey AS app, CASE WHEN n_nationkey % 3 = 0 THEN 'org.n' || n_nationkey || '.*' ELSE 'org.n' || n_nationkey || '.Card' END AS pattern, CASE WHEN n_nationkey % 2 = 0 THEN 'all' ELSE 'own' END AS scope FROM nation)"
@@ -358,12 +361,12 @@ def masked_person(spark, sf):  # noqa: ANN001, ANN201
     return access.mask(c, "Person", access.first_party(F.col("c_mktsegment"), ["MACHINERY"], "BUILD")).drop("c_mktsegment")
 
 
-@query("""WITH G AS (SELECT 'app' || n_regionkey AS app, 'read' AS kind, CASE n_nationkey % 4 WHEN 0 THEN 'system.File' WHEN 3 THEN 'com.anki.*' ELSE 'system.File' END AS type, CASE n_nationkey % 4 WHEN 1 THEN 'path' WHEN 2 THEN 'name' END AS field FROM nation)
+@query("""WITH G AS (SELECT 'app' || c_custkey % 200 AS app, 'read' AS kind, CASE c_custkey % 4 WHEN 3 THEN 'com.anki.*' ELSE 'system.N' || c_nationkey END AS type, CASE c_custkey % 4 WHEN 1 THEN 'path' WHEN 2 THEN 'name' END AS field FROM customer)
  SELECT app, kind, type, CASE WHEN bool_or(field IS NULL) THEN NULL ELSE list_sort(list_distinct(list(field) FILTER (WHERE field IS NOT NULL))) END AS fields FROM G GROUP BY 1, 2, 3""")
 def grants_normalised(spark, sf):  # noqa: ANN001, ANN201
-    k = F.col("n_nationkey") % 4
-    entry = F.when(k == 0, "system.File").when(k == 1, "system.File.path").when(k == 2, "system.File.name").otherwise("com.anki.*")
-    return access.normalise_grants(table(spark, sf, "nation").select(F.concat(F.lit("app"), F.col("n_regionkey").cast("string")).alias("app"), F.lit("read").alias("kind"), entry.alias("entry")))
+    k = F.col("c_custkey") % 4
+    entry = F.when(k == 3, "com.anki.*").otherwise(F.concat(F.lit("system.N"), F.col("c_nationkey").cast("string"), F.when(k == 1, ".path").when(k == 2, ".name").otherwise("")))
+    return access.normalise_grants(table(spark, sf, "customer").select(F.concat(F.lit("app"), (F.col("c_custkey") % 200).cast("string")).alias("app"), F.lit("read").alias("kind"), entry.alias("entry")))
 
 
 @query("SELECT o_orderkey AS id, o_orderstatus = 'F' AND o_orderpriority LIKE '1%' AS allowed FROM orders")
@@ -388,22 +391,30 @@ def quota_usage(spark, sf):  # noqa: ANN001, ANN201
     return _usage(spark, sf)
 
 
-@query(sql(USAGE, "A2 AS (SELECT o_custkey % 50 AS app, o_orderkey AS ord, CAST(floor(o_totalprice) AS BIGINT) AS b FROM orders WHERE o_orderpriority LIKE '1%')",
-           "B2 AS (SELECT A2.*, coalesce(U.entities, 0) + count(*) OVER w AS n, coalesce(U.bytes, 0) + sum(A2.b) OVER w AS total FROM A2 LEFT JOIN U USING (app) WINDOW w AS (PARTITION BY A2.app ORDER BY ord))",
-           select="SELECT app, ord, CASE WHEN n > 60 THEN 'entities' WHEN total > 20000000 THEN 'storage' END AS reject FROM B2"))
+@query("WITH RECURSIVE " + USAGE + """, A2 AS (SELECT o_custkey % 50 AS app, o_orderkey AS ord, CAST(floor(o_totalprice) AS BIGINT) AS b, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS i FROM orders),
+ M AS (SELECT app, CAST(entities AS BIGINT) + 60 AS max_n, CAST(bytes AS BIGINT) + 9000000 AS max_b FROM U),
+ B2 AS (SELECT A2.app, ord, i, CASE WHEN U.entities + 1 > max_n THEN 'entities' WHEN U.bytes + b > max_b THEN 'storage' END AS reject, CAST(U.entities + CASE WHEN U.entities + 1 > max_n OR U.bytes + b > max_b THEN 0 ELSE 1 END AS BIGINT) AS n, CAST(U.bytes + CASE WHEN U.entities + 1 > max_n OR U.bytes + b > max_b THEN 0 ELSE b END AS BIGINT) AS t FROM A2 JOIN U USING (app) JOIN M USING (app) WHERE i = 1
+ UNION ALL SELECT A2.app, A2.ord, A2.i, CASE WHEN n + 1 > max_n THEN 'entities' WHEN t + b > max_b THEN 'storage' END, CAST(n + CASE WHEN n + 1 > max_n OR t + b > max_b THEN 0 ELSE 1 END AS BIGINT), CAST(t + CASE WHEN n + 1 > max_n OR t + b > max_b THEN 0 ELSE b END AS BIGINT) FROM B2 JOIN A2 ON A2.app = B2.app AND A2.i = B2.i + 1 JOIN M ON M.app = A2.app)
+ SELECT app, ord, reject FROM B2""")
 def quota_reject(spark, sf):  # noqa: ANN001, ANN201
-    o = table(spark, sf, "orders").where("o_orderpriority like '1%'")
-    r = o.select((F.col("o_custkey") % 50).alias("app"), F.col("o_orderkey").alias("order"), F.floor("o_totalprice").alias("bytes"))
-    limits = r.select("app").distinct().select("app", F.lit(60).alias("max_entities"), F.lit(20_000_000).alias("max_bytes"))
-    return quota.check_requests(r, _usage(spark, sf), limits).select("app", F.col("order").alias("ord"), "reject")
+    r = table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("app"), F.col("o_orderkey").alias("order"), F.floor("o_totalprice").alias("bytes"))
+    used = _usage(spark, sf)
+    limits = used.select("app", (F.col("entities") + 60).alias("max_entities"), (F.col("bytes") + 9_000_000).alias("max_bytes"))
+    return quota.check_requests(r, used, limits).select("app", F.col("order").alias("ord"), "reject")
 
 
-@query("""SELECT DISTINCT 'app.' || lower(c_mktsegment) || '.' || c_nationkey AS app, CASE WHEN c_mktsegment = 'MACHINERY' AND c_nationkey = 1 THEN 'system' WHEN c_mktsegment = 'BUILDING' THEN 'first_party' ELSE 'third_party' END AS tier,
- CASE WHEN c_nationkey = 7 THEN 5 WHEN c_mktsegment = 'MACHINERY' AND c_nationkey = 1 THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 1000000 ELSE 100000 END AS max_entities, CASE WHEN c_mktsegment = 'MACHINERY' AND c_nationkey = 1 THEN 100000 WHEN c_mktsegment = 'BUILDING' THEN 50000 ELSE 10000 END AS max_rows FROM customer""")
+APPS = """AP AS (SELECT DISTINCT CASE WHEN c_mktsegment = 'MACHINERY' THEN 'system' || CASE WHEN c_nationkey = 1 THEN '' ELSE '.n' || c_nationkey END WHEN c_mktsegment = 'HOUSEHOLD' THEN 'systems.n' || c_nationkey ELSE 'app.' || lower(c_mktsegment) || '.' || c_nationkey END AS app, c_nationkey AS nation FROM customer)"""
+
+
+@query(sql(APPS, "TI AS (SELECT app, nation, CASE WHEN app = 'system' OR starts_with(app, 'system.') THEN 'system' WHEN app = 'app.furniture.3' OR starts_with(app, 'app.building.') THEN 'first_party' ELSE 'third_party' END AS tier FROM AP)",
+           select="""SELECT app, tier, CASE WHEN nation = 7 THEN 5 WHEN tier = 'first_party' THEN 500000 WHEN tier = 'third_party' THEN 100000 END AS max_entities, CASE WHEN nation = 7 THEN NULL WHEN tier = 'first_party' THEN 2147483648 WHEN tier = 'third_party' THEN 524288000 END AS max_bytes,
+ CASE WHEN nation = 7 THEN NULL WHEN tier = 'system' THEN 100000 WHEN tier = 'first_party' THEN 50000 ELSE 10000 END AS max_rows, CASE WHEN nation = 7 THEN NULL WHEN tier = 'first_party' THEN 1000 WHEN tier = 'third_party' THEN 100 END AS query_rate, CASE WHEN nation = 7 THEN 9 WHEN tier = 'first_party' THEN 500 WHEN tier = 'third_party' THEN 50 END AS write_rate FROM TI"""))
 def tier_assign(spark, sf):  # noqa: ANN001, ANN201
-    a = table(spark, sf, "customer").select(F.concat_ws(".", F.lit("app"), F.lower("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("app"), "c_nationkey").distinct()
-    over = a.where("c_nationkey = 7").select("app", F.lit(5).cast("bigint").alias("max_entities"))
-    return quota.assign_tiers(a.drop("c_nationkey"), over, ["app.machinery.1"], [], "app.building").select("app", "tier", "max_entities", "max_rows")
+    n, seg = F.col("c_nationkey"), F.col("c_mktsegment")
+    app = F.when(seg == "MACHINERY", F.when(n == 1, "system").otherwise(F.concat(F.lit("system.n"), n.cast("string")))).when(seg == "HOUSEHOLD", F.concat(F.lit("systems.n"), n.cast("string"))).otherwise(F.concat_ws(".", F.lit("app"), F.lower(seg), n.cast("string")))
+    a = table(spark, sf, "customer").select(app.alias("app"), n.alias("nation")).distinct()
+    over = a.where("nation = 7").select("app", F.lit(5).alias("max_entities"), F.lit(9).alias("write_rate"))
+    return quota.assign_tiers(a.drop("nation"), over, ["app.furniture.3"], "app.building.").select("app", "tier", *quota.LIMITS)
 
 
 @query("""WITH RECURSIVE Q AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) // 20000 AS tick, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 20000, event_id) AS n FROM events),
@@ -415,21 +426,33 @@ def rate_admission(spark, sf):  # noqa: ANN001, ANN201
     return quota.admit(e, F.lit(1.5))
 
 
-LISTED = """LS AS (SELECT DISTINCT '/w/' || (k % 20) || CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN '/sub' ELSE '/sub/deep/er/more' END AS dir, k FROM E WHERE k > 0)"""
+#: What a listing holds for each k: file name, whether it is a directory, its content (null: none), signal, confidence, name (null: the directory's, '-': no name, so no signal).
+SIGNS = [
+    (".project", False, '[project]\nname = "Work"', "explicit", 100, "Work"), (".project", False, '[project]\nname = "x"\n[tracker]\nprovider = "github"\nurl = "u"', "explicit", 100, None), (".project", False, '[project]\nname = "T"\n[tracker]\nprovider = "github-issues"\nurl = "u"', "explicit", 100, "T"),
+    (".git", True, None, "git", 90, None), (".git", False, "gitdir: /elsewhere", "git", 90, None), (".git", True, '[remote "origin"]\n url = https://host/team/tool.git', "git", 90, "tool"),
+    ("Cargo.toml", False, '[package]\nname = "crate"', "cargo", 80, "crate"), ("Cargo.toml", False, "[workspace]", "cargo", 80, "-"), ("package.json", False, '{"name": "pkg"}', "npm", 80, "pkg"), ("package.json", False, '{"name": ""}', "npm", 80, "-"),
+    ("pyproject.toml", False, '[tool.poetry]\nname = "poem"', "python", 80, "poem"), ("go.mod", False, "module host/a/mod\n\ngo 1.2", "go", 80, "mod"), ("go.mod", False, "// first\nmodule host/a/mod", "go", 80, "-"), ("Big.sln", False, None, "dotnet", 80, "Big"),
+    ("pom.xml", False, "<project>\n<artifactId> art </artifactId></project>", "maven", 80, "art"), ("build.gradle.kts", False, None, "gradle", 70, None), (".idea", True, None, "idea", 70, None), (".idea", False, None, None, 0, None), (".vscode", True, None, "vscode", 60, None),
+    ("Makefile", False, None, "make", 50, None), ("makefile", False, None, "make", 50, None), ("README", False, None, None, 0, None),
+]
+#: Directories below a root in which the signs stand; hidden and junk ones and too deep ones hold no projects.
+PLACES = ["", "/sub", "/vendor", "/venv", "/sub/deep/er/more", "/.hidden", "/node_modules/x", "/target", "/__pycache__", "/.cache", "/a/b"]
+_text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+LISTED = "SG(i, signal, confidence, nm) AS (VALUES " + ", ".join(f"({i}, {_text(x[3])}, {x[4]}, {_text(x[5])})" for i, x in enumerate(SIGNS)) + "), PL(j, place) AS (VALUES " + ", ".join(f"({j}, '{x}')" for j, x in enumerate(PLACES)) + f"""),
+ LS AS (SELECT DISTINCT '/w/' || (k % 50) || place AS dir, i, signal, confidence, nm FROM E JOIN SG ON k % {len(SIGNS)} = i JOIN PL ON k % {len(PLACES)} = j WHERE k > 0)"""
 
 
 def _listing(spark, sf):  # noqa: ANN001, ANN202
     k = F.col("k")
-    e = activity(spark, sf).select("k").distinct().where("k > 0")
-    under = F.when(k % 4 == 0, "").when(k % 4 == 1, "/sub").otherwise("/sub/deep/er/more")
-    d = e.select(F.concat(F.lit("/w/"), (k % 20).cast("string"), under).alias("dir"), "k")
-    name = F.when(k % 6 == 0, ".project").when(k % 6 == 1, ".git").when(k % 6 == 2, "Makefile").when(k % 6 == 3, "package.json").when(k % 6 == 4, ".idea").otherwise("README")
-    content = F.when((k % 6 == 3) & (k % 5 != 0), F.concat(F.lit('{"name": "pkg'), (k % 5).cast("string"), F.lit('"}')))
-    return d.groupBy(F.concat_ws("/", "dir", name).alias("path"), name.isin(".git", ".idea").alias("is_dir")).agg(F.max(content).alias("content"))
+    d = activity(spark, sf).select("k").distinct().where("k > 0")
+    sign = F.get(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(dir_).alias("is_dir"), F.lit(c).cast("string").alias("content")) for n, dir_, c, *_ in SIGNS]), (k % len(SIGNS)).cast("int"))
+    place = F.get(F.array(*[F.lit(x) for x in PLACES]), (k % len(PLACES)).cast("int"))
+    d = d.select(F.concat(F.lit("/w/"), (k % 50).cast("string"), place).alias("dir"), sign.alias("s"))
+    return d.select(F.concat_ws("/", "dir", "s.name").alias("path"), "s.is_dir", "s.content").distinct()
 
 
-DETECT = """G AS (SELECT dir, min(i) AS i, CASE WHEN min(i) = 3 THEN max(nm) END AS nm FROM (SELECT dir, CASE k % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 11 WHEN 3 THEN 3 WHEN 4 THEN 9 END AS i, CASE WHEN k % 6 = 3 THEN (SELECT max('pkg' || (b.k % 5)) FROM LS b WHERE b.dir = LS.dir AND b.k % 6 = 3 AND b.k % 5 <> 0) END AS nm FROM LS WHERE k % 6 <> 5) WHERE (i <> 3 OR nm IS NOT NULL) AND len(string_split(dir, '/')) - 1 <= 3 GROUP BY dir),
- T AS (SELECT dir AS root_path, CASE i WHEN 0 THEN 'explicit' WHEN 1 THEN 'git' WHEN 3 THEN 'npm' WHEN 9 THEN 'idea' ELSE 'make' END AS signal, CASE i WHEN 0 THEN 100 WHEN 1 THEN 90 WHEN 3 THEN 80 WHEN 9 THEN 70 ELSE 50 END AS confidence, coalesce(nm, regexp_extract(dir, '([^/]+)$', 1)) AS name FROM G)"""
+DETECT = """O1 AS (SELECT dir, signal, confidence, coalesce(nm, regexp_extract(dir, '([^/]+)$', 1)) AS name, i FROM LS WHERE signal IS NOT NULL AND coalesce(nm, '') <> '-' AND len(string_split(dir, '/')) - 1 <= 3 AND NOT regexp_matches(dir, '/(\\.[^/]*|vendor|node_modules|target|__pycache__)(/|$)')),
+ T AS (SELECT dir AS root_path, arg_min(signal, i) AS signal, arg_min(confidence, i) AS confidence, arg_min(name, i) AS name FROM O1 GROUP BY dir)"""
 OUTER = "SELECT * FROM T WHERE NOT EXISTS (SELECT 1 FROM T u WHERE starts_with(T.root_path, u.root_path || '/'))"
 
 
@@ -480,17 +503,53 @@ def project_changes(spark, sf):  # noqa: ANN001, ANN201
     return tables.changes(b, a)
 
 
-@query("""WITH D AS (SELECT CASE WHEN n_nationkey % 6 = 0 THEN 'system' ELSE 'com.app' || n_regionkey END AS namespace, CASE WHEN n_nationkey % 4 = 0 THEN 'com.first' ELSE 'com.other' END AS owner, CASE n_nationkey % 3 WHEN 0 THEN 'Card' || n_nationkey WHEN 1 THEN 'card_' || n_nationkey ELSE 'File' END AS entity, CASE n_nationkey % 5 WHEN 0 THEN '_owner' WHEN 1 THEN 'dueDate' WHEN 2 THEN NULL ELSE 'due_date' || n_nationkey END AS field FROM nation)
- SELECT namespace, entity, field, problem FROM (SELECT *, unnest(list_filter([CASE WHEN namespace = 'system' AND owner <> 'com.first' THEN 'reserved_namespace' END, CASE WHEN entity = 'File' THEN 'reserved_entity' END, CASE WHEN entity LIKE 'card%' THEN 'entity_case' END, CASE WHEN field = '_owner' THEN 'reserved_field' END, CASE WHEN field = 'dueDate' THEN 'field_case' END], lambda x: x IS NOT NULL)) AS problem FROM D)""")
+#: Every reserved entity and field, and names that are none.
+ENTITY_NAMES = [*validation.RESERVED_ENTITIES, "Card", "card_x", "Deck2"]
+FIELD_NAMES = [*validation.RESERVED_FIELDS, "_type", "due_date", "dueDate", "x1"]
+NAMESPACES = ["system", "shared", "com.app", "system.sub"]
+_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+DECLARED = f"""DC AS (SELECT {_list(NAMESPACES)}[p_partkey % {len(NAMESPACES)} + 1] AS namespace, CASE WHEN p_partkey % 3 = 0 THEN 'com.first' ELSE 'com.other' END AS owner, {_list(ENTITY_NAMES)}[p_partkey % {len(ENTITY_NAMES)} + 1] AS entity, CASE WHEN p_partkey % 31 <> 0 THEN {_list(FIELD_NAMES)}[p_partkey % {len(FIELD_NAMES)} + 1] END AS field FROM part)"""
+
+
+def _declared(spark, sf):  # noqa: ANN001, ANN202
+    k = F.col("p_partkey")
+    of = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (k % len(xs)).cast("int"))
+    return table(spark, sf, "part").select(of(NAMESPACES).alias("namespace"), F.when(k % 3 == 0, "com.first").otherwise("com.other").alias("owner"), of(ENTITY_NAMES).alias("entity"), F.when(k % 31 != 0, of(FIELD_NAMES)).alias("field"))
+
+
+@query(sql(DECLARED, select=f"""SELECT namespace, entity, field, problem FROM (SELECT *, unnest(list_filter([CASE WHEN namespace = 'system' OR namespace = 'shared' AND owner <> 'com.first' THEN 'reserved_namespace' END, CASE WHEN entity NOT IN ('Card', 'card_x', 'Deck2') THEN 'reserved_entity' END, CASE WHEN entity = 'card_x' THEN 'entity_case' END,
+ CASE WHEN field IN ({_list(validation.RESERVED_FIELDS)[1:-1]}) THEN 'reserved_field' END, CASE WHEN field IN ('dueDate', '_type') THEN 'field_case' END], lambda x: x IS NOT NULL)) AS problem FROM DC)"""))
 def schema_lint(spark, sf):  # noqa: ANN001, ANN201
-    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
-    text = k.cast("string")
-    d = n.select(
-        F.when(k % 6 == 0, "system").otherwise(F.concat(F.lit("com.app"), F.col("n_regionkey").cast("string"))).alias("namespace"), F.when(k % 4 == 0, "com.first").otherwise("com.other").alias("owner"),
-        F.when(k % 3 == 0, F.concat(F.lit("Card"), text)).when(k % 3 == 1, F.concat(F.lit("card_"), text)).otherwise("File").alias("entity"),
-        F.when(k % 5 == 0, "_owner").when(k % 5 == 1, "dueDate").when(k % 5 == 2, F.lit(None).cast("string")).otherwise(F.concat(F.lit("due_date"), text)).alias("field"),
-    )
-    return validation.lint(d, ["com.first"], ["File", "App", "Session", "Event", "Project"])
+    return validation.lint(_declared(spark, sf), ["com.first"])
+
+
+SYSTEM_TYPES = ["File", "App", "Session", "Event", "UserAction", "Summary", "Project"]
+
+
+@query(sql(DECLARED, select=f"SELECT namespace || '.' || entity AS type, count(DISTINCT field) AS fields FROM DC GROUP BY 1 UNION ALL SELECT t, 0 FROM (SELECT unnest({_list([f'system.{x}' for x in SYSTEM_TYPES])}) AS t) WHERE t NOT IN (SELECT namespace || '.' || entity FROM DC)"))
+def type_catalogue(spark, sf):  # noqa: ANN001, ANN201
+    return validation.type_catalogue(_declared(spark, sf), SYSTEM_TYPES)
+
+
+@query(sql(DECLARED, "WT AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'com.app.Card' WHEN c_custkey % 3 = 1 THEN 'system.Summary' ELSE 'com.none.N' || c_nationkey END AS type FROM customer)", select="SELECT id, type, type IN (SELECT namespace || '.' || entity FROM DC) OR type = 'system.Summary' AS known FROM WT"))
+def types_known(spark, sf):  # noqa: ANN001, ANN201
+    k = F.col("c_custkey")
+    wanted = table(spark, sf, "customer").select(k.alias("id"), F.when(k % 3 == 0, "com.app.Card").when(k % 3 == 1, "system.Summary").otherwise(F.concat(F.lit("com.none.N"), F.col("c_nationkey").cast("string"))).alias("type"))
+    return validation.types_known(wanted, validation.type_catalogue(_declared(spark, sf), SYSTEM_TYPES))
+
+
+@query("""WITH R AS (SELECT 'r' || o_orderkey AS relation, CASE WHEN o_orderstatus = 'F' THEN 'Card' ELSE 'com.b.Deck' END AS f, CASE WHEN o_orderkey % 5 = 0 THEN 'Lost' ELSE 'com.b.Deck' END AS t FROM orders)
+ SELECT relation, 'to' AS "end", t AS type FROM R WHERE t = 'Lost'""")
+def relation_ends(spark, sf):  # noqa: ANN001, ANN201
+    o = table(spark, sf, "orders")
+    r = o.select(F.lit("com.a").alias("namespace"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("relation"), F.when(F.col("o_orderstatus") == "F", "Card").otherwise("com.b.Deck").alias("from_type"), F.when(F.col("o_orderkey") % 5 == 0, "Lost").otherwise("com.b.Deck").alias("to_type"))
+    known = o.select(F.when(F.col("o_orderkey") % 2 == 0, "com.a.Card").otherwise("com.b.Deck").alias("_type")).distinct()
+    return validation.relation_ends(r, known)
+
+
+@query("SELECT DISTINCT a AS src_id, b AS dst_id FROM (SELECT l_orderkey AS a, l_suppkey AS b FROM lineitem UNION ALL SELECT l_suppkey, l_orderkey FROM lineitem)")
+def symmetric_edges(spark, sf):  # noqa: ANN001, ANN201
+    return validation.symmetric(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src_id"), F.col("l_suppkey").alias("dst_id")))
 
 
 @query("SELECT 'src' AS side, l_orderkey AS id, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 2 HAVING count(DISTINCT l_partkey) > 1 UNION ALL SELECT 'dst', l_partkey, count(DISTINCT l_orderkey) FROM lineitem GROUP BY 2 HAVING count(DISTINCT l_orderkey) > 1")
@@ -516,11 +575,82 @@ def corrupt_entities(spark, sf):  # noqa: ANN001, ANN201
     return validation.validate(rows, fields)
 
 
-@query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'name' WHEN n_nationkey % 3 = 0 THEN 'accent_color' WHEN n_nationkey % 4 = 1 THEN 'status' END AS problem FROM nation""")
+CONFIG_VALUES = {
+    "name": ["Work", "  ", None], "status": ["active", "archived", "odd", None], "accent_color": ["#aBc", "#12345", "#0a1b2c", "red", None],
+    "provider": [*validation.PROVIDERS, "github", "none", None], "context_scope": [*validation.CONTEXT_SCOPES, "session", "none", None],
+}
+CONFIGS = "CF AS (SELECT c_custkey AS id, " + ", ".join(f"[{', '.join(_text(x) for x in xs)}][(c_custkey // {d}) % {len(xs)} + 1] AS {c}" for d, (c, xs) in zip((1, 2, 5, 11, 17), CONFIG_VALUES.items(), strict=True)) + " FROM customer)"
+
+
+def _configs(spark, sf):  # noqa: ANN001, ANN202
+    k = F.col("c_custkey")
+    of = lambda d, xs: F.get(F.array(*[F.lit(x).cast("string") for x in xs]), (F.floor(k / d) % len(xs)).cast("int"))
+    return table(spark, sf, "customer").select(k.alias("id"), *[of(d, xs).alias(c) for d, (c, xs) in zip((1, 2, 5, 11, 17), CONFIG_VALUES.items(), strict=True)])
+
+
+@query(sql(CONFIGS, select="""SELECT id, CASE WHEN coalesce(trim(name), '') = '' THEN 'name' WHEN status = 'odd' THEN 'status' WHEN accent_color IN ('#12345', 'red') THEN 'accent_color' WHEN provider IN ('github', 'none') THEN 'provider' WHEN context_scope IN ('session', 'none') THEN 'context_scope' END AS problem FROM CF"""))
 def config_check(spark, sf):  # noqa: ANN001, ANN201
-    n, k = table(spark, sf, "nation"), F.col("n_nationkey")
-    d = n.select(k.alias("id"), F.when(k % 5 == 0, "  ").otherwise(F.col("n_name")).alias("name"), F.when(k % 4 == 1, F.when(k % 3 == 0, "active").otherwise("odd")).alias("status"), F.when(k % 3 == 0, "#12345").otherwise("#aBc").alias("accent_color"), F.lit("github").alias("provider"), F.lit(None).cast("string").alias("context_scope"))
-    return validation.check_config(d).select("id", "problem")
+    return validation.check_config(_configs(spark, sf)).select("id", "problem")
+
+
+@query(sql(CONFIGS, select="SELECT id, name, coalesce(status, 'active') AS status, coalesce(context_scope, 'project') AS context_scope, '.' AS root, 'node_modules|target|.git|dist|build|__pycache__|*.pyc|.next|vendor' AS exclude, 0 AS included, CASE WHEN id % 3 = 0 THEN '2024-01-02' END AS created FROM CF"))
+def config_defaults(spark, sf):  # noqa: ANN001, ANN201
+    d = validation.config_defaults(_configs(spark, sf).withColumn("created", F.when(F.col("id") % 3 == 0, F.lit("2024-01-02").cast("date"))))
+    return d.select("id", "name", "status", "context_scope", "root", F.array_join("exclude", "|").alias("exclude"), F.size("include").alias("included"), "created")
+
+
+EXECUTABLES = ["/usr/lib/acme/apps/org.n{0}/bin/run", "/home/u{0}/.local/share/acme/apps/com.n{0}/x", "/opt/acme-ai-daemon", "/usr/bin/acme-ai", "/usr/bin/acme-shell{0}", "/src/target/debug/tool{0}", "/usr/lib/acme/apps/", "/usr/bin/other{0}", ""]
+EXECUTABLE_IDS = ["org.n{0}", "com.n{0}", "ai-daemon", "ai-daemon", "system", "dev.tool{0}", None, None, None]
+
+
+@query("SELECT c_custkey AS id, replace([" + ", ".join(_text(x) for x in EXECUTABLE_IDS) + f"][c_custkey % {len(EXECUTABLES)} + 1], '{{0}}', CAST(c_nationkey AS VARCHAR)) AS app FROM customer")
+def app_ids(spark, sf):  # noqa: ANN001, ANN201
+    k = F.col("c_custkey")
+    path = F.replace(F.get(F.array(*[F.lit(x) for x in EXECUTABLES]), (k % len(EXECUTABLES)).cast("int")), F.lit("{0}"), F.col("c_nationkey").cast("string"))
+    return table(spark, sf, "customer").select(k.alias("id"), X.app_of_executable(path, "acme", development=True).alias("app"))
+
+
+@query(sql(E, ROOTS, select="SELECT project_id AS id, root_path, CASE WHEN k % 3 <> 0 THEN 'active' ELSE 'shown' END AS list FROM R WHERE k % 4 <> 0"))
+def active_projects(spark, sf):  # noqa: ANN001, ANN201
+    k = F.col("k")
+    p = roots(spark, sf).select(F.col("project_id").alias("id"), "root_path", F.when(k % 4 == 0, "archived").otherwise("active").alias("status"), (k % 3 == 0).alias("promoted"))
+    shown = projects.active_projects(p, promoted=True).withColumn("list", F.lit("shown"))
+    return projects.active_projects(p).where("not promoted").withColumn("list", F.lit("active")).unionByName(shown).select("id", "root_path", "list")
+
+
+@query(sql(E, ROOTS, select="SELECT project_id AS id, root_path, 'path' AS by FROM R WHERE k % 3 = 0 UNION ALL SELECT project_id, root_path, 'id' FROM R WHERE k % 5 = 0"))
+def project_lookup(spark, sf):  # noqa: ANN001, ANN201
+    r = roots(spark, sf)
+    p = r.select(F.col("project_id").alias("id"), "root_path")
+    by_path, by_id = r.where("k % 3 = 0").select("root_path"), r.where("k % 5 = 0").select(F.col("project_id").alias("id"))
+    return projects.lookup(p, by_path, "root_path").select("id", "root_path", F.lit("path").alias("by")).unionByName(projects.lookup(p, by_id).select("id", "root_path", F.lit("id").alias("by")))
+
+
+@query("""WITH B AS (SELECT c_custkey AS id, 'seg.' || lower(c_mktsegment) || CASE WHEN c_custkey % 13 = 0 THEN '.Odd' ELSE '.Card' END AS t, 'seg.' || lower(CASE WHEN c_custkey % 7 = 0 THEN 'OTHER' ELSE c_mktsegment END) AS app FROM customer)
+ SELECT id, CASE WHEN app LIKE '%automobile' THEN 'scope' WHEN NOT starts_with(t, app || '.') THEN 'namespace' WHEN t LIKE '%.Odd' THEN 'type' WHEN id % 5 = 0 THEN 'required' WHEN id % 4 = 0 THEN 'unknown' WHEN id % 3 = 0 THEN 'mismatch' END AS reject,
+ CASE WHEN app LIKE '%automobile' OR NOT starts_with(t, app || '.') OR t LIKE '%.Odd' THEN NULL WHEN id % 5 = 0 THEN 'title' WHEN id % 4 = 0 THEN 'extra' WHEN id % 3 = 0 THEN 'count' END AS field FROM B""")
+def create_checked(spark, sf):  # noqa: ANN001, ANN201
+    k = F.col("c_custkey")
+    kind = F.concat(F.lit("seg."), F.lower("c_mktsegment"), F.when(k % 13 == 0, ".Odd").otherwise(".Card"))
+    app = F.concat(F.lit("seg."), F.lower(F.when(k % 7 == 0, F.lit("OTHER")).otherwise(F.col("c_mktsegment"))))
+    data = F.concat(F.lit("{"), F.concat_ws(", ", F.when(k % 5 != 0, F.lit('"title": "t"')), F.when(k % 4 == 0, F.lit('"extra": 1')), F.concat(F.lit('"count": '), F.when(k % 3 == 0, "2.5").otherwise("2"))), F.lit("}"))
+    b = table(spark, sf, "customer").select(k.alias("id"), kind.alias("_type"), app.alias("app"), data.alias("data"))
+    spec = F.explode(F.array(F.struct(F.lit("title").alias("field"), F.lit("string").alias("kind"), F.lit(True).alias("required")), F.struct(F.lit("count").alias("field"), F.lit("int").alias("kind"), F.lit(False).alias("required"))))
+    fields = b.where("_type like '%.Card'").select("_type").distinct().select("_type", spec.alias("f")).select("_type", "f.*", F.lit(None).cast("string").alias("default"), F.lit(False).alias("immutable"))
+    return lifecycle.create_checked(b, b.where("app not like '%automobile'").select("app", "_type"), fields, _now()).select("id", "reject", "field")
+
+
+ASKED = "RQ AS (SELECT CASE WHEN id % 19 = 0 THEN id + 10000000 ELSE id END AS id, CASE WHEN id % 9 = 0 THEN 'OTHER' ELSE _owner END AS app FROM P)"
+SCOPED = "CASE WHEN P.id IS NULL THEN 'missing' WHEN app = 'FURNITURE' THEN 'scope' WHEN app <> 'BUILDING' AND P._owner <> app THEN 'owner' WHEN {0} THEN '{1}' END"
+
+
+@query(sql(PEOPLE, ASKED, select=f"SELECT RQ.id, 'delete' AS action, {SCOPED.format('P._deleted', 'deleted')} AS reject FROM RQ LEFT JOIN P USING (id) UNION ALL SELECT RQ.id, 'restore', {SCOPED.format('NOT P._deleted', 'not_deleted')} FROM RQ LEFT JOIN P USING (id)"))
+def trash_answers(spark, sf):  # noqa: ANN001, ANN201
+    p, i = people(spark, sf), F.col("id")
+    r = p.select(F.when(i % 19 == 0, i + 10000000).otherwise(i).alias("id"), "_type", F.when(i % 9 == 0, "OTHER").otherwise(F.col("_owner")).alias("app"))
+    scopes = r.select("app", "_type").distinct().where("app <> 'FURNITURE'").withColumn("scope", F.when(F.col("app") == "BUILDING", "all").otherwise("own"))
+    parts = [lifecycle.answers(r, p, scopes, deleted).select("id", F.lit(name).alias("action"), "reject") for name, deleted in (("delete", False), ("restore", True))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("SELECT type, count(*) AS n FROM (SELECT 'Person' AS type FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'Organization' FROM supplier WHERE s_acctbal >= 0) GROUP BY 1")
@@ -530,6 +660,12 @@ def export_manifest(spark, sf):  # noqa: ANN001, ANN201
     return export.manifest(export.select_export(a.unionByName(b))).select(F.col("_type").alias("type"), "n")
 
 
+@query("SELECT c_custkey AS id, 'Person' AS type FROM customer WHERE c_mktsegment = 'BUILDING'")
+def export_filtered(spark, sf):  # noqa: ANN001, ANN201
+    both = people(spark, sf).select("id", "_type", "_owner", "_deleted").unionByName(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("Organization").alias("_type"), F.lit("BUILDING").alias("_owner"), F.lit(False).alias("_deleted")))
+    return export.select_export(both, "BUILDING", ["Person"], include_deleted=True).select("id", F.col("_type").alias("type"))
+
+
 @query(r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, CASE WHEN regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]*)$', 1) = '' THEN regexp_extract(url, '([^/]*)$', 1) ELSE regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', 1) END AS stem, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]*)$', 1) AS ext, coalesce(nullif(regexp_replace(url, '[^A-Za-z0-9_.-]', '-', 'g'), ''), 'unnamed') AS dir, nullif(regexp_extract(regexp_replace(url, '\.git$', ''), '([^/:]+)$', 1), '') AS repo FROM pages")
 def path_helpers(spark, sf):  # noqa: ANN001, ANN201
     u = F.col("url")
@@ -561,5 +697,5 @@ def cleanup_run(spark, sf):  # noqa: ANN001, ANN201
 
 @query("SELECT o_orderkey AS id FROM orders ORDER BY id LIMIT 10000")
 def capped_result(spark, sf):  # noqa: ANN001, ANN201
-    tiers = quota.assign_tiers(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("app")).distinct(), None, [], [], "first.")
+    tiers = quota.assign_tiers(table(spark, sf, "customer").select(F.col("c_mktsegment").alias("app")).distinct(), None, [], "first.")
     return quota.cap_rows(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).orderBy("id"), tiers, "MACHINERY")

@@ -108,7 +108,7 @@ ANNOTATED = """SELECT *, CASE WHEN type = 'app.presence.clear' THEN 1 ELSE 0 END
 @query(sql(E, f"T AS ({ANNOTATED})", """G AS (SELECT *, sum(clear) OVER (PARTITION BY target_id, namespace ORDER BY "timestamp", id) AS seg FROM T)""",
            "M AS (SELECT *, max(seg) OVER (PARTITION BY target_id, namespace) AS last FROM G)",
            """H AS (SELECT target_type, target_id, namespace, arg_max(data, ("timestamp", id)) AS data, min("timestamp") AS created_at, max("timestamp") AS last_modified,
- sha1(unhex('6f0e3f529a415c1c8d3e2b7a90c4d1e8') || encode(target_type || chr(31) || target_id || chr(31) || namespace)) AS h FROM M WHERE seg = last AND clear = 0 GROUP BY 1, 2, 3)""",
+ sha1(unhex('6eed7305c4834d73a686c1734db1297e') || encode(target_type || chr(31) || target_id || chr(31) || namespace)) AS h FROM M WHERE seg = last AND clear = 0 GROUP BY 1, 2, 3)""",
            select="""SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', strpos('0123456789abcdef', substr(h, 17, 1)) % 4 + CASE WHEN strpos('0123456789abcdef', substr(h, 17, 1)) % 4 = 0 THEN 4 ELSE 0 END, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
  target_type, target_id, namespace, data, created_at, last_modified FROM H"""))
 def annotation_state(spark, sf):  # noqa: ANN001, ANN201
@@ -119,6 +119,14 @@ def annotation_state(spark, sf):  # noqa: ANN001, ANN201
     return folds.annotation_state(d)
 
 
+@query(f"SELECT id, target_id, namespace, data FROM ({SQL['annotation_state']}) WHERE target_id LIKE '/k/%7' OR (target_id LIKE '/k/%3' AND namespace = 'app3')")
+def annotation_lookup(spark, sf):  # noqa: ANN001, ANN201
+    a = annotation_state(spark, sf)
+    t = a.select("target_type", "target_id", "namespace")
+    every, one = folds.annotations_of(a, t.where("target_id like '/k/%7'").select("target_type", "target_id")), folds.annotations_of(a, t.where("target_id like '/k/%3' and namespace = 'app3'"))
+    return every.unionByName(one).select("id", "target_id", "namespace", "data")
+
+
 @query(sql(E, select="""SELECT type, CASE WHEN type = 'window.focused' THEN 'focus' WHEN type LIKE 'app.presence.%' THEN 'presence' END AS control, CASE WHEN app_id <> '' THEN app_id ELSE source END AS app, count(*) AS n FROM E GROUP BY 1, 2, 3"""))
 def route_counts(spark, sf):  # noqa: ANN001, ANN201
     d = folds.classify_control(activity(spark, sf), {"window.focused": "focus"}, {"app.presence.": "presence"})

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import folds
-from loomgraph.plans.base import FILES, OPENED, E, activity, sql
+from loomgraph.plans.base import FILES, FOCUSED, OPENED, E, activity, sql
 from loomgraph.plans.checkpoints import ensure
 from loomgraph.sources.events import decode, stream_events
 from loomgraph.streaming import streams
@@ -39,11 +40,11 @@ def _envelopes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql(E, select='SELECT id, type, "timestamp" FROM E'))
 def stream_ingest(spark, sf):  # noqa: ANN001, ANN201
-    """Events with a tenth of them sent twice, read as a stream of files: each is in the log once."""
+    """Events with a tenth of them sent twice, read as a stream of files: each is in the log once. Files come in any order, so the watermark spans them all."""
     e = _envelopes(spark, sf)
     src, log = _folder(spark, "in"), _folder(spark, "log")
     e.unionByName(e.where("cast(id as bigint) % 10 = 0")).repartitionByRange(5, "timestamp").sortWithinPartitions("timestamp").write.parquet(src)
-    streams.ingest(stream_events(spark, src, files_per_trigger=2), log, _folder(spark, "cp"), late="1 day").awaitTermination()
+    streams.ingest(stream_events(spark, src, files_per_trigger=2), log, _folder(spark, "cp"), late="60 days").awaitTermination()
     return spark.read.parquet(log).select("id", "type", "timestamp")
 
 
@@ -58,7 +59,49 @@ def stream_promote(spark, sf):  # noqa: ANN001, ANN201
         return d.groupBy("id").agg(F.max_by(F.struct("path", "app_id", "last_accessed", "ts", "event"), F.struct("ts", "event")).alias("r")).select("id", "r.*")
 
     streams.promote(stream_events(spark, src, files_per_trigger=2), fold, out, _folder(spark, "cp")).awaitTermination()
-    return streams.current_version(spark, out).select("id", "path", "app_id", "last_accessed")
+    return streams.promoted(spark, out).select("id", "path", "app_id", "last_accessed")
+
+
+GRAPH = """GR AS (SELECT 'App' AS label, app AS id, NULL AS other FROM O UNION SELECT 'App', app, NULL FROM W UNION SELECT 'Session', session_id, NULL FROM W WHERE session_id IS NOT NULL
+ UNION SELECT 'ACCESSED_BY', file, app FROM O UNION SELECT 'ACTIVE_IN', app, session_id FROM W WHERE session_id IS NOT NULL UNION SELECT 'Event', id, CAST("timestamp" AS VARCHAR) FROM E WHERE type = 'window.focused'
+ UNION SELECT 'UserAction', id, CASE type WHEN 'app.presence.set' THEN activity WHEN 'app.presence.clear' THEN 'clear' ELSE record_type END FROM E WHERE type IN ('app.presence.set', 'app.presence.clear', 'app.timeline.record'))"""
+
+
+@query(sql(E, OPENED, FOCUSED, GRAPH, select="SELECT * FROM GR"))
+def stream_graph(spark, sf):  # noqa: ANN001, ANN201
+    """Apps, sessions, window events, actions and edges promoted from one stream, batch by batch."""
+    src, out = _folder(spark, "in"), _folder(spark, "graph")
+    activity(spark, sf).repartition(4, "id").write.parquet(src)
+    at = (F.col("ts"), F.col("event"))
+    opened = lambda b: folds.opened(b).withColumnRenamed("id", "event")
+    focused = lambda b: folds.focused(b).withColumnRenamed("id", "event")
+    tables = {
+        "App": (lambda b: opened(b).select(F.col("app").alias("id"), F.col("app_name").alias("name"), *at).unionByName(focused(b).select(F.col("app").alias("id"), F.lit(None).cast("string").alias("name"), *at)), ["id"]),
+        "Session": (lambda b: focused(b).where("session_id is not null").select(F.col("session_id").alias("id"), F.col("ts").alias("started_at"), *at), ["id"]),
+        "Event": (lambda b: focused(b).select(F.col("event").alias("id"), "title", F.col("ts").alias("timestamp"), *at), ["id"]),
+        "UserAction": (lambda b: folds.user_actions(b).select("*", F.col("timestamp").alias("ts"), F.col("id").alias("event")), ["id"]),
+        "ACCESSED_BY": (lambda b: opened(b).select(F.col("file").alias("src_id"), F.col("app").alias("dst_id"), *at), ["src_id", "dst_id"]),
+        "ACTIVE_IN": (lambda b: focused(b).where("session_id is not null").select(F.col("app").alias("src_id"), F.col("session_id").alias("dst_id"), *at), ["src_id", "dst_id"]),
+    }
+    streams.promote_all(spark.readStream.schema(activity(spark, sf).schema).option("maxFilesPerTrigger", 2).parquet(src), tables, out, _folder(spark, "cp")).awaitTermination()
+    t = {name: streams.promoted(spark, f"{out}/{name}") for name in tables}
+    none = F.lit(None).cast("string")
+    parts = [
+        t["App"].select("id", none.alias("other")), t["Session"].select("id", none.alias("other")), t["Event"].select("id", F.col("timestamp").cast("string").alias("other")), t["UserAction"].select("id", F.col("action").alias("other")),
+        t["ACCESSED_BY"].select(F.col("src_id").alias("id"), F.col("dst_id").alias("other")), t["ACTIVE_IN"].select(F.col("src_id").alias("id"), F.col("dst_id").alias("other")),
+    ]
+    return reduce(DataFrame.unionByName, [d.select(F.lit(name).alias("label"), "id", "other") for name, d in zip(tables, parts, strict=True)])
+
+
+@query(sql(E, """DY AS (SELECT *, CAST(make_timestamp("timestamp") AS DATE) AS day FROM E)""", select="SELECT id FROM DY WHERE day >= (SELECT max(day) FROM DY) - INTERVAL 7 DAY"))
+def stream_retention(spark, sf):  # noqa: ANN001, ANN201
+    """The log after a retention pass over what a stream brought in."""
+    e = _envelopes(spark, sf)
+    src, log = _folder(spark, "in"), _folder(spark, "log")
+    e.repartitionByRange(3, "timestamp").write.parquet(src)
+    streams.ingest(stream_events(spark, src), log, _folder(spark, "cp"), late="1 day").awaitTermination()
+    streams.retain(stream_events(spark, src), log, 7, _folder(spark, "cp")).awaitTermination()
+    return spark.read.parquet(log).select("id")
 
 
 @query(sql(E, "B AS (SELECT id, CASE WHEN type = 'file.opened' THEN 'file.read' ELSE type END AS type, CASE WHEN type = 'file.opened' THEN 'ebpf' ELSE source END AS source, pid, \"timestamp\" FROM E)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-KINDS = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "map<string,string>": T.MapType(T.StringType(), T.StringType())}
+KINDS = {"array<string>": T.ArrayType(T.StringType()), "string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "map<string,string>": T.MapType(T.StringType(), T.StringType())}
 
 
 def _struct(spec: str) -> T.StructType:
@@ -19,7 +19,18 @@ ENVELOPE = _struct("id string, type string, timestamp bigint, source string, pid
 PAYLOADS = {
     "file.opened": _struct("path string, app_id string, flags bigint"),
     "window.focused": _struct("app_id string, window_title string, prev_app_id string"),
-    "app.presence.set": _struct("app_id string, activity string, subject string, project string, auto_clear boolean, metadata map<string,string>"),
+    "window.minimized": _struct("window_id string, app_id string, window_title string, workspace_id string"),
+    "window.unminimized": _struct("window_id string, app_id string"),
+    **dict.fromkeys(("clipboard.copy", "clipboard.paste"), _struct("source_app_id string, dest_app_id string, mime_type string, operation string")),
+    "app.action": _struct("category string, action string, subject string, metadata map<string,string>"),
+    **dict.fromkeys(("process.started", "process.exited"), _struct("event_type string, pid bigint, ppid bigint, comm string, exit_code bigint")),
+    **dict.fromkeys(("network.connect", "network.accept"), _struct("app_id string, remote_addr string, protocol string, direction string")),
+    "project.created": _struct("project_id string, name string, root_path string, inferred boolean, confidence bigint"),
+    "project.updated": _struct("project_id string, name string, description string, accent_color string, icon string, status string"),
+    "project.archived": _struct("project_id string, name string, root_path string"),
+    "focus.activated": _struct("project_id string, project_name string, root_path string, accent_color string, suppress_notifications_from array<string>"),
+    "focus.deactivated": _struct("project_id string, duration_seconds bigint"),
+    "app.presence.set": _struct("app_id string, activity string, subject string, project string, auto_clear string, metadata map<string,string>"),
     "app.presence.clear": _struct("app_id string"),
     "app.timeline.record": _struct("app_id string, label string, subject string, type string, started_at bigint, ended_at bigint, metadata map<string,string>"),
     "app.annotation.set": _struct("app_id string, namespace string, target_type string, target_id string, data_json string"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from loomgraph.operators.tables import append_absent
 
 CAPACITY = 10_000
+#: Parts by key that a promoted table is written in.
+BUCKETS = 32
 
 
 def shed(batch: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -23,48 +26,79 @@ def shed(batch: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return d.withColumn("dull", dull).orderBy("dull", "timestamp", "id").limit(capacity).drop("dull")
 
 
+def _stored(spark: SparkSession, path: str, schema: StructType, by: str) -> DataFrame:
+    """The table at path, partitioned by one column; made empty if it isn't there."""
+    spark.createDataFrame([], schema).write.mode("append").partitionBy(by).parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def ingest(events: DataFrame, log_path: str, checkpoint: str, late: str = "1 hour", trigger: dict | None = None) -> StreamingQuery:
-    """Appends each event once: a watermark drops repeats near in time, the log's keys older ones; a batch that is tried again adds nothing."""
+    """Appends each event once: a watermark drops repeats near in time, the ids of the log's touched days older ones.
+
+    A batch that is tried again finds what it wrote before in the log and adds only what is missing.
+    """
     spark = events.sparkSession
     timed = events.withColumn("ts", F.timestamp_micros("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    _stored(spark, log_path, events.schema.add("day", "date") if "day" not in events.columns else events.schema, "day")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        b = batch.drop("ts").withColumn("day", F.to_date(F.timestamp_micros("timestamp")))
+        b = batch.drop("ts").withColumn("day", F.to_date(F.timestamp_micros("timestamp"))).persist()
         days = [r[0] for r in b.select("day").distinct().collect()]
-        try:
-            old = spark.read.parquet(log_path).where(F.col("day").isin(days)).where(F.col("batch_id") != batch_id)
-        except Exception as e:  # the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = None
-        new = append_absent(old.select("id") if old is not None else None, b).withColumn("batch_id", F.lit(batch_id))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "day").parquet(log_path)
+        old = spark.read.schema(b.schema).parquet(log_path).where(F.col("day").isin(days))
+        append_absent(old.select("id"), b).write.mode("append").partitionBy("day").parquet(log_path)
+        b.unpersist()
 
     return timed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def upsert(new: DataFrame, path: str, key: list[str], buckets: int = BUCKETS) -> None:
+    """Folds rows (key, columns, ts, event) into the table at path: of each key the latest row stays. Only buckets of keys that the rows hold are read and written.
+
+    The same rows folded in again change nothing, so a batch that broke off halfway is simply tried again.
+    """
+    n = new.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in n.select("bucket").distinct().collect()]  # bounded by buckets
+    old = _stored(new.sparkSession, path, n.schema, "bucket").where(F.col("bucket").isin(touched))
+    rest = [c for c in n.columns if c not in (*key, "bucket")]
+    both = old.select(*n.columns).unionByName(n).groupBy("bucket", *key).agg(F.max_by(F.struct(*rest), F.struct("ts", "event")).alias("r")).select(*key, "r.*", "bucket")
+    both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
 def promote(events: DataFrame, fold, path: str, checkpoint: str, key: str = "id", trigger: dict | None = None) -> StreamingQuery:  # noqa: ANN001
-    """Folds each batch by `fold(batch) -> (key, columns, ts, event)` into a node table. Versions alternate: a batch reads the one before."""
-    spark = events.sparkSession
+    """Folds each batch by `fold(batch) -> (key, columns, ts, event)` into a node table."""
+    return promote_all(events, {"": (fold, [key])}, path, checkpoint, trigger)
+
+
+def promote_all(events: DataFrame, folds: dict, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Folds each batch into several node and edge tables below path: {name: (fold, key columns)}. A batch is read once for all of them."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = fold(batch)
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/v{batch_id - 1}")
-            columns = [c for c in old.columns if c not in ("ts", "event")]
-            both = old.unionByName(new)
-            out = both.groupBy(key).agg(F.max_by(F.struct(*[c for c in columns if c != key], "ts", "event"), F.struct("ts", "event")).alias("r")).select(key, "r.*")
-        else:
-            out = new
-        out.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        spark.createDataFrame([(batch_id,)], "version long").write.mode("overwrite").parquet(f"{path}/current")
+        batch.persist()
+        for name, (fold, key) in folds.items():
+            upsert(fold(batch), f"{path}/{name}".rstrip("/"), key)
+        batch.unpersist()
 
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current_version(spark, path: str) -> DataFrame:  # noqa: ANN001
-    v = spark.read.parquet(f"{path}/current").first()[0]
-    return spark.read.parquet(f"{path}/v{v}").drop("ts", "event")
+def promoted(spark: SparkSession, path: str) -> DataFrame:
+    """A table that promotion keeps."""
+    return spark.read.parquet(path).drop("ts", "event", "bucket")
+
+
+def retain(events: DataFrame, log_path: str, keep_days: int, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """After each batch of events, the log's days older than keep_days before the batch's latest event are emptied: a retention pass that writes back."""
+    spark = events.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        latest = batch.agg(F.max(F.to_date(F.timestamp_micros("timestamp")))).first()[0]
+        if latest is not None:
+            d = spark.read.parquet(log_path).where(F.col("day") < F.date_sub(F.lit(latest), keep_days))
+            log = spark.read.parquet(log_path)
+            for (day,) in d.select("day").distinct().collect():  # a row for each expired day
+                spark.createDataFrame([], log.drop("day").schema).write.mode("overwrite").parquet(f"{log_path}/day={day}")
+
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def day_counts(events: DataFrame, late: str = "1 day") -> DataFrame:

@@ -69,9 +69,9 @@ def test_folds(spark):
 
 
 def test_nearest_ancestor(spark):
-    r = spark.createDataFrame([("mono", "/home/user/mono"), ("a", "/home/user/mono/packages/app-a")], "project_id string, root_path string")
-    p = spark.createDataFrame([("/home/user/mono/packages/app-a/x.rs",), ("/home/user/mono/docs/readme.md",), ("/tmp/x",), ("/home/user/monorepo/x",), (None,)], "path string")
-    assert rows(paths.nearest_ancestor(p, r), "path", "project_id")[0] == ("/home/user/mono/docs/readme.md", "mono")
+    r = spark.createDataFrame([("mono", "/srv/tree"), ("a", "/srv/tree/parts/one")], "project_id string, root_path string")
+    p = spark.createDataFrame([("/srv/tree/parts/one/f.c",), ("/srv/tree/notes/todo.txt",), ("/var/x",), ("/srv/treetop/x",), (None,)], "path string")
+    assert rows(paths.nearest_ancestor(p, r), "path", "project_id")[0] == ("/srv/tree/notes/todo.txt", "mono")
     assert len(rows(paths.nearest_ancestor(p, r), "path")) == 3
     assert len(rows(paths.nearest_ancestor(p, r, boundary="/"), "path")) == 2
     assert rows(paths.nearest_ancestor(p, r.limit(0)), "path") == []
@@ -148,7 +148,7 @@ def test_validate_update_and_type(spark):
 
 def test_duplicates(spark):
     d = spark.createDataFrame([(1, "a@x", "Ann Lee"), (2, "a@x", "Ann Lee"), (3, None, "ann  lee"), (4, "b@x", "Zed"), (5, None, "")], "id long, email string, name string")
-    assert rows(dedup.candidates(d, "Person"), "source_id", "target_id") == [(1, 2), (1, 3), (2, 3)]
+    assert rows(dedup.candidates(d, "Person"), "source_id", "target_id") == [(1, 2), (1, 3)]
     t = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id long, name string")
     assert rows(dedup.candidates(t, "Tag"), "source_id", "target_id") == [(1, 2)]
 
@@ -170,6 +170,9 @@ def test_rate_and_usage(spark):
     r = spark.createDataFrame([("k", 0, i) for i in range(5)], "key string, at long, id long")
     assert [x[1] for x in rows(quota.admit(r, F.lit(2.0)), "id", "admitted")] == [True] * 4 + [False]
     assert all(x[0] for x in rows(quota.admit(r, F.lit(None)), "admitted"))
+    q = spark.createDataFrame([("a", i, b) for i, b in enumerate([5, 9, 3, 1, 1])], "app string, order int, bytes int")
+    used, limits = spark.createDataFrame([("a", 1, 0)], "app string, entities long, bytes long"), spark.createDataFrame([("a", 4, 10)], "app string, max_entities long, max_bytes long")
+    assert [r[1] for r in rows(quota.check_requests(q, used, limits), "order", "reject")] == [None, "storage", None, None, "entities"]
     u = spark.createDataFrame([("a", 1, 1, 500), ("a", 2, 1, 300), ("a", 3, -1, -300), ("b", 1, -1, -9)], "app string, order int, delta int, bytes int")
     assert rows(quota.usage(u), "app", "entities", "bytes") == [("a", 1, 500), ("b", 0, 0)]
 
