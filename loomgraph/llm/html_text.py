@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -84,7 +84,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     """Blocks in page order, and the elements that they stand in."""
     elements = [Element("", -1, 0)]
     blocks: list[Block] = []
-    stack, inline = [0], []
+    stack, inline, standing, heads = [0], Counter(), Counter(), []  # open elements; how many stand open by name, inside a line and else; places of open headings in the stack
     dropped: list[tuple[str, int]] = []  # open dropped elements by name, and the elements of the stack around each
     parts: list[str] = []
     linked = 0
@@ -93,16 +93,23 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
         nonlocal linked
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                tag = next((t for i in reversed(stack) if (t := elements[i].tag) in HEADINGS), "")
+                tag = elements[stack[heads[-1]]].tag if heads else ""
                 blocks.append(Block(text, stack[-1], len(text.split()), min(1.0, linked / len(text)), tag))
             parts.clear()
         linked = 0
 
+    def cut(n: int) -> None:
+        """Closes all open elements but the first n."""
+        standing.subtract(elements[i].tag for i in stack[n:])
+        del stack[n:]
+        while heads and heads[-1] >= n:
+            heads.pop()
+
     def leave(k: int) -> None:
         """Closes the k-th open dropped element, and what stands in it."""
         if len(stack) > dropped[k][1]:
             close()
-            del stack[dropped[k][1] :]
+            cut(dropped[k][1])
         del dropped[k:]
 
     def outlive() -> None:
@@ -111,12 +118,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             dropped.pop()
 
     at, size = 0, len(page)
+    last = page.rfind(">") + 1  # no tag ends after it
+    if (rest := page.find("<!--", last)) >= 0:
+        size = rest
     while at < size:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at, last) if at < last else None
         if text := page[at : m.start() if m else size]:
             if not dropped:
                 parts.append(text)
-                if "a" in inline:
+                if inline["a"]:
                     linked += len(text)
         if m is None:
             break
@@ -130,12 +140,13 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
                 if k >= 0:
                     leave(k)
             elif tag in INLINE:
-                if tag in inline:
-                    inline.remove(tag)
-            elif any(elements[i].tag == tag for i in stack):
+                inline[tag] = max(0, inline[tag] - 1)
+            elif standing[tag]:
                 close()
-                while elements[stack.pop()].tag != tag:
-                    pass
+                n = len(stack) - 1
+                while elements[stack[n]].tag != tag:
+                    n -= 1
+                cut(n)
                 outlive()
             elif tag == "p":
                 close()
@@ -156,7 +167,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
         elif tag == "br":
             parts.append(" ")
         elif tag in INLINE:
-            inline.append(tag)
+            inline[tag] += 1
         elif tag == "body":
             dropped.clear()
         elif tag in VOID:
@@ -167,14 +178,17 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
             inline.clear()
             inside = dropped and dropped[-1] == (SCOPE, len(stack))
             if tag in CLOSES_P and elements[stack[-1]].tag == "p" and not inside:
-                stack.pop()
+                cut(len(stack) - 1)
             if elements[stack[-1]].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th") and not inside:
-                stack.pop()
+                cut(len(stack) - 1)
             outlive()
             e = Element(tag, stack[-1], len(stack))
             _marks(e, tag, m[3])
             elements.append(e)
             stack.append(len(elements) - 1)
+            standing[tag] += 1
+            if tag in HEADINGS:
+                heads.append(len(stack) - 1)
             if tag in GOOD_TAGS and not e.talk:
                 i = e.parent
                 while i > 0 and not elements[i].holds:
@@ -184,20 +198,21 @@ def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
     return blocks, elements
 
 
-def log_odds(b: Block, elements: list[Element]) -> float:
+def inherited(elements: list[Element]) -> list[tuple[bool, bool, bool]]:
+    """For each element whether it stands in (or is) something bad, something good, or a header that nothing good stands in between."""
+    out = [(False, False, False)]
+    for e in elements[1:]:
+        bad, good, header = out[e.parent]
+        out.append((bad or e.talk or (e.bad and not e.holds), good or e.good, (header and not e.good) or (e.tag == "header" and not e.holds)))
+    return out
+
+
+def log_odds(b: Block, marks: list[tuple[bool, bool, bool]]) -> float:
     """Of content against boilerplate."""
     z = BIAS + WORDS * math.log2(1 + b.words) - LINKS * b.links + (SHORT if b.words < 4 else 0.0)
     z += SENTENCE if b.text[-1] in ".!?…\"'»”)" else 0.0
-    good = bad = header = False
-    i = b.element
-    while i > 0:
-        e = elements[i]
-        bad |= e.talk or (e.bad and not e.holds)
-        header |= e.tag == "header" and not (good or e.holds)
-        good |= e.good
-        i = e.parent
-    title = b.heading in ("h1", "h2")
-    if bad or (header and not (good and title)):
+    bad, good, header = marks[b.element]
+    if bad or (header and not (good and b.heading in ("h1", "h2"))):
         return z + BAD
     return z + (GOOD if good else 0.0) + (TITLE if b.heading else 0.0)
 
@@ -287,7 +302,8 @@ def main_text(page: str | None) -> str:
     blocks, elements = blocks_of(page)
     if not blocks:
         return ""
-    keep = min_cut([log_odds(b, elements) for b in blocks], edges_of(blocks, elements))
+    marks = inherited(elements)
+    keep = min_cut([log_odds(b, marks) for b in blocks], edges_of(blocks, elements))
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
