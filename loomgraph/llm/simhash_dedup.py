@@ -1,15 +1,17 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Distinct fingerprints hang under upper nodes that share the bits of one block (of four blocks a pair within three bits agrees on
-one, so a pair meets under at least one node). Below a node fingerprints lie in Gray order, neighbours in leaves, leaves in inner
-nodes; each factors the bits that all below it share, and the search drops a pair of nodes as soon as the shared bits differ in
-more than the radius. A node with too many fingerprints is factored again by four blocks of its remaining bits, so that no task
-gets an unbounded node and no link is lost. A task returns links to representatives only, never the pairs of a group.
+Of four blocks of bits a pair within three bits agrees on one. For each block, fingerprints hang under upper nodes that share the
+first bits of that block. Below a node they lie in Gray order of the block, then of the whole, neighbours in leaves, leaves in inner
+nodes; each factors the bits that all below it share. The search goes down by pairs of nodes and drops a pair, with all below, as soon
+as the shared bits differ in the block, or in more than the radius. A node with too many fingerprints is split by more bits of its
+block and, where they agree on the whole block, by four blocks of the remaining bits: so no task gets an unbounded node and no link is
+lost. A task returns links to representatives only, never the pairs of a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -21,25 +23,26 @@ from loomgraph.llm.components import components
 from loomgraph.llm.near_copies import keep_one  # noqa: F401
 
 RADIUS, BLOCKS, WIDTH = 3, 4, 3
-#: Fingerprints under one node, above which it is factored again; over 2 ** 15, what the last level can hold at most.
-NODE = 40_000
+#: Fingerprints under one node, above which it is split; over 2 ** 15, what the last level can hold at most. Bits of a block by which nodes are split at a time.
+NODE, STEP = 40_000, 4
 LEAF, FAN = 64, 16
+KEY = ["depth", "path", "head"]
 SIGN = -(1 << 63)
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows (doc_id, text_hash, fp): 64 bits by majority of the XXH64 (seed 42) of the shingles of lower-cased whole texts.
+    """Rows (doc_id, text_hash, fp, copies): 64 bits by majority of the XXH64 (seed 42) of the shingles of lower-cased whole texts.
 
-    Null and empty texts get 0. Repeated rows become one; different texts under one doc_id stay apart. Columns but doc_id and text
-    are not read.
+    Null and empty texts get 0. Repeated rows become one with their number (their votes and their total grow alike); different texts
+    under one doc_id stay apart. Columns but doc_id and text are not read.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.length("text").alias("size"), shingles(words(F.col("text")), width).alias("s"))
-    d = d.select("doc_id", "text_hash", F.explode_outer("s").alias("s")).select("doc_id", "text_hash", "s.*")
+    d = d.select("doc_id", "text_hash", F.posexplode_outer("s").alias("pos", "s")).select("doc_id", "text_hash", F.coalesce("pos", F.lit(0)).alias("pos"), "s.*")
     h = F.when(F.col("s0").isNotNull(), F.xxhash64(F.concat_ws(" ", *[f"s{i}" for i in range(width)]))).otherwise(F.lit(0).cast("long"))
-    d = d.select("doc_id", "text_hash", h.alias("h"), F.col("s0").isNotNull().cast("long").alias("one"))
-    votes = d.groupBy("doc_id", "text_hash").agg(F.sum("one").alias("n"), *bit_votes("h"))
-    return votes.select("doc_id", "text_hash", majority("n").alias("fp"))
+    d = d.select("doc_id", "text_hash", h.alias("h"), F.col("s0").isNotNull().cast("long").alias("one"), "pos")
+    votes = d.groupBy("doc_id", "text_hash").agg(F.sum("one").alias("n"), F.count_if(F.col("pos") == 0).alias("copies"), *bit_votes("h"))
+    return votes.select("doc_id", "text_hash", majority("n").alias("fp"), "copies")
 
 
 def gray_rank(c: Column) -> Column:
@@ -49,6 +52,7 @@ def gray_rank(c: Column) -> Column:
     return c.bitwiseXOR(F.lit(SIGN))
 
 
+@cache
 def block_masks(level: int) -> list[int]:
     """For each path of that many choices of one block in four, the bits fixed along it. The blocks of a level cut what the path has left."""
     paths = [(0, list(range(64)))]
@@ -66,30 +70,37 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _under(fps: DataFrame, level: int) -> DataFrame:
-    """Each fingerprint under its nodes of a level: (fp, path, shared)."""
-    masks = F.array(*[F.lit(_signed(m)).cast("long") for m in block_masks(level)])
-    step = fps.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    step = step.withColumn("path", F.col("path") * BLOCKS + F.col("block")).drop("block")
-    return step.select("fp", "path", F.col("fp").bitwiseAND(F.get(masks, F.col("path"))).alias("shared"))
+def head_masks(bits: int) -> list[int]:
+    """The first bits of each block of the first level."""
+    width = 64 // BLOCKS
+    return [((1 << bits) - 1) << (m.bit_length() - bits) for m in block_masks(0) if width >= bits]
+
+
+def _at(masks: list[int]) -> Column:
+    """The mask of column path."""
+    return F.get(F.expr(f"array({', '.join(f'{_signed(m)}L' for m in masks)})"), F.col("path"))
 
 
 def nodes(fps: DataFrame, limit: int = NODE) -> DataFrame:
-    """Rows (fp, level, path, shared) of distinct fingerprints under nodes of at most limit members."""
-    level, rest, done = 0, fps.select("fp", F.lit(0).alias("path")), []
+    """Rows (fp, depth, path, head, block) of distinct fingerprints under nodes (depth, path, head) of at most limit members; block: the Gray rank of the bits that a pair must agree on."""
+    level, bits, rest, done = 0, STEP, None, []
     while True:
-        at = _under(rest, level)
-        crowded = at.groupBy("path", "shared").count().where(F.col("count") > limit).drop("count")
+        if level or bits == STEP:  # a new level: each fingerprint once for each block
+            step = (fps.select("fp", F.lit(0).alias("path")) if rest is None else rest).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+            rest = step.select("fp", (F.col("path") * BLOCKS + F.col("block")).alias("path"))
+        at = rest.withColumn("head", F.col("fp").bitwiseAND(_at(block_masks(level) if level else head_masks(bits))))
+        mark = lambda d, level=level, bits=bits: d.select("fp", F.lit(level * 64 + bits).alias("depth"), "path", "head", gray_rank(F.col("head") if level else F.col("fp").bitwiseAND(_at(block_masks(0)))).alias("block"))
+        crowded = at.groupBy("path", "head").count().where(F.col("count") > limit).drop("count")
         if crowded.isEmpty():
-            done.append(at.withColumn("level", F.lit(level)))
-            break
+            done.append(mark(at))
+            return reduce(DataFrame.unionByName, done)
         crowded = settle(crowded, "crowded")
-        done.append(at.join(crowded, ["path", "shared"], "left_anti").withColumn("level", F.lit(level)))
-        rest, level = at.join(crowded, ["path", "shared"], "left_semi").select("fp", "path"), level + 1
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        done.append(settle(mark(at.join(crowded, ["path", "head"], "left_anti")), "nodes"))
+        rest = settle(at.join(crowded, ["path", "head"], "left_semi").select("fp", "path"), "rest")
+        if level or bits == 64 // BLOCKS:  # below whole blocks by whole blocks
+            level, bits = level + 1, 64
+        else:
+            bits += STEP
 
 
 class _Forest:
@@ -132,9 +143,12 @@ def _children(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return a[keep], b[keep]
 
 
-def gray_links(x: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (position, position of a representative) of one node's fingerprints x, uint64 in Gray order."""
-    forest, n = _Forest(len(x)), len(x)
+def gray_links(x: np.ndarray, must: int = 0, radius: int = RADIUS, seen: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (position, position of a representative) of one node's fingerprints x, uint64 in Gray order.
+
+    Pairs that differ in the bits of must may be left out. seen: gets the numbers of pairs of nodes and of leaves that were looked at.
+    """
+    forest, n, must = _Forest(len(x)), len(x), np.uint64(must)
     forest.link(*(lambda i: (i, i + 1))(np.flatnonzero(np.bitwise_count(x[1:] ^ x[:-1]) <= radius)))
     levels = _levels(x)
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -143,10 +157,16 @@ def gray_links(x: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndar
         parts = []
         for lo in range(0, len(a), 4096):
             p, q = (a[lo : lo + 4096], b[lo : lo + 4096]) if k == len(levels) - 1 else _children(a[lo : lo + 4096], b[lo : lo + 4096], len(common))
-            parts.append((lambda keep, p=p, q=q: (p[keep], q[keep]))(np.bitwise_count((value[p] ^ value[q]) & common[p] & common[q]) <= radius))
+            differ = (value[p] ^ value[q]) & common[p] & common[q]
+            keep = (differ & must == 0) & (np.bitwise_count(differ) <= radius)
+            parts.append((p[keep], q[keep]))
+            if seen is not None:
+                seen["nodes"] = seen.get("nodes", 0) + len(p)
         a, b = (np.concatenate(v) for v in zip(*parts, strict=True))
     order = np.argsort(b - a, kind="stable")
     a, b = a[order], b[order]
+    if seen is not None:
+        seen["leaves"] = seen.get("leaves", 0) + len(a)
     span = np.arange(LEAF)
     starts = np.arange(0, n, LEAF)
     for lo in range(0, len(a), 256):
@@ -182,7 +202,7 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         x = rows["fp"].to_numpy(np.int64).view(np.uint64)
-        key = rows[["level", "path", "shared"]].to_numpy(np.int64)
+        key = rows[KEY].to_numpy(np.int64)
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
         sizes = np.diff(np.r_[first, len(x)])
         group = np.repeat(np.arange(len(first)), sizes)
@@ -191,8 +211,8 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = [(lambda at, root: (x[low][at], x[low][root]))(*_small_links(x[low], group[low], size[low], RADIUS))] if low.size else []
         for lo, n in zip(first, sizes, strict=True):
             if n > LEAF:
-                y = x[lo : lo + n]
-                found.append((lambda at, root, y=y: (y[at], y[root]))(*gray_links(y)))
+                y, (depth, path) = x[lo : lo + n], key[lo, :2].tolist()
+                found.append((lambda at, root, y=y: (y[at], y[root]))(*gray_links(y, block_masks(depth // 64)[path])))
         if found:
             a, b = (np.concatenate(v).view(np.int64) for v in zip(*found, strict=True))
             yield pd.DataFrame({"a": a, "b": b})
@@ -200,11 +220,11 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if not len(batch):
             continue
-        last = batch[["level", "path", "shared"]].iloc[-1]
-        same = (batch[["level", "path", "shared"]] == last).all(axis=1).to_numpy()
+        last = batch[KEY].iloc[-1]
+        same = (batch[KEY] == last).all(axis=1).to_numpy()
         cut = int(np.argmin(same[::-1])) if not same.all() else len(batch)
         head, tail = batch.iloc[: len(batch) - cut], batch.iloc[len(batch) - cut :]
-        if keep and (len(head) or (keep[-1][["level", "path", "shared"]].iloc[-1] != last).any()):
+        if keep and (len(head) or (keep[-1][KEY].iloc[-1] != last).any()):
             whole = pd.concat([*keep, head])
             keep = []
             yield from flush(whole)
@@ -218,12 +238,12 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def links(fps: DataFrame, limit: int = NODE) -> DataFrame:
     """Links (a, b) that connect distinct fingerprints fp just as all pairs within the radius do."""
     n = nodes(fps, limit).withColumn("rank", gray_rank(F.col("fp")))
-    dealt = n.repartition("level", "path", "shared").sortWithinPartitions("level", "path", "shared", "rank")
-    return dealt.select("fp", "level", "path", "shared").mapInPandas(_linked, "a long, b long")
+    dealt = n.repartition(*KEY).sortWithinPartitions(*KEY, "block", "rank")
+    return dealt.select("fp", *KEY).mapInPandas(_linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, limit: int = NODE) -> DataFrame:
-    """Rows (doc_id, text_hash, fp, component_id): the smallest doc_id reachable over fingerprints within three bits.
+    """Rows (doc_id, text_hash, fp, copies, component_id): the smallest doc_id reachable over fingerprints within three bits.
 
     All rows whose fingerprints are equal share a component, texts without words (fingerprint zero) too. Null doc_ids never name a
     component unless all of it are null. An empty table gives an empty result.
@@ -237,4 +257,7 @@ def near_duplicates(docs: DataFrame, limit: int = NODE) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    """One row for each row of docs, repeated ones too."""
+    d = near_duplicates(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", "copies")
+    more = d.where("copies > 1").select("doc_id", "fingerprint", "component_id", F.explode(F.sequence(F.lit(2), F.col("copies"))).alias("copy")).drop("copy")
+    return d.drop("copies").unionByName(more)

@@ -80,7 +80,7 @@ def test_op4_brute_force(spark, small):
 
 def test_op4_odd(odd, none):
     got = simhash_dedup.report(odd).collect()
-    assert len(got) == len(ODD) + 1
+    assert len(got) == odd.count() == len(ODD) + 2
     zero = [r for r in got if r.fingerprint == "0" * 16]
     assert {r.doc_id for r in zero} == {0, 1, 2} and {r.component_id for r in zero} == {0}
     assert simhash_dedup.report(none).count() == 0
@@ -149,16 +149,29 @@ def test_gray_index_links_match_brute_force(spark, limit):
 
 
 def test_gray_links_of_a_large_node():
+    """Links of a node equal brute force, and most pairs of leaves are pruned by what their upper nodes share."""
     rng = np.random.default_rng(5)
-    x = np.unique(np.concatenate([rng.integers(0, 1 << 20, 400, dtype=np.uint64), np.uint64(1 << 40) | rng.integers(0, 1 << 12, 500, dtype=np.uint64)]))
-    rank = x.copy()
-    for k in (1, 2, 4, 8, 16, 32):
-        rank ^= rank >> np.uint64(k)
-    x = x[np.argsort(rank)]
-    f = simhash_dedup._Forest(len(x))
-    f.link(*simhash_dedup.gray_links(x))
-    want = classes({i: int(v) for i, v in enumerate(x)})
-    assert len(set(f.root.tolist())) == len(set(want.values())) and all(f.root[i] == f.root[r] for i, r in want.items())
+    x = np.unique(np.concatenate([rng.integers(0, 1 << 20, 400, dtype=np.uint64), np.uint64(1 << 40) | rng.integers(0, 1 << 12, 500, dtype=np.uint64), rng.integers(0, 1 << 63, 6000, dtype=np.uint64)]))
+
+    def gray(v):
+        for k in (1, 2, 4, 8, 16, 32):
+            v = v ^ (v >> np.uint64(k))
+        return v
+
+    top = np.uint64(0xFFFF << 48)
+    x = x[np.lexsort((gray(x), gray(x & top)))]
+    for must in (0, int(top)):
+        f, seen = simhash_dedup._Forest(len(x)), {}
+        f.link(*simhash_dedup.gray_links(x, must, seen=seen))
+        leaves = -(-len(x) // simhash_dedup.LEAF)
+        differ = np.bitwise_count(x[:, None] ^ x[None, :]) <= 3
+        if must:
+            differ &= (x[:, None] ^ x[None, :]) & top == 0
+            assert seen["leaves"] < 0.15 * leaves * (leaves + 1) / 2 and seen["nodes"] < leaves * leaves
+        i, j = np.nonzero(np.triu(differ, 1))
+        want = simhash_dedup._Forest(len(x))
+        want.link(i, j)
+        assert (f.root[i] == f.root[j]).all() and (must or len(set(f.root.tolist())) == len(set(want.root.tolist())))
 
 
 def test_op3(spark, small):
@@ -334,6 +347,20 @@ def test_op2_open_and_void_dropped_elements(before):
     assert html_text.main_text(f"<body>{inside}</body>").endswith("Second paragraph is here, as a sentence.")
 
 
+@pytest.mark.parametrize("page", ["<p " * 20_000, "<div>" * 8_000 + "x" + "</div>" * 8_000, "<div>a " * 8_000, "<b>a" * 20_000 + "</b>" * 20_000, "<p>a</span>" * 20_000, "<!-- " * 20_000, "<select><option>" * 10_000, "<h2>" * 5_000 + "a<br>" * 5_000])
+def test_op2_long_and_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 1.5
+
+
+def test_op2_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "u", "<p>One sentence stands here, with some words.")] * 3 + [(None, None, "<p>x")], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in html_text.extract(d.withColumn("text", F.lit("clash"))).where("page_id = 1").collect()) == [42] * 3 and html_text.extract(d).count() == 4
+
+
 def test_op2_given_pages(spark):
     import html
 
