@@ -1,16 +1,19 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers map into memory.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark, kept as sorted hash arrays that workers map into memory.
 
-Words are 64-bit hashes. Counts are dealt to parts by ranges of the word's (a bigram's first word's) hash, so that one part holds all
-that its contexts need; words that make up over 1 / HOT of all tokens spread their bigrams by the pair's hash. Each part is a few
-sorted arrays in the shared folder. A scoring task maps the arrays and looks up the distinct words and bigrams of its texts in order.
+Words are 64-bit hashes. The longest n-grams are counted; numbers of left neighbours give the counts of all shorter ones. N-grams are dealt
+to parts by ranges of the hash of the last word but one, so that one part holds all that its shorter n-grams and their contexts need; words
+that make up over 1 / HOT of all tokens spread theirs by the last two words' hash, and their contexts are added up in a second step. Each
+part is a few sorted arrays in the shared folder. A scoring task maps the parts that its texts touch and looks up distinct n-grams in order.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Any
 from urllib.parse import urlparse
 
@@ -22,29 +25,43 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import scratch, settle
 from loomgraph.llm.tokens import Words, chunks, runs_sum
 
-#: Hashes of the start (a context only) and of the end (a token).
-START, END = np.uint64(0x51A7E0F5EB6C3D21), np.uint64(0xE2D0F7A95C1B4483)
+#: Words in the longest n-grams.
+ORDER = 3
+#: Hashes of the start (a context only), of the end (a token), and of nothing (what stands before the start).
+START, END, NONE = np.uint64(0x51A7E0F5EB6C3D21), np.uint64(0xE2D0F7A95C1B4483), np.uint64(0)
 #: Bytes of text to a part; the share of tokens above which a word is hot (so there are at most HOT hot words).
-PART_BYTES, HOT = 16_000_000, 64
-#: Distinct entries that a task gathers before it hands them on.
+PART_BYTES, HOT = 8_000_000, 64
+#: Entries that a task gathers before it adds them up, and hands them on if over half are distinct.
 PENDING = 2_000_000
+#: Files that a worker keeps mapped.
+MAPS = 16_384
 PSEUDO = 0.5
+STATS = ("n1", "n2", "n3", "t")
+HANDED = "part int, kind int, a binary"
 
 
 def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Hash of a bigram."""
+    """Hash of a context (or word) and one more word."""
     x = (v ^ (v >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + w
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def context(v: list[np.ndarray]) -> np.ndarray:
+    """Hash of the words before a token, the nearest first."""
+    out = v[0]
+    for x in v[1:]:
+        out = pair(out, x)
+    return out
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """Ranges of the hash, in order."""
-    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 def home(v: np.ndarray, key: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    return part_of(np.where(np.isin(v, hot), key, v), parts).astype(np.int64) if len(hot) else part_of(v, parts).astype(np.int64)
+    return part_of(np.where(np.isin(v, hot), key, v), parts)
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,6 +72,24 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return k[first], np.add.reduceat(n[order], first) if len(k) else n[:0], order[first]
 
 
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """Arrays of whole numbers from 0 on, each in the narrowest type that holds it, behind a line that names them."""
+    narrow = {f: a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0)) for f, a in arrays.items()}
+    head = json.dumps([(f, a.dtype.str, len(a)) for f, a in narrow.items()]).encode()
+    return b"".join([head, b" " * (-(len(head) + 1) % 8), b"\n", *[x for a in narrow.values() for x in (a.tobytes(), bytes(-a.nbytes % 8))]])
+
+
+def unpacked(data: np.ndarray) -> dict[str, np.ndarray]:
+    """Views into packed bytes."""
+    at = bytes(data[:1024]).index(b"\n") + 1
+    out = {}
+    for f, kind, n in json.loads(bytes(data[:at])):
+        size = n * np.dtype(kind).itemsize
+        out[f] = data[at : at + size].view(kind)
+        at += size + -size % 8
+    return out
+
+
 class Sequence:
     """The tokens of some texts as hashes: words, then the end."""
 
@@ -62,16 +97,22 @@ class Sequence:
         w = Words(texts)
         self.counts = w.counts + 1
         self.tokens = np.insert(w.hashes()[w.codes] if len(w.codes) else np.empty(0, np.uint64), w.ends, END)
-        self.ends = np.cumsum(self.counts)
 
-    def contexts(self) -> np.ndarray:
-        v = np.r_[START, self.tokens[:-1]] if len(self.tokens) else self.tokens
-        v[self.ends[:-1]] = START
-        return v
+    def history(self, n: int) -> list[np.ndarray]:
+        """The n words before each token, the nearest first."""
+        size = len(self.tokens)
+        at = np.arange(size) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        out = []
+        for j in range(n):
+            v = np.full(size, NONE)
+            v[j + 1 :] = self.tokens[: max(size - j - 1, 0)]
+            v[at == j], v[at < j] = START, NONE
+            out.append(v)
+        return out
 
 
 class Store:
-    """Raw arrays under the shared folder: direct where it is mounted, else by way of its file system and an unlinked local copy."""
+    """Packed arrays under the shared folder: direct where it is mounted, else by way of its file system and an unlinked local copy."""
 
     def __init__(self, root: str) -> None:
         self.root = root
@@ -82,162 +123,206 @@ class Store:
         u = urlparse(self.root)
         return (None, u.path) if u.scheme in ("", "file") else fs.FileSystem.from_uri(self.root)
 
-    def write(self, name: str, a: np.ndarray) -> None:
+    def write(self, name: str, arrays: dict[str, np.ndarray]) -> None:
         fs, path = self._fs()
         end, draft = f"{path}/{name}", f"{path}/{name}.{os.getpid()}-{os.urandom(4).hex()}"
         if fs is None:
             os.makedirs(path, exist_ok=True)
-            a.tofile(draft)
+            with open(draft, "wb") as f:
+                f.write(packed(arrays))
             os.replace(draft, end)
         else:
             with fs.open_output_stream(draft) as f:
-                f.write(a.tobytes())
+                f.write(packed(arrays))
             fs.move(draft, end)
 
-    def map(self, name: str, kind: str) -> np.ndarray:
+    def open(self, name: str) -> dict[str, np.ndarray]:
+        """The mapped arrays; none where nothing was written."""
         fs, path = self._fs()
+        at = f"{path}/{name}"
         if fs is None:
-            at = f"{path}/{name}"
-            return np.memmap(at, kind, "r") if os.path.getsize(at) else np.empty(0, kind)
-        with tempfile.NamedTemporaryFile() as t, fs.open_input_stream(f"{path}/{name}") as f:
+            return unpacked(np.memmap(at, np.uint8, "r")) if os.path.exists(at) else {}
+        if not fs.get_file_info(at).is_file:
+            return {}
+        with tempfile.NamedTemporaryFile() as t, fs.open_input_stream(at) as f:
             while block := f.read(1 << 22):
                 t.write(block)
             t.flush()
-            return np.memmap(t.name, kind, "r") if t.tell() else np.empty(0, kind)
+            return unpacked(np.memmap(t.name, np.uint8, "r"))
+
+
+def runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Each value of an ordered array, and where it begins and ends."""
+    values, lo = np.unique(part, return_index=True)
+    yield from zip(values.tolist(), lo.tolist(), np.r_[lo[1:], len(part)][: len(lo)].tolist(), strict=True)
 
 
-def _blobs(part: np.ndarray, arrays: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    """A row for each part, with its slices of the arrays (kept in their order)."""
+def dealt(part: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Each part that occurs, with its slices of the arrays (kept in their order)."""
     order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts), "right")
-    arrays = [a[order] for a in arrays]
-    lo = 0
-    for p, hi in enumerate(ends.tolist()):
-        if hi > lo:
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *[pa.array([a[lo:hi].tobytes()], pa.binary()) for a in arrays]], ["part", *[f"a{i}" for i in range(len(arrays))]])
-        lo = hi
+    arrays = {f: a[order] for f, a in arrays.items()}
+    for p, a, b in runs(part[order]):
+        yield p, {f: x[a:b] for f, x in arrays.items()}
 
 
-def _joined(t: pa.Table, i: int, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_py(), kind) for x in t.column(f"a{i}")])
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    p, k, a = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"part": pa.array(p, pa.int32()), "kind": pa.array(k, pa.int32()), "a": pa.array(a, pa.binary())})
+
+
+def _blobs(t: pa.Table) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    for kind, a in zip(t.column("kind").to_pylist(), t.column("a"), strict=True):
+        yield kind, unpacked(np.frombuffer(a.as_buffer(), np.uint8))
 
 
 def _word_task(parts: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for p, x in dealt(part_of(keys, parts), {"h": keys, "c": n}):
+                yield from _rows([(p, 0, packed(x))]).to_batches()
+
         for b in chunks(batches):
             k, c = np.unique(Sequence(b.column("text")).tokens, return_counts=True)
             keys, n, _ = summed(np.r_[keys, k], np.r_[n, c])
             if len(keys) > PENDING:
-                yield from _blobs(part_of(keys, parts), [keys, n], parts)
+                yield from handed_on()
                 keys, n = keys[:0], n[:0]
-        yield from _blobs(part_of(keys, parts), [keys, n], parts)
+        yield from handed_on()
 
     return run
 
 
 def _word_part(root: str):  # noqa: ANN202
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        p = key[0].as_py()
-        h, c, _ = summed(_joined(t, 0, "<u8"), _joined(t, 1, "<i8"))
-        Store(root).write(f"words-{p}.h", h)
-        Store(root).write(f"words-{p}.c", c)
+        blobs = [x for _, x in _blobs(t)]
+        h, c, _ = summed(np.concatenate([x["h"].astype(np.uint64) for x in blobs]), np.concatenate([x["c"].astype(np.int64) for x in blobs]))
+        Store(root).write(f"words-{key[0].as_py()}", {"h": h, "c": c})
         big = np.argsort(-c, kind="stable")[: 2 * HOT]
-        return pa.table({"part": pa.array([p], pa.int32()), "tokens": [int(c.sum())], "words": [len(h)], "top": pa.array([h[big].view(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([c[big].tolist()], pa.list_(pa.int64()))})
+        return pa.table({"tokens": [int(c.sum())], "words": [len(h)], "top": pa.array([h[big].view(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([c[big].tolist()], pa.list_(pa.int64()))})
 
     return run
 
 
-def _pair_task(parts: int, hot: np.ndarray):  # noqa: ANN202
+def _gram_task(order: int, parts: int, hot: np.ndarray):  # noqa: ANN202
+    """Hands on distinct n-grams by part; their words are numbers into the blob's own list of hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = w = np.empty(0, np.uint64)
-        n = np.empty(0, np.int64)
+        held: list[list[np.ndarray]] = []  # columns w, v1, v2 ..., n
+
+        def add_up() -> None:
+            *words, n = [np.concatenate(c) for c in zip(*held, strict=True)]
+            _, n, at = summed(pair(context(words[1:]), words[0]), n)
+            held[:] = [[*[x[at] for x in words], n]]
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            order = np.lexsort((w, v))  # runs of equal contexts shrink to next to nothing in the shuffle
-            a, b, c = v[order], w[order], n[order]
-            yield from _blobs(home(a, pair(a, b), hot, parts), [a, b, np.minimum(c, np.iinfo(np.uint32).max).astype("<u4")], parts)
+            w, *v, n = held.pop()
+            for p, x in dealt(home(v[0], pair(v[0], w), hot, parts), {"w": w, **{f"v{j}": a for j, a in enumerate(v)}, "n": n}):
+                n = x.pop("n")
+                words, code = np.unique(np.concatenate(list(x.values())), return_inverse=True)
+                code = code.reshape(order, -1)
+                sort = np.lexsort(code[[0, *range(order - 1, 0, -1)]])  # by the nearest word first: runs shrink in the shuffle
+                yield from _rows([(p, 0, packed({"words": words, **dict(zip(x, code[:, sort], strict=True)), "n": n[sort]}))]).to_batches()
 
         for b in chunks(batches):
             s = Sequence(b.column("text"))
-            x, y = s.contexts(), s.tokens
-            v, w, n = np.r_[v, x], np.r_[w, y], np.r_[n, np.ones(len(x), np.int64)]
-            _, n, at = summed(pair(v, w), n)
-            v, w = v[at], w[at]
-            if len(v) > PENDING:
-                yield from handed_on()
-                v, w, n = v[:0], w[:0], n[:0]
-        yield from handed_on()
+            held.append([s.tokens, *s.history(order - 1), np.ones(len(s.tokens), np.int64)])
+            if sum(len(x[0]) for x in held) > PENDING:
+                add_up()
+                if len(held[0][0]) * 2 > PENDING:
+                    yield from handed_on()
+        if held:
+            add_up()
+            yield from handed_on()
 
     return run
 
 
-def _pair_part(root: str, parts: int, hot: np.ndarray):  # noqa: ANN202
-    """Writes the part's bigrams and its contexts' numbers of bigrams seen once, twice and more; hands on each word's number of contexts."""
+def _stats(ctx: np.ndarray, a: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each distinct context in order: how many n-grams follow once, twice and more, and their sum."""
+    k, t, _ = summed(ctx, a)
+    code = np.searchsorted(k, ctx)
+    return {"k": k, **{f: np.bincount(code[m], minlength=len(k)) for f, m in zip(STATS, (a == 1, a == 2, a > 2), strict=False)}, "t": t}
+
+
+def _split(x: dict[str, np.ndarray], last: str) -> dict[str, np.ndarray]:
+    """Those whose sum (and so everything else) is one are kept as keys alone."""
+    more = x[last] > 1
+    return {"one": x["k"][~more], **{f: a[more] for f, a in x.items()}}
+
+
+def _gram_part(root: str, order: int, parts: int, hot: np.ndarray):  # noqa: ANN202
+    """Writes the part's n-grams of all orders and its contexts of two words or more. Hands on, with their kind: contexts of one word and
+    those of hot words (their length), each word's number of contexts (0), and how many n-grams have the counts 1 to 4 (the order, negative)."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         p, store = key[0].as_py(), Store(root)
-        v, w = _joined(t, 0, "<u8"), _joined(t, 1, "<u8")
-        k, n, at = summed(pair(v, w), _joined(t, 2, "<u4").astype(np.int64))
-        v, w = v[at], w[at]
-        store.write(f"pairs-{p}.k", k)
-        store.write(f"pairs-{p}.n", np.minimum(n, np.iinfo(np.uint32).max).astype("<u4"))
-        rows: dict[str, list] = {"part": [], "kind": [], "a0": [], "a1": []}
-
-        def add(part: int, kind: int, a0: np.ndarray, a1: np.ndarray) -> None:
-            for name, x in zip(rows, (part, kind, a0.tobytes(), a1.tobytes()), strict=True):
-                rows[name].append(x)
-
-        for seen, own in ((True, np.isin(v, hot)), (False, ~np.isin(v, hot))):
-            c, _, first = summed(v[own], n[own])
-            code = np.searchsorted(c, v[own])
-            several = [np.bincount(code[m], minlength=len(c)).astype("<u4") for m in (n[own] == 1, n[own] == 2, n[own] > 2)]
-            if seen:
-                for part in np.unique(part_of(c, parts)):
-                    mine = part_of(c, parts) == part
-                    add(int(part), 1, c[mine], np.stack([x[mine] for x in several], axis=1))
-            else:
-                add(p, 1, c, np.stack(several, axis=1))
-        words, cc = np.unique(w, return_counts=True)
-        ends = np.searchsorted(part_of(words, parts), np.arange(parts), "right")
-        for part, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
-            if hi > lo:
-                add(part, 2, words[lo:hi], cc[lo:hi].astype("<u4"))
-        add(p, 0, np.bincount(np.minimum(n, 5), minlength=6)[1:5].astype("<i8"), np.empty(0, "<u4"))
-        return pa.table({"part": pa.array(rows["part"], pa.int32()), "kind": pa.array(rows["kind"], pa.int32()), "a0": pa.array(rows["a0"], pa.binary()), "a1": pa.array(rows["a1"], pa.binary())})
+        blobs = [x for _, x in _blobs(t)]
+        w, *v = [np.concatenate([b["words"].astype(np.uint64)[b[f]] for b in blobs]) for f in ("w", *[f"v{j}" for j in range(order - 1)])]
+        _, n, at = summed(pair(context(v), w), np.concatenate([b["n"].astype(np.int64) for b in blobs]))
+        del blobs
+        w, v = w[at], [x[at] for x in v]
+        rows: list[tuple[int, int, bytes]] = []
+        own = np.flatnonzero(v[-1] != NONE)
+        a = n[own]
+        for k in range(order, 1, -1):
+            if k < order:  # left neighbours of the n-grams of order k, then those that begin a text
+                _, a, at = summed(pair(context([x[own] for x in v[: k - 1]]), w[own]), np.ones(len(own), np.int64))
+                first = np.flatnonzero(v[k - 2] == START)
+                g, n_first, at_first = summed(pair(context([x[first] for x in v[: k - 1]]), w[first]), n[first])
+                own, a = np.r_[own[at], first[at_first]], np.r_[a, n_first]
+            ctx, near = context([x[own] for x in v[: k - 1]]), v[0][own]
+            g = pair(ctx, w[own])
+            sort = np.argsort(g, kind="stable")
+            store.write(f"gram{k}-{p}", _split({"k": g[sort], "n": a[sort]}, "n"))
+            rows.append((p, -k, packed({"n": np.bincount(np.minimum(a, 5), minlength=6)[1:5]})))
+            far = np.isin(near, hot) if k > 2 else np.ones(len(own), bool)
+            if k > 2:
+                store.write(f"own{k - 1}-{p}", _split(_stats(ctx[~far], a[~far]), "t"))
+            x = _stats(ctx[far], a[far])
+            rows += [(q, k - 1, packed(y)) for q, y in dealt(part_of(x["k"], parts), x)]
+        words, cc = np.unique(w[own], return_counts=True)
+        rows += [(q, 0, packed(y)) for q, y in dealt(part_of(words, parts), {"k": words, "n": cc})]
+        return _rows(rows)
 
     return run
 
 
-def _finish_part(root: str, present: list[int]):  # noqa: ANN202
-    """Writes the part's words with their contexts' numbers, in the order of words-p.h; returns counts of counts."""
+def _finish_part(root: str, order: int):  # noqa: ANN202
+    """Adds up what was handed on and writes it: the words' numbers, in the order of the part's words, and the contexts of hot words.
+    Returns numbers to be summed: (order, i, n) for counts of counts, order 0 for all contexts of words, -1 for the start's numbers."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         p, store = key[0].as_py(), Store(root)
-        h = np.asarray(store.map(f"words-{p}.h", "<u8")) if p in present else np.empty(0, "<u8")
-        several, cc = np.zeros((len(h), 3), "<u4"), np.zeros(len(h), "<u4")
-        start, counts = np.zeros(3, np.int64), np.zeros(4, np.int64)
-        for kind, a, b in zip(t.column("kind").to_pylist(), t.column("a0"), t.column("a1"), strict=True):
-            a, b = a.as_py(), b.as_py()
-            if kind == 0:
-                counts += np.frombuffer(a, "<i8")
+        h = store.open(f"words-{p}").get("h", np.empty(0, np.uint64)).astype(np.uint64)
+        word = {f: np.zeros(len(h), np.int64) for f in ("cc", *STATS)}
+        start, counts = np.zeros(4, np.int64), {k: np.zeros(4, np.int64) for k in range(1, order + 1)}
+        far: dict[int, list] = {j: [] for j in range(2, order)}
+        for kind, x in _blobs(t):
+            if kind < 0:
+                counts[-kind] += x["n"].astype(np.int64)
+            elif kind == 0:
+                np.add.at(word["cc"], np.searchsorted(h, x["k"].astype(np.uint64)), x["n"].astype(np.int64))
             elif kind == 1:
-                c, n = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u4").reshape(-1, 3)
-                own = c != START
-                np.add.at(several, np.searchsorted(h, c[own]), n[own])
-                start += n[~own].sum(axis=0, dtype=np.int64)
-            elif kind == 2:
-                np.add.at(cc, np.searchsorted(h, np.frombuffer(a, "<u8")), np.frombuffer(b, "<u4"))
-        if p in present:
-            for k in range(3):
-                store.write(f"words-{p}.n{k + 1}", np.ascontiguousarray(several[:, k]))
-            store.write(f"words-{p}.cc", cc)
-        return pa.table({
-            "pairs": pa.array([counts.tolist()], pa.list_(pa.int64())),
-            "kinds": pa.array([np.bincount(np.minimum(cc, 5), minlength=6)[1:5].tolist()], pa.list_(pa.int64())),
-            "cc": pa.array([int(cc.sum(dtype=np.int64))], pa.int64()),
-            "start": pa.array([start.tolist()], pa.list_(pa.int64())),
-        })
+                own = x["k"] != START
+                at = np.searchsorted(h, x["k"][own].astype(np.uint64))
+                for i, f in enumerate(STATS):
+                    np.add.at(word[f], at, x[f][own].astype(np.int64))
+                    start[i] += int(x[f][~own].sum())
+            else:
+                far[kind].append(x)
+        for j, found in far.items():
+            if found:
+                keys = np.concatenate([x["k"].astype(np.uint64) for x in found])
+                each = {f: summed(keys, np.concatenate([x[f].astype(np.int64) for x in found])) for f in STATS}
+                store.write(f"far{j}-{p}", _split({"k": each["t"][0], **{f: y[1] for f, y in each.items()}}, "t"))
+        if len(h):
+            store.write(f"ends-{p}", word)
+        counts[1] += np.bincount(np.minimum(word["cc"], 5), minlength=6)[1:5]
+        rows = [(0, 0, int(word["cc"].sum())), *[(-1, i, int(x)) for i, x in enumerate(start)], *[(k, i, int(x)) for k, c in counts.items() for i, x in enumerate(c)]]
+        o, i, n = zip(*rows, strict=True)
+        return pa.table({"order": pa.array(o, pa.int32()), "i": pa.array(i, pa.int32()), "n": pa.array(n, pa.int64())})
 
     return run
 
@@ -256,88 +341,88 @@ class Model:
     """Where the arrays are, and the few numbers for the whole model."""
 
     root: str
+    order: int
     parts: int
-    present: list[int]
-    pair_parts: list[int]
     hot: np.ndarray
     tokens: int
     words: int
-    starts: int
-    d1: tuple[float, float, float]
-    d2: tuple[float, float, float]
+    start: list[int]
+    d: dict[int, tuple[float, float, float]]
     cc: int
     spare: float
-    start: float
 
 
-def fit(docs: DataFrame) -> Model:
-    """Counts all texts of docs (null: empty)."""
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
+    """Counts all texts of docs (null: empty); order is two or more."""
+    if order < 2:
+        raise ValueError("order must be two or more")
     spark = docs.sparkSession
     d = docs.select("text")
-    rows, size = d.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    parts, root = max(4, -(-(size or 0) // PART_BYTES)), scratch(spark, "lm")
-    blobs = d.mapInArrow(_word_task(parts), "part int, a0 binary, a1 binary")
-    found = blobs.groupBy("part").applyInArrow(_word_part(root), "part int, tokens long, words long, top array<long>, top_n array<long>")
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts, root = max(4, -(-size // PART_BYTES)), scratch(spark, "lm")
+    blobs = d.mapInArrow(_word_task(parts), HANDED)
+    found = blobs.groupBy("part").applyInArrow(_word_part(root), "tokens long, words long, top array<long>, top_n array<long>")
     found = settle(found, "lm-words")
-    tokens, words = found.agg(F.sum("tokens"), F.sum("words")).first()
-    hot = found.select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).where(F.col("t.top_n") * HOT > (tokens or 0)).select("t.top")
+    tokens, words = (x or 0 for x in found.agg(F.sum("tokens"), F.sum("words")).first())
+    hot = found.select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).where(F.col("t.top_n") * HOT > tokens).select("t.top")
     hot = np.r_[np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64), START]  # HOT rows at most
-    present = sorted(r[0] for r in found.select("part").collect())
-    blobs = d.mapInArrow(_pair_task(parts, hot), "part int, a0 binary, a1 binary, a2 binary")
-    pairs = blobs.groupBy("part").applyInArrow(_pair_part(root, parts, hot), "part int, kind int, a0 binary, a1 binary")
-    pairs = settle(pairs, "lm-pairs")
-    pair_parts = sorted(r[0] for r in pairs.where("kind = 0").select("part").distinct().collect())
-    blank = spark.createDataFrame([(p, -1, b"", b"") for p in present], pairs.schema)  # for parts that no bigram hands anything to
-    ends = pairs.unionByName(blank).groupBy("part").applyInArrow(_finish_part(root, present), "pairs array<long>, kinds array<long>, cc long, start array<long>")
-    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, m in (("pairs", 4), ("kinds", 4), ("start", 3)) for i in range(m)]
-    each = settle(ends, "lm-ends").agg(*sums, F.sum("cc").alias("cc")).first().asDict()
-    each = {k: v or 0 for k, v in each.items()}
-    d1, d2 = (discounts([each[f"{c}{i}"] for i in range(4)]) for c in ("kinds", "pairs"))
-    more = (words or 0) - each["kinds0"] - each["kinds1"]
-    spare = (d1[0] * each["kinds0"] + d1[1] * each["kinds1"] + d1[2] * more) / each["cc"] if each["cc"] else 1.0
-    start = sum(d * each[f"start{i}"] for i, d in enumerate(d2)) / rows if rows else 1.0
-    return Model(root, parts, present, pair_parts, hot, tokens or 0, words or 0, rows, d1, d2, each["cc"], spare, start)
+    blobs = d.mapInArrow(_gram_task(order, parts, hot), HANDED)
+    grams = settle(blobs.groupBy("part").applyInArrow(_gram_part(root, order, parts, hot), HANDED), "lm-grams")
+    ends = settle(grams.groupBy("part").applyInArrow(_finish_part(root, order), "order int, i int, n long"), "lm-ends")
+    each = {(r.order, r.i): r.n for r in ends.groupBy("order", "i").agg(F.sum("n").alias("n")).collect()}  # 4 * order + 5 rows
+    d_of = {k: discounts([each.get((k, i), 0) for i in range(4)]) for k in range(1, order + 1)}
+    kinds, cc = [each.get((1, i), 0) for i in range(2)], each.get((0, 0), 0)
+    spare = sum(x * n for x, n in zip(d_of[1], [*kinds, words - sum(kinds)], strict=True)) / cc if cc else 1.0
+    return Model(root, order, parts, hot, tokens, words, [each.get((-1, i), 0) for i in range(4)], d_of, cc, spare)
+
+
+def _find(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Positions of keys, -1 where absent."""
+    if not len(sorted_):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
+    return np.where(sorted_[at] == keys, at, -1)
 
 
 class Reader:
     """A worker's view of the mapped arrays."""
 
     def __init__(self, model: Model) -> None:
-        self.m, store = model, Store(model.root)
-        kinds = {"h": "<u8", "c": "<i8", "n1": "<u4", "n2": "<u4", "n3": "<u4", "cc": "<u4"}
-        self.words = {p: {f: store.map(f"words-{p}.{f}", k) for f, k in kinds.items()} for p in model.present}
-        self.pairs = {p: {f: store.map(f"pairs-{p}.{f}", k) for f, k in (("k", "<u8"), ("n", "<u4"))} for p in model.pair_parts}
-
-    @staticmethod
-    def _find(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Positions of keys, -1 where absent."""
-        at = np.searchsorted(sorted_, keys)
-        at[at == len(sorted_)] = 0
-        return np.where(sorted_[at] == keys, at, -1) if len(sorted_) else np.full(len(keys), -1)
-
-    def word_stats(self, h: np.ndarray) -> dict[str, np.ndarray]:
-        """Of distinct hashes in order: c, cc and the three numbers of bigrams that they start."""
-        out = {f: np.zeros(len(h), np.int64) for f in ("c", "cc", "n1", "n2", "n3")}
-        part = part_of(h, self.m.parts)
-        for p, a in self.words.items():
-            lo, hi = np.searchsorted(part, [p, p + 1])
-            at = self._find(a["h"], h[lo:hi])
-            ok = np.flatnonzero(at >= 0)
-            for f, x in out.items():
-                x[lo + ok] = a[f][at[ok]]
+        self.m, self.open = model, lru_cache(MAPS)(Store(model.root).open)
+
+    def _look(self, names: list[str], part: np.ndarray, keys: np.ndarray, key: str, fields: list[str], one: dict[str, int]) -> dict[str, np.ndarray]:
+        """The fields of keys, by the parts that they fall into; zero where absent."""
+        out = {f: np.zeros(len(keys), np.int64) for f in fields}
+        order = np.lexsort((keys, part))
+        for p, a, b in runs(part[order]):
+            own, x = order[a:b], {f: y for name in names for f, y in self.open(f"{name}-{p}").items()}
+            if not x:
+                continue
+            at = _find(x[key], keys[own])
+            for f in fields:
+                out[f][own[at >= 0]] = x[f][at[at >= 0]]
+            if one:
+                single = own[_find(x["one"], keys[own]) >= 0]
+                for f, y in one.items():
+                    out[f][single] = y
         return out
 
-    def pair_counts(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        key = pair(v, w)
-        part = home(v, key, self.m.hot, self.m.parts)
-        order = np.lexsort((key, part))
-        n, sorted_parts = np.zeros(len(key), np.int64), part[order]
-        for p, a in self.pairs.items():
-            own = order[slice(*np.searchsorted(sorted_parts, [p, p + 1]))]
-            at = self._find(a["k"], key[own])
-            ok = at >= 0
-            n[own[ok]] = a["n"][at[ok]]
-        return n
+    def words(self, h: np.ndarray) -> dict[str, np.ndarray]:
+        """Of distinct hashes: c, cc and the numbers of n-grams that follow."""
+        return self._look(["words", "ends"], part_of(h, self.m.parts), h, "h", ["c", "cc", *STATS], {})
+
+    def grams(self, k: int, near: np.ndarray, w: np.ndarray, g: np.ndarray) -> np.ndarray:
+        return self._look([f"gram{k}"], home(near, pair(near, w), self.m.hot, self.m.parts), g, "k", ["n"], {"n": 1})["n"]
+
+    def contexts(self, j: int, near: np.ndarray, ctx: np.ndarray) -> dict[str, np.ndarray]:
+        """The numbers of contexts of two words or more."""
+        out = {f: np.zeros(len(ctx), np.int64) for f in STATS}
+        hot, part = np.isin(near, self.m.hot), home(near, ctx, self.m.hot, self.m.parts)
+        for name, own in (("own", ~hot), ("far", hot)):
+            found = self._look([f"{name}{j}"], part[own], ctx[own], "k", list(STATS), {"n1": 1, "t": 1})
+            for f in STATS:
+                out[f][own] = found[f]
+        return out
 
     @staticmethod
     def _discount(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -347,28 +432,33 @@ class Reader:
         """Of each text: n_tokens, n_known, base_score, score."""
         m, s = self.m, Sequence(texts)
         h, code = np.unique(s.tokens, return_inverse=True)
-        stats = self.word_stats(h)
-        base = np.log10((stats["c"] + PSEUDO) / (m.tokens + PSEUDO * (m.words + 1)))
-        p1 = (stats["cc"] - self._discount(stats["cc"], m.d1)).clip(0) / max(m.cc, 1) + m.spare / (m.words + 1)
-        gamma = np.ones(len(h))
-        known = (stats["c"] > 0) & (h != END)
-        gamma[known] = (m.d2[0] * stats["n1"] + m.d2[1] * stats["n2"] + m.d2[2] * stats["n3"])[known] / stats["c"][known]
-        followed = np.where(h != END, stats["c"], 0)
-        v = np.r_[-1, code[:-1]] if len(code) else code
-        v[s.ends[:-1]] = -1
-        both = (v + 1) * len(h) + code
-        distinct, where = np.unique(both, return_inverse=True)
-        dv, dw = distinct // len(h) - 1, distinct % len(h)
-        n = self.pair_counts(np.where(dv < 0, START, h[dv]), h[dw])
-        g, c = np.where(dv < 0, m.start, gamma[dv]), np.where(dv < 0, m.starts, followed[dv])
-        p2 = np.log10((n - self._discount(n, m.d2)) / np.maximum(c, 1) + g * p1[dw])
+        word = self.words(h)
+        base = np.log10((word["c"] + PSEUDO) / (m.tokens + PSEUDO * (m.words + 1)))
+        p = ((word["cc"] - self._discount(word["cc"], m.d[1])).clip(0) / max(m.cc, 1) + m.spare / (m.words + 1))[code]
+        v = s.history(m.order - 1)
+        for k in range(2, m.order + 1):
+            at = np.flatnonzero(v[k - 2] != NONE)
+            ctx, near = context([x[at] for x in v[: k - 1]]), v[0][at]
+            c, c_at, c_of = np.unique(ctx, return_index=True, return_inverse=True)
+            if k == 2:
+                x = self.words(c)
+                for f, y in zip(STATS, m.start, strict=True):
+                    x[f][c == START] = y
+            else:
+                x = self.contexts(k - 1, near[c_at], c)
+            g, g_at, g_of = np.unique(pair(ctx, s.tokens[at]), return_index=True, return_inverse=True)
+            n = self.grams(k, near[g_at], s.tokens[at][g_at], g)
+            seen = np.maximum(x["t"], 1)
+            gamma = np.where(x["t"] > 0, sum(d * x[f] for f, d in zip(STATS, m.d[k], strict=False)) / seen, 1.0)
+            p[at] = (n - self._discount(n, m.d[k]))[g_of] / seen[c_of] + gamma[c_of] * p[at]
         return {
             "n_tokens": s.counts,
-            "n_known": runs_sum((stats["c"] > 0)[code].astype(float), s.counts).astype(np.int64),
+            "n_known": runs_sum((word["c"] > 0)[code].astype(float), s.counts).astype(np.int64),
             "base_score": runs_sum(base[code], s.counts),
-            "score": runs_sum(p2[where], s.counts),
+            "score": runs_sum(np.log10(p), s.counts),
         }
 
+
 _readers: dict[str, Reader] = {}
 
 
@@ -389,8 +479,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInArrow(run, fields)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Learns from the documents whose crc32(doc_id) mod 5 is not 1 (null doc_ids too) and scores all; null texts are empty, repeated rows count each."""
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
     d = docs.select("doc_id", "text", held_out.alias("held_out"))
-    return score(d, fit(d.where(~F.col("held_out"))))
+    return score(d, fit(d.where(~F.col("held_out")), order))

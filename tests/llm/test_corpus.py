@@ -403,30 +403,47 @@ def test_op7_learns_an_interaction():
     assert p[0] > 0.9 and max(p[1:]) < 0.3
 
 
-def test_op8_brute_force(spark, small, odd, none):
+def kneser_ney_scores(train, texts, order):
+    """Brute force: log10 of each text's probability, by n-grams as tuples."""
+    hist = lambda t, i, k: tuple(["<s>", *t][i + 2 - k : i + 1])
+    raw = Counter((*hist(t, i, min(order, i + 2)), t[i]) for t in train for i in range(len(t)))
+    a = {order: {g: n for g, n in raw.items() if len(g) == order}}
+    for k in range(order - 1, 0, -1):
+        a[k] = dict(Counter(g[1:] for g in a[k + 1]) + Counter({g: n for g, n in raw.items() if len(g) == k}))
+    first = lambda xs: [sum(x == k for x in xs) for k in (1, 2, 3, 4)]
+    d = {k: kneser_ney.discounts(first(x.values())) for k, x in a.items()}
+    off = lambda x, k: d[k][min(x, 3) - 1] if x else 0
+    total, spare = Counter(), Counter()
+    for k, grams in a.items():
+        for g, x in grams.items():
+            total[k, g[:-1]] += x
+            spare[k, g[:-1]] += off(x, k)
+    v = len(a[1])
+
+    def p(k, g):
+        lower = 1 / (v + 1) if k == 1 else p(k - 1, g[1:])
+        t = total[k, g[:-1]]
+        return (a[k].get(g, 0) - off(a[k].get(g, 0), k) + spare[k, g[:-1]] * lower) / t if t else lower
+
+    return [sum(math.log10(p(k := min(order, i + 2), (*hist(t, i, k), t[i]))) for i in range(len(t))) for t in texts]
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_op8_brute_force(spark, small, odd, none, order):
     for docs in (small, odd):
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
         held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
         toks = [(i, [*words(t), None]) for i, t in rows]
         train = [t for i, t in toks if not held(i)]
-        c, bi = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True))
+        c = Counter(w for t in train for w in t)
         n, v = sum(c.values()), len(c)
-        first = lambda xs: [sum(x == k for x in xs) for k in (1, 2, 3, 4)]
-        cc = Counter(w for _, w in bi)
-        d2, d1, total = kneser_ney.discounts(first(bi.values())), kneser_ney.discounts(first(cc.values())), sum(cc.values())
-        off = lambda x, d: d[min(x, 3) - 1] if x else 0
-        spare = sum(off(x, d1) for x in cc.values()) / total
-        cv, g = Counter(), defaultdict(float)
-        for (a, _), x in bi.items():
-            cv[a] += x
-            g[a] += off(x, d2)
-        p1 = lambda w: (cc[w] - off(cc[w], d1)) / total + spare / (v + 1)  # noqa: B023, E731
-        p2 = lambda a, w: (bi[a, w] - off(bi[a, w], d2)) / cv[a] + g[a] / cv[a] * p1(w) if a in cv else p1(w)  # noqa: B023, E731
-        want = sorted(((i is None, i or 0), held(i), len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 4), round(sum(math.log10(p2(a, w)) for a, w in zip(["<s>", *t[:-1]], t, strict=True)), 4)) for i, t in toks)
-        got = sorted(((r.doc_id is None, r.doc_id or 0), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in kneser_ney.report(docs).collect())
+        scores = kneser_ney_scores(train, [t for _, t in toks], order)
+        base = [sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t) for _, t in toks]
+        want = sorted(((i is None, i or 0), held(i), len(t), sum(c[w] > 0 for w in t), n, round(b, 4), round(s, 4)) for (i, t), b, s in zip(toks, base, scores, strict=True))
+        got = sorted(((r.doc_id is None, r.doc_id or 0), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in kneser_ney.report(docs, order).collect())
         assert [x[:5] for x in got] == [x[:5] for x in want]
         assert np.allclose([x[5:] for x in got], [x[5:] for x in want], rtol=1e-6, atol=1e-3)
-    assert kneser_ney.report(none).count() == 0
+    assert kneser_ney.report(none, order).count() == 0
 
 
 def test_op9(spark, odd, none):
