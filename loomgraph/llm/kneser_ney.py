@@ -1,9 +1,11 @@
 """Interpolated modified Kneser-Ney n-gram model, counted in Spark, kept as sorted hash arrays that workers map into memory.
 
-Words are 64-bit hashes. The longest n-grams are counted; numbers of left neighbours give the counts of all shorter ones. N-grams are dealt
-to parts by ranges of the hash of the last word but one, so that one part holds all that its shorter n-grams and their contexts need; words
-that make up over 1 / HOT of all tokens spread theirs by the last two words' hash, and their contexts are added up in a second step. Each
-part is a few sorted arrays in the shared folder. A scoring task maps the parts that its texts touch and looks up distinct n-grams in order.
+Words are counted by ranges of their 64-bit hashes; a word's number is its range and its place there. The longest n-grams are counted, as
+numbers; how many left neighbours they have gives the counts of all shorter ones. N-grams are dealt to the part of the last word but one, so
+that one part holds all that its shorter n-grams and their contexts need; words that make up over 1 / HOT of all tokens spread theirs by
+the last two words' hash, and their contexts are added up in a second step. Each part is a few sorted arrays in the shared folder: of an
+n-gram's 64-bit hash they keep some first bits as a table of places and the next 32, so an unseen one is taken for another once in 10^8
+times. A scoring task maps the parts that its texts touch and looks up distinct n-grams in order.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from loomgraph.llm.tokens import Words, chunks, runs_sum
 
 #: Words in the longest n-grams.
 ORDER = 3
-#: Hashes of the start (a context only), of the end (a token), and of nothing (what stands before the start).
-START, END, NONE = np.uint64(0x51A7E0F5EB6C3D21), np.uint64(0xE2D0F7A95C1B4483), np.uint64(0)
+#: The end's hash (it is a token). Numbers of what stands before the start, of the start (a context only), and of unknown words.
+END, NONE, START, UNKNOWN = np.uint64(0xE2D0F7A95C1B4483), np.uint64(0), np.uint64(1), np.uint64(1 << 63)
 #: Bytes of text to a part; the share of tokens above which a word is hot (so there are at most HOT hot words).
 PART_BYTES, HOT = 8_000_000, 64
 #: Entries that a task gathers before it adds them up, and hands them on if over half are distinct.
@@ -61,12 +63,13 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def home(v: np.ndarray, key: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
-    return part_of(np.where(np.isin(v, hot), key, v), parts)
+    """The part of the word numbered v or, if that is hot (as the start is), of the key."""
+    return np.where(np.isin(v, hot), part_of(key, parts), ((v - np.uint64(2)) % np.uint64(parts)).astype(np.int64))
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, their sums, and where each first stands."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
     return k[first], np.add.reduceat(n[order], first) if len(k) else n[:0], order[first]
@@ -90,23 +93,60 @@ def unpacked(data: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def planes(a: np.ndarray) -> np.ndarray:
+    """The numbers' first bytes, then their second ones and so on: high ones shrink to nothing in the shuffle."""
+    a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).ravel()
+
+
+def numbers(flat: np.ndarray, n: int) -> np.ndarray:
+    """The n numbers again."""
+    return np.ascontiguousarray(flat.reshape(-1, n).T).view(f"<u{len(flat) // n}").ravel().astype(np.uint64) if n else np.empty(0, np.uint64)
+
+
+def compact(name: str, keys: np.ndarray) -> dict[str, np.ndarray]:
+    """Ordered keys as places by their first bits (some 16 to 32 keys to a place) and their next 32 bits."""
+    bits = max((len(keys) // 16).bit_length() - 1, 0)
+    first = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+    at = np.searchsorted(first, np.arange(2**bits + 1, dtype=np.uint64))
+    return {f"{name}.at": at, name: (keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)}
+
+
+def find_compact(x: dict[str, np.ndarray], name: str, keys: np.ndarray) -> np.ndarray:
+    """Positions of keys, -1 where absent: halves all keys' ranges at once."""
+    at, rest = x[f"{name}.at"], x[name]
+    if not len(rest) or not len(keys):
+        return np.full(len(keys), -1)
+    bits = len(at).bit_length() - 1 if len(at) > 2 else 0
+    first = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    want = (keys >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
+    lo, end = at[first].astype(np.int64), at[first + 1].astype(np.int64)
+    hi = end.copy()
+    for _ in range(int((hi - lo).max()).bit_length()):
+        mid = (lo + hi) >> 1
+        less = (lo < hi) & (rest[np.minimum(mid, len(rest) - 1)] < want)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    return np.where((lo < end) & (rest[np.minimum(lo, len(rest) - 1)] == want), lo, -1)
+
+
 class Sequence:
-    """The tokens of some texts as hashes: words, then the end."""
+    """The tokens of some texts (words, then the end) as codes into their distinct hashes."""
 
     def __init__(self, texts: pa.Array) -> None:
         w = Words(texts)
         self.counts = w.counts + 1
-        self.tokens = np.insert(w.hashes()[w.codes] if len(w.codes) else np.empty(0, np.uint64), w.ends, END)
+        self.h = np.r_[w.hashes() if len(w.unique) else np.empty(0, np.uint64), END]
+        self.code = np.insert(w.codes, w.ends, len(self.h) - 1)
 
     def history(self, n: int) -> list[np.ndarray]:
-        """The n words before each token, the nearest first."""
-        size = len(self.tokens)
+        """Codes of the n words before each token, the nearest first; len(h) is the start, len(h) + 1 what stands before it."""
+        size = len(self.code)
         at = np.arange(size) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
         out = []
         for j in range(n):
-            v = np.full(size, NONE)
-            v[j + 1 :] = self.tokens[: max(size - j - 1, 0)]
-            v[at == j], v[at < j] = START, NONE
+            v = np.full(size, len(self.h) + 1)
+            v[j + 1 :] = self.code[: max(size - j - 1, 0)]
+            v[at == j], v[at < j] = len(self.h), len(self.h) + 1
             out.append(v)
         return out
 
@@ -157,12 +197,17 @@ def runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
     yield from zip(values.tolist(), lo.tolist(), np.r_[lo[1:], len(part)][: len(lo)].tolist(), strict=True)
 
 
-def dealt(part: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """Each part that occurs, with its slices of the arrays (kept in their order)."""
-    order = np.argsort(part, kind="stable")
-    arrays = {f: a[order] for f, a in arrays.items()}
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs, and where."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
     for p, a, b in runs(part[order]):
-        yield p, {f: x[a:b] for f, x in arrays.items()}
+        yield p, order[a:b]
+
+
+def dealt(part: np.ndarray, arrays: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Each part that occurs, with its rows of the arrays."""
+    for p, own in by_part(part):
+        yield p, {f: a[own] for f, a in arrays.items()}
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
@@ -175,6 +220,27 @@ def _blobs(t: pa.Table) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
         yield kind, unpacked(np.frombuffer(a.as_buffer(), np.uint8))
 
 
+class Vocabulary:
+    """Numbers of words by the mapped hashes."""
+
+    def __init__(self, root: str, parts: int) -> None:
+        self.parts, self.open = parts, lru_cache(MAPS)(Store(root).open)
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Of hashes, then of the start and of what stands before it."""
+        out = np.r_[np.full(len(h), UNKNOWN), START, NONE]
+        for p, own in by_part(part_of(h, self.parts)):
+            if x := self.open(f"words-{p}"):
+                at = np.minimum(np.searchsorted(x["h"], h[own]), len(x["h"]) - 1)
+                ok = x["h"][at] == h[own]
+                out[own[ok]] = number(at[ok], p, self.parts)
+        return out
+
+
+def number(at: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return (at * parts + part + 2).astype(np.uint64)
+
+
 def _word_task(parts: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -184,8 +250,8 @@ def _word_task(parts: int):  # noqa: ANN202
                 yield from _rows([(p, 0, packed(x))]).to_batches()
 
         for b in chunks(batches):
-            k, c = np.unique(Sequence(b.column("text")).tokens, return_counts=True)
-            keys, n, _ = summed(np.r_[keys, k], np.r_[n, c])
+            s = Sequence(b.column("text"))
+            keys, n, _ = summed(np.r_[keys, s.h], np.r_[n, np.bincount(s.code, minlength=len(s.h))])
             if len(keys) > PENDING:
                 yield from handed_on()
                 keys, n = keys[:0], n[:0]
@@ -194,21 +260,23 @@ def _word_task(parts: int):  # noqa: ANN202
     return run
 
 
-def _word_part(root: str):  # noqa: ANN202
+def _word_part(root: str, parts: int):  # noqa: ANN202
     def run(key: tuple, t: pa.Table) -> pa.Table:
         blobs = [x for _, x in _blobs(t)]
+        p = key[0].as_py()
         h, c, _ = summed(np.concatenate([x["h"].astype(np.uint64) for x in blobs]), np.concatenate([x["c"].astype(np.int64) for x in blobs]))
-        Store(root).write(f"words-{key[0].as_py()}", {"h": h, "c": c})
+        Store(root).write(f"words-{p}", {"h": h, "c": c})
         big = np.argsort(-c, kind="stable")[: 2 * HOT]
-        return pa.table({"tokens": [int(c.sum())], "words": [len(h)], "top": pa.array([h[big].view(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([c[big].tolist()], pa.list_(pa.int64()))})
+        return pa.table({"tokens": [int(c.sum())], "words": [len(h)], "top": pa.array([number(big, p, parts).astype(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([c[big].tolist()], pa.list_(pa.int64()))})
 
     return run
 
 
-def _gram_task(order: int, parts: int, hot: np.ndarray):  # noqa: ANN202
-    """Hands on distinct n-grams by part; their words are numbers into the blob's own list of hashes."""
+def _gram_task(root: str, order: int, parts: int, hot: np.ndarray):  # noqa: ANN202
+    """Hands on distinct n-grams by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(root, parts)
         held: list[list[np.ndarray]] = []  # columns w, v1, v2 ..., n
 
         def add_up() -> None:
@@ -219,15 +287,13 @@ def _gram_task(order: int, parts: int, hot: np.ndarray):  # noqa: ANN202
         def handed_on() -> Iterator[pa.RecordBatch]:
             w, *v, n = held.pop()
             for p, x in dealt(home(v[0], pair(v[0], w), hot, parts), {"w": w, **{f"v{j}": a for j, a in enumerate(v)}, "n": n}):
-                n = x.pop("n")
-                words, code = np.unique(np.concatenate(list(x.values())), return_inverse=True)
-                code = code.reshape(order, -1)
-                sort = np.lexsort(code[[0, *range(order - 1, 0, -1)]])  # by the nearest word first: runs shrink in the shuffle
-                yield from _rows([(p, 0, packed({"words": words, **dict(zip(x, code[:, sort], strict=True)), "n": n[sort]}))]).to_batches()
+                sort = np.lexsort([x["w"], *[x[f"v{j}"] for j in range(order - 2, -1, -1)]])  # by the nearest word first: runs shrink too
+                yield from _rows([(p, len(sort), packed({f: planes(a[sort]) for f, a in x.items()}))]).to_batches()
 
         for b in chunks(batches):
             s = Sequence(b.column("text"))
-            held.append([s.tokens, *s.history(order - 1), np.ones(len(s.tokens), np.int64)])
+            of = vocabulary.numbers(s.h)
+            held.append([of[s.code], *[of[v] for v in s.history(order - 1)], np.ones(len(s.code), np.int64)])
             if sum(len(x[0]) for x in held) > PENDING:
                 add_up()
                 if len(held[0][0]) * 2 > PENDING:
@@ -249,19 +315,26 @@ def _stats(ctx: np.ndarray, a: np.ndarray) -> dict[str, np.ndarray]:
 def _split(x: dict[str, np.ndarray], last: str) -> dict[str, np.ndarray]:
     """Those whose sum (and so everything else) is one are kept as keys alone."""
     more = x[last] > 1
-    return {"one": x["k"][~more], **{f: a[more] for f, a in x.items()}}
+    return {**compact("one", x["k"][~more]), **compact("k", x["k"][more]), **{f: a[more] for f, a in x.items() if f != "k"}}
 
 
 def _gram_part(root: str, order: int, parts: int, hot: np.ndarray):  # noqa: ANN202
     """Writes the part's n-grams of all orders and its contexts of two words or more. Hands on, with their kind: contexts of one word and
-    those of hot words (their length), each word's number of contexts (0), and how many n-grams have the counts 1 to 4 (the order, negative)."""
+    those of hot words (their length), each word's number of contexts (0), how many n-grams have the counts 1 to 4 (the order, negative), and
+    the start's numbers (-1)."""
+
+    def by_word(k: np.ndarray, x: dict[str, np.ndarray], kind: int) -> list[tuple[int, int, bytes]]:
+        own = k != START
+        place = (k[own] - np.uint64(2)).astype(np.int64)
+        each = dealt(place % parts, {"at": place // parts, **{f: a[own] for f, a in x.items()}})
+        return [(q, kind, packed(y)) for q, y in each]
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         p, store = key[0].as_py(), Store(root)
-        blobs = [x for _, x in _blobs(t)]
-        w, *v = [np.concatenate([b["words"].astype(np.uint64)[b[f]] for b in blobs]) for f in ("w", *[f"v{j}" for j in range(order - 1)])]
-        _, n, at = summed(pair(context(v), w), np.concatenate([b["n"].astype(np.int64) for b in blobs]))
+        blobs = list(_blobs(t))
+        w, *v, n = [np.concatenate([numbers(b[f], size) for size, b in blobs]) for f in ("w", *[f"v{j}" for j in range(order - 1)], "n")]
         del blobs
+        _, n, at = summed(pair(context(v), w), n.astype(np.int64))
         w, v = w[at], [x[at] for x in v]
         rows: list[tuple[int, int, bytes]] = []
         own = np.flatnonzero(v[-1] != NONE)
@@ -281,9 +354,12 @@ def _gram_part(root: str, order: int, parts: int, hot: np.ndarray):  # noqa: ANN
             if k > 2:
                 store.write(f"own{k - 1}-{p}", _split(_stats(ctx[~far], a[~far]), "t"))
             x = _stats(ctx[far], a[far])
-            rows += [(q, k - 1, packed(y)) for q, y in dealt(part_of(x["k"], parts), x)]
+            if k > 2:
+                rows += [(q, k - 1, packed(y)) for q, y in dealt(part_of(x["k"], parts), x)]
+        rows += [(p, -1, packed({"n": np.r_[0, *[x[f][x["k"] == START].sum() for f in STATS]]}))]
+        rows += by_word(x.pop("k"), x, 1)
         words, cc = np.unique(w[own], return_counts=True)
-        rows += [(q, 0, packed(y)) for q, y in dealt(part_of(words, parts), {"k": words, "n": cc})]
+        rows += by_word(words, {"n": cc}, 0)
         return _rows(rows)
 
     return run
@@ -295,21 +371,20 @@ def _finish_part(root: str, order: int):  # noqa: ANN202
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         p, store = key[0].as_py(), Store(root)
-        h = store.open(f"words-{p}").get("h", np.empty(0, np.uint64)).astype(np.uint64)
-        word = {f: np.zeros(len(h), np.int64) for f in ("cc", *STATS)}
-        start, counts = np.zeros(4, np.int64), {k: np.zeros(4, np.int64) for k in range(1, order + 1)}
+        size = len(store.open(f"words-{p}").get("h", ()))
+        word = {f: np.zeros(size, np.int64) for f in ("cc", *STATS)}
+        start, counts = np.zeros(5, np.int64), {k: np.zeros(4, np.int64) for k in range(1, order + 1)}
         far: dict[int, list] = {j: [] for j in range(2, order)}
         for kind, x in _blobs(t):
-            if kind < 0:
+            if kind == -1:
+                start += x["n"].astype(np.int64)
+            elif kind < 0:
                 counts[-kind] += x["n"].astype(np.int64)
             elif kind == 0:
-                np.add.at(word["cc"], np.searchsorted(h, x["k"].astype(np.uint64)), x["n"].astype(np.int64))
+                word["cc"][x["at"]] += x["n"].astype(np.int64)
             elif kind == 1:
-                own = x["k"] != START
-                at = np.searchsorted(h, x["k"][own].astype(np.uint64))
-                for i, f in enumerate(STATS):
-                    np.add.at(word[f], at, x[f][own].astype(np.int64))
-                    start[i] += int(x[f][~own].sum())
+                for f in STATS:
+                    word[f][x["at"]] += x[f].astype(np.int64)
             else:
                 far[kind].append(x)
         for j, found in far.items():
@@ -317,10 +392,10 @@ def _finish_part(root: str, order: int):  # noqa: ANN202
                 keys = np.concatenate([x["k"].astype(np.uint64) for x in found])
                 each = {f: summed(keys, np.concatenate([x[f].astype(np.int64) for x in found])) for f in STATS}
                 store.write(f"far{j}-{p}", _split({"k": each["t"][0], **{f: y[1] for f, y in each.items()}}, "t"))
-        if len(h):
+        if size:
             store.write(f"ends-{p}", word)
         counts[1] += np.bincount(np.minimum(word["cc"], 5), minlength=6)[1:5]
-        rows = [(0, 0, int(word["cc"].sum())), *[(-1, i, int(x)) for i, x in enumerate(start)], *[(k, i, int(x)) for k, c in counts.items() for i, x in enumerate(c)]]
+        rows = [(0, 0, int(word["cc"].sum())), *[(-1, i, int(x)) for i, x in enumerate(start[1:])], *[(k, i, int(x)) for k, c in counts.items() for i, x in enumerate(c)]]
         o, i, n = zip(*rows, strict=True)
         return pa.table({"order": pa.array(o, pa.int32()), "i": pa.array(i, pa.int32()), "n": pa.array(n, pa.int64())})
 
@@ -361,14 +436,14 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts, root = max(4, -(-size // PART_BYTES)), scratch(spark, "lm")
     blobs = d.mapInArrow(_word_task(parts), HANDED)
-    found = blobs.groupBy("part").applyInArrow(_word_part(root), "tokens long, words long, top array<long>, top_n array<long>")
+    found = blobs.groupBy("part").applyInArrow(_word_part(root, parts), "tokens long, words long, top array<long>, top_n array<long>")
     found = settle(found, "lm-words")
     tokens, words = (x or 0 for x in found.agg(F.sum("tokens"), F.sum("words")).first())
     hot = found.select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).where(F.col("t.top_n") * HOT > tokens).select("t.top")
-    hot = np.r_[np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64), START]  # HOT rows at most
-    blobs = d.mapInArrow(_gram_task(order, parts, hot), HANDED)
-    grams = settle(blobs.groupBy("part").applyInArrow(_gram_part(root, order, parts, hot), HANDED), "lm-grams")
-    ends = settle(grams.groupBy("part").applyInArrow(_finish_part(root, order), "order int, i int, n long"), "lm-ends")
+    hot = np.array([START, *[r[0] for r in hot.collect()]], np.uint64)  # HOT rows at most
+    blobs = d.mapInArrow(_gram_task(root, order, parts, hot), HANDED)
+    grams = blobs.groupBy("part").applyInArrow(_gram_part(root, order, parts, hot), HANDED)
+    ends = grams.groupBy("part").applyInArrow(_finish_part(root, order), "order int, i int, n long")
     each = {(r.order, r.i): r.n for r in ends.groupBy("order", "i").agg(F.sum("n").alias("n")).collect()}  # 4 * order + 5 rows
     d_of = {k: discounts([each.get((k, i), 0) for i in range(4)]) for k in range(1, order + 1)}
     kinds, cc = [each.get((1, i), 0) for i in range(2)], each.get((0, 0), 0)
@@ -376,50 +451,47 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     return Model(root, order, parts, hot, tokens, words, [each.get((-1, i), 0) for i in range(4)], d_of, cc, spare)
 
 
-def _find(sorted_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Positions of keys, -1 where absent."""
-    if not len(sorted_):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_, keys), len(sorted_) - 1)
-    return np.where(sorted_[at] == keys, at, -1)
-
-
 class Reader:
     """A worker's view of the mapped arrays."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.open = model, lru_cache(MAPS)(Store(model.root).open)
-
-    def _look(self, names: list[str], part: np.ndarray, keys: np.ndarray, key: str, fields: list[str], one: dict[str, int]) -> dict[str, np.ndarray]:
-        """The fields of keys, by the parts that they fall into; zero where absent."""
-        out = {f: np.zeros(len(keys), np.int64) for f in fields}
-        order = np.lexsort((keys, part))
-        for p, a, b in runs(part[order]):
-            own, x = order[a:b], {f: y for name in names for f, y in self.open(f"{name}-{p}").items()}
-            if not x:
-                continue
-            at = _find(x[key], keys[own])
-            for f in fields:
-                out[f][own[at >= 0]] = x[f][at[at >= 0]]
-            if one:
-                single = own[_find(x["one"], keys[own]) >= 0]
-                for f, y in one.items():
-                    out[f][single] = y
+        self.m, self.vocabulary = model, Vocabulary(model.root, model.parts)
+        self.open = self.vocabulary.open
+
+    def words(self, of: np.ndarray) -> dict[str, np.ndarray]:
+        """Of words' numbers: c, cc and the numbers of n-grams that follow; zero for unknown words."""
+        out = {f: np.zeros(len(of), np.int64) for f in ("c", "cc", *STATS)}
+        known = np.flatnonzero((of > START) & (of != UNKNOWN))
+        place = (of[known] - np.uint64(2)).astype(np.int64)
+        for p, own in by_part(place % self.m.parts):
+            x = {**self.open(f"words-{p}"), **self.open(f"ends-{p}")}
+            for f, a in out.items():
+                a[known[own]] = x[f][place[own] // self.m.parts]
+        for f, n in zip(STATS, self.m.start, strict=True):
+            out[f][of == START] = n
         return out
 
-    def words(self, h: np.ndarray) -> dict[str, np.ndarray]:
-        """Of distinct hashes: c, cc and the numbers of n-grams that follow."""
-        return self._look(["words", "ends"], part_of(h, self.m.parts), h, "h", ["c", "cc", *STATS], {})
+    def _look(self, name: str, part: np.ndarray, keys: np.ndarray, one: dict[str, int]) -> dict[str, np.ndarray]:
+        """What the parts hold of ordered keys: the values of one for those kept as keys alone, zero where absent."""
+        out = {f: np.zeros(len(keys), np.int64) for f in one}
+        for p, own in by_part(part):
+            if x := self.open(f"{name}-{p}"):
+                at = find_compact(x, "k", keys[own])
+                single = own[(at < 0) & (find_compact(x, "one", keys[own]) >= 0)]
+                for f, n in one.items():
+                    out[f][own[at >= 0]] = x[f][at[at >= 0]]
+                    out[f][single] = n
+        return out
 
     def grams(self, k: int, near: np.ndarray, w: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return self._look([f"gram{k}"], home(near, pair(near, w), self.m.hot, self.m.parts), g, "k", ["n"], {"n": 1})["n"]
+        return self._look(f"gram{k}", home(near, pair(near, w), self.m.hot, self.m.parts), g, {"n": 1})["n"]
 
     def contexts(self, j: int, near: np.ndarray, ctx: np.ndarray) -> dict[str, np.ndarray]:
         """The numbers of contexts of two words or more."""
         out = {f: np.zeros(len(ctx), np.int64) for f in STATS}
         hot, part = np.isin(near, self.m.hot), home(near, ctx, self.m.hot, self.m.parts)
         for name, own in (("own", ~hot), ("far", hot)):
-            found = self._look([f"{name}{j}"], part[own], ctx[own], "k", list(STATS), {"n1": 1, "t": 1})
+            found = self._look(f"{name}{j}", part[own], ctx[own], dict(zip(STATS, (1, 0, 0, 1), strict=True)))
             for f in STATS:
                 out[f][own] = found[f]
         return out
@@ -431,30 +503,29 @@ class Reader:
     def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
         """Of each text: n_tokens, n_known, base_score, score."""
         m, s = self.m, Sequence(texts)
-        h, code = np.unique(s.tokens, return_inverse=True)
-        word = self.words(h)
+        of = self.vocabulary.numbers(s.h)
+        word = self.words(of)
         base = np.log10((word["c"] + PSEUDO) / (m.tokens + PSEUDO * (m.words + 1)))
-        p = ((word["cc"] - self._discount(word["cc"], m.d[1])).clip(0) / max(m.cc, 1) + m.spare / (m.words + 1))[code]
-        v = s.history(m.order - 1)
+        p = ((word["cc"] - self._discount(word["cc"], m.d[1])).clip(0) / max(m.cc, 1) + m.spare / (m.words + 1))[s.code]
+        codes = s.history(m.order - 1)
+        w, v = of[s.code], [of[c] for c in codes]
         for k in range(2, m.order + 1):
             at = np.flatnonzero(v[k - 2] != NONE)
             ctx, near = context([x[at] for x in v[: k - 1]]), v[0][at]
-            c, c_at, c_of = np.unique(ctx, return_index=True, return_inverse=True)
             if k == 2:
-                x = self.words(c)
-                for f, y in zip(STATS, m.start, strict=True):
-                    x[f][c == START] = y
+                x, c_of = word, codes[0][at]
             else:
+                c, c_at, c_of = np.unique(ctx, return_index=True, return_inverse=True)
                 x = self.contexts(k - 1, near[c_at], c)
-            g, g_at, g_of = np.unique(pair(ctx, s.tokens[at]), return_index=True, return_inverse=True)
-            n = self.grams(k, near[g_at], s.tokens[at][g_at], g)
+            g, g_at, g_of = np.unique(pair(ctx, w[at]), return_index=True, return_inverse=True)
+            n = self.grams(k, near[g_at], w[at][g_at], g)
             seen = np.maximum(x["t"], 1)
             gamma = np.where(x["t"] > 0, sum(d * x[f] for f, d in zip(STATS, m.d[k], strict=False)) / seen, 1.0)
             p[at] = (n - self._discount(n, m.d[k]))[g_of] / seen[c_of] + gamma[c_of] * p[at]
         return {
             "n_tokens": s.counts,
-            "n_known": runs_sum((word["c"] > 0)[code].astype(float), s.counts).astype(np.int64),
-            "base_score": runs_sum(base[code], s.counts),
+            "n_known": runs_sum((word["c"] > 0)[s.code].astype(float), s.counts).astype(np.int64),
+            "base_score": runs_sum(base[s.code], s.counts),
             "score": runs_sum(np.log10(p), s.counts),
         }
 
