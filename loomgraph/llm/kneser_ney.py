@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import scratch, settle
-from loomgraph.llm.tokens import Words, chunks, runs_sum
+from loomgraph.llm.tokens import CHUNK, Words, chunks, runs_sum
 
 #: Words in the longest n-grams.
 ORDER = 3
@@ -35,6 +35,8 @@ END, NONE, START, UNKNOWN = np.uint64(0xE2D0F7A95C1B4483), np.uint64(0), np.uint
 PART_BYTES, HOT = 8_000_000, 64
 #: Entries that a task gathers before it adds them up, and hands them on if over half are distinct.
 PENDING = 2_000_000
+#: Bytes of text that a task scores at a time: more of them spread the visit to each part over more n-grams.
+SCORED = 2 * CHUNK
 #: Files that a worker keeps mapped.
 MAPS = 16_384
 PSEUDO = 0.5
@@ -181,14 +183,14 @@ class Store:
         fs, path = self._fs()
         at = f"{path}/{name}"
         if fs is None:
-            return unpacked(np.memmap(at, np.uint8, "r")) if os.path.exists(at) else {}
+            return unpacked(np.asarray(np.memmap(at, np.uint8, "r"))) if os.path.exists(at) else {}
         if not fs.get_file_info(at).is_file:
             return {}
         with tempfile.NamedTemporaryFile() as t, fs.open_input_stream(at) as f:
             while block := f.read(1 << 22):
                 t.write(block)
             t.flush()
-            return unpacked(np.memmap(t.name, np.uint8, "r"))
+            return unpacked(np.asarray(np.memmap(t.name, np.uint8, "r")))
 
 
 def runs(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -477,7 +479,8 @@ class Reader:
         for p, own in by_part(part):
             if x := self.open(f"{name}-{p}"):
                 at = find_compact(x, "k", keys[own])
-                single = own[(at < 0) & (find_compact(x, "one", keys[own]) >= 0)]
+                single = own[at < 0]
+                single = single[find_compact(x, "one", keys[single]) >= 0]
                 for f, n in one.items():
                     out[f][own[at >= 0]] = x[f][at[at >= 0]]
                     out[f][single] = n
@@ -542,7 +545,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             _readers.clear()
             _readers[model.root] = Reader(model)
         reader = _readers[model.root]
-        for b in chunks(batches):
+        for b in chunks(batches, chars=SCORED):
             r = reader.score(b.column("text"))
             new = [pa.array(x) for x in (r["n_tokens"], r["n_known"], np.full(b.num_rows, model.tokens), r["base_score"], r["score"], 10 ** (-r["score"] / r["n_tokens"]))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *new], [f.split()[0] for f in fields.split(", ")])
