@@ -23,6 +23,8 @@ END = "\u0003"
 #: Of the labelled urls, those with this remainder calibrate the threshold, the others train.
 FOLDS, CALIBRATE = 5, 0
 STEP, REACH = 0.01, 5.0
+#: A gram that makes up more than one in HOT of all is frequent: there are fewer than HOT of these, whatever the input.
+HOT = 1 << 16
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -78,6 +80,22 @@ def ratios(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFr
     return d.select("gram", (F.ln("pa") - F.ln("pb")).alias("llr"))
 
 
+def mean_ratios(grams: DataFrame, table: DataFrame) -> DataFrame:
+    """(text, score) from rows (text, gram) and the table (gram, times, llr) of all their grams: the mean ratio, one row a text.
+
+    Frequent grams, fewer than HOT by their share of all, are broadcast, so none of their rows is shuffled by gram. The others are
+    joined by gram, and none of them has more than one in HOT of the rows.
+    """
+    total = table.agg(F.sum("times")).first()[0] or 0
+    often = F.col("times") > total / HOT
+    hot = F.broadcast(table.where(often).select("gram", "llr"))
+    rare = grams.join(hot.select("gram"), "gram", "left_anti").join(table.where(~often).select("gram", "llr"), "gram")
+    sums = [F.sum("llr").alias("llr"), F.count("*").alias("chars")]
+    parts = [d.groupBy("text").agg(*sums) for d in (grams.join(hot, "gram"), rare)]
+    both = parts[0].unionByName(parts[1]).groupBy("text").agg(F.sum("llr").alias("llr"), F.sum("chars").alias("chars"))
+    return both.select("text", F.round(F.col("llr") / F.col("chars"), 9).alias("score"))
+
+
 def calibrate(scored: DataFrame) -> float:
     """The threshold on (score, verdict, n) with the least balanced error, from a histogram of REACH / STEP * 2 bins; 0 without rows of both."""
     bins = scored.groupBy(F.floor(F.greatest(F.lit(-REACH), F.least(F.lit(REACH), "score")) / STEP).alias("bin")).pivot("verdict", ["allow", "block"]).agg(F.sum("n"))
@@ -110,8 +128,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
     fold = F.pmod(F.crc32("text"), F.lit(FOLDS))
     model = train(texts.where(F.col("verdict").isNotNull() & (fold != CALIBRATE)).select("text", "verdict", "n"))
     grams = _grams(texts, ["text"])
-    table = settle(ratios(grams.select("gram").distinct(), model), "ratios")
-    scores = grams.join(table, "gram").groupBy("text").agg(F.round(F.avg("llr"), 9).alias("score"))
+    times = settle(grams.groupBy("gram").agg(F.count("*").alias("times")), "times")
+    table = settle(ratios(times.select("gram"), model).join(times, "gram"), "ratios")
+    scores = mean_ratios(grams, table)
     scored = settle(texts.join(scores, "text").select("text", "host", "path", "rule", "verdict", "n", "score"), "scores")
     least = calibrate(scored.where(F.col("verdict").isNotNull() & (fold == CALIBRATE)))
     said = F.coalesce("verdict", F.when(F.col("score") >= least, "allow").otherwise("block"))
