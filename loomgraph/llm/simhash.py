@@ -30,17 +30,17 @@ def likeness(hi: Column, lo: Column, hi2: Column, lo2: Column) -> Column:
 
 
 def next_keys(keys: DataFrame) -> DataFrame:
-    """For distinct rows (doc_id, h, n): the row before each in descending doc_id, then h, nulls last; before the first comes the last.
+    """For distinct rows (doc_id, h, n, copies): the row before each in descending doc_id, then h, nulls last; before the first comes the last.
 
     Rows are dealt by splits of the doc_id range; only the last row of each range (65 at most) meets the others' ends.
     """
     splits = keys.agg(F.percentile_approx("doc_id", [i / SPLITS for i in range(1, SPLITS)], 10_000)).first()[0] or []
     above = F.filter(F.array(*[F.lit(x) for x in sorted(set(splits))]), lambda s: s >= F.col("doc_id")) if splits else None
     part = F.lit(0) if above is None else F.when(F.col("doc_id").isNull(), SPLITS + 1).otherwise(F.size(above))
-    row = F.struct("doc_id", "h", "n")
+    row = F.struct("doc_id", "h", "n", "copies")
     w = Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), "h")
     d = keys.withColumn("part", part).withColumn("before", F.lag(row).over(w)).withColumn("after", F.lead(row).over(w))
-    d = settle(d.select("doc_id", "h", "n", "part", "before", F.col("after").isNull().alias("ends")), "order")
+    d = settle(d.select("doc_id", "h", "n", "copies", "part", "before", F.col("after").isNull().alias("ends")), "order")
     ends = d.where("ends").select("part", row.alias("last"))
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = ends.select("part", F.coalesce(F.lag("last").over(Window.orderBy("part")), F.last("last").over(every)).alias("last"))
@@ -51,13 +51,14 @@ def next_keys(keys: DataFrame) -> DataFrame:
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its edited text and of the next document.
 
-    Null texts count as empty; empty texts have fingerprint 0. Rows that repeat doc_id and text become one row; different texts under
-    one doc_id stay rows of their own, in the order of their hash; null doc_ids come last. Other columns are not read.
+    Null texts count as empty; empty texts have fingerprint 0. Rows that repeat doc_id and text are fingerprinted as one document, whose
+    next is the next other one, and each has its row in the result; different texts under one doc_id follow each other in the order
+    of their hash; null doc_ids come last. Other columns are not read.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # k and h name a row without nulls, so that joins and sums by them share one way of dealing rows out
     d = d.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), F.length("text").alias("n"), "text")
-    order = settle(next_keys(d.select("doc_id", "h", "n").distinct()), "next").withColumn("k", F.coalesce("doc_id", F.lit(0)))
+    order = settle(next_keys(d.groupBy("doc_id", "h", "n").agg(F.count("*").alias("copies"))), "next").withColumn("k", F.coalesce("doc_id", F.lit(0)))
     before_k = F.coalesce("before.doc_id", F.lit(0))
     t = d.join(order.select("k", "h", "before"), ["k", "h"]).select("k", "h", "n", "text", "before")
     # reads n as the join below does, so that both share one exchange of the texts
@@ -69,9 +70,10 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     v = votes(own.select(*keys, "t.edit", "t.text"), [*keys, "edit"])
     both = v.groupBy(*keys).agg(*[F.max(F.when(F.col("edit") == e, F.col(c))).alias(f"{c}{e}") for e in (0, 1) for c in ("hi", "lo")])
     both = settle(both, "votes")
-    nxt = order.select(before_k.alias("k"), F.col("before.h").alias("h"), F.col("before.doc_id").alias("doc_id"), F.col("k").alias("next_k"), F.col("h").alias("next_h"))
+    nxt = order.select(before_k.alias("k"), F.col("before.h").alias("h"), F.col("before.doc_id").alias("doc_id"), F.col("before.copies").alias("copies"), F.col("k").alias("next_k"), F.col("h").alias("next_h"))
     b = both.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("hi0").alias("hi2"), F.col("lo0").alias("lo2"))
-    return both.join(nxt, ["k", "h"]).join(b, ["next_k", "next_h"])
+    d = both.join(nxt, ["k", "h"]).join(b, ["next_k", "next_h"])
+    return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
 
 
 def report(docs: DataFrame) -> DataFrame:

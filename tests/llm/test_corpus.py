@@ -194,10 +194,34 @@ def test_op3(spark, small):
 
 def test_op3_odd(odd, none):
     got = simhash.report(odd).collect()
-    assert len(got) == len(ODD) + 1 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert len(got) == odd.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    again = [r for r in got if r.doc_id == 3]
+    assert len(again) == 2 and again[0] == again[1]
     assert simhash.report(none).count() == 0
 
 
+def test_op3_fingerprint_is_the_weighted_vote_of_all_terms(odd):
+    """Bit by bit, with the hash function of another library: each word triple votes for its two hashes' bits by its weight."""
+
+    def brute(t):
+        w = words(t)
+        votes, total = np.zeros(128), 0
+        for term in [w[i : i + 3] for i in range(len(w) - 2)] or ([w] if w else []):
+            h1, h2 = 42, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+            for x in term:
+                h1, h2 = xxhash.xxh64_intdigest(x.encode(), h1), xxhash.xxh64_intdigest(x.encode(), h2)
+            weight = 2 if len(" ".join(term).encode()) > simhash.LONG_TERM else 1
+            votes += weight * np.array([h1 >> b & 1 for b in range(63, -1, -1)] + [h2 >> b & 1 for b in range(63, -1, -1)])
+            total += weight
+        return f"{int(''.join('01'[int(2 * v > total)] for v in votes), 2):032x}"
+
+    got = {(r.doc_id, r.n_chars): r.fingerprint for r in simhash.report(odd).collect()}
+    for i, t in enumerate(ODD):
+        if t != ODD[7]:
+            assert got[i, len(t or "")] == brute(t), i
+    assert got[None, 5] == brute("a b c")
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(128) for _ in range(60)]
@@ -288,6 +312,25 @@ def test_op6_models_read_the_whole_url(spark):
     assert len({got[i].score for i in range(7)}) == 7 and got[2].score == got[7].score and got[2].score > got[3].score
 
 
+def test_op6_scores_are_plain_means_whatever_is_frequent(spark, monkeypatch):
+    """All grams rare, some frequent or all frequent: a url's score is the mean ratio of its grams, repeated ones included."""
+    rng = random.Random(6)
+    urls = [f"http://x{rng.randrange(5)}.org/" + "ab" * rng.randrange(30) for _ in range(50)] + [""]
+    grams = url_lm._grams(spark.createDataFrame([(u,) for u in sorted(set(urls))], "text string"), ["text"])
+    pairs = [(r.text, r.gram) for r in grams.collect()]
+    times = Counter(g for _, g in pairs)
+    ratio = {g: rng.uniform(-1, 1) for g in times}
+    table = spark.createDataFrame([(g, n, ratio[g]) for g, n in times.items()], "gram string, times long, llr double")
+    want = defaultdict(list)
+    for t, g in pairs:
+        want[t].append(ratio[g])
+    for hot in (1, 40, 1 << 16):
+        monkeypatch.setattr(url_lm, "HOT", hot)
+        got = {r.text: r.score for r in url_lm.mean_ratios(grams, table).collect()}
+        assert got.keys() == want.keys() and all(got[t] == pytest.approx(np.mean(x), abs=1e-8) for t, x in want.items())
+    assert url_lm.mean_ratios(grams.limit(0), table.limit(0)).count() == 0
+
+
 def test_op6_model_is_the_smoothed_ratio(spark):
     """Scores equal those of a plain implementation of the two models."""
     labelled = [("a.com/x1", "allow", 2), ("b.com/yy", "allow", 1), ("c.net/es/1", "block", 1), ("d.net/fr/q", "block", 3)]
