@@ -40,12 +40,14 @@ def latest_by(df: DataFrame, key: list[str], order: list[str], columns: list[str
     return df.groupBy(*key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("__last")).select(*key, "__last.*")
 
 
-def changes(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
-    """created, updated and archived rows between two snapshots with the same columns and a status."""
-    columns = [c for c in before.columns if c != key]
-    b, a = before.select(key, F.struct(*columns).alias("b")), after.select(key, F.struct(*columns).alias("a"))
-    kind = F.when(F.col("b").isNull(), "created").when((F.col("a.status") == "archived") & (F.col("b.status") != "archived"), "archived").when(~F.col("a").eqNullSafe(F.col("b")), "updated")
-    return b.join(a, key, "full_outer").where(F.col("a").isNotNull()).select(key, kind.alias("change"), "a.*").where(F.col("change").isNotNull())
+def changes(before: DataFrame, after: DataFrame, *key: str) -> DataFrame:
+    """created, updated and archived rows between two snapshots with the same columns, by key (id); archived: a column status became so."""
+    key = key or ("id",)
+    columns = [c for c in before.columns if c not in key]
+    b, a = before.select(*key, F.struct(*columns).alias("b")), after.select(*key, F.struct(*columns).alias("a"))
+    gone = (F.col("a.status") == "archived") & (F.col("b.status") != "archived") if "status" in columns else F.lit(False)
+    kind = F.when(F.col("b").isNull(), "created").when(gone, "archived").when(~F.col("a").eqNullSafe(F.col("b")), "updated")
+    return b.join(a, list(key), "full_outer").where(F.col("a").isNotNull()).select(*key, kind.alias("change"), "a.*").where(F.col("change").isNotNull())
 
 
 def first_of_key(df: DataFrame, key: list[str], order: list[Column]) -> Column:

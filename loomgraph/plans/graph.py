@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import scalars as X
 from loomgraph.operators import folds, paths, retention, tables, timeline
 from loomgraph.plans.base import ACCESSED, ACTIVE, DAY, FILES, FOCUSED, NEAREST, NOW, OPENED, PART_OF, ROOTS, E, activity, roots, sql, table
+from loomgraph.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,11 +112,15 @@ ANNOTATED = """SELECT *, CASE WHEN type = 'app.presence.clear' THEN 1 ELSE 0 END
            select="""SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', strpos('0123456789abcdef', substr(h, 17, 1)) % 4 + CASE WHEN strpos('0123456789abcdef', substr(h, 17, 1)) % 4 = 0 THEN 4 ELSE 0 END, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id,
  target_type, target_id, namespace, data, created_at, last_modified FROM H"""))
 def annotation_state(spark, sf):  # noqa: ANN001, ANN201
-    e = activity(spark, sf).where("type <> 'file.opened'")
+    return folds.annotation_state(annotated(activity(spark, sf)))
+
+
+def annotated(events: DataFrame) -> DataFrame:
+    """All events but opened files as annotations of files, set or cleared."""
+    e = events.where("type <> 'file.opened'")
     kind = F.when(F.col("type") == "app.presence.clear", "app.annotation.cleared").otherwise("app.annotation.set")
     data = F.concat(F.lit('{"v":'), F.col("k").cast("string"), F.lit("}"))
-    d = e.withColumns({"type": kind, "target_type": F.lit("File"), "target_id": F.col("path"), "namespace": F.col("app_id"), "data_json": data})
-    return folds.annotation_state(d)
+    return e.withColumns({"type": kind, "target_type": F.lit("File"), "target_id": F.col("path"), "namespace": F.col("app_id"), "data_json": data})
 
 
 @query(f"SELECT id, target_id, namespace, data FROM ({SQL['annotation_state']}) WHERE target_id LIKE '/k/%7' OR (target_id LIKE '/k/%3' AND namespace = 'app3')")
@@ -140,7 +144,7 @@ def subscription_filter(spark, sf):  # noqa: ANN001, ANN201
 
 @query(sql(E, select=f'SELECT id, "timestamp" FROM E WHERE "timestamp" > {NOW - 20 * DAY}'))
 def incremental_range(spark, sf):  # noqa: ANN001, ANN201
-    return activity(spark, sf).select("id", "timestamp").where(F.col("timestamp") > NOW - 20 * DAY)
+    return streams.drop_late(activity(spark, sf).select("id", "timestamp"), NOW - 20 * DAY)
 
 
 def _graph(spark, sf):  # noqa: ANN001, ANN202
@@ -284,4 +288,4 @@ def compact_survivors(spark, sf):  # noqa: ANN001, ANN201
 
 @query(sql(E, select="SELECT strftime(make_timestamp(\"timestamp\"), '%Y-%m-%d') AS day, type, count(*) AS n FROM E GROUP BY 1, 2"))
 def day_counts(spark, sf):  # noqa: ANN001, ANN201
-    return activity(spark, sf).groupBy(X.micros_to_date(F.col("timestamp")).alias("day"), "type").agg(F.count("*").alias("n"))
+    return streams.day_counts(activity(spark, sf)).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "type", "n")
