@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,6 @@ def score(a: str, b: str, unique: list[str], fuzzy: dict[str, float]) -> tuple[C
     return F.when(present > 0, total / present).otherwise(0.0), F.array_compact(F.array(*matched))
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """(source_id, target_id): each row (key, id) with the smallest id of its key."""
-    least = rows.groupBy(key).agg(F.min("id").alias("source_id"))
-    return rows.join(least, key).where("source_id <> id").select("source_id", F.col("id").alias("target_id"))
-
-
 def _likely(classes: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of distinct character sets c, a < b, at likeness `least` or more, as arrays.
 
@@ -53,31 +49,58 @@ def _likely(classes: DataFrame, least: float) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _classes(d: DataFrame, unique: list[str], fuzzy: dict[str, float]) -> DataFrame:
+    """Rows (id, e) by their unique fields u (an array, nulls kept) and the character sets of their fuzzy fields c (likewise): score is the same for all members of two classes."""
+    sets = []
+    for f in fuzzy:
+        name = normalize_name(F.col(f"e.{f}"))
+        sets.append(F.when(F.col(f"e.{f}").isNotNull(), F.array_sort(F.array_remove(F.array_distinct(F.split(F.lower(name), "")), ""))))
+    return d.select("id", F.array(*[F.col(f"e.{f}").cast("string") for f in unique]).alias("u"), (F.array(*sets) if sets else F.array().cast("array<array<string>>")).alias("c"))
+
+
 def candidates(entities: DataFrame, entity_type: str, reject: DataFrame | None = None) -> DataFrame:
     """(source_id, target_id, score, matched) of pairs of one type that score enough, source_id < target_id.
 
-    What n rows share gives n - 1 pairs, not all: each row that has a unique value meets the value's smallest id; where a row lacks
-    its unique fields, names decide: rows of one set of characters meet the set's smallest id, and of two similar sets the smallest
-    ids meet, one of them lacking the unique fields. reject: pairs that were turned down before.
+    All pairs that a comparison of each two rows would link are connected by the pairs returned, each of which is such a link; but n
+    rows of equal fields give n - 1 pairs, not all. Rows of equal unique fields and equal character sets of names are one class. Two
+    classes link if no field that both have differs and one agrees (any other outcome stays below the least score); so
+    - members of a class meet its smallest id;
+    - classes that share a unique value meet where their names are alike, and those without a name meet all of them;
+    - classes of like names of which one lacks the unique fields meet: with one fuzzy field, each set of characters has a hub, the
+      smallest id among classes without the unique fields of a like set, that meets all classes of the set, and every other class
+      without them meets the set's smallest id; with several fuzzy fields all such classes meet.
+    Every pair is verified by its score. reject: pairs that were turned down before, which are left out.
     """
     unique, fuzzy, least = CONFIGS[entity_type]
     fields = list(dict.fromkeys([*unique, *fuzzy]))
+    if (len(fields) - 1) / len(fields) >= least > 0 and len(fields) > 1:
+        raise ValueError(f"{entity_type}: a pair with a field that differs could score {least}")
     d = entities.select("id", F.struct(*fields).alias("e"))
-    pairs = None
-    for f in unique:
-        p = _shared(d.where(F.col(f"e.{f}").isNotNull()).select(F.col(f"e.{f}").alias("k"), "id"), "k")
-        pairs = p if pairs is None else pairs.unionByName(p)
-    lacking = " and ".join(f"e.{f} is null" for f in unique)
-    for f, t in fuzzy.items():
-        name = normalize_name(F.col(f"e.{f}"))
-        named = d.where(F.col(f"e.{f}").isNotNull()).where(name != "").select("id", F.array_sort(F.array_remove(F.array_distinct(F.split(F.lower(name), "")), "")).alias("c"), F.expr(lacking).alias("lacks"))
-        classes = named.groupBy("c").agg(F.min("id").alias("first"), F.min(F.when(F.col("lacks"), F.col("id"))).alias("lacking"))
-        own = named.join(classes, "c").where("id <> first and (lacks or first = lacking)").select(F.col("first").alias("source_id"), F.col("id").alias("target_id"))
-        side = lambda x: classes.select(F.col("c").alias(x), F.col("first").alias(f"first_{x}"), F.col("lacking").alias(f"lacking_{x}"))
-        near = _likely(classes, t).join(side("a"), "a").join(side("b"), "b").where("lacking_a is not null or lacking_b is not null")
-        i, j = F.when(F.col("lacking_a").isNotNull(), F.col("lacking_a")).otherwise(F.col("first_a")), F.when(F.col("lacking_a").isNotNull(), F.col("first_b")).otherwise(F.col("lacking_b"))
-        across = near.select(F.least(i, j).alias("source_id"), F.greatest(i, j).alias("target_id"))
-        pairs = pairs.unionByName(own).unionByName(across)
+    rows = _classes(d, unique, fuzzy)
+    classes = rows.groupBy("u", "c").agg(F.min("id").alias("first"))
+    pair = lambda x, y: (F.least(x, y).alias("source_id"), F.greatest(x, y).alias("target_id"))
+    found = [rows.join(classes.select(F.col("u").alias("v"), F.col("c").alias("k"), "first"), F.col("u").eqNullSafe(F.col("v")) & F.col("c").eqNullSafe(F.col("k"))).where("id <> first").select(F.col("first").alias("source_id"), F.col("id").alias("target_id"))]
+    lacks = lambda a: F.forall(a, lambda x: x.isNull())
+    valued = classes.withColumn("value", F.explode(F.filter("u", lambda x: x.isNotNull())))
+    wild = [*[F.get("c", F.lit(i)).isNull() for i in range(len(fuzzy))], lacks(F.col("c"))]
+    for w in wild:
+        rep = valued.where(w).groupBy(F.col("value").alias("shared")).agg(F.min("first").alias("rep"))
+        found.append(valued.join(rep, F.col("value") == F.col("shared")).where("first <> rep").select(*pair("first", "rep")))
+    for i, t in enumerate(fuzzy.values()):
+        at = F.get("c", F.lit(i))
+        near = _likely(classes.where(at.isNotNull()).select(at.alias("c")).distinct(), t)
+        both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(classes.where(at.isNotNull()).select(at.alias("a"), at.alias("b")).distinct())
+        x = valued.where(at.isNotNull()).select("value", at.alias("a"), F.col("first").alias("x"))
+        y = valued.where(at.isNotNull()).select(F.col("value").alias("shared"), at.alias("k"), F.col("first").alias("y"))
+        found.append(x.join(both, "a").join(y, (F.col("value") == F.col("shared")) & (F.col("b") == F.col("k"))).where("x < y").select(*pair("x", "y")))
+        x = classes.where(at.isNotNull() & lacks(F.col("u"))).select(at.alias("a"), F.col("first").alias("x"))
+        y = classes.where(at.isNotNull()).select(at.alias("k"), F.col("first").alias("y"))
+        if len(fuzzy) == 1:
+            hubs = x.join(both, "a").groupBy("b").agg(F.min("x").alias("x"))
+            found.append(hubs.join(y, F.col("b") == F.col("k")).where("x <> y").select(*pair("x", "y")))
+            y = y.groupBy("k").agg(F.min("y").alias("y"))
+        found.append(x.join(both, "a").join(y, F.col("b") == F.col("k")).where("x <> y").select(*pair("x", "y")))
+    pairs = reduce(DataFrame.unionByName, found)
     if reject is not None:
         pairs = pairs.join(reject.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
     s, matched = score("x", "y", unique, fuzzy)
@@ -85,6 +108,25 @@ def candidates(entities: DataFrame, entity_type: str, reject: DataFrame | None =
     return full.select("source_id", "target_id", s.alias("score"), matched.alias("matched")).where((F.col("score") >= least) & (F.size("matched") > 0))
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(id, root) of all ids of links (source_id, target_id): the smallest id that each is connected with.
+
+    In each round every root meets its smallest neighbour among the roots, chains of these are followed to their end, and the links
+    are carried over to what is left; rounds are few, as at least every second root with a link goes. Needs a checkpoint folder.
+    """
+    edges = links.select("source_id", "target_id").distinct().checkpoint()
+    labels = edges.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().withColumn("root", F.col("id"))
+    edges = edges.where("source_id <> target_id")
+    while not edges.isEmpty():
+        lower = edges.groupBy(F.greatest("source_id", "target_id").alias("source_id")).agg(F.min(F.least("source_id", "target_id")).alias("target_id"))
+        m = keep_map(lower)
+        labels = labels.join(m.withColumnRenamed("delete_id", "root"), "root", "left").select("id", F.coalesce("keep_id", "root").alias("root")).checkpoint()
+        for c in ("source_id", "target_id"):
+            edges = edges.join(m.select(F.col("delete_id").alias(c), F.col("keep_id").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+        edges = edges.where("source_id <> target_id").distinct().checkpoint()
+    return labels
+
+
 def rejected(suggested: DataFrame, turned_down: DataFrame, now: Column) -> DataFrame:
     """Suggestions with those of turned_down (id) marked as rejected; `candidates` leaves such pairs out from then on."""
     d = suggested.join(turned_down.select("id").distinct().withColumn("__no", F.lit(True)), "id", "left")

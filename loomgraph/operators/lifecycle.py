@@ -80,16 +80,55 @@ def create(batch: DataFrame, scopes: DataFrame, known: DataFrame, required: list
 def create_checked(batch: DataFrame, scopes: DataFrame, fields: DataFrame, now: Column) -> DataFrame:
     """batch (id, _type, app, data as JSON) with reject and field, the first of scope, namespace and what validation finds (type, required, unknown, mismatch), and the reserved columns of accepted rows.
 
-    scopes: (app, _type) an app may write; fields: the declared types, as for validation.
+    scopes: (app, _type) an app may write; fields: the declared types, as for validation. Each row is judged by its own type and data,
+    whatever other rows have its id. Accepted rows get the declared defaults of fields that they don't give.
     """
-    d = batch.join(scopes.select("app", "_type").distinct().withColumn("__scope", F.lit(True)), ["app", "_type"], "left").join(validate(batch, fields), "id", "left")
+    content = F.to_json(F.struct("_type", "data"), {"ignoreNullFields": "false"})
+    rows = batch.withColumn("__content", content)
+    found = validate(rows.select(F.col("__content").alias("id"), "_type", "data").distinct(), fields).withColumnRenamed("id", "__content")
+    d = rows.join(scopes.select("app", "_type").distinct().withColumn("__scope", F.lit(True)), ["app", "_type"], "left").join(found, "__content", "left").drop("__content")
     own = F.col("_type").startswith("system.") | F.expr("startswith(_type, concat(app, '.'))")
     reject = _first([(F.col("__scope").isNull(), "scope"), (~own, "namespace")])
     d = d.withColumns({"field": F.when(reject.isNull(), F.col("field")), "reject": F.coalesce(reject, F.col("problem"))})
     ok = F.col("reject").isNull()
+    text = ~F.col("kind").isin("int", "float", "bool", "json") & ~F.col("kind").endswith("[]")
+    value = F.when(text, F.to_json(F.array("default"))).otherwise(F.concat(F.lit("["), "default", F.lit("]")))  # in brackets: to_json takes no bare text
+    pair = F.struct("field", F.concat(F.lit('"'), "field", F.lit('":'), F.expr("substring(v, 2, length(v) - 2)")).alias("json"))
+    defaults = fields.where("default is not null").withColumn("v", value).groupBy("_type").agg(F.array_sort(F.collect_list(pair)).alias("__defaults"))
+    d = d.join(defaults, "_type", "left")
+    added = F.filter("__defaults", lambda x: ~F.array_contains(F.coalesce(F.json_object_keys("data"), F.array().cast("array<string>")), x["field"]))
+    body = F.regexp_extract("data", r"(?s)^\s*\{(.*)\}\s*$", 1)
+    own = F.when(F.trim(body) == "", F.array().cast("array<string>")).otherwise(F.array(body))
+    d = d.withColumn("data", F.when(ok & (F.size(added) > 0), F.concat(F.lit("{"), F.array_join(F.concat(own, F.transform(added, lambda x: x["json"])), ","), F.lit("}"))).otherwise(F.col("data"))).drop("__defaults")
     return d.withColumns({"_version": F.when(ok, F.lit(1).cast("bigint")), "_owner": F.when(ok, F.col("app")), "_created_at": F.when(ok, now), "_modified_at": F.when(ok, now), "_deleted": F.when(ok, F.lit(False))}).drop("__scope", "problem")
 
 
+def update_checked(current: DataFrame, changes: DataFrame, scopes: DataFrame, fields: DataFrame, now: Column) -> DataFrame:
+    """changes (id, app, expected_version, order, data as JSON) against current (id, _type, _owner, _version, data): one row each, with reject and field, or the new data and version.
+
+    reject, in this order: missing, scope, owner, version, then what validation of an update finds: immutable, unknown, mismatch.
+    scopes: (app, _type, scope), scope `all` or `own`. Accepted fields replace those of the row, the others stay. Of changes that expect
+    one version of an id the earliest wins.
+    """
+    c = current.select("id", "_type", F.struct("_owner", "_version", "data").alias("cur"))
+    d = changes.drop("_type").join(c, "id", "left").join(scopes.select("app", "_type", F.col("scope").alias("__scope")), ["app", "_type"], "left")
+    content = F.to_json(F.struct("_type", "data"), {"ignoreNullFields": "false"})
+    d = d.withColumn("__content", content)
+    found = validate(d.select(F.col("__content").alias("id"), "_type", "data").distinct(), fields, update=True).withColumnRenamed("id", "__content")
+    d = d.join(found, "__content", "left").drop("__content")
+    n = F.row_number().over(Window.partitionBy("id", "expected_version").orderBy("order"))
+    reject = _first([
+        (F.col("cur").isNull(), "missing"), (F.col("__scope").isNull(), "scope"), ((F.col("__scope") == "own") & (F.col("cur._owner") != F.col("app")), "owner"),
+        ((F.col("expected_version") != F.col("cur._version")) | (F.col("n") > 1), "version"),
+    ])
+    d = d.withColumn("n", n).withColumn("reject", reject)
+    d = d.withColumns({"field": F.when(F.col("reject").isNull(), F.col("field")), "reject": F.coalesce("reject", "problem")})
+    ok = F.col("reject").isNull()
+    old, new = (F.from_json(x, "map<string,variant>") for x in ("cur.data", "data"))
+    merged = F.to_json(F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new))
+    return d.withColumns({"data": F.when(ok, merged), "_version": F.when(ok, F.col("cur._version") + 1), "_modified_at": F.when(ok, now)}).drop("cur", "n", "__scope", "problem")
+
+
 def answers(requests: DataFrame, current: DataFrame, scopes: DataFrame, deleted: bool) -> DataFrame:
     """requests (id, _type, app) of soft deletes (deleted: False, what must not yet be) or restores (True) with reject: missing, scope, owner, or deleted / not_deleted.
 
@@ -98,10 +137,26 @@ def answers(requests: DataFrame, current: DataFrame, scopes: DataFrame, deleted:
     d = requests.join(scopes.select("app", "_type", F.col("scope").alias("__scope")), ["app", "_type"], "left")
     d = d.join(current.select("id", F.col("_owner").alias("__owner"), F.coalesce("_deleted", F.lit(False)).alias("__deleted")), "id", "left")
     state = (F.col("__deleted") != F.lit(deleted), "not_deleted" if deleted else "deleted")
-    reject = _first([(F.col("__deleted").isNull(), "missing"), (F.col("__scope").isNull(), "scope"), ((F.col("__scope") == "own") & (F.col("__owner") != F.col("app")), "owner"), state])
+    rights = [(F.col("__scope").isNull(), "scope"), ((F.col("__scope") == "own") & (F.col("__owner") != F.col("app")), "owner")]
+    reject = _first([(F.col("__deleted").isNull(), "missing"), *([state, *rights] if deleted else [*rights, state])])
     return d.withColumn("reject", reject).drop("__scope", "__owner", "__deleted")
 
 
+def answered(current: DataFrame, requests: DataFrame, scopes: DataFrame, deleted: bool, now: Column) -> tuple[DataFrame, DataFrame]:
+    """The table after all requests (id, _type, app) that `answers` lets through, and the answers: soft deletes, or with deleted=True restores, one version on.
+
+    Requests for one id that may go through have one effect.
+    """
+    said = answers(requests, current, scopes, deleted)
+    d = current.join(said.where("reject is null").select("id").distinct().withColumn("__hit", F.lit(True)), "id", "left")
+    hit = F.coalesce("__hit", F.lit(False))
+    if deleted:
+        new = {"_version": F.col("_version") + hit.cast("bigint"), "_modified_at": F.when(hit, now).otherwise(F.col("_modified_at")), "_deleted_at": F.when(~hit, F.col("_deleted_at")), "_deleted": F.coalesce("_deleted", F.lit(False)) & ~hit}
+    else:
+        new = {"_deleted_at": F.when(hit, now).otherwise(F.col("_deleted_at")), "_deleted": F.coalesce("_deleted", F.lit(False)) | hit}
+    return d.withColumns(new).drop("__hit"), said
+
+
 def update(current: DataFrame, changes: DataFrame, immutable: list[str], fields: list[str], now: Column, scopes: DataFrame | None = None) -> DataFrame:
     """changes (id, app, expected_version, order, fields) against current: one row each, with reject (scope, missing, owner, version, immutable) or the new row.
 
@@ -186,6 +241,34 @@ def cascade(start: DataFrame, references: list[tuple[str, DataFrame]]) -> DataFr
     return out
 
 
+def delete_plan(starts: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, effects) of deletions asked for (kind, id), through references of all tables, which may go round in circles.
+
+    references: (kind, id, field, ref_kind, ref_id, policy): a row and what one of its fields refers to; policy cascade, restrict or
+    nullify. Each start takes along all rows that reach it by cascade; if a row outside of these refers to one of them by
+    restrict, the start is restricted and nothing of it happens. outcomes: (kind, id, outcome), deleted or restricted. effects:
+    (kind, id, field, effect): rows deleted, and fields nullified of rows that stay. The frontier is followed until no new row comes,
+    so rounds are the longest way, not the number of rows. Needs a checkpoint folder.
+    """
+    named = references.select("kind", "id", "field", "ref_kind", "ref_id", "policy").where("ref_id is not null")
+    by = lambda policy: named.where(F.col("policy") == policy)
+    start = F.struct("kind", "id")
+    reach = starts.select(start.alias("start"), "kind", "id").distinct().checkpoint()
+    frontier = reach
+    while not frontier.isEmpty():
+        step = by("cascade").join(frontier.select("start", F.col("kind").alias("ref_kind"), F.col("id").alias("ref_id")), ["ref_kind", "ref_id"])
+        frontier = step.select("start", "kind", "id").distinct().join(reach, ["start", "kind", "id"], "left_anti").checkpoint()
+        reach = reach.unionByName(frontier)
+    held = by("restrict").join(reach.select("start", F.col("kind").alias("ref_kind"), F.col("id").alias("ref_id")), ["ref_kind", "ref_id"])
+    held = held.join(reach, ["start", "kind", "id"], "left_anti").select("start").distinct().withColumn("held", F.lit(True))
+    outcomes = starts.select("kind", "id").distinct().join(held.select("start.*", "held"), ["kind", "id"], "left")
+    outcomes = outcomes.select("kind", "id", F.when(F.col("held"), "restricted").otherwise("deleted").alias("outcome"))
+    gone = reach.join(held, "start", "left_anti").select("kind", "id").distinct().checkpoint()
+    emptied = by("nullify").join(gone.select(F.col("kind").alias("ref_kind"), F.col("id").alias("ref_id")), ["ref_kind", "ref_id"], "left_semi").join(gone, ["kind", "id"], "left_anti")
+    effects = gone.select("kind", "id", F.lit(None).cast("string").alias("field"), F.lit("deleted").alias("effect"))
+    return outcomes, effects.unionByName(emptied.select("kind", "id", "field", F.lit("nullified").alias("effect")).distinct())
+
+
 def restricted(start: DataFrame, rows: DataFrame) -> DataFrame:
     """Ids of start that some row still refers to (column ref), so that they may not go."""
     return start.join(rows.select(F.col("ref").alias("id")), "id", "left_semi").select("id")

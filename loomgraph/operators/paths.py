@@ -16,7 +16,7 @@ def nearest_ancestor(paths: DataFrame, roots: DataFrame, boundary: str = "") ->
     """
     lengths = [r[0] for r in roots.select(F.length("root_path").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
     if not lengths:
-        return paths.select("path").limit(0).crossJoin(roots.select("project_id", "root_path").limit(0))
+        return paths.select("path", *[F.lit(None).cast(roots.schema[c].dataType).alias(c) for c in ("project_id", "root_path")]).limit(0)
     d = paths.select("path").where("path is not null").distinct().select("path", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n")).where(F.length("path") >= F.col("n"))
     d = d.select("path", F.substring("path", F.lit(1), F.col("n")).alias("root_path"), "n")
     if boundary:
@@ -27,6 +27,31 @@ def nearest_ancestor(paths: DataFrame, roots: DataFrame, boundary: str = "") ->
     return d.groupBy("path").agg(best.alias("best")).select("path", "best.*")
 
 
+def nearest_as_of(points: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, at, project_id, root_path): for each path and time, of the roots that begin the path and stood then the longest, ties by project_id.
+
+    roots: (project_id, root_path, created_at, archived_at); both ends count, without archived_at a root still stands, without created_at it
+    always did. An interval is cut into a few slices of a width (a power of two) that fits its length, and a point meets it in the
+    slice of that width that it lies in: the join is by equality on root, width and slice, then the ends are compared. A root that
+    has stood for long has no more rows than a short-lived one, and a long history no more than a short one.
+    """
+    last, first = 1 << 62, -(1 << 62)
+    r = roots.select("project_id", "root_path", F.coalesce("created_at", F.lit(first)).alias("start"), F.coalesce("archived_at", F.lit(last)).alias("end")).where("start <= end and length(root_path) > 0")
+    width = F.greatest(F.ceil(F.log2((F.col("end").cast("double") - F.col("start").cast("double")) / 4 + 1)).cast("int"), F.lit(0))
+    r = r.withColumn("width", F.least(width, F.lit(61)))
+    cut = lambda c: F.expr(f"shiftright({c}, width)")
+    r = r.select("project_id", "root_path", F.length("root_path").alias("n"), "start", "end", "width", F.explode(F.sequence(cut("start"), cut("end"))).alias("slice"))
+    shapes = [(x[0], x[1]) for x in r.select("n", "width").distinct().collect()]  # lengths of paths times 62 widths at most
+    named = points.select("path", "at").where("path is not null and at is not null").distinct()
+    if not shapes:
+        return named.select("path", "at", *[F.lit(None).cast(roots.schema[c].dataType).alias(c) for c in ("project_id", "root_path")]).limit(0)
+    d = named.select("path", "at", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(w).alias("width")) for n, w in shapes])).alias("s")).select("path", "at", "s.*").where(F.length("path") >= F.col("n"))
+    d = d.select("path", "at", F.substring("path", F.lit(1), F.col("n")).alias("root_path"), "width", cut("at").alias("slice"))
+    d = d.join(r, ["root_path", "width", "slice"]).where("at between start and end")
+    best = F.max_by(F.struct("project_id", "root_path"), F.struct("n", "project_id"))
+    return d.groupBy("path", "at").agg(best.alias("best")).select("path", "at", "best.*")
+
+
 def directory_of_all(paths: DataFrame, by: list[str]) -> DataFrame:
     """(by, directory): the longest directory that all of a group's paths share, from its smallest and largest path."""
     g = paths.groupBy(*by).agg(F.min("path").alias("lo"), F.max("path").alias("hi"), F.countDistinct("path").alias("n"))

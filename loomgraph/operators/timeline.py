@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import basename, extension, micros_to_date, stem
+from loomgraph.operators.ranks import numbered
 
 DAY = 86_400_000_000
 
@@ -29,9 +30,11 @@ def apps_by_date(files: DataFrame, accessed: DataFrame) -> DataFrame:
 
 
 def with_display_names(files: DataFrame, by: list[str]) -> DataFrame:
-    """files with display: their basename in the listing `by`; later ones of a name, by path, get a number before the extension."""
-    n = F.row_number().over(Window.partitionBy(*by, "name").orderBy("path"))
-    d = files.where("path <> ''").withColumn("name", basename(F.col("path"))).withColumn("n", n)
+    """files with display: their basename in the listing `by`; later ones of a name, by path, get a number before the extension.
+
+    Numbers come from ranges of names and paths, so one name of very many files is no task's work. Needs a shared folder.
+    """
+    d = numbered(files.where("path <> ''").withColumn("name", basename(F.col("path"))), [*by, "name"], ["path"])
     other = F.concat(stem(F.col("path")), F.lit("_"), F.col("n").cast("string"), extension(F.col("path")))
     return d.withColumn("display", F.when(F.col("n") == 1, F.col("name")).otherwise(other)).drop("n", "name")
 
@@ -43,5 +46,5 @@ def files_by_date_app(files: DataFrame, accessed: DataFrame) -> DataFrame:
 
 
 def last_days(files: DataFrame, now: int, days: int = 7) -> DataFrame:
-    d = since(files, now, days, inclusive=True).select("path", F.lit(1).alias("all"))
-    return with_display_names(d.distinct(), ["all"]).drop("all")
+    d = since(files, now, days, inclusive=True).select("path")
+    return with_display_names(d.distinct(), [])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as X
-from loomgraph.operators import access, dedup, lifecycle, migrate, projects, quota, tables, validation
+from loomgraph.operators import access, counters, dedup, lifecycle, migrate, projects, quota, tables, validation
 from loomgraph.plans.base import DAY, NOW, PEOPLE, ROOTS, E, activity, people, roots, sql, table
 from loomgraph.plans.checkpoints import ensure
 from loomgraph.sources import export
@@ -211,12 +213,16 @@ CONTACTS = """T AS (SELECT id, email, name FROM (SELECT s_suppkey AS id, CASE WH
  UNION ALL SELECT 1000000 + c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN 'm' || (c_custkey % 30) || '@x' END, 'Supplier#' || right(c_name, 9) || '-' || (c_nationkey % 5) FROM customer))"""
 SET = "list_distinct(list_filter(string_split(lower({0}), ''), lambda z: z <> ''))"
 JACCARD = f"CASE WHEN {{a}} = {{b}} THEN 1.0 WHEN lower({{a}}) = lower({{b}}) THEN 0.95 ELSE len(list_intersect({SET.format('{a}')}, {SET.format('{b}')})) / len(list_distinct(list_concat({SET.format('{a}')}, {SET.format('{b}')}))) END"
-PAIRS = f"""S AS (SELECT *, list_sort({SET.format("name")}) AS c FROM T), CL AS (SELECT c, min(id) AS first, min(id) FILTER (WHERE email IS NULL) AS lacking FROM S GROUP BY c),
- NR AS (SELECT x.first AS fx, x.lacking AS lx, y.first AS fy, y.lacking AS ly FROM CL x JOIN CL y ON x.c < y.c AND (x.lacking IS NOT NULL OR y.lacking IS NOT NULL) AND len(list_intersect(x.c, y.c)) >= 0.85 * (len(x.c) + len(y.c) - len(list_intersect(x.c, y.c)))),
- PR AS (SELECT min(id) OVER (PARTITION BY email) AS a, id AS b FROM T WHERE email IS NOT NULL UNION SELECT CL.first, S.id FROM S JOIN CL USING (c) WHERE S.email IS NULL OR CL.first = CL.lacking
- UNION SELECT least(i, j), greatest(i, j) FROM (SELECT coalesce(lx, fx) AS i, CASE WHEN lx IS NOT NULL THEN fy ELSE ly END AS j FROM NR)),
- J AS (SELECT x.id AS source_id, y.id AS target_id, x.email IS NOT NULL AND y.email IS NOT NULL AS paired, coalesce(x.email = y.email, FALSE) AS same, {JACCARD.format(a="lower(x.name)", b="lower(y.name)")} AS s FROM PR JOIN T x ON x.id = a JOIN T y ON y.id = b WHERE a < b),
- D AS (SELECT source_id, target_id, (CASE WHEN same THEN 1.0 ELSE 0.0 END + CASE WHEN s >= 0.85 THEN s ELSE 0.0 END) / (CASE WHEN paired THEN 2 ELSE 1 END) AS score, CASE WHEN same THEN CASE WHEN s >= 0.85 THEN 'email,name' ELSE 'email' END ELSE CASE WHEN s >= 0.85 THEN 'name' ELSE '' END END AS matched FROM J)"""
+ALIKE = f"len(list_intersect({{a}}, {{b}})) >= 0.85 * (len({{a}}) + len({{b}}) - len(list_intersect({{a}}, {{b}})))"
+# each two rows compared; connected rows meet from the rows that are smaller than all they link with
+EVERY = f"""S AS (SELECT *, {SET.format("name")} AS c FROM T), EP AS (SELECT x.id AS a, y.id AS b FROM S x JOIN S y ON x.id <> y.id AND coalesce(x.email = y.email, TRUE) AND {ALIKE.format(a="x.c", b="y.c")}),
+ LO AS (SELECT id FROM S WHERE id IN (SELECT a FROM EP) AND id NOT IN (SELECT a FROM EP WHERE b < a)), RE AS (SELECT id AS root, id FROM LO UNION SELECT RE.root, EP.b FROM RE JOIN EP ON RE.id = EP.a)"""
+# the suggestions by class: members, classes of one email, and those that lack one with their hubs
+PAIRS = f"""S AS (SELECT *, list_sort({SET.format("name")}) AS c FROM T), CL AS (SELECT email, c, min(id) AS first FROM S GROUP BY email, c), SE AS (SELECT c, min(first) AS rep, min(first) FILTER (WHERE email IS NULL) AS lacking FROM CL GROUP BY c),
+ NE AS (SELECT x.c AS a, y.c AS b, x.lacking, y.rep FROM SE x JOIN SE y ON {ALIKE.format(a="x.c", b="y.c")}), HU AS (SELECT b, min(lacking) AS hub FROM NE GROUP BY b),
+ PR AS (SELECT CL.first AS i, S.id AS j FROM S JOIN CL ON S.c = CL.c AND S.email IS NOT DISTINCT FROM CL.email UNION SELECT x.first, y.first FROM CL x JOIN CL y ON x.email = y.email AND {ALIKE.format(a="x.c", b="y.c")}
+ UNION SELECT hub, first FROM HU JOIN CL ON HU.b = CL.c WHERE hub IS NOT NULL UNION SELECT lacking, rep FROM NE WHERE lacking IS NOT NULL),
+ D AS (SELECT DISTINCT least(i, j) AS source_id, greatest(i, j) AS target_id FROM PR WHERE i <> j)"""
 
 
 def _contacts(spark, sf):  # noqa: ANN001, ANN202
@@ -228,13 +234,14 @@ def _contacts(spark, sf):  # noqa: ANN001, ANN202
     return a.unionByName(b)
 
 
-@query(sql(CONTACTS, PAIRS, select="SELECT source_id, target_id, round(score, 6) AS score, matched FROM D WHERE score >= 0.8 AND matched <> ''"))
+@query("WITH RECURSIVE " + CONTACTS + ", " + EVERY + " SELECT id, min(root) AS root FROM RE GROUP BY id")
 def dup_candidates(spark, sf):  # noqa: ANN001, ANN201
-    d = dedup.candidates(_contacts(spark, sf), "Person")
-    return d.select("source_id", "target_id", F.round("score", 6).alias("score"), F.array_join("matched", ",").alias("matched"))
+    """Contacts that have a duplicate, with the smallest id that they are connected with."""
+    ensure(spark)
+    return dedup.connected(dedup.candidates(_contacts(spark, sf), "Person"))
 
 
-@query(sql(CONTACTS, PAIRS, select=f"SELECT sha1(source_id || '|' || target_id) AS id, source_id, target_id, 'pending' AS status, {NOW} + source_id AS created_us FROM D WHERE score >= 0.8 AND matched <> '' ORDER BY created_us DESC, id LIMIT 40"))
+@query(sql(CONTACTS, PAIRS, select=f"SELECT sha1(source_id || '|' || target_id) AS id, source_id, target_id, 'pending' AS status, {NOW} + source_id AS created_us FROM D ORDER BY created_us DESC, id LIMIT 40"))
 def merge_suggestions(spark, sf):  # noqa: ANN001, ANN201
     d = dedup.suggestions(dedup.candidates(_contacts(spark, sf), "Person"), "Person", F.timestamp_micros(F.lit(NOW) + F.col("source_id")))
     return dedup.pending(d, 40, "Person").select("id", "source_id", "target_id", "status", F.unix_micros("created_at").alias("created_us"))
@@ -488,6 +495,57 @@ def prune_projects(spark, sf):  # noqa: ANN001, ANN201
     return projects.prune(r, r.where("k % 3 <> 0").select(F.col("root_path").alias("path"))).select(F.col("project_id").alias("id"), "outcome")
 
 
+@query(sql(E, ROOTS, select="SELECT o AS outcome, count(id) AS n FROM (SELECT unnest(['alive', 'archived', 'deleted']) AS o) LEFT JOIN (SELECT project_id AS id, CASE WHEN k % 3 <> 0 THEN 'alive' WHEN inferred THEN 'deleted' ELSE 'archived' END AS outcome FROM R) ON o = outcome GROUP BY 1"))
+def prune_counters(spark, sf):  # noqa: ANN001, ANN201
+    """Counters of a pruning pass, observed while its rows are written."""
+    r = roots(spark, sf)
+    d = projects.prune(r, r.where("k % 3 <> 0").select(F.col("root_path").alias("path")))
+    return counters.as_rows(spark, counters.write_counted(d, f"{ensure(spark)}/pruned-{uuid.uuid4().hex}", ["alive", "archived", "deleted"]))
+
+
+@query("SELECT outcome, n FROM (SELECT 'migrated' AS outcome, count(*) FILTER (WHERE p_partkey % 7 <> 0) AS n FROM part UNION ALL SELECT 'rejected', count(*) FILTER (WHERE p_partkey % 7 = 0) FROM part)")
+def migration_counters(spark, sf):  # noqa: ANN001, ANN201
+    """Counters of a migration that can't convert every seventh size, observed while its rows are written."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 7 == 0, "n/a").otherwise(F.col("p_size").cast("string")).alias("size"), F.lit("Part").alias("_type"))
+    ops = [{"op": "change_type", "field": "size", "type": "int", "transform": "parse_int"}]
+    bad = migrate.rejected(p, ops).select("id").distinct().withColumn("bad", F.lit(True))
+    d = migrate.migrate(p, ops).join(bad, "id", "left").withColumn("outcome", F.when(F.col("bad"), "rejected").otherwise("migrated")).drop("bad")
+    return counters.as_rows(spark, counters.write_counted(d, f"{ensure(spark)}/migrated-{uuid.uuid4().hex}", ["migrated", "rejected"]))
+
+
+# customers, parts and orders refer to one another in a circle, customers to themselves
+_REFS = """RF AS (SELECT 'order' AS kind, o_orderkey AS id, 'customer' AS field, 'customer' AS ref_kind, o_custkey AS ref_id, 'cascade' AS policy FROM orders
+ UNION ALL SELECT 'part', p_partkey, 'order', 'order', p_partkey * 4 + 1, 'cascade' FROM part UNION ALL SELECT 'customer', c_custkey, 'part', 'part', c_custkey * 3, 'cascade' FROM customer
+ UNION ALL SELECT 'customer', c_custkey, 'parent', 'customer', c_custkey - 50, 'cascade' FROM customer WHERE c_custkey % 3 = 0
+ UNION ALL SELECT 'supplier', s_suppkey, 'customer', 'customer', s_suppkey * 20, 'restrict' FROM supplier UNION ALL SELECT 'part', p_partkey, 'order', 'order', p_partkey * 7, 'restrict' FROM part WHERE p_partkey % 30 = 0
+ UNION ALL SELECT 'lineitem', l_orderkey * 10 + l_linenumber, 'order', 'order', l_orderkey, 'nullify' FROM lineitem)"""
+
+
+def _references(spark, sf):  # noqa: ANN001, ANN202
+    t = {n: table(spark, sf, n) for n in ("orders", "part", "customer", "supplier", "lineitem")}
+    ref = lambda d, kind, i, field, to, at, policy: d.select(F.lit(kind).alias("kind"), F.expr(i).cast("long").alias("id"), F.lit(field).alias("field"), F.lit(to).alias("ref_kind"), F.expr(at).cast("long").alias("ref_id"), F.lit(policy).alias("policy"))
+    return reduce(DataFrame.unionByName, [
+        ref(t["orders"], "order", "o_orderkey", "customer", "customer", "o_custkey", "cascade"), ref(t["part"], "part", "p_partkey", "order", "order", "p_partkey * 4 + 1", "cascade"),
+        ref(t["customer"], "customer", "c_custkey", "part", "part", "c_custkey * 3", "cascade"), ref(t["customer"].where("c_custkey % 3 = 0"), "customer", "c_custkey", "parent", "customer", "c_custkey - 50", "cascade"),
+        ref(t["supplier"], "supplier", "s_suppkey", "customer", "customer", "s_suppkey * 20", "restrict"), ref(t["part"].where("p_partkey % 30 = 0"), "part", "p_partkey", "order", "order", "p_partkey * 7", "restrict"),
+        ref(t["lineitem"], "lineitem", "l_orderkey * 10 + l_linenumber", "order", "order", "l_orderkey", "nullify"),
+    ])
+
+
+@query(f"""WITH RECURSIVE {_REFS}, ST AS (SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE c_custkey % 10 = 0),
+ RC AS (SELECT kind AS sk, id AS si, kind, id FROM ST UNION SELECT RC.sk, RC.si, f.kind, f.id FROM RC JOIN RF f ON f.policy = 'cascade' AND f.ref_kind = RC.kind AND f.ref_id = RC.id),
+ HE AS (SELECT DISTINCT RC.sk, RC.si FROM RC JOIN RF f ON f.policy = 'restrict' AND f.ref_kind = RC.kind AND f.ref_id = RC.id WHERE NOT EXISTS (SELECT 1 FROM RC o WHERE o.sk = RC.sk AND o.si = RC.si AND o.kind = f.kind AND o.id = f.id)),
+ GO AS (SELECT DISTINCT kind, id FROM RC WHERE NOT EXISTS (SELECT 1 FROM HE WHERE HE.sk = RC.sk AND HE.si = RC.si))
+ SELECT kind, id, 'start' AS field, CASE WHEN EXISTS (SELECT 1 FROM HE WHERE HE.sk = ST.kind AND HE.si = ST.id) THEN 'restricted' ELSE 'deleted' END AS effect FROM ST
+ UNION ALL SELECT kind, id, NULL, 'deleted' FROM GO UNION ALL SELECT DISTINCT f.kind, f.id, f.field, 'nullified' FROM RF f JOIN GO ON f.policy = 'nullify' AND f.ref_kind = GO.kind AND f.ref_id = GO.id WHERE NOT EXISTS (SELECT 1 FROM GO o WHERE o.kind = f.kind AND o.id = f.id)""")
+def delete_plan(spark, sf):  # noqa: ANN001, ANN201
+    """Customers to be deleted, through references in circles with all three policies."""
+    ensure(spark)
+    starts = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.lit("customer").alias("kind"), F.col("c_custkey").cast("long").alias("id"))
+    outcomes, effects = lifecycle.delete_plan(starts, _references(spark, sf))
+    return outcomes.select("kind", "id", F.lit("start").alias("field"), F.col("outcome").alias("effect")).unionByName(effects)
+
+
 @query(sql(E, ROOTS, select="SELECT min(project_id) AS id, '/z/' || (k % 8) AS root_path FROM R WHERE k % 8 > 2 GROUP BY 2"))
 def create_projects(spark, sf):  # noqa: ANN001, ANN201
     r = roots(spark, sf).select(F.col("project_id").alias("id"), F.concat(F.lit("/z/"), (F.col("k") % 8).cast("string")).alias("root_path"), "k")
@@ -640,19 +698,63 @@ def create_checked(spark, sf):  # noqa: ANN001, ANN201
     return lifecycle.create_checked(b, b.where("app not like '%automobile'").select("app", "_type"), fields, _now()).select("id", "reject", "field")
 
 
+_SEG = "'seg.' || lower(c_mktsegment)"
+_PATCH = {"created": "c_custkey % 5 = 0", "extra": "c_custkey % 7 = 0", "float": "c_custkey % 8 = 0"}
+
+
+@query(f"""WITH B AS (SELECT c_custkey AS id, c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'seg.furniture' WHEN c_custkey % 11 = 0 THEN 'seg.household' ELSE {_SEG} END AS app, {_SEG} AS owner, c_custkey % 4 + 1 AS v, CASE WHEN c_custkey % 6 = 0 THEN 9 ELSE c_custkey % 4 + 1 END AS ev FROM customer),
+ C AS (SELECT *, CASE WHEN id % 13 = 0 THEN 'missing' WHEN app = 'seg.furniture' THEN 'scope' WHEN app <> 'seg.household' AND app <> owner THEN 'owner' WHEN v <> ev THEN 'version' WHEN {_PATCH['created']} THEN 'immutable' WHEN {_PATCH['extra']} THEN 'unknown' WHEN {_PATCH['float']} THEN 'mismatch' END AS reject FROM B),
+ K AS (SELECT *, reject IS NULL AS ok FROM C)
+ SELECT id, 1 AS "order", reject, CASE reject WHEN 'immutable' THEN 'created' WHEN 'unknown' THEN 'extra' WHEN 'mismatch' THEN 'count' END AS field, CASE WHEN ok THEN v + 1 END AS version, CASE WHEN ok THEN id + 1 END AS count, CASE WHEN ok THEN 't' || id END AS title FROM K
+ UNION ALL SELECT id, 2, CASE WHEN reject IN ('missing', 'scope', 'owner') THEN reject ELSE 'version' END, NULL, NULL, NULL, NULL FROM K WHERE id % 10 = 1""")
+def update_checked(spark, sf):  # noqa: ANN001, ANN201
+    """Updates of customers' cards judged by row, scope, owner, version and declared fields; some are asked for twice."""
+    k, c = F.col("c_custkey"), table(spark, sf, "customer")
+    seg = F.concat(F.lit("seg."), F.lower("c_mktsegment"))
+    data = F.to_json(F.struct(F.concat(F.lit("t"), k.cast("string")).alias("title"), k.alias("count")))
+    current = c.where("c_custkey % 13 <> 0").select(k.alias("id"), F.lit("seg.Card").alias("_type"), seg.alias("_owner"), (k % 4 + 1).cast("bigint").alias("_version"), data.alias("data"))
+    patch = F.when(F.expr(_PATCH["created"]), F.lit('{"created": "x"}')).when(F.expr(_PATCH["extra"]), F.lit('{"extra": 1}')).when(F.expr(_PATCH["float"]), F.lit('{"count": 2.5}')).otherwise(F.to_json(F.struct((k + 1).alias("count"))))
+    app = F.when(k % 9 == 0, "seg.furniture").when(k % 11 == 0, "seg.household").otherwise(seg)
+    asked = c.select(k.alias("id"), app.alias("app"), F.when(k % 6 == 0, 9).otherwise(k % 4 + 1).cast("bigint").alias("expected_version"), F.lit(1).alias("order"), patch.alias("data"))
+    asked = asked.unionByName(asked.where("id % 10 = 1").withColumn("order", F.lit(2)))
+    scopes = asked.select("app").distinct().where("app <> 'seg.furniture'").select("app", F.lit("seg.Card").alias("_type"), F.when(F.col("app") == "seg.household", "all").otherwise("own").alias("scope"))
+    fields = spark.createDataFrame([("seg.Card", "title", "string", True, None, False), ("seg.Card", "count", "int", False, None, False), ("seg.Card", "created", "string", False, None, True)], "_type string, field string, kind string, required boolean, default string, immutable boolean")
+    d = lifecycle.update_checked(current, asked, scopes, fields, _now())
+    return d.select("id", "order", "reject", "field", F.col("_version").alias("version"), F.get_json_object("data", "$.count").cast("bigint").alias("count"), F.get_json_object("data", "$.title").alias("title"))
+
+
 ASKED = "RQ AS (SELECT CASE WHEN id % 19 = 0 THEN id + 10000000 ELSE id END AS id, CASE WHEN id % 9 = 0 THEN 'OTHER' ELSE _owner END AS app FROM P)"
 SCOPED = "CASE WHEN P.id IS NULL THEN 'missing' WHEN app = 'FURNITURE' THEN 'scope' WHEN app <> 'BUILDING' AND P._owner <> app THEN 'owner' WHEN {0} THEN '{1}' END"
 
 
-@query(sql(PEOPLE, ASKED, select=f"SELECT RQ.id, 'delete' AS action, {SCOPED.format('P._deleted', 'deleted')} AS reject FROM RQ LEFT JOIN P USING (id) UNION ALL SELECT RQ.id, 'restore', {SCOPED.format('NOT P._deleted', 'not_deleted')} FROM RQ LEFT JOIN P USING (id)"))
+@query(sql(PEOPLE, ASKED, select=f"SELECT RQ.id, 'delete' AS action, {SCOPED.format('P._deleted', 'deleted')} AS reject FROM RQ LEFT JOIN P USING (id) UNION ALL SELECT RQ.id, 'restore', CASE WHEN NOT P._deleted THEN 'not_deleted' ELSE {SCOPED.format('FALSE', '')} END FROM RQ LEFT JOIN P USING (id)"))
 def trash_answers(spark, sf):  # noqa: ANN001, ANN201
-    p, i = people(spark, sf), F.col("id")
-    r = p.select(F.when(i % 19 == 0, i + 10000000).otherwise(i).alias("id"), "_type", F.when(i % 9 == 0, "OTHER").otherwise(F.col("_owner")).alias("app"))
-    scopes = r.select("app", "_type").distinct().where("app <> 'FURNITURE'").withColumn("scope", F.when(F.col("app") == "BUILDING", "all").otherwise("own"))
+    p = people(spark, sf)
+    r, scopes = _asked(p)
     parts = [lifecycle.answers(r, p, scopes, deleted).select("id", F.lit(name).alias("action"), "reject") for name, deleted in (("delete", False), ("restore", True))]
     return parts[0].unionByName(parts[1])
 
 
+@query(sql(PEOPLE, ASKED, f"DL AS (SELECT RQ.id FROM RQ JOIN P USING (id) WHERE {SCOPED.format('P._deleted', 'deleted')} IS NULL)", f"RS AS (SELECT RQ.id FROM RQ JOIN P USING (id) WHERE P._deleted AND {SCOPED.format('FALSE', '')} IS NULL)",
+           select="SELECT P.id, CASE WHEN P.id IN (SELECT id FROM DL) THEN TRUE WHEN P.id IN (SELECT id FROM RS) THEN FALSE ELSE P._deleted END AS deleted, P._version + CAST(P.id IN (SELECT id FROM RS) AS BIGINT) AS version FROM P"))
+def trash_applied(spark, sf):  # noqa: ANN001, ANN201
+    """The people after all restores, then all deletes, that scopes, owners and states let through; both are asked of the same state."""
+    p = people(spark, sf)
+    r, scopes = _asked(p)
+    back, _ = lifecycle.answered(p, r, scopes, True, _now())
+    gone = lifecycle.answers(r, p, scopes, False).where("reject is null").select("id", "_type", "app")
+    after, _ = lifecycle.answered(back, gone, scopes, False, _now())
+    return after.select("id", F.col("_deleted").alias("deleted"), F.col("_version").alias("version"))
+
+
+def _asked(p):  # noqa: ANN001, ANN202
+    """Requests for all people, some of them unknown or by another app, and what the apps may do."""
+    i = F.col("id")
+    r = p.select(F.when(i % 19 == 0, i + 10000000).otherwise(i).alias("id"), "_type", F.when(i % 9 == 0, "OTHER").otherwise(F.col("_owner")).alias("app"))
+    scopes = r.select("app", "_type").distinct().where("app <> 'FURNITURE'").withColumn("scope", F.when(F.col("app") == "BUILDING", "all").otherwise("own"))
+    return r, scopes
+
+
 @query("SELECT type, count(*) AS n FROM (SELECT 'Person' AS type FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'Organization' FROM supplier WHERE s_acctbal >= 0) GROUP BY 1")
 def export_manifest(spark, sf):  # noqa: ANN001, ANN201
     a = people(spark, sf).select("id", "_type", "_deleted")

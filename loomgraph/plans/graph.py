@@ -167,6 +167,18 @@ def nearest_ancestor_urls(spark, sf):  # noqa: ANN001, ANN201
     return paths.nearest_ancestor(p.select(F.col("url").alias("path")), r.withColumn("project_id", F.col("root_path")))
 
 
+STOOD = f"RS AS (SELECT project_id, root_path, {NOW} - (k % 29) * {DAY} AS created_at, CASE WHEN k % 5 <> 0 THEN {NOW} - (k % 29) * {DAY} + (k % 9) * {DAY} + 1 END AS archived_at FROM R)"
+
+
+@query(sql(E, OPENED, ROOTS, STOOD, select="""SELECT path, seen, project_id, root_path FROM (SELECT p.path, p.seen, RS.project_id, RS.root_path, row_number() OVER (PARTITION BY p.path, p.seen ORDER BY length(RS.root_path) DESC, RS.project_id DESC) AS n
+ FROM (SELECT DISTINCT path, ts AS seen FROM O) p JOIN RS ON starts_with(p.path, RS.root_path) AND p.seen BETWEEN RS.created_at AND coalesce(RS.archived_at, p.seen)) WHERE n = 1"""))
+def linked_as_of(spark, sf):  # noqa: ANN001, ANN201
+    """Each opening of a file with the nearest project that stood at its time."""
+    start = F.lit(NOW) - (F.col("k") % 29) * DAY
+    r = roots(spark, sf).select("project_id", "root_path", start.alias("created_at"), F.when(F.col("k") % 5 != 0, start + (F.col("k") % 9) * DAY + 1).alias("archived_at"))
+    return paths.nearest_as_of(folds.opened(activity(spark, sf)).select("path", F.col("ts").alias("at")), r).withColumnRenamed("at", "seen")
+
+
 COUNTS = "C AS (SELECT L.dst_id AS project_id, S.dst_id AS session_id, count(DISTINCT L.src_id) AS files FROM L JOIN A ON L.src_id = A.src_id JOIN S ON A.dst_id = S.src_id GROUP BY 1, 2)"
 
 

@@ -1,5 +1,6 @@
 """Operators on hand-made frames."""
 
+import json
 import random
 import uuid
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as X
-from loomgraph.operators import access, dedup, folds, lifecycle, migrate, paths, projects, quota, retention, tables, timeline, validation
+from loomgraph.operators import access, counters, dedup, folds, lifecycle, migrate, paths, projects, quota, ranks, retention, tables, timeline, validation
 from loomgraph.sources import export
 from loomgraph.sources.events import decode
 from loomgraph.streaming import streams
@@ -68,13 +69,52 @@ def test_folds(spark):
     assert rows(folds.fold_sessions(d, "first"), "started_at") == [(3,)]
 
 
-def test_nearest_ancestor(spark):
-    r = spark.createDataFrame([("mono", "/srv/tree"), ("a", "/srv/tree/parts/one")], "project_id string, root_path string")
-    p = spark.createDataFrame([("/srv/tree/parts/one/f.c",), ("/srv/tree/notes/todo.txt",), ("/var/x",), ("/srv/treetop/x",), (None,)], "path string")
-    assert rows(paths.nearest_ancestor(p, r), "path", "project_id")[0] == ("/srv/tree/notes/todo.txt", "mono")
-    assert len(rows(paths.nearest_ancestor(p, r), "path")) == 3
-    assert len(rows(paths.nearest_ancestor(p, r, boundary="/"), "path")) == 2
-    assert rows(paths.nearest_ancestor(p, r.limit(0)), "path") == []
+@pytest.mark.parametrize("boundary", ["", "/"])
+def test_nearest_ancestor(spark, boundary):
+    rng = random.Random(11)
+    place = lambda depth: "".join("/" + rng.choice(["u", "uv", "w"]) for _ in range(depth))
+    tops = {place(rng.randrange(1, 4)): f"p{i}" for i in range(12)}
+    asked = [place(rng.randrange(1, 6)) for _ in range(150)] + ["", None, "relative", *tops]
+    begins = lambda p, r: p.startswith(r) and (not boundary or p == r or p[len(r)] == "/")
+    want = {(p, tops[max(hits, key=len)]) for p in asked if p is not None and (hits := [r for r in tops if begins(p, r)])}
+    r = spark.createDataFrame([(i, p) for p, i in tops.items()], "project_id string, root_path string")
+    d = spark.createDataFrame([(p,) for p in asked], "path string")
+    assert rows(paths.nearest_ancestor(d, r, boundary), "path", "project_id") == sorted(want, key=repr)
+    assert rows(paths.nearest_ancestor(d, r.limit(0), boundary), "path") == []
+
+
+def test_nearest_as_of(spark):
+    rng = random.Random(12)
+    spans = [(f"p{i:02d}", "/" + "ab"[: rng.randrange(1, 3)] + "/c" * rng.randrange(2), a := rng.choice([None, rng.randrange(1000), rng.randrange(10**15)]), rng.choice([None, (a or 0) + 10 ** rng.randrange(15), a])) for i in range(40)]
+    spans += [("px", "", None, None), ("py", "/a", 50, 40)]
+    points = [("/" + rng.choice(["a", "ab", "b"]) + "/c" * rng.randrange(3), rng.choice([rng.randrange(1200), rng.randrange(10**15), *[x for s in spans for x in s[2:] if x is not None]])) for _ in range(200)] + [(None, 1), ("/a", None), ("/a", -5), ("/a", 10**18)]
+    best = {}
+    for p, t in points:
+        for name, r, a, b in spans:
+            if p is not None and t is not None and r and p.startswith(r) and (a is None or a <= t) and (b is None or t <= b) and (a is None or b is None or a <= b):
+                best[p, t] = max(best.get((p, t), (0, "")), (len(r), name))
+    d = paths.nearest_as_of(spark.createDataFrame(points, "path string, at long"), spark.createDataFrame(spans, "project_id string, root_path string, created_at long, archived_at long"))
+    assert rows(d, "path", "at", "project_id") == sorted(((p, t, name) for (p, t), (_, name) in best.items()), key=repr)
+    assert paths.nearest_as_of(spark.createDataFrame(points, "path string, at long"), spark.createDataFrame([], "project_id string, root_path string, created_at long, archived_at long")).count() == 0
+
+
+@pytest.mark.parametrize(("by", "order"), [(["k"], ["v", "i"]), ([], ["v", "i"])])
+def test_numbers_of_ordered_rows(spark, by, order):
+    rng = random.Random(13)
+    data = [("hot" if rng.random() < 0.4 else rng.choice(["a", "b", None]), rng.randrange(9), i) for i in range(500)]
+    got = ranks.numbered(spark.createDataFrame(data, "k string, v int, i int"), by, order, "n", parts=7).collect()
+    groups = {}
+    for r in sorted(data, key=lambda r: r[1:]):
+        groups.setdefault(r[0] if by else "", []).append(r)
+    assert sorted((r["i"], r["n"]) for r in got) == sorted((r[2], n) for g in groups.values() for n, r in enumerate(g, 1))
+    assert ranks.numbered(spark.createDataFrame([], "k string, v int, i int"), by, order).count() == 0
+
+
+def test_names_are_numbered_without_a_task_that_holds_one(spark):
+    d = spark.createDataFrame([(f"/{i:03d}/x.txt",) for i in range(300)] + [("/q/y",), ("",)], "path string")
+    out = timeline.with_display_names(d, [])
+    assert rows(out, "path", "display")[:2] == [("/000/x.txt", "x.txt"), ("/001/x.txt", "x_2.txt")] and out.count() == 301
+    assert "Window [row_number" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_promotion_threshold(spark):
@@ -146,13 +186,49 @@ def test_validate_update_and_type(spark):
     assert rows(validation.validate(d, f, update=True), "id", "problem") == [(1, "immutable"), (2, "type")]
 
 
+def linked(pairs):
+    tops = {}
+
+    def top(x):
+        while tops.setdefault(x, x) != x:
+            x = tops[x]
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        tops[max(x, y)] = min(x, y)
+    return {x: top(x) for x in tops}
+
+
 def test_duplicates(spark):
     d = spark.createDataFrame([(1, "a@x", "Ann Lee"), (2, "a@x", "Ann Lee"), (3, None, "ann  lee"), (4, "b@x", "Zed"), (5, None, "")], "id long, email string, name string")
-    assert rows(dedup.candidates(d, "Person"), "source_id", "target_id") == [(1, 2), (1, 3)]
+    assert linked(rows(dedup.candidates(d, "Person"), "source_id", "target_id")) == {1: 1, 2: 1, 3: 1}
+    d = spark.createDataFrame([(1, "e@x", "Alice Smith"), (2, "e@x", "Bob Jones"), (3, "e@x", "Bob Jones")], "id long, email string, name string")
+    assert rows(dedup.candidates(d, "Person"), "source_id", "target_id", "score") == [(2, 3, 1.0)]
     t = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "id long, name string")
     assert rows(dedup.candidates(t, "Tag"), "source_id", "target_id") == [(1, 2)]
 
 
+@pytest.mark.parametrize(("kind", "columns"), [("Person", ["email", "name"]), ("Location", ["place_id", "name", "address"]), ("Organization", ["domain", "name"]), ("Tag", ["name"])])
+def test_every_exact_pair_is_connected(spark, kind, columns):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7)) + "xyzwvu"[: rng.randrange(7)]
+    value = lambda c: None if rng.random() < 0.25 else f"v{rng.randrange(20)}" if c == columns[0] else word()
+    data = [(i, *[value(c) for c in columns]) for i in range(120)]
+    if kind == "Person":
+        data += [(1003, None, ""), (1004, None, " "), (1005, "q", None), (1006, "q", "zz"), (1007, None, None), (1008, None, "Same Name"), (1009, None, "same  name")]
+    df = spark.createDataFrame(data, "id long, " + ", ".join(f"{c} string" for c in columns))
+    unique, fuzzy, least = dedup.CONFIGS[kind]
+    side = lambda i, e: df.select(F.col("id").alias(i), F.struct(*dict.fromkeys([*unique, *fuzzy])).alias(e))
+    score, matched = dedup.score("x", "y", unique, fuzzy)
+    exact = set(rows(side("i", "x").join(side("j", "y"), F.col("i") < F.col("j")).where((score >= least) & (F.size(matched) > 0)), "i", "j"))
+    found = dedup.candidates(df, kind)
+    got = set(rows(found, "source_id", "target_id"))
+    assert got <= exact and linked(got) == linked(exact) and exact
+    if kind == "Person":
+        assert dict(rows(dedup.connected(found), "id", "root")) == linked(exact)
+
+
 def test_merges_follow_chains(spark):
     m = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "source_id string, target_id string")
     assert rows(dedup.keep_map(m), "delete_id", "keep_id") == [("a", "d"), ("b", "d"), ("c", "d")]
@@ -231,3 +307,64 @@ def test_changes(spark):
     s = "id string, status string, v int"
     b, a = spark.createDataFrame([("1", "active", 1), ("2", "active", 1), ("3", "active", 1)], s), spark.createDataFrame([("1", "active", 1), ("2", "archived", 1), ("3", "active", 2), ("4", "active", 1)], s)
     assert rows(tables.changes(b, a), "id", "change") == [("2", "archived"), ("3", "updated"), ("4", "created")]
+
+
+def plain_plan(starts, refs):
+    reach = {}
+    for s in starts:
+        seen, todo = {s}, [s]
+        while todo:
+            x = todo.pop()
+            new = [(k, i) for k, i, _, rk, ri, p in refs if p == "cascade" and (rk, ri) == x and (k, i) not in seen]
+            seen |= set(new)
+            todo += new
+        reach[s] = seen
+    held = {s for s, seen in reach.items() if any(p == "restrict" and (rk, ri) in seen and (k, i) not in seen for k, i, _, rk, ri, p in refs)}
+    gone = set().union(*[seen for s, seen in reach.items() if s not in held])
+    return sorted(((*s, "restricted" if s in held else "deleted") for s in starts), key=repr), sorted([(*x, "", "deleted") for x in gone] + [(*x, f, "nullified") for x, f in {((k, i), f) for k, i, f, rk, ri, p in refs if p == "nullify" and (rk, ri) in gone and (k, i) not in gone}], key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_delete_plan_over_circles(spark, seed):
+    rng = random.Random(seed)
+    refs = [("a", 1, "b", "b", 1, "cascade"), ("b", 1, "c", "c", 1, "cascade"), ("c", 1, "a", "a", 1, "cascade"), ("a", 9, "self", "a", 9, "cascade"), ("a", 9, "self2", "a", 9, "restrict"), ("c", 2, "x", "c", 1, "nullify")]
+    refs += [(rng.choice("abc"), rng.randrange(2, 15), f"f{i % 4}", rng.choice("abc"), rng.randrange(2, 15), rng.choice(["cascade"] * 3 + ["restrict", "nullify", "nullify"])) for i in range(40)]
+    starts = [("a", 1), ("a", 9), ("b", 3), ("c", 5), ("b", 99)]
+    out, effects = lifecycle.delete_plan(spark.createDataFrame(starts, "kind string, id long"), spark.createDataFrame([*refs, ("a", 3, "n", None, None, "cascade")], "kind string, id long, field string, ref_kind string, ref_id long, policy string"))
+    want = plain_plan(starts, refs)
+    assert rows(out, "kind", "id", "outcome") == want[0]
+    assert rows(effects.fillna({"field": ""}), "kind", "id", "field", "effect") == want[1]
+
+
+def test_counters_are_those_of_the_rows_written(spark, tmp_path):
+    d = spark.range(100).withColumn("outcome", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b"))
+    assert counters.write_counted(d, str(tmp_path / "out"), ["a", "b", "none"]) == {"a": 34, "b": 33, "none": 0}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_create_judges_each_row_and_fills_defaults(spark):
+    fields = spark.createDataFrame([("n.T", "a", "string", True, None, False), ("n.T", "s", "float", False, "1.5", False), ("n.T", "t", "string", False, 'x"y', False), ("n.T", "g", "string[]", False, '["q"]', False)], "_type string, field string, kind string, required boolean, default string, immutable boolean")
+    b = spark.createDataFrame([(1, "n.T", "n", '{"a":"x"}'), (1, "n.T", "n", "{}"), (2, "n.T", "n", ' {"a":"x", "s": 2} '), (3, "n.U", "n", "{}")], "id int, _type string, app string, data string")
+    scopes = spark.createDataFrame([("n", "n.T"), ("n", "n.U")], "app string, _type string")
+    got = rows(lifecycle.create_checked(b, scopes, fields, F.lit(0)), "id", "reject", "data")
+    assert [(i, r) for i, r, _ in got] == [(1, "required"), (1, None), (2, None), (3, "type")]
+    data = {(i, r): d for i, r, d in got}
+    assert json.loads(data[1, None]) == {"a": "x", "s": 1.5, "t": 'x"y', "g": ["q"]} and json.loads(data[2, None]) == {"a": "x", "s": 2, "t": 'x"y', "g": ["q"]}
+    assert data[1, "required"] == "{}"
+
+
+def test_checked_updates_and_answers(spark):
+    fields = spark.createDataFrame([("n.T", "a", "string", True, None, False), ("n.T", "s", "int", False, None, False), ("n.T", "i", "int", False, None, True)], "_type string, field string, kind string, required boolean, default string, immutable boolean")
+    now = spark.createDataFrame([(i, "n.T", "n", 2, '{"a":"x","s":1}') for i in range(6)], "id int, _type string, _owner string, _version long, data string")
+    ask = spark.createDataFrame([(0, "n", 2, 1, '{"s":5}'), (0, "n", 2, 2, '{"s":6}'), (1, "n", 2, 1, '{"zz":1}'), (2, "n", 2, 1, '{"s":"t"}'), (3, "n", 2, 1, '{"i":1}'), (4, "m", 2, 1, '{"s":7}'), (5, "o", 2, 1, '{"s":7}'), (9, "n", 2, 1, "{}"), (5, "p", 1, 1, "{}")], "id int, app string, expected_version long, order int, data string")
+    scopes = spark.createDataFrame([("n", "n.T", "own"), ("m", "n.T", "own"), ("p", "n.T", "all")], "app string, _type string, scope string")
+    got = {(r["id"], r["app"], r["order"]): (r["reject"], r["field"], r["data"] and json.loads(r["data"]), r["_version"]) for r in lifecycle.update_checked(now, ask, scopes, fields, F.lit(0)).collect()}
+    assert got == {
+        (0, "n", 1): (None, None, {"a": "x", "s": 5}, 3), (0, "n", 2): ("version", None, None, None), (1, "n", 1): ("unknown", "zz", None, None), (2, "n", 1): ("mismatch", "s", None, None), (3, "n", 1): ("immutable", "i", None, None),
+        (4, "m", 1): ("owner", None, None, None), (5, "o", 1): ("scope", None, None, None), (9, "n", 1): ("missing", None, None, None), (5, "p", 1): ("version", None, None, None),
+    }
+    t = spark.createDataFrame([(1, "n.T", "n", 2, True), (2, "n.T", "n", 2, False)], "id int, _type string, _owner string, _version long, _deleted boolean").withColumns({"_deleted_at": F.lit(None).cast("int"), "_modified_at": F.lit(None).cast("int")})
+    asked = spark.createDataFrame([(1, "n.T", "n"), (1, "n.T", "n"), (2, "n.T", "x"), (7, "n.T", "n")], "id int, _type string, app string")
+    after, said = lifecycle.answered(t, asked, scopes, True, F.lit(5))
+    assert rows(after, "id", "_version", "_deleted", "_modified_at") == [(1, 3, False, 5), (2, 2, False, None)]
+    assert rows(said, "id", "reject") == [(1, None), (1, None), (2, "not_deleted"), (7, "missing")]
