@@ -113,7 +113,8 @@ def stem(c: Column) -> Column:
 
 
 def last_components(c: Column, n: int) -> Column:
-    parts = F.array_remove(F.split(c, "/"), "")
+    """The last n of what slashes part, empty names included; slashes at the end don't count."""
+    parts = F.split(F.regexp_replace(c, "/+$", ""), "/")
     return F.array_join(F.slice(parts, F.greatest(F.size(parts) - (n - 1), F.lit(1)), F.lit(n)), "/")
 
 

@@ -38,6 +38,21 @@ def mask(entities: DataFrame, entity_type: str, see: Column) -> DataFrame:
     return entities.withColumns({c: F.when(see, F.col(c)) for c in SENSITIVE.get(entity_type, []) if c in entities.columns})
 
 
+def mask_by_grants(entities: DataFrame, entity_type: str, viewer: str, grants: DataFrame, first: Column, strict: bool = False) -> DataFrame:
+    """entities with the sensitive fields of a shared type emptied for viewers (a column) that may not see them.
+
+    First parties see all; others need a grant (app, pattern, exclude) for the type or for all shared ones. strict: a grant speaks for
+    no field that it excludes; otherwise any grant shows all.
+    """
+    fields = [c for c in SENSITIVE.get(entity_type, []) if c in entities.columns]
+    shown = F.array_except(F.array(*[F.lit(c) for c in fields]), F.coalesce("exclude", F.array().cast("array<string>"))) if strict else F.array(*[F.lit(c) for c in fields])
+    g = grants.where(F.col("pattern").isin(f"shared.{entity_type}", "shared.*")).select(F.col("app").alias("__viewer"), F.explode(shown).alias("__field"))
+    g = g.groupBy("__viewer").agg(F.collect_set("__field").alias("__shown"))  # the type's fields at most
+    d = entities.join(g, F.col(viewer) == F.col("__viewer"), "left")
+    see = lambda c: first | F.coalesce(F.array_contains("__shown", c), F.lit(False))
+    return d.withColumns({c: F.when(see(c), F.col(c)) for c in fields}).drop("__viewer", "__shown")
+
+
 def first_party(app: Column, listed: list[str], prefix: str) -> Column:
     return app.isin(listed) | app.startswith(prefix)
 

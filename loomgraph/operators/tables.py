@@ -28,6 +28,13 @@ def merge_edges(edges: DataFrame, new: DataFrame, sources: DataFrame | None = No
     return edges.select("src_id", "dst_id").unionByName(new.select("src_id", "dst_id")).distinct()
 
 
+def with_presence(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """pairs (src_id, dst_id) with linked: whether such an edge is there already."""
+    there = edges.select(F.col("src_id").alias("__s"), F.col("dst_id").alias("__d")).distinct().withColumn("linked", F.lit(True))
+    d = pairs.join(there, F.col("src_id").eqNullSafe(F.col("__s")) & F.col("dst_id").eqNullSafe(F.col("__d")), "left")
+    return d.withColumn("linked", F.coalesce("linked", F.lit(False))).drop("__s", "__d")
+
+
 def append_absent(table: DataFrame | None, batch: DataFrame, key: str = "id", order: Column | None = None) -> DataFrame:
     """The rows of batch to append: one for each key, the first by order, if the table has no such key."""
     first = F.min_by(F.struct(*batch.columns), order if order is not None else F.struct(*[c for c, t in batch.dtypes if "map" not in t and "variant" not in t]))

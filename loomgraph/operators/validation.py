@@ -121,10 +121,10 @@ def check_config(configs: DataFrame) -> DataFrame:
 
 
 def config_defaults(configs: DataFrame) -> DataFrame:
-    """configs with missing settings filled in."""
+    """configs with missing settings filled in; dates, which may be given as such or as text, become text (yyyy-MM-dd)."""
     exclude = F.array(*[F.lit(x) for x in EXCLUDED])
     none = F.array().cast("array<string>")
-    fill = {"id": F.uuid(), "status": F.lit("active"), "root": F.lit("."), "include": none, "exclude": exclude, "context_scope": F.lit("project"), "include_files": none}
+    fill = {"id": F.uuid(), "status": F.lit("active"), "root": F.lit("."), "include": none, "exclude": exclude, "context_scope": F.lit("project"), "include_files": none, "default_branch": F.lit("main")}
     d = configs.withColumns({c: F.coalesce(F.col(c), v) if c in configs.columns else v for c, v in fill.items()})
     return d.withColumns({c: F.col(c).cast("string") if c in configs.columns else F.lit(None).cast("string") for c in ("description", "created", "due")})
 

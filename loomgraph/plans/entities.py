@@ -368,6 +368,21 @@ def masked_person(spark, sf):  # noqa: ANN001, ANN201
     return access.mask(c, "Person", access.first_party(F.col("c_mktsegment"), ["MACHINERY"], "BUILD")).drop("c_mktsegment")
 
 
+@query("""WITH V AS (SELECT c_custkey AS id, 'app' || c_custkey % 50 AS viewer, c_custkey % 50 AS a FROM customer), S AS (SELECT *, a % 4 = 0 AS named, a % 6 = 0 AS wide, a % 5 = 0 AS own, a % 3 = 0 AS less FROM V)
+ SELECT id, strict, own OR wide OR named AND NOT (strict AND less) AS email, own OR wide OR named AS phone FROM S, (SELECT unnest([FALSE, TRUE]) AS strict)""")
+def masked_by_grants(spark, sf):  # noqa: ANN001, ANN201
+    """Which viewers see people's email and phone: first parties and those with a grant for the type, in the strict form but for fields it excludes."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer").select(k.alias("id"), F.concat(F.lit("app"), (k % 50).cast("string")).alias("viewer"), F.lit("e").alias("email"), F.lit("p").alias("phone"), (k % 50).alias("a"))
+    a = c.select("viewer", "a").distinct()
+    named = a.where("a % 4 = 0").select(F.col("viewer").alias("app"), F.lit("shared.Person").alias("pattern"), F.when(F.col("a") % 3 == 0, F.array(F.lit("email"))).alias("exclude"))
+    wide = a.where("a % 6 = 0").select(F.col("viewer").alias("app"), F.lit("shared.*").alias("pattern"), F.lit(None).cast("array<string>").alias("exclude"))
+    odd = a.select(F.col("viewer").alias("app"), F.lit("shared.Tag").alias("pattern"), F.lit(None).cast("array<string>").alias("exclude"))
+    grants = named.unionByName(wide).unionByName(odd)
+    parts = [access.mask_by_grants(c, "Person", "viewer", grants, F.col("a") % 5 == 0, strict).select("id", F.lit(strict).alias("strict"), F.col("email").isNotNull().alias("email"), F.col("phone").isNotNull().alias("phone")) for strict in (False, True)]
+    return parts[0].unionByName(parts[1])
+
+
 @query("""WITH G AS (SELECT 'app' || c_custkey % 200 AS app, 'read' AS kind, CASE c_custkey % 4 WHEN 3 THEN 'com.anki.*' ELSE 'system.N' || c_nationkey END AS type, CASE c_custkey % 4 WHEN 1 THEN 'path' WHEN 2 THEN 'name' END AS field FROM customer)
  SELECT app, kind, type, CASE WHEN bool_or(field IS NULL) THEN NULL ELSE list_sort(list_distinct(list(field) FILTER (WHERE field IS NOT NULL))) END AS fields FROM G GROUP BY 1, 2, 3""")
 def grants_normalised(spark, sf):  # noqa: ANN001, ANN201
@@ -651,10 +666,10 @@ def config_check(spark, sf):  # noqa: ANN001, ANN201
     return validation.check_config(_configs(spark, sf)).select("id", "problem")
 
 
-@query(sql(CONFIGS, select="SELECT id, name, coalesce(status, 'active') AS status, coalesce(context_scope, 'project') AS context_scope, '.' AS root, 'node_modules|target|.git|dist|build|__pycache__|*.pyc|.next|vendor' AS exclude, 0 AS included, CASE WHEN id % 3 = 0 THEN '2024-01-02' END AS created FROM CF"))
+@query(sql(CONFIGS, select="SELECT id, name, coalesce(status, 'active') AS status, coalesce(context_scope, 'project') AS context_scope, '.' AS root, 'node_modules|target|.git|dist|build|__pycache__|*.pyc|.next|vendor' AS exclude, 0 AS included, CASE WHEN id % 3 = 0 THEN '2024-01-02' END AS created, 'main' AS default_branch FROM CF"))
 def config_defaults(spark, sf):  # noqa: ANN001, ANN201
     d = validation.config_defaults(_configs(spark, sf).withColumn("created", F.when(F.col("id") % 3 == 0, F.lit("2024-01-02").cast("date"))))
-    return d.select("id", "name", "status", "context_scope", "root", F.array_join("exclude", "|").alias("exclude"), F.size("include").alias("included"), "created")
+    return d.select("id", "name", "status", "context_scope", "root", F.array_join("exclude", "|").alias("exclude"), F.size("include").alias("included"), "created", "default_branch")
 
 
 EXECUTABLES = ["/usr/lib/acme/apps/org.n{0}/bin/run", "/home/u{0}/.local/share/acme/apps/com.n{0}/x", "/opt/acme-ai-daemon", "/usr/bin/acme-ai", "/usr/bin/acme-shell{0}", "/src/target/debug/tool{0}", "/usr/lib/acme/apps/", "/usr/bin/other{0}", ""]

@@ -200,6 +200,13 @@ def path_pattern(spark, sf):  # noqa: ANN001, ANN201
     return paths.match_path([(part_of, "in"), (folds.accessed_by(e), "out"), (folds.active_in(e), "out")])
 
 
+@query(sql(E, OPENED, FILES, ROOTS, NEAREST, PART_OF, select="SELECT src_id, dst_id, ends_with(src_id, '7') AS linked FROM L"))
+def links_present(spark, sf):  # noqa: ANN001, ANN201
+    """New links of files to projects, and whether each is among the edges already."""
+    part_of = _graph(spark, sf)[2]
+    return tables.with_presence(part_of, part_of.where("src_id like '%7'"))
+
+
 @query(sql(E, OPENED, FILES, ROOTS, NEAREST, PART_OF, select="SELECT L.dst_id AS project_id, F.id, F.path FROM L JOIN F ON L.src_id = F.id"))
 def project_files(spark, sf):  # noqa: ANN001, ANN201
     _, files, part_of, _ = _graph(spark, sf)

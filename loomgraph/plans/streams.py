@@ -14,6 +14,7 @@ from loomgraph.operators import folds, paths
 from loomgraph.plans import graph
 from loomgraph.plans.base import ACCESSED, ACTIVE, DAY, FILES, FOCUSED, NEAREST, NOW, OPENED, PART_OF, ROOTS, E, activity, roots, sql
 from loomgraph.plans.checkpoints import ensure
+from loomgraph.sources import wire
 from loomgraph.sources.events import decode, stream_events
 from loomgraph.streaming import streams
 from loomgraph.streaming.store import set_and_clear
@@ -273,6 +274,24 @@ def payload_decode(spark, sf):  # noqa: ANN001, ANN201
     return decode(_envelopes(spark, sf), "file.opened")[0].select("id", "path", "app_id")
 
 
+def _binary(e):  # noqa: ANN001, ANN202
+    """Openings of files as binary messages with a field that nobody knows; every tenth ends too early."""
+    text = lambda tag, c: F.concat(F.unhex(F.lit(tag)), F.unhex(F.lpad(F.hex(F.octet_length(c)), 2, "0")), F.encode(c, "UTF-8"))
+    message = F.concat(F.unhex(F.lit("7A017A")), text("0A", F.col("path")), text("12", F.col("app_id")), F.unhex(F.lit("18")), F.unhex(F.lpad(F.hex(F.col("k") % 100), 2, "0")))
+    whole = e.where("type = 'file.opened'").withColumn("message", message)
+    return whole.select("id", "type", F.expr("CASE WHEN k % 10 = 0 THEN substring(message, 1, length(message) - 1) ELSE message END").alias("payload"))
+
+
+@query(sql(E, select="SELECT id, path, app_id, k % 100 AS flags FROM E WHERE type = 'file.opened' AND k % 10 <> 0"))
+def payload_binary(spark, sf):  # noqa: ANN001, ANN201
+    return wire.decode(_binary(activity(spark, sf)), "file.opened")[0].select("id", "path", "app_id", "flags")
+
+
+@query(sql(E, select="SELECT id FROM E WHERE type = 'file.opened' AND k % 10 = 0"))
+def payload_binary_quarantine(spark, sf):  # noqa: ANN001, ANN201
+    return wire.decode(_binary(activity(spark, sf)), "file.opened")[1].select("id")
+
+
 @query(sql(E, select="SELECT id FROM E WHERE type = 'file.opened' AND k % 10 = 0"))
 def payload_quarantine(spark, sf):  # noqa: ANN001, ANN201
     e = activity(spark, sf)
