@@ -20,8 +20,9 @@ BITS, FACTORS, EPOCHS, STEP_DOCS, RATE, DECAY = 20, 8, 15, 32, 0.1, 1e-5
 #: Beginnings of words that are terms beside the words, and marks that are no part of a word.
 BEGINNINGS, MARKS = (3, 4, 5), "!\"#$%&'()*+,-./:;<=>?@[]^_`{|}~"
 #: Labelled documents that the model is fitted on at most; a term counts from this many of them on, if a chi-square test against the
-#: label gives it at least LEAST_CHI.
-FIT_DOCS, LEAST_DOCS, LEAST_CHI = 8192, 3, 6.6
+#: label gives it at least LEAST_CHI, or if together with another of the PAIRED terms that split the documents best it tells the label
+#: by LEAST_PAIR more than the two do by themselves.
+FIT_DOCS, LEAST_DOCS, LEAST_CHI, PAIRED, LEAST_PAIR = 8192, 3, 6.6, 1024, 40.0
 
 
 def _hashed(strings: pa.Array, valid: np.ndarray, end: bytes = b"") -> np.ndarray:
@@ -71,6 +72,38 @@ class Model:
         return out + 0.5 * ((s**2).sum(axis=1) - q)
 
 
+def _chi(n: np.ndarray, pos: np.ndarray, total: float, toxic: float) -> np.ndarray:
+    """Chi-square of groups of n rows, pos of them toxic, against the share of toxic rows in all."""
+    share = toxic / total
+    return np.divide((pos - n * share) ** 2, n * share * (1 - share), out=np.zeros(np.shape(n)), where=n > 0)
+
+
+def paired_terms(bucket: np.ndarray, counts: np.ndarray, y: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Hashed terms that tell the label in pairs, though maybe not alone: of each two of the PAIRED terms that are nearest to half of the
+    documents, the four cells' chi-square exceeds the sum of both terms' own by LEAST_PAIR."""
+    total, toxic = float(len(y)), float(y.sum())
+    if not 0 < toxic < total:
+        return np.empty(0, np.int64)
+    some = np.flatnonzero((df >= LEAST_DOCS) & (df <= total - LEAST_DOCS))
+    some = np.sort(some[np.argsort(-np.minimum(df[some], total - df[some]), kind="stable")[:PAIRED]])
+    at = np.full(1 << BITS, -1)
+    at[some] = np.arange(len(some))
+    doc, col = np.repeat(np.arange(len(counts)), counts), at[bucket]
+    both, hits = (np.zeros((len(some), len(some))) for _ in range(2))
+    for lo in range(0, len(counts), 2048):
+        x = np.zeros((min(2048, len(counts) - lo), len(some)), np.float32)
+        use = (doc >= lo) & (doc < lo + len(x)) & (col >= 0)
+        x[doc[use] - lo, col[use]] = 1
+        both += x.T @ x
+        hits += x.T @ (x * y[lo : lo + len(x), None].astype(np.float32))
+    n, p = np.diag(both), np.diag(hits)
+    cells = _chi(both, hits, total, toxic) + _chi(n[:, None] - both, p[:, None] - hits, total, toxic) + _chi(n - both, p - hits, total, toxic) + _chi(total - n[:, None] - n + both, toxic - p[:, None] - p + hits, total, toxic)
+    own = _chi(n, p, total, toxic) + _chi(total - n, toxic - p, total, toxic)
+    gain = cells - own[:, None] - own
+    np.fill_diagonal(gain, 0)
+    return some[gain.max(axis=1, initial=0) >= LEAST_PAIR]
+
+
 def learn(bucket: np.ndarray, counts: np.ndarray, y: np.ndarray) -> Model:
     """Logistic loss, AdaGrad steps; documents in a fixed shuffled order. Without both labels the bias alone speaks."""
     df = np.bincount(bucket, minlength=1 << BITS).astype(float)
@@ -78,6 +111,7 @@ def learn(bucket: np.ndarray, counts: np.ndarray, y: np.ndarray) -> Model:
     spread = df * (total - df) * toxic * (total - toxic)
     chi = np.divide(total * (total * pos - df * toxic) ** 2, spread, out=np.zeros_like(df), where=spread > 0)
     keep = (df >= LEAST_DOCS) & (chi >= LEAST_CHI)
+    keep[paired_terms(bucket, counts, y, df)] = True
     place = np.where(keep, np.cumsum(keep) - 1, -1)
     n = int((place >= 0).sum())
     rng = np.random.default_rng(7)
