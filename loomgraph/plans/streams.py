@@ -146,12 +146,12 @@ def stream_annotations(spark, sf):  # noqa: ANN001, ANN201
     return live.groupBy(*KEY).agg(F.max_by("data", F.struct("ts", "event")).alias("data"), F.min("ts").alias("created_at"), F.max("ts").alias("last_modified")).select(uuid5(folds.ANNOTATIONS, *[F.col(k) for k in KEY]).alias("id"), *KEY, "data", "created_at", "last_modified")
 
 
-DEEP = (E.replace("E AS (", "E0 AS (", 1), "E AS (SELECT * REPLACE (CASE WHEN path <> '' THEN '/k/' || (k % 10) || '/' || k || '/f' || pid ELSE path END AS path) FROM E0)")
+DEEP = (E.replace("E AS (", "E0 AS (", 1), "E AS (SELECT * REPLACE (CASE WHEN path <> '' THEN path || '/f' || id ELSE path END AS path) FROM E0)")
 
 
 def _deep(spark, sf):  # noqa: ANN001, ANN202
-    """The activity with its files dealt to few projects, so that each has many."""
-    return activity(spark, sf).withColumn("path", F.when(F.col("path") != "", F.concat_ws("/", F.lit("/k"), (F.col("k") % 10).cast("string"), F.col("k").cast("string"), F.concat(F.lit("f"), F.col("pid").cast("string")))).otherwise(F.col("path")))
+    """The activity with a file of its own for each opening, so that projects have many files and these grow with the log."""
+    return activity(spark, sf).withColumn("path", F.when(F.col("path") != "", F.concat("path", F.lit("/f"), "id")).otherwise(F.col("path")))
 
 
 @query(sql(*DEEP, OPENED, FOCUSED, FILES, ACCESSED, ACTIVE, ROOTS, NEAREST, PART_OF, graph.COUNTS, select="SELECT DISTINCT project_id AS id FROM C JOIN R USING (project_id) WHERE R.inferred AND files >= 3"))
