@@ -252,11 +252,11 @@ def delete_plan(starts: DataFrame, references: DataFrame) -> tuple[DataFrame, Da
     """
     named = references.select("kind", "id", "field", "ref_kind", "ref_id", "policy").where("ref_id is not null")
     by = lambda policy: named.where(F.col("policy") == policy)
-    start = F.struct("kind", "id")
+    start, cascade = F.struct("kind", "id"), by("cascade").checkpoint()  # read once, not in every round
     reach = starts.select(start.alias("start"), "kind", "id").distinct().checkpoint()
     frontier = reach
     while not frontier.isEmpty():
-        step = by("cascade").join(frontier.select("start", F.col("kind").alias("ref_kind"), F.col("id").alias("ref_id")), ["ref_kind", "ref_id"])
+        step = cascade.join(frontier.select("start", F.col("kind").alias("ref_kind"), F.col("id").alias("ref_id")), ["ref_kind", "ref_id"])
         frontier = step.select("start", "kind", "id").distinct().join(reach, ["start", "kind", "id"], "left_anti").checkpoint()
         reach = reach.unionByName(frontier)
     held = by("restrict").join(reach.select("start", F.col("kind").alias("ref_kind"), F.col("id").alias("ref_id")), ["ref_kind", "ref_id"])
