@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ COSINE = 0.4
 #: Share of an item's words, in order: a leak as such, or one if the answer's words are there too. Shorter items must be whole.
 VERBATIM, PARAPHRASE, ANSWER, LEAST_WORDS = 0.75, 0.5, 0.8, 8
 BLOCK = 1 << 14
+#: Tasks that the space is fitted in at most, and blobs of a block that are added up together.
+FAN = 64
 
 
 def bare_words(texts: pa.Array) -> Words:
@@ -71,27 +74,38 @@ def _gather_task(share: float):  # noqa: ANN202
             pick = (nth >> np.uint64(32)).astype(np.int64) < int(share * (1 << 32))
             rows = [terms[s : min(s + FIT_WORDS, int(w.ends[d]))] for s, d in zip(starts[pick].tolist(), doc[pick].tolist(), strict=True)]
             if rows:
-                yield _row(len(rows), [1] * len(rows), [-1] * len(rows), [None] * len(rows), rows)
+                yield _row(len(rows), -1, [1] * len(rows), [-1] * len(rows), [None] * len(rows), rows)
         parts = [df[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, 1 << BITS, BLOCK)]
-        yield _row(len(parts), [0] * len(parts), list(range(len(parts))), parts, [[]] * len(parts))
+        yield _row(len(parts), TaskContext.get().partitionId(), [0] * len(parts), list(range(len(parts))), parts, [[]] * len(parts))
 
     return run
 
 
-def _row(n: int, kind: list[int], block: list[int], blob: list, terms: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(block, pa.int32()), pa.array(blob, pa.binary()), pa.array(terms, pa.list_(pa.int32()))], ["kind", "block", "blob", "terms"])
+def _row(n: int, slot: int, kind: list[int], block: list[int], blob: list, terms: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([slot] * n, pa.int64()), pa.array(kind, pa.int32()), pa.array(block, pa.int32()), pa.array(blob, pa.binary()), pa.array(terms, pa.list_(pa.int32()))], ["slot", "kind", "block", "blob", "terms"])
+
+
+def _total(t: pa.Table, kind: str) -> pa.Array:
+    return pa.array([np.sum([np.frombuffer(x.as_py(), kind) for x in t.column("blob")], axis=0).astype(kind).tobytes()], pa.binary())
 
 
 def _sum_blobs(kind: str):  # noqa: ANN202
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x.as_py(), kind) for x in t.column("blob")], axis=0)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "blob": pa.array([total.astype(kind).tobytes()], pa.binary())})
+    return lambda key, t: pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "blob": _total(t, kind)})
 
-    return run
 
+def _sum_slots(kind: str, step: int):  # noqa: ANN202
+    return lambda key, t: pa.table({"slot": pa.array([key[0].as_py() * step], pa.int64()), "block": pa.array([key[1].as_py()], pa.int32()), "blob": _total(t, kind)})
 
-def summed_blobs(blobs: DataFrame, kind: str) -> np.ndarray:
-    """Blobs (block, blob) added up by block and put in a row: a vector or matrix of fixed size."""
+
+def summed_blobs(blobs: DataFrame, kind: str, tasks: int = 1) -> np.ndarray:
+    """Blobs (slot, block, blob), slot being the number of the task that made them, added up by block and put in a row: a vector or matrix of fixed size.
+
+    They are added up in a tree, so that a group holds FAN blobs of a block at most, however many tasks there are.
+    """
+    step = FAN
+    while step < tasks:
+        up = blobs.groupBy(F.floor(F.col("slot") / step).alias("up"), "block").applyInArrow(_sum_slots(kind, step), "slot long, block int, blob binary")
+        blobs, step = up, step * FAN
     rows = blobs.groupBy("block").applyInArrow(_sum_blobs(kind), "block int, blob binary").collect()
     return np.concatenate([np.frombuffer(r.blob, kind) for r in sorted(rows, key=lambda r: r.block)]) if rows else np.empty(0, kind)
 
@@ -163,8 +177,9 @@ def gather(docs: DataFrame) -> Corpus:
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     passages = max(1.0, (size or 0) / (3 * FIT_WORDS))  # six bytes to a word, a passage at every half
     d = docs.select("text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"))
-    got = settle(d.mapInArrow(_gather_task(min(1.0, SAMPLE / passages)), "kind int, block int, blob binary, terms array<int>"), "passages")
-    df = summed_blobs(got.where("kind = 0").select("block", "blob"), "<i8")
+    got = settle(d.mapInArrow(_gather_task(min(1.0, SAMPLE / passages)), "slot long, kind int, block int, blob binary, terms array<int>"), "passages")
+    tasks = (got.agg(F.max("slot")).first()[0] or 0) + 1
+    df = summed_blobs(got.where("kind = 0").select("slot", "block", "blob"), "<i8", tasks)
     return Corpus(rows, df if len(df) else np.zeros(1 << BITS, np.int64), got.where("kind = 1").select("terms"), passages)
 
 
@@ -181,7 +196,7 @@ def fit(corpus: Corpus, items: DataFrame) -> Space:
     idf = np.log((1 + rows) / (1 + df[chosen])) + 0.05
     weight = float(np.sqrt(max(1.0, min(SAMPLE, corpus.passages) / max(1, items.count()))))  # half of all weight is the items'
     a = corpus.sample.select("terms", F.lit(1.0).alias("weight")).unionByName(items.select("terms", F.lit(weight).alias("weight")))
-    a = settle(a.repartition(max(2, spark.sparkContext.defaultParallelism)), "fit")
+    a = settle(a.repartition(max(2, min(FAN, spark.sparkContext.defaultParallelism))), "fit")
     k = min(RANK + EXTRA, max(1, len(chosen)))
     q = np.linalg.qr(np.random.default_rng(11).normal(size=(max(1, len(chosen)), k)))[0].astype(np.float32)
     if not len(chosen):
