@@ -13,6 +13,7 @@ import re
 from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ GOOD_WORDS = frozenset("article content post entry story main body text maintext
 #: The classifier's weights, and the edges': strength and the elements between two blocks that halve it.
 GOOD, BAD, TITLE, WORDS, LINKS, SHORT, SENTENCE, BIAS = 5.0, -9.0, 1.0, 0.5, 4.0, -0.6, 0.6, -1.2
 EDGE, HALF = 1.2, 2.0
+#: Flow below this counts as none.
+LEAST = 1e-12
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -245,8 +248,8 @@ def edges_of(blocks: list[Block], elements: list[Element]) -> list[tuple[int, in
 def min_cut(z: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """The source's side of the minimum cut: z is a node's capacity from the source or, below 0, to the sink.
 
-    Nodes whose terminal outweighs all their edges have their label for sure and are folded into their neighbours; augmenting paths
-    settle the rest. A tie goes to the sink.
+    Nodes whose terminal outweighs all their edges have their label for sure and are folded into their neighbours; a maximum flow
+    in each connected piece of the rest settles that. A tie goes to the sink.
     """
     z, near = list(z), [{} for _ in z]
     for a, b, w in edges:
@@ -263,39 +266,70 @@ def min_cut(z: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
                 z[j] += w if label[i] else -w
                 wait.append(j)
             near[i] = {}
-    rest = [i for i, x in enumerate(label) if x is None]
-    if not rest:
-        return [bool(x) for x in label]
-    flow = {i: dict(near[i]) for i in rest}  # what each direction of an edge still takes
-    spare = {i: z[i] for i in rest}
-    while True:  # shortest ways from nodes with flow left over to nodes that still take some
-        came: dict[int, int] = {i: -1 for i in rest if spare[i] > 1e-12}
-        queue, end = deque(came), -1
-        while queue:
-            i = queue.popleft()
-            if spare[i] < -1e-12:
-                end = i
-                break
-            for j, c in flow[i].items():
-                if c > 1e-12 and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end < 0:
-            break
-        way = [end]
-        while came[way[-1]] >= 0:
-            way.append(came[way[-1]])
-        push = min(-spare[end], spare[way[-1]], *(flow[b][a] for a, b in zip(way, way[1:], strict=False)))
-        spare[end] += push
-        spare[way[-1]] -= push
-        for a, b in zip(way, way[1:], strict=False):
-            flow[b][a] -= push
-            flow[a][b] += push
-    for i in rest:
-        label[i] = i in came
+    for first in range(len(z)):
+        if label[first] is None:
+            label[first], piece = False, [first]
+            for i in piece:  # grows while it is gone through
+                for j in near[i]:
+                    if label[j] is None:
+                        label[j] = False
+                        piece.append(j)
+            for i in source_side({i: z[i] for i in piece}, {i: near[i] for i in piece}):
+                label[i] = True
     return [bool(x) for x in label]
 
 
+def layers(spare: dict[int, float], flow: dict[int, dict[int, float]]) -> tuple[dict[int, int], bool]:
+    """Steps from the nodes with flow left over to all others that these reach, up to the first that still take some; whether there are such."""
+    level = {i: 0 for i, x in spare.items() if x > LEAST}
+    layer = list(level)
+    while layer:
+        after = []
+        for i in layer:
+            for j, c in flow[i].items():
+                if c > LEAST and j not in level:
+                    level[j] = level[i] + 1
+                    after.append(j)
+        if any(spare[j] < -LEAST for j in after):
+            return level, True
+        layer = after
+    return level, False
+
+
+def source_side(spare: dict[int, float], flow: dict[int, dict[int, float]]) -> set[int]:
+    """Nodes on the source's side after a maximum flow; spare and flow are changed.
+
+    Each round fills all shortest ways at once, so rounds are no more than there are lengths of ways: a few, as capacities are
+    bounded and only nodes of nearly no capacity let flow pass on.
+    """
+    while True:
+        level, found = layers(spare, flow)
+        if not found:
+            return set(level)
+        arcs = {i: iter(flow[i]) for i in level}
+        now: dict[int, int] = {}  # the arc that a node tries; those before it lead nowhere in this round
+        for first in [i for i, n in level.items() if not n]:
+            way = [first]
+            while way and spare[first] > LEAST:
+                i = way[-1]
+                j = now.get(i, -1)
+                if spare[i] < -LEAST:
+                    push = min(spare[first], -spare[i], *(flow[a][b] for a, b in pairwise(way)))
+                    spare[first] -= push
+                    spare[i] += push
+                    for a, b in pairwise(way):
+                        flow[a][b] -= push
+                        flow[b][a] += push
+                    way = [first]
+                elif j >= 0 and flow[i][j] > LEAST and level.get(j) == level[i] + 1:
+                    way.append(j)
+                elif (j := next(arcs[i], -1)) >= 0:
+                    now[i] = j
+                else:  # a dead end
+                    level[i] = -1
+                    way.pop()
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""

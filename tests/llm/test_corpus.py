@@ -390,7 +390,7 @@ def test_op2_open_and_void_dropped_elements(before):
     assert html_text.main_text(f"<body>{inside}</body>").endswith("Second paragraph is here, as a sentence.")
 
 
-@pytest.mark.parametrize("page", ["<p " * 20_000, "<div>" * 8_000 + "x" + "</div>" * 8_000, "<div>a " * 8_000, "<b>a" * 20_000 + "</b>" * 20_000, "<p>a</span>" * 20_000, "<!-- " * 20_000, "<select><option>" * 10_000, "<h2>" * 5_000 + "a<br>" * 5_000])
+@pytest.mark.parametrize("page", ["<p " * 20_000, "<div>" * 8_000 + "x" + "</div>" * 8_000, "<div>a " * 8_000, "<b>a" * 20_000 + "</b>" * 20_000, "<p>a</span>" * 20_000, "<!-- " * 20_000, "<select><option>" * 10_000, "<h2>" * 5_000 + "a<br>" * 5_000, "<p>a b.</p><p>a b c d e f.</p>" * 8_000, "<p>a b.</p><p>a b c d.</p><p>a b c</p><p>a b c d e f.</p>" * 4_000])
 def test_op2_long_and_deep_pages_take_linear_time(page):
     import time
 
@@ -422,6 +422,28 @@ def test_minimum_cut_matches_brute_force():
         assert cost(html_text.min_cut(z, e)) == pytest.approx(min(map(cost, itertools.product((False, True), repeat=k))))
 
 
+@pytest.mark.parametrize("tasks", [1, 63, 64, 65, 5_000])
+def test_blobs_of_many_tasks_are_added_up_in_a_tree(spark, monkeypatch, tasks):
+    monkeypatch.setattr(decontaminate, "FAN", 8)
+    rows = [(t, b, np.array([t, b, 1], "<i8").tobytes()) for t in range(tasks) for b in range(2) if (t + b) % 7 or not t]
+    got = decontaminate.summed_blobs(spark.createDataFrame(rows, "slot long, block int, blob binary"), "<i8", tasks)
+    assert got.tolist() == [x for b in range(2) for x in np.sum([np.frombuffer(r[2], "<i8") for r in rows if r[1] == b], axis=0).tolist()]
+    assert decontaminate.summed_blobs(spark.createDataFrame([], "slot long, block int, blob binary"), "<i8", tasks).tolist() == []
+
+
+def test_minimum_cut_of_long_chains_matches_dynamic_programming():
+    rng = random.Random(3)
+    for n in (1, 2, 50, 2_000):
+        for near_zero in (False, True):
+            z = [rng.choice([1e-3, -1e-3]) * (i % 50 > 25 or 1) if near_zero else rng.uniform(-1.5, 1.5) for i in range(n)]
+            e = [(i - 1, i, rng.uniform(0.2, 1.2)) for i in range(1, n)]
+            cost = lambda x: sum(max(v, 0) if not y else max(-v, 0) for v, y in zip(z, x, strict=True)) + sum(w for a, b, w in e if x[a] != x[b])  # noqa: B023, E731
+            out, into = max(z[0], 0), max(-z[0], 0)
+            for (_, _, w), v in zip(e, z[1:], strict=True):
+                out, into = min(out, into + w) + max(v, 0), min(into, out + w) + max(-v, 0)
+            assert cost(html_text.min_cut(z, e)) == pytest.approx(min(out, into))
+
+
 def test_op7(spark, odd, none):
     pytest.importorskip("pyarrow")
     sf = "/root/testdata/sf0.1"
