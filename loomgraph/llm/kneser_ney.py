@@ -2,8 +2,8 @@
 
 Words are counted by ranges of their 64-bit hashes; a word's number is its range and its place there. The longest n-grams are counted, as
 numbers; how many left neighbours they have gives the counts of all shorter ones. N-grams are dealt to the part of the last word but one, so
-that one part holds all that its shorter n-grams and their contexts need; words that make up over 1 / HOT of all tokens spread theirs by
-the last two words' hash, and their contexts are added up in a second step. Each part is a few sorted arrays in the shared folder: of an
+that one part holds all that its shorter n-grams and their contexts need; words with more n-grams than an average part holds (or over 1 / HOT of all)
+spread theirs by the last two words' hash, and their contexts are added up in a second step. Each part is a few sorted arrays in the shared folder: of an
 n-gram's 64-bit hash they keep some first bits as a table of places and the next 32, so an unseen one is taken for another once in 10^8
 times. A scoring task maps the parts that its texts touch and looks up distinct n-grams in order.
 """
@@ -31,7 +31,8 @@ from loomgraph.llm.tokens import CHUNK, Words, chunks, runs_sum
 ORDER = 3
 #: The end's hash (it is a token). Numbers of what stands before the start, of the start (a context only), and of unknown words.
 END, NONE, START, UNKNOWN = np.uint64(0xE2D0F7A95C1B4483), np.uint64(0), np.uint64(1), np.uint64(1 << 63)
-#: Bytes of text to a part; the share of tokens above which a word is hot (so there are at most HOT hot words).
+#: Bytes of text to a part; with few parts, the share of tokens above which a word is hot. With more than HOT parts it is that of a part, so
+#: no part holds more than twice its share, and hot words are no more than parts.
 PART_BYTES, HOT = 8_000_000, 64
 #: Entries that a task gathers before it adds them up, and hands them on if over half are distinct.
 PENDING = 2_000_000
@@ -268,7 +269,7 @@ def _word_part(root: str, parts: int):  # noqa: ANN202
         p = key[0].as_py()
         h, c, _ = summed(np.concatenate([x["h"].astype(np.uint64) for x in blobs]), np.concatenate([x["c"].astype(np.int64) for x in blobs]))
         Store(root).write(f"words-{p}", {"h": h, "c": c})
-        big = np.argsort(-c, kind="stable")[: 2 * HOT]
+        big = np.argsort(-c, kind="stable")[: 2 * max(HOT, parts)]
         return pa.table({"tokens": [int(c.sum())], "words": [len(h)], "top": pa.array([number(big, p, parts).astype(np.int64).tolist()], pa.list_(pa.int64())), "top_n": pa.array([c[big].tolist()], pa.list_(pa.int64()))})
 
     return run
@@ -441,8 +442,8 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
     found = blobs.groupBy("part").applyInArrow(_word_part(root, parts), "tokens long, words long, top array<long>, top_n array<long>")
     found = settle(found, "lm-words")
     tokens, words = (x or 0 for x in found.agg(F.sum("tokens"), F.sum("words")).first())
-    hot = found.select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).where(F.col("t.top_n") * HOT > tokens).select("t.top")
-    hot = np.array([START, *[r[0] for r in hot.collect()]], np.uint64)  # HOT rows at most
+    hot = found.select(F.explode(F.arrays_zip("top", "top_n")).alias("t")).where(F.col("t.top_n") * max(HOT, parts) > tokens).select("t.top")
+    hot = np.array([START, *[r[0] for r in hot.collect()]], np.uint64)  # no more rows than HOT or parts
     blobs = d.mapInArrow(_gram_task(root, order, parts, hot), HANDED)
     grams = blobs.groupBy("part").applyInArrow(_gram_part(root, order, parts, hot), HANDED)
     ends = grams.groupBy("part").applyInArrow(_finish_part(root, order), "order int, i int, n long")

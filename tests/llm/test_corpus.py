@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -511,6 +512,25 @@ def test_op8_brute_force(spark, small, odd, none, order):
     assert kneser_ney.report(none, order).count() == 0
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_op8_parts_stay_even_with_a_frequent_word(spark, monkeypatch, order):
+    """A word of 1.2 % of all tokens over 200 parts: its n-grams would make up over two parts more; scores stay those of brute force."""
+    rng = random.Random(8)
+    texts = [" ".join("common" if rng.random() < 0.012 else f"w{rng.randrange(20_000)}" for _ in range(500)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(kneser_ney, "PART_BYTES", sum(map(len, texts)) // 200)
+    model = kneser_ney.fit(docs, order)
+    assert model.parts >= 200 and len(model.hot) == 2
+    root = Path(model.root.removeprefix("file:"))
+    sizes = [(root / f"gram{order}-{p}").stat().st_size for p in range(model.parts)]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    toks = [[*t.split(), None] for t in texts]
+    train = [t for i, t in enumerate(toks) if zlib.crc32(str(i).encode()) % 5 != 1]
+    want = kneser_ney_scores(train, toks[:20], order)
+    got = {r.doc_id: r.score for r in kneser_ney.report(docs, order).where("doc_id < 20").collect()}
+    assert np.allclose([got[i] for i in range(20)], want, rtol=1e-6, atol=1e-3)
+
+
 def test_op9(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     r = queries.op9_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
