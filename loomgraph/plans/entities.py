@@ -783,6 +783,72 @@ def export_filtered(spark, sf):  # noqa: ANN001, ANN201
     return export.select_export(both, "BUILDING", ["Person"], include_deleted=True).select("id", F.col("_type").alias("type"))
 
 
+def _agents(spark, sf):  # noqa: ANN001, ANN202
+    """Customers and suppliers as entities of two types."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.lit("Organization").alias("_type"), F.col("s_name").alias("name"))
+    return people(spark, sf).select(F.col("id").cast("long").alias("id"), "_type", "name").unionByName(s)
+
+
+AGENTS = "(SELECT CAST(c_custkey AS BIGINT) AS id, 'Person' AS type, c_name AS name FROM customer UNION ALL SELECT s_suppkey, 'Organization', s_name FROM supplier)"
+
+
+@query(f"SELECT type, (row_number() OVER (PARTITION BY type ORDER BY id) - 1) // 100 AS part, id, name FROM {AGENTS}")
+def export_linked(spark, sf):  # noqa: ANN001, ANN201
+    d = export.linked_documents(_agents(spark, sf), "https://example.org", "id", 100)
+    read = F.from_json("document", "`@type` string, `@graph` array<struct<id: bigint, name: string>>")
+    return d.select("part", read.alias("d")).select(F.col("d.`@type`").alias("type"), "part", F.inline("d.`@graph`"))
+
+
+@query(f"SELECT id, type, name FROM {AGENTS}")
+def export_import(spark, sf):  # noqa: ANN001, ANN201
+    path = f"{ensure(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    export.export(_agents(spark, sf), path)
+    back, off = export.import_entities(spark, path, "id bigint, name string, _type string")
+    return back.join(off, "_type", "left_anti").select("id", F.col("_type").alias("type"), "name")
+
+
+@query(sql(PEOPLE, select="SELECT id, name FROM P"))
+def readable_columns(spark, sf):  # noqa: ANN001, ANN201
+    return people(spark, sf).select(access.readable_fields(["id", "name", "_owner"], [["id", "name"], None]))
+
+
+@query(r"""SELECT page_id, array_to_string(string_split(regexp_replace(url, '/+$', ''), '/')[-2:], '/') AS tail, nullif(regexp_extract(host, '^(.+)\.([^.]+)$', 1), '') AS namespace, nullif(regexp_extract(host, '^(.+)\.([^.]+)$', 2), '') AS name
+ FROM (SELECT *, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages)""")
+def type_names(spark, sf):  # noqa: ANN001, ANN201
+    p = table(spark, sf, "pages").withColumn("host", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)))
+    namespace, name = X.split_type(F.col("host"))
+    return p.select("page_id", X.last_components(F.col("url"), 2).alias("tail"), namespace.alias("namespace"), name.alias("name"))
+
+
+@query(sql(E, select=f"""SELECT id, "timestamp" // {DAY} * {DAY} AS day_start, "timestamp" // {DAY} * {DAY} + {DAY} AS day_end, nullif("timestamp" // 1000 * (k % 2), 0) * 1000 AS made_us FROM E"""))
+def day_ranges(spark, sf):  # noqa: ANN001, ANN201
+    e = activity(spark, sf)
+    start, end = X.day_range(X.micros_to_date(F.col("timestamp")))
+    made = X.millis_to_timestamp(F.floor(F.col("timestamp") / 1000) * (F.col("k") % 2))
+    return e.select("id", start.alias("day_start"), end.alias("day_end"), F.unix_micros(made).alias("made_us"))
+
+
+@query("SELECT event_id, lower(json_type(props)) AS whole, CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE 'other' END AS k, coalesce(lower(json_type(props, '$.absent')), 'null') AS absent FROM events")
+def json_kinds(spark, sf):  # noqa: ANN001, ANN201
+    v = F.parse_json("props")
+    kind = lambda path: X.json_kind(F.variant_get(v, path, "variant"))
+    return table(spark, sf, "events").select("event_id", X.json_kind(v).alias("whole"), kind("$.k").alias("k"), kind("$.absent").alias("absent"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'archived' ELSE 'active' END AS status FROM orders")
+def project_states(spark, sf):  # noqa: ANN001, ANN201
+    s = F.when(F.col("o_orderstatus") == "F", "archived").when(F.col("o_orderstatus") == "O", "paused")
+    return table(spark, sf, "orders").select("o_orderkey", X.project_status(s).alias("status"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_size || '.' || (p_partkey % 7) END AS source, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE (p_size + 1) || '.0' END AS target FROM part")
+def migration_files(spark, sf):  # noqa: ANN001, ANN201
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(size.cast("string"), F.lit("."), (k % 7).cast("string"), F.lit("_to_"), (size + 1).cast("string"), F.when(k % 3 == 0, ".0.json").otherwise(".0.toml"))
+    source, target = X.migration_versions(name)
+    return table(spark, sf, "part").select("p_partkey", source.alias("source"), target.alias("target"))
+
+
 @query(r"SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS base, CASE WHEN regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]*)$', 1) = '' THEN regexp_extract(url, '([^/]*)$', 1) ELSE regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', 1) END AS stem, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^.+(\.[^.]*)$', 1) AS ext, coalesce(nullif(regexp_replace(url, '[^A-Za-z0-9_.-]', '-', 'g'), ''), 'unnamed') AS dir, nullif(regexp_extract(regexp_replace(url, '\.git$', ''), '([^/:]+)$', 1), '') AS repo FROM pages")
 def path_helpers(spark, sf):  # noqa: ANN001, ANN201
     u = F.col("url")

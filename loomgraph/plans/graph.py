@@ -244,6 +244,11 @@ def last_7_days(spark, sf):  # noqa: ANN001, ANN201
     return timeline.last_days(folds.fold_files(activity(spark, sf)), NOW)
 
 
+@query(sql(E, OPENED, FILES, select=f"SELECT id, last_accessed FROM F WHERE last_accessed >= {NOW - 20 * DAY} AND last_accessed < {NOW - DAY}"))
+def files_between(spark, sf):  # noqa: ANN001, ANN201
+    return timeline.between(folds.fold_files(activity(spark, sf)), NOW - 20 * DAY, NOW - DAY).select("id", "last_accessed")
+
+
 HOSTS = "U AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/]*)', 1) AS host, regexp_replace(url, '^https?:/', '') AS path FROM pages)"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators.lifecycle import apply_deleted
+from loomgraph.operators.ranks import numbered
 
 
 def select_export(entities: DataFrame, app: str | None = None, types: list[str] | None = None, include_deleted: bool = False) -> DataFrame:
@@ -24,10 +25,17 @@ def export(entities: DataFrame, path: str) -> None:
     manifest(entities).write.mode("overwrite").json(f"{path}/manifest")
 
 
-def linked_document(entities: DataFrame, context: str) -> DataFrame:
-    """(_type, document): one JSON-LD document for each type, for types small enough for one row."""
-    d = entities.groupBy("_type").agg(F.to_json(F.collect_list(F.struct(*[c for c in entities.columns if c != "_type"]))).alias("graph"))
-    return d.select("_type", F.concat(F.lit('{"@context":"' + context + '","@type":"'), F.col("_type"), F.lit('","@graph":'), F.col("graph"), F.lit("}")).alias("document"))
+def linked_documents(entities: DataFrame, context: str, order: str, size: int = 10_000) -> DataFrame:
+    """(_type, part, document): each type's entities as JSON-LD documents of at most size entities, by ascending order (a unique column).
+
+    A type of up to size entities has one document, part 0. Entities are numbered by ranges, so no row or task holds a whole type.
+    Null fields are left out; entities may hold columns of any type.
+    """
+    columns = [c for c in entities.columns if c != "_type"]
+    d = numbered(entities.select(F.struct(*columns).alias("entity"), "_type", F.col(order).alias("at")), ["_type"], ["at"])
+    d = d.groupBy("_type", F.floor((F.col("n") - 1) / size).alias("part")).agg(F.array_sort(F.collect_list(F.struct("n", "entity")), lambda x, y: (x["n"] - y["n"]).cast("int")).alias("all"))
+    document = F.struct(F.lit(context).alias("@context"), F.col("_type").alias("@type"), F.transform("all", lambda x: x["entity"]).alias("@graph"))
+    return d.select("_type", "part", F.to_json(document).alias("document"))
 
 
 def import_entities(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:

@@ -300,7 +300,20 @@ def test_export_round_trip(spark, tmp_path):
     export.export(export.select_export(d), str(tmp_path))
     back, off = export.import_entities(spark, str(tmp_path), "id int, _owner string, _deleted boolean, _type string")
     assert rows(back, "id", "_type") == [(1, "Person"), (3, "Tag")] and off.isEmpty()
-    assert rows(export.linked_document(back, "https://example.org"), "_type")[0] == ("Person",)
+
+
+def test_linked_documents_come_in_parts(spark):
+    import json
+
+    d = spark.createDataFrame([(i, "Tag" if i % 3 else None, f'a "{i}"' if i % 5 else None) for i in range(50)], "id int, _type string, name string")
+    found = {(r["_type"], r.part): json.loads(r.document) for r in export.linked_documents(d, "https://example.org", "id", 7).collect()}
+    for kind in ("Tag", None):
+        ids = [i for i in range(50) if (kind if i % 3 else None) == kind and bool(i % 3) == (kind is not None)]
+        parts = [found[kind, p] for p in range(-(-len(ids) // 7))]
+        assert [x["id"] for p in parts for x in p["@graph"]] == ids and all(len(p["@graph"]) == 7 for p in parts[:-1])
+        assert all(p["@context"] == "https://example.org" and p.get("@type") == kind for p in parts)
+        assert all(x.get("name") == (f'a "{x["id"]}"' if x["id"] % 5 else None) for p in parts for x in p["@graph"])
+    assert len(found) == 5 + 3 and export.linked_documents(d.limit(0), "c", "id").isEmpty()
 
 
 def test_changes(spark):
