@@ -12,6 +12,10 @@ WIDTH = 3
 LONG_TERM = 14
 #: Splits of the doc_id range, for next_keys.
 SPLITS = 64
+#: report counts fingerprints within this Hamming radius, for rows whose doc_id is divisible by QUERY_STEP.
+RADIUS, QUERY_STEP = 3, 20
+#: Members that a cell of a block's bucket has on average at most.
+CELL = 1024
 
 
 def votes(texts: DataFrame, keys: list[str], width: int = WIDTH) -> DataFrame:
@@ -52,7 +56,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its edited text and of the next document.
 
     Null texts count as empty; empty texts have fingerprint 0. Rows that repeat doc_id and text are fingerprinted as one document, whose
-    next is the next other one, and each has its row in the result; different texts under one doc_id follow each other in the order
+    next is the next other one; it has one row here, with their number in copies, and as many in report; different texts under one doc_id follow each other in the order
     of their hash; null doc_ids come last. Other columns are not read.
     """
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -72,27 +76,42 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     both = settle(both, "votes")
     nxt = order.select(before_k.alias("k"), F.col("before.h").alias("h"), F.col("before.doc_id").alias("doc_id"), F.col("before.copies").alias("copies"), F.col("k").alias("next_k"), F.col("h").alias("next_h"))
     b = both.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("hi0").alias("hi2"), F.col("lo0").alias("lo2"))
-    d = both.join(nxt, ["k", "h"]).join(b, ["next_k", "next_h"])
-    return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return both.join(nxt, ["k", "h"]).join(b, ["next_k", "next_h"])
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """The columns of fingerprint_pairs for each row, and n_near: how many other rows' fingerprints are within RADIUS bits.
+
+    n_near is counted for rows whose doc_id is divisible by QUERY_STEP, against all rows; it is null for the others and for null doc_ids.
+    """
     show = lambda e: F.concat(hex16(F.col(f"hi{e}")), hex16(F.col(f"lo{e}")))
     c = F.col
-    return fingerprint_pairs(docs).select(
+    d = settle(fingerprint_pairs(docs), "pairs")
+    index = d.groupBy(c("hi0").alias("hi"), c("lo0").alias("lo")).agg(F.sum("copies").alias("docs"))
+    asked = d.where(c("doc_id") % QUERY_STEP == 0)
+    near = count_within(asked.select(c("hi0").alias("hi"), c("lo0").alias("lo")).distinct(), index, RADIUS)
+    near = near.select(c("hi").alias("hi0"), c("lo").alias("lo0"), (c("docs") - 1).alias("n_near"), F.lit(True).alias("asked"))
+    d = d.withColumn("asked", F.when(c("doc_id") % QUERY_STEP == 0, True)).join(near, ["hi0", "lo0", "asked"], "left")
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return d.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), show(0).alias("fingerprint"), show(1).alias("edited_fingerprint"),
-        likeness(c("hi0"), c("lo0"), c("hi1"), c("lo1")).alias("near_edited"), likeness(c("hi0"), c("lo0"), c("hi2"), c("lo2")).alias("near_next"),
+        likeness(c("hi0"), c("lo0"), c("hi1"), c("lo1")).alias("near_edited"), likeness(c("hi0"), c("lo0"), c("hi2"), c("lo2")).alias("near_next"), "n_near",
     )
 
 
-def block_table(fps: DataFrame, radius: int) -> DataFrame:
-    """Distinct fingerprints (hi, lo), once for each of radius + 1 blocks of their bits, keyed by the block's value."""
+def _blocks(radius: int) -> list[tuple[int, int]]:
+    """Masks (of hi, of lo) that cut the 128 bits into radius + 1 blocks."""
     cuts = [128 * i // (radius + 1) for i in range(radius + 2)]
+    return [(_mask(lo, min(up, 64)), _mask(lo - 64, up - 64)) for lo, up in zip(cuts, cuts[1:], strict=False)]
+
+
+def block_table(fps: DataFrame, radius: int) -> DataFrame:
+    """Each fingerprint (hi, lo, other columns) once for each of radius + 1 blocks of its bits, with the block and its value."""
     keys = []
-    for b, (lo, up) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        part = [(s, m) for s, m in (("hi", _mask(lo, min(up, 64))), ("lo", _mask(max(lo, 64) - 64, up - 64))) if m]
-        keys.append(F.struct(F.lit(b).alias("block"), F.xxhash64(*[F.col(s).bitwiseAND(F.lit(m)) for s, m in part]).alias("value")))
-    return fps.select("hi", "lo").distinct().select("hi", "lo", F.explode(F.array(*keys)).alias("k")).select("hi", "lo", "k.*")
+    for b, masks in enumerate(_blocks(radius)):
+        part = [F.col(s).bitwiseAND(F.lit(m)) for s, m in zip(("hi", "lo"), masks, strict=True) if m]
+        keys.append(F.struct(F.lit(b).alias("block"), F.xxhash64(*part).alias("value")))
+    return fps.select("*", F.explode(F.array(*keys)).alias("k")).select("*", "k.*").drop("k")
 
 
 def _mask(lo: int, up: int) -> int:
@@ -100,13 +119,47 @@ def _mask(lo: int, up: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
+def _bits(hi: Column, lo: Column, hi2: Column, lo2: Column) -> Column:
+    return F.bit_count(hi.bitwiseXOR(hi2)) + F.bit_count(lo.bitwiseXOR(lo2))
+
+
 def within(queries: DataFrame, index: DataFrame, radius: int) -> DataFrame:
     """All fingerprints of index within the Hamming radius of those of queries, distinct pairs (q_hi, q_lo, hi, lo, bits).
 
     Of radius + 1 blocks two such fingerprints agree on one, so they meet in that block's table. The pairs grow with what lies
-    within the radius: give as queries a stated set, not all rows of a corpus full of copies.
+    within the radius: give as queries a stated set, not all rows of a corpus full of copies. Where their number is enough,
+    count_within makes no pairs.
     """
-    q = block_table(queries, radius).select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), "block", "value")
-    d = q.join(block_table(index, radius), ["block", "value"])
-    bits = F.bit_count(F.col("hi").bitwiseXOR(F.col("q_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("q_lo")))
+    table = lambda fps: block_table(fps.select("hi", "lo").distinct(), radius)
+    q = table(queries).select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), "block", "value")
+    d = q.join(table(index), ["block", "value"])
+    bits = _bits(F.col("hi"), F.col("lo"), F.col("q_hi"), F.col("q_lo"))
     return d.select("q_hi", "q_lo", "hi", "lo", bits.alias("bits")).where(F.col("bits") <= radius).distinct()
+
+
+def count_within(queries: DataFrame, index: DataFrame, radius: int) -> DataFrame:
+    """(hi, lo, docs): for each of the distinct fingerprints of queries, the sum of docs over those of index within the Hamming radius.
+
+    index: distinct (hi, lo) with their number of documents, docs. Both meet in the block tables; a pair that agrees on several blocks
+    counts in the first of them. A block value's members are dealt over cells of about CELL, each one row, and a query meets the
+    cells of its values: rows grow with queries times cells, no pair is a row, and no task holds all members of a value.
+    """
+    members = block_table(index.select("hi", "lo", "docs"), radius)
+    asked = block_table(queries.select("hi", "lo"), radius)
+    sizes = members.select("block", "value", F.lit(1).alias("m"), F.lit(0).alias("q")).unionByName(asked.select("block", "value", F.lit(0).alias("m"), F.lit(1).alias("q")))
+    sizes = sizes.groupBy("block", "value").agg(F.sum("m").alias("m"), F.sum("q").alias("q")).where("m > 0 and q > 0")
+    sizes = settle(sizes.select("block", "value", F.ceil(F.col("m") / CELL).alias("cells")), "sizes")
+    # a cell's number is one hash, so that rows are dealt by it and not by block and value alone
+    cell = F.xxhash64("block", "value", "part").alias("cell")
+    m = members.join(sizes, ["block", "value"]).withColumn("part", F.pmod(F.xxhash64("hi", "lo"), F.col("cells")))
+    m = m.groupBy(cell).agg(F.collect_list(F.struct("hi", "lo", "docs")).alias("members"))
+    q = asked.join(sizes, ["block", "value"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)))
+    d = q.select("hi", "lo", "block", cell).join(m, "cell")
+
+    def first_block(x: Column) -> Column:
+        same = [x["hi"].bitwiseXOR(F.col("hi")).bitwiseAND(F.lit(a)).bitwiseOR(x["lo"].bitwiseXOR(F.col("lo")).bitwiseAND(F.lit(b))) == 0 for a, b in _blocks(radius)]
+        return F.coalesce(*[F.when(s, i) for i, s in enumerate(same)])
+
+    counts = lambda x: (_bits(x["hi"], x["lo"], F.col("hi"), F.col("lo")) <= radius) & (first_block(x) == F.col("block"))
+    found = F.aggregate("members", F.lit(0).cast("long"), lambda n, x: n + F.when(counts(x), x["docs"]).otherwise(0))
+    return d.groupBy("hi", "lo").agg(F.sum(found).alias("docs"))

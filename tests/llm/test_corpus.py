@@ -233,6 +233,32 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert got == len({(a, b) for a in base for b in near + base if (a ^ b).bit_count() <= 7})
 
 
+@pytest.mark.parametrize("radius", [0, 3, 7])
+def test_counts_within_the_radius_are_those_of_all_pairs(spark, monkeypatch, radius):
+    """With cells of a few members, a hot block value of many fingerprints, copies, and queries that the index lacks."""
+    monkeypatch.setattr(simhash, "CELL", 5)
+    rng = random.Random(radius)
+    hot = rng.getrandbits(128)
+    index = {hot ^ (rng.getrandbits(8) << rng.choice((0, 40, 90))) for _ in range(150)} | {rng.getrandbits(128) for _ in range(50)} | {0, (1 << 128) - 1}
+    index = {x: rng.randint(1, 9) for x in index}
+    asked = [*rng.sample(sorted(index), 60), hot ^ 1 << 127, rng.getrandbits(128), 1]
+    s = lambda x: x - (1 << 64) if x >> 63 else x
+    split = lambda x: (s(x >> 64), s(x & (1 << 64) - 1))
+    got = simhash.count_within(spark.createDataFrame([split(x) for x in set(asked)], "hi long, lo long"), spark.createDataFrame([(*split(x), n) for x, n in index.items()], "hi long, lo long, docs long"), radius)
+    want = {split(x): sum(n for y, n in index.items() if (x ^ y).bit_count() <= radius) for x in asked}
+    assert {(r.hi, r.lo): r.docs for r in got.collect() if r.docs} == {k: v for k, v in want.items() if v}
+
+
+def test_op3_counts_other_rows_within_the_radius(spark, odd, small):
+    """Against all pairs of rows: queries are the rows whose doc_id is divisible by 20, copies and repeated rows included."""
+    copies = small.limit(40).withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    for docs in (small.unionByName(copies).unionByName(copies.limit(5)), odd):
+        rows = [(r.doc_id, int(r.fingerprint, 16), r.n_near) for r in simhash.report(docs).collect()]
+        assert any(n for _, _, n in rows)
+        for i, fp, n in rows:
+            assert n == (None if i is None or i % simhash.QUERY_STEP else sum((fp ^ o).bit_count() <= simhash.RADIUS for _, o, _ in rows) - 1)
+
+
 def test_op5_round_trip(spark, odd, small, none):
     from tokenizers import Tokenizer
 
