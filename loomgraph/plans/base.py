@@ -58,6 +58,15 @@ def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ROOTS = "R AS (SELECT DISTINCT 'p' || printf('%03d', k) AS project_id, '/k/' || k AS root_path, k % 2 = 0 AS inferred, k FROM E WHERE k > 0)"
+
+
+def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects as `roots` names them, but one for each part, so that their number grows with the tables."""
+    p, k = table(spark, sf_dir, "part").where("p_partkey > 0"), F.col("p_partkey")
+    return p.select(F.concat(F.lit("p"), k.cast("string")).alias("project_id"), F.concat(F.lit("/k/"), k.cast("string")).alias("root_path"), (k % 2 == 0).alias("inferred"), k.alias("k"))
+
+
+WORKSPACES = "R AS (SELECT 'p' || p_partkey AS project_id, '/k/' || p_partkey AS root_path, p_partkey % 2 = 0 AS inferred, p_partkey AS k FROM part WHERE p_partkey > 0)"
 NEAREST = """N AS (SELECT path, project_id, root_path FROM (SELECT p.path, R.project_id, R.root_path, row_number() OVER (PARTITION BY p.path ORDER BY length(R.root_path) DESC) AS n FROM (SELECT DISTINCT path FROM F) p JOIN R ON starts_with(p.path, R.root_path)) WHERE n = 1)"""
 PART_OF = "L AS (SELECT F.id AS src_id, N.project_id AS dst_id FROM F JOIN N ON F.path = N.path WHERE F.path <> '')"
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as X
 from loomgraph.operators import access, counters, dedup, lifecycle, migrate, projects, quota, tables, validation
-from loomgraph.plans.base import DAY, NOW, PEOPLE, ROOTS, E, activity, people, roots, sql, table
+from loomgraph.plans.base import DAY, NOW, PEOPLE, WORKSPACES, E, activity, people, sql, table, workspaces
 from loomgraph.plans.checkpoints import ensure
 from loomgraph.sources import export
 
@@ -461,16 +461,16 @@ SIGNS = [
 PLACES = ["", "/sub", "/vendor", "/venv", "/sub/deep/er/more", "/.hidden", "/node_modules/x", "/target", "/__pycache__", "/.cache", "/a/b"]
 _text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 LISTED = "SG(i, signal, confidence, nm) AS (VALUES " + ", ".join(f"({i}, {_text(x[3])}, {x[4]}, {_text(x[5])})" for i, x in enumerate(SIGNS)) + "), PL(j, place) AS (VALUES " + ", ".join(f"({j}, '{x}')" for j, x in enumerate(PLACES)) + f"""),
- LS AS (SELECT DISTINCT '/w/' || (k % 50) || place AS dir, i, signal, confidence, nm FROM E JOIN SG ON k % {len(SIGNS)} = i JOIN PL ON k % {len(PLACES)} = j WHERE k > 0)"""
+ LS AS (SELECT '/w/' || (p_partkey // 12) || place AS dir, i, signal, confidence, nm FROM part JOIN SG ON (p_partkey * 7 + p_partkey // 66) % {len(SIGNS)} = i JOIN PL ON p_partkey // 3 % {len(PLACES)} = j WHERE p_partkey > 0 AND (p_partkey % 9 < 3 OR p_partkey % 3 = 0))"""
 
 
 def _listing(spark, sf):  # noqa: ANN001, ANN202
-    k = F.col("k")
-    d = activity(spark, sf).select("k").distinct().where("k > 0")
-    sign = F.get(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(dir_).alias("is_dir"), F.lit(c).cast("string").alias("content")) for n, dir_, c, *_ in SIGNS]), (k % len(SIGNS)).cast("int"))
-    place = F.get(F.array(*[F.lit(x) for x in PLACES]), (k % len(PLACES)).cast("int"))
-    d = d.select(F.concat(F.lit("/w/"), (k % 50).cast("string"), place).alias("dir"), sign.alias("s"))
-    return d.select(F.concat_ws("/", "dir", "s.name").alias("path"), "s.is_dir", "s.content").distinct()
+    """Twelve parts make a workspace, three of them a place in it; their signs differ in kind, and two places of three hold but one."""
+    k = F.col("p_partkey")
+    sign = F.get(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(dir_).alias("is_dir"), F.lit(c).cast("string").alias("content")) for n, dir_, c, *_ in SIGNS]), F.expr(f"cast((p_partkey * 7 + p_partkey div 66) % {len(SIGNS)} as int)"))
+    place = F.get(F.array(*[F.lit(x) for x in PLACES]), F.expr(f"cast(p_partkey div 3 % {len(PLACES)} as int)"))
+    d = table(spark, sf, "part").where((k > 0) & ((k % 9 < 3) | (k % 3 == 0))).select(F.concat(F.lit("/w/"), F.expr("cast(p_partkey div 12 as string)"), place).alias("dir"), sign.alias("s"))
+    return d.select(F.concat_ws("/", "dir", "s.name").alias("path"), "s.is_dir", "s.content")
 
 
 DETECT = """O1 AS (SELECT dir, signal, confidence, coalesce(nm, regexp_extract(dir, '([^/]+)$', 1)) AS name, i FROM LS WHERE signal IS NOT NULL AND coalesce(nm, '') <> '-' AND len(string_split(dir, '/')) - 1 <= 3 AND NOT regexp_matches(dir, '/(\\.[^/]*|vendor|node_modules|target|__pycache__)(/|$)')),
@@ -478,42 +478,42 @@ DETECT = """O1 AS (SELECT dir, signal, confidence, coalesce(nm, regexp_extract(d
 OUTER = "SELECT * FROM T WHERE NOT EXISTS (SELECT 1 FROM T u WHERE starts_with(T.root_path, u.root_path || '/'))"
 
 
-@query(sql(E, LISTED, DETECT, select=OUTER))
+@query(sql(LISTED, DETECT, select=OUTER))
 def detect_projects(spark, sf):  # noqa: ANN001, ANN201
     return projects.detect(_listing(spark, sf), max_depth=3)
 
 
-@query(sql(E, ROOTS, "D AS (SELECT root_path || CASE WHEN k % 2 = 0 THEN '' ELSE '/x' END AS root_path FROM R UNION SELECT root_path || '/x/y' FROM R)", select="SELECT root_path FROM D WHERE NOT EXISTS (SELECT 1 FROM D u WHERE starts_with(D.root_path, u.root_path || '/'))"))
+@query(sql(WORKSPACES, "D AS (SELECT root_path || CASE WHEN k % 2 = 0 THEN '' ELSE '/x' END AS root_path FROM R UNION SELECT root_path || '/x/y' FROM R)", select="SELECT root_path FROM D WHERE NOT EXISTS (SELECT 1 FROM D u WHERE starts_with(D.root_path, u.root_path || '/'))"))
 def nested_roots_dropped(spark, sf):  # noqa: ANN001, ANN201
-    r = roots(spark, sf)
+    r = workspaces(spark, sf)
     d = r.select(F.concat("root_path", F.when(F.col("k") % 2 == 0, "").otherwise("/x")).alias("root_path")).unionByName(r.select(F.concat("root_path", F.lit("/x/y")).alias("root_path"))).distinct()
     return projects.outermost(d)
 
 
-@query(sql(E, LISTED, DETECT, f"FD AS ({OUTER})", "ST AS (SELECT DISTINCT '/w/' || (k % 20) AS root_path, 'old' || (k % 20) AS name, k % 20 % 3 = 0 AS inferred, k % 20 % 3 <> 0 AS promoted, 60 AS confidence, CASE WHEN k % 20 = 7 THEN 'archived' ELSE 'active' END AS status FROM E WHERE k % 20 < 12)",
+@query(sql(LISTED, DETECT, f"FD AS ({OUTER})", "ST AS (SELECT DISTINCT '/w/' || g AS root_path, 'old' || g AS name, g % 3 = 0 AS inferred, g % 3 <> 0 AS promoted, 60 AS confidence, CASE WHEN g % 7 = 0 THEN 'archived' ELSE 'active' END AS status FROM (SELECT p_partkey // 12 AS g FROM part) WHERE g % 20 < 12)",
            """TR AS (SELECT coalesce(s.root_path, f.root_path) AS root_path, CASE WHEN s.root_path IS NULL THEN 'insert' WHEN f.root_path IS NULL THEN CASE WHEN s.status = 'archived' OR s.inferred THEN 'keep' ELSE 'archive' END WHEN f.signal = 'explicit' THEN 'update' WHEN NOT s.inferred THEN 'demote' ELSE 'keep' END AS transition,
  s.name AS sn, f.name AS fn, s.inferred AS si, s.promoted AS sp, f.signal = 'explicit' AS ex, s.confidence AS sc, f.confidence AS fc, s.status AS ss FROM ST s FULL JOIN FD f ON s.root_path = f.root_path)""",
            select="""SELECT root_path, transition, CASE WHEN transition IN ('insert', 'update') THEN fn ELSE sn END AS name, CASE WHEN transition IN ('insert', 'update') THEN NOT ex WHEN transition = 'demote' THEN TRUE ELSE si END AS inferred,
  CASE WHEN transition IN ('insert', 'update') THEN ex OR coalesce(sp, FALSE) WHEN transition = 'demote' THEN FALSE ELSE sp END AS promoted, CASE WHEN transition IN ('insert', 'update', 'demote') THEN fc ELSE sc END AS confidence, CASE WHEN transition = 'archive' THEN 'archived' WHEN transition IN ('insert', 'update') THEN 'active' ELSE ss END AS status FROM TR"""))
 def reconcile_projects(spark, sf):  # noqa: ANN001, ANN201
-    m = F.col("k") % 20
-    st = activity(spark, sf).where(m < 12).select(
-        F.concat(F.lit("/w/"), m.cast("string")).alias("root_path"), F.concat(F.lit("old"), m.cast("string")).alias("name"), (m % 3 == 0).alias("inferred"), (m % 3 != 0).alias("promoted"),
-        F.lit(60).alias("confidence"), F.when(m == 7, "archived").otherwise("active").alias("status"),
-    ).distinct()
+    g = F.col("g")
+    st = table(spark, sf, "part").select(F.expr("p_partkey div 12").alias("g")).distinct().where(g % 20 < 12).select(
+        F.concat(F.lit("/w/"), g.cast("string")).alias("root_path"), F.concat(F.lit("old"), g.cast("string")).alias("name"), (g % 3 == 0).alias("inferred"), (g % 3 != 0).alias("promoted"),
+        F.lit(60).alias("confidence"), F.when(g % 7 == 0, "archived").otherwise("active").alias("status"),
+    )
     return projects.reconcile(st, projects.detect(_listing(spark, sf), max_depth=3))
 
 
-@query(sql(E, ROOTS, select="SELECT project_id AS id, CASE WHEN k % 3 <> 0 THEN 'alive' WHEN inferred THEN 'deleted' ELSE 'archived' END AS outcome FROM R"))
+@query(sql(WORKSPACES, select="SELECT project_id AS id, CASE WHEN k % 3 <> 0 THEN 'alive' WHEN inferred THEN 'deleted' ELSE 'archived' END AS outcome FROM R"))
 def prune_projects(spark, sf):  # noqa: ANN001, ANN201
-    r = roots(spark, sf)
+    r = workspaces(spark, sf)
     return projects.prune(r, r.where("k % 3 <> 0").select(F.col("root_path").alias("path"))).select(F.col("project_id").alias("id"), "outcome")
 
 
-@query(sql(E, ROOTS, select="SELECT o AS outcome, count(id) AS n FROM (SELECT unnest(['alive', 'archived', 'deleted']) AS o) LEFT JOIN (SELECT project_id AS id, CASE WHEN k % 3 <> 0 THEN 'alive' WHEN inferred THEN 'deleted' ELSE 'archived' END AS outcome FROM R) ON o = outcome GROUP BY 1"))
+@query(sql(WORKSPACES, select="SELECT o AS outcome, count(id) AS n FROM (SELECT unnest(['alive', 'archived', 'deleted']) AS o) LEFT JOIN (SELECT project_id AS id, CASE WHEN k % 3 <> 0 THEN 'alive' WHEN inferred THEN 'deleted' ELSE 'archived' END AS outcome FROM R) ON o = outcome GROUP BY 1"))
 def prune_counters(spark, sf):  # noqa: ANN001, ANN201
     """Counters of a pruning pass, observed while its rows are written."""
-    r = roots(spark, sf)
+    r = workspaces(spark, sf)
     d = projects.prune(r, r.where("k % 3 <> 0").select(F.col("root_path").alias("path")))
     return counters.as_rows(spark, counters.write_counted(d, f"{ensure(spark)}/pruned-{uuid.uuid4().hex}", ["alive", "archived", "deleted"]))
 
@@ -561,16 +561,16 @@ def delete_plan(spark, sf):  # noqa: ANN001, ANN201
     return outcomes.select("kind", "id", F.lit("start").alias("field"), F.col("outcome").alias("effect")).unionByName(effects)
 
 
-@query(sql(E, ROOTS, select="SELECT min(project_id) AS id, '/z/' || (k % 8) AS root_path FROM R WHERE k % 8 > 2 GROUP BY 2"))
+@query(sql(WORKSPACES, select="SELECT min(project_id) AS id, '/z/' || (k // 3) AS root_path FROM R WHERE k // 3 % 8 > 2 GROUP BY 2"))
 def create_projects(spark, sf):  # noqa: ANN001, ANN201
-    r = roots(spark, sf).select(F.col("project_id").alias("id"), F.concat(F.lit("/z/"), (F.col("k") % 8).cast("string")).alias("root_path"), "k")
-    return projects.create_projects(r.where("k % 8 <= 2"), r.drop("k")).select("id", "root_path")
+    r = workspaces(spark, sf).select(F.col("project_id").alias("id"), F.concat(F.lit("/z/"), F.expr("cast(k div 3 as string)")).alias("root_path"), "k")
+    return projects.create_projects(r.where("k div 3 % 8 <= 2"), r.drop("k")).select("id", "root_path")
 
 
-@query(sql(E, ROOTS, "B AS (SELECT project_id AS id, k % 4 AS v, 'active' AS status FROM R WHERE k % 5 <> 1)", "A AS (SELECT project_id AS id, CASE WHEN k % 3 = 0 THEN 9 ELSE k % 4 END AS v, CASE WHEN k % 7 = 0 THEN 'archived' ELSE 'active' END AS status FROM R WHERE k % 5 <> 2)",
+@query(sql(WORKSPACES, "B AS (SELECT project_id AS id, k % 4 AS v, 'active' AS status FROM R WHERE k % 5 <> 1)", "A AS (SELECT project_id AS id, CASE WHEN k % 3 = 0 THEN 9 ELSE k % 4 END AS v, CASE WHEN k % 7 = 0 THEN 'archived' ELSE 'active' END AS status FROM R WHERE k % 5 <> 2)",
            select="SELECT A.id, CASE WHEN B.id IS NULL THEN 'created' WHEN A.status = 'archived' THEN 'archived' ELSE 'updated' END AS change, A.v, A.status FROM A LEFT JOIN B ON A.id = B.id WHERE B.id IS NULL OR A.v <> B.v OR A.status <> B.status"))
 def project_changes(spark, sf):  # noqa: ANN001, ANN201
-    r, k = roots(spark, sf), F.col("k")
+    r, k = workspaces(spark, sf), F.col("k")
     b = r.where(k % 5 != 1).select(F.col("project_id").alias("id"), (k % 4).alias("v"), F.lit("active").alias("status"))
     a = r.where(k % 5 != 2).select(F.col("project_id").alias("id"), F.when(k % 3 == 0, 9).otherwise(k % 4).alias("v"), F.when(k % 7 == 0, "archived").otherwise("active").alias("status"))
     return tables.changes(b, a)
@@ -683,17 +683,17 @@ def app_ids(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "customer").select(k.alias("id"), X.app_of_executable(path, "acme", development=True).alias("app"))
 
 
-@query(sql(E, ROOTS, select="SELECT project_id AS id, root_path, CASE WHEN k % 3 <> 0 THEN 'active' ELSE 'shown' END AS list FROM R WHERE k % 4 <> 0"))
+@query(sql(WORKSPACES, select="SELECT project_id AS id, root_path, CASE WHEN k % 3 <> 0 THEN 'active' ELSE 'shown' END AS list FROM R WHERE k % 4 <> 0"))
 def active_projects(spark, sf):  # noqa: ANN001, ANN201
     k = F.col("k")
-    p = roots(spark, sf).select(F.col("project_id").alias("id"), "root_path", F.when(k % 4 == 0, "archived").otherwise("active").alias("status"), (k % 3 == 0).alias("promoted"))
+    p = workspaces(spark, sf).select(F.col("project_id").alias("id"), "root_path", F.when(k % 4 == 0, "archived").otherwise("active").alias("status"), (k % 3 == 0).alias("promoted"))
     shown = projects.active_projects(p, promoted=True).withColumn("list", F.lit("shown"))
     return projects.active_projects(p).where("not promoted").withColumn("list", F.lit("active")).unionByName(shown).select("id", "root_path", "list")
 
 
-@query(sql(E, ROOTS, select="SELECT project_id AS id, root_path, 'path' AS by FROM R WHERE k % 3 = 0 UNION ALL SELECT project_id, root_path, 'id' FROM R WHERE k % 5 = 0"))
+@query(sql(WORKSPACES, select="SELECT project_id AS id, root_path, 'path' AS by FROM R WHERE k % 3 = 0 UNION ALL SELECT project_id, root_path, 'id' FROM R WHERE k % 5 = 0"))
 def project_lookup(spark, sf):  # noqa: ANN001, ANN201
-    r = roots(spark, sf)
+    r = workspaces(spark, sf)
     p = r.select(F.col("project_id").alias("id"), "root_path")
     by_path, by_id = r.where("k % 3 = 0").select("root_path"), r.where("k % 5 = 0").select(F.col("project_id").alias("id"))
     return projects.lookup(p, by_path, "root_path").select("id", "root_path", F.lit("path").alias("by")).unionByName(projects.lookup(p, by_id).select("id", "root_path", F.lit("id").alias("by")))
@@ -855,10 +855,10 @@ def path_helpers(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "pages").select("page_id", X.basename(u).alias("base"), X.stem(u).alias("stem"), X.extension(u).alias("ext"), X.sanitize_dirname(u).alias("dir"), X.repo_name(u).alias("repo"))
 
 
-@query(sql(E, ROOTS, select=f"""SELECT project_id AS id, CASE WHEN k % 4 = 1 THEN upper(project_id) ELSE project_id END AS name, root_path, CASE WHEN k % 3 = 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN k % 3 = 0 THEN {NOW} END AS archived_at,
+@query(sql(WORKSPACES, select=f"""SELECT project_id AS id, CASE WHEN k % 4 = 1 THEN upper(project_id) ELSE project_id END AS name, root_path, CASE WHEN k % 3 = 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN k % 3 = 0 THEN {NOW} END AS archived_at,
  inferred AND k % 8 = 0 AS promoted, CASE WHEN k % 2 = 0 THEN {NOW} ELSE k END AS last_accessed FROM R WHERE k % 7 <> 0"""))
 def change_projects(spark, sf):  # noqa: ANN001, ANN201
-    r, k = roots(spark, sf), F.col("k")
+    r, k = workspaces(spark, sf), F.col("k")
     p = r.select(F.col("project_id").alias("id"), F.col("project_id").alias("name"), "root_path", F.lit("active").alias("status"), F.lit(None).cast("long").alias("archived_at"), F.lit(False).alias("promoted"), k.cast("long").alias("last_accessed"))
     act = lambda hit, name: r.where(hit).select(F.col("project_id").alias("id"), F.lit(name).alias("action"), F.upper("project_id").alias("name"), F.lit("/never").alias("root_path"))
     c = act(k % 4 == 1, "update").unionByName(act(k % 3 == 0, "archive")).unionByName(act(k % 8 == 0, "promote")).unionByName(act(k % 2 == 0, "touch")).unionByName(act(k % 7 == 0, "delete"))

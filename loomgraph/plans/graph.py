@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.operators import folds, paths, retention, tables, timeline
-from loomgraph.plans.base import ACCESSED, ACTIVE, DAY, FILES, FOCUSED, NEAREST, NOW, OPENED, PART_OF, ROOTS, E, activity, roots, sql, table
+from loomgraph.plans.base import ACCESSED, ACTIVE, DAY, FILES, FOCUSED, NEAREST, NOW, OPENED, PART_OF, ROOTS, WORKSPACES, E, activity, roots, sql, table, workspaces
 from loomgraph.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -264,17 +264,17 @@ TREE = "T AS (SELECT project_id, root_path, substr(root_path, 4) AS relative FRO
 
 
 def _tree(spark, sf):  # noqa: ANN001, ANN202
-    r = roots(spark, sf)
+    r = workspaces(spark, sf)
     deep = F.concat(F.col("root_path"), F.lit("/src/lib"), (F.col("k") % 3).cast("string"))
     return paths.project_tree(r.select("project_id", deep.alias("root_path"), F.col("project_id").alias("name")))
 
 
-@query(sql(E, ROOTS, TREE, select="SELECT project_id, root_path, relative FROM T"))
+@query(sql(WORKSPACES, TREE, select="SELECT project_id, root_path, relative FROM T"))
 def project_tree(spark, sf):  # noqa: ANN001, ANN201
     return _tree(spark, sf).select("project_id", "root_path", "relative")
 
 
-@query(sql(E, ROOTS, TREE, "Q AS (SELECT relative, string_split(relative, '/') AS p FROM T)", select="""SELECT DISTINCT array_to_string(p[1:i - 1], '/') AS prefix, CASE WHEN i = len(p) THEN 'leaf' ELSE 'dir' END AS kind, p[i] AS name
+@query(sql(WORKSPACES, TREE, "Q AS (SELECT relative, string_split(relative, '/') AS p FROM T)", select="""SELECT DISTINCT array_to_string(p[1:i - 1], '/') AS prefix, CASE WHEN i = len(p) THEN 'leaf' ELSE 'dir' END AS kind, p[i] AS name
  FROM (SELECT p, unnest(generate_series(1, len(p))) AS i FROM Q)"""))
 def tree_children(spark, sf):  # noqa: ANN001, ANN201
     return paths.tree_children(_tree(spark, sf))
