@@ -259,6 +259,15 @@ def stream_retention(spark, sf):  # noqa: ANN001, ANN201
     return spark.read.parquet(log).select("id")
 
 
+@query(graph.SQL["day_counts"])
+def stream_day_counts(spark, sf):  # noqa: ANN001, ANN201
+    """Events by day and type, counted batch by batch over files that each span the whole time."""
+    src, out = _folder(spark, "in"), _folder(spark, "days")
+    activity(spark, sf).repartition(4).write.parquet(src)
+    streams.count_days(_files(spark, sf, src, 2), out, _folder(spark, "cp")).awaitTermination()
+    return streams.promoted(spark, out).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "type", "n")
+
+
 @query(sql(E, "B AS (SELECT id, CASE WHEN type = 'file.opened' THEN 'file.read' ELSE type END AS type, CASE WHEN type = 'file.opened' THEN 'ebpf' ELSE source END AS source, pid, \"timestamp\" FROM E)",
            "G AS (SELECT arg_min(id, (\"timestamp\", id)) AS id, type, source, max(\"timestamp\") AS ts FROM B GROUP BY type, source, pid)",
            select="SELECT id, type, ts AS \"timestamp\" FROM G ORDER BY type = 'file.read', ts, id LIMIT 500"))

@@ -120,6 +120,16 @@ def latest(key: list[str], order: tuple[str, ...] = ("ts", "event")) -> Callable
     return fold
 
 
+def added(key: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """A fold that adds up each key's other columns. A batch must count once, as it does behind the manifest."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (*key, "part")]
+        return rows.groupBy("part", *key).agg(*[F.sum(c).alias(c) for c in rest]).select(*key, *rest, "part")
+
+    return fold
+
+
 def set_and_clear(key: list[str], value: str, order: tuple[str, ...] = ("ts", "event")) -> Callable[[DataFrame], DataFrame]:
     """A fold of sets and clears (column cleared) that come in any order: of each key its last clear stays as a mark, and the sets after it.
 

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from loomgraph.operators import retention
 from loomgraph.operators.tables import append_absent, changes
-from loomgraph.streaming.store import BUCKETS, Store, bucket_of, latest
+from loomgraph.streaming.store import BUCKETS, Store, added, bucket_of, latest
 
 Fold = Callable[[DataFrame], DataFrame]
 CAPACITY = 10_000
@@ -214,6 +214,15 @@ def day_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
     return d.groupBy(F.window("ts", "1 day").alias("w"), "type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "type", "n")
 
 
+def count_days(events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Keeps the counts of `day_counts` in the store at path: each batch's are added to those of its days, once however often it is tried.
+
+    No window is ever closed, so events count however late they come. Where closed windows are wanted, write `day_counts` of the
+    stream itself in append mode: it then gives each window once, without events later than its watermark.
+    """
+    return promote_all(events, {"": (day_counts, ["day", "type"], added(["day", "type"]))}, path, checkpoint, trigger)
+
+
 def drop_late(events: DataFrame, high_water: int) -> DataFrame:
     """The option to leave out events at or before the last one promoted."""
     return events.where(F.col("timestamp") > high_water)

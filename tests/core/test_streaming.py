@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.streaming import streams
-from loomgraph.streaming.store import Store, latest, set_and_clear
+from loomgraph.streaming.store import Store, added, latest, set_and_clear
 from loomgraph.streaming.trigger import STATE_STORE, crossed, meetings
 
 ROW = "id string, v string, ts long, event string"
@@ -149,3 +149,22 @@ def test_promotion_at_the_third_file_over_any_batches(spark, tmp_path, batches):
         out = crossed(pairs.withColumn("project_id", F.split("file", "/")[0]))
         out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert sorted(r["project_id"] for r in own.read.parquet(str(tmp_path / "out")).collect()) == want and want
+
+
+def test_days_are_counted_late_and_once(spark, tmp_path):
+    """Running counts take an event of any age, and a batch that is tried again only once; closed windows leave out what is later than the watermark."""
+    day, src = 86_400_000_000, str(tmp_path / "in")
+    schema = "id string, type string, timestamp long"
+    batches = [[("a", "x", day), ("b", "y", day + 5)], [("c", "x", 9 * day), ("d", "x", 9 * day + 1)], [("late", "x", day + 1), ("e", "x", 20 * day)], []]
+    out, closed, cp = (str(tmp_path / n) for n in ("out", "closed", "cp"))
+    for rows in batches:  # one batch a run
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        events = spark.readStream.schema(schema).parquet(src)
+        streams.count_days(events, out, cp).awaitTermination()
+        windows = streams.day_counts(spark.readStream.schema(schema).parquet(src), "1 day")
+        windows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", cp + "-windows").trigger(availableNow=True).start(closed).awaitTermination()
+    fold = {"": (streams.day_counts, ["day", "type"], added(["day", "type"]))}
+    streams.promote_batch(spark.createDataFrame(batches[1], schema), fold, out, cp, 1)  # the second batch again
+    shown = lambda d: sorted(tuple(r) for r in d.select(F.unix_micros("day") / day, "type", "n").collect())
+    assert shown(streams.promoted(spark, out)) == [(1, "x", 2), (1, "y", 1), (9, "x", 2), (20, "x", 1)]
+    assert shown(spark.read.parquet(closed)) == [(1, "x", 1), (1, "y", 1), (9, "x", 2)]
