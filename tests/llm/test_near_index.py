@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import components, near_copies
 
@@ -71,3 +72,39 @@ def test_stage_takes_its_pairs_from_the_index(spark, monkeypatch):
     index = near_copies.proposed
     monkeypatch.setattr(near_copies, "proposed", lambda nodes: index(nodes).limit(0))
     assert sorted(r.doc_id for r in near_copies.keep_one(d).collect()) == [1, 2, 3]
+
+
+def test_links_of_a_large_group_are_shortened(spark):
+    """2,000 near copies, a link a block for each: the components stay, and little more than a link a member is left."""
+    rng = np.random.default_rng(9)
+    f = rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64) ^ np.packbits(rng.random((2000, 256)) < 0.05, axis=1).view(np.uint64)
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(f.view(np.int64).tolist())], "node long, f0 long, f1 long, f2 long, f3 long")
+    links = near_copies.proposed(d.repartition(3)).persist()
+    near = links.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("bs"))
+    short = near_copies.shortened(near).persist()
+    assert links.distinct().count() > 20_000 and short.count() < 4000 and short.where("a <= b").count() == 0
+    root = {r.node: r.root for r in components.components(links).collect()}
+    assert {r.node: r.root for r in components.components(short).collect()} == root and len(root) > 1990
+
+
+def test_only_frequent_nodes_are_counted(spark, monkeypatch):
+    """Among fingerprints with nothing in common none is counted; a node over the limit is, wherever its rows lie, and keeps its links."""
+    rng, rows, settle = np.random.default_rng(12), {}, near_copies.settle
+
+    def counted(d, name):
+        out = settle(d, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "settle", counted)
+    f = rng.integers(0, 1 << 63, (9000, 4), dtype=np.uint64) ^ (rng.integers(0, 2, (9000, 4), dtype=np.uint64) << np.uint64(63))
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(f.view(np.int64).tolist())], "node long, f0 long, f1 long, f2 long, f3 long")
+    assert near_copies.proposed(d.repartition(6), 2000).count() == 0 and rows == {"frequent": 0}
+    f[::3] = f[0] ^ np.packbits(rng.random((3000, 256)) < 0.01, axis=1).view(np.uint64)
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(f.view(np.int64).tolist())], "node long, f0 long, f1 long, f2 long, f3 long")
+    values, size = np.unique(near_copies.block_values(f, *near_copies.blocks_for(len(f))), return_counts=True)
+    for spread in (d.repartition(6), d.repartitionByRange(6, F.pmod("node", F.lit(3)), "node")):
+        rows.clear()
+        got = components.components(near_copies.proposed(spread, 2000)).where("root = 0").count()
+        assert rows["crowded"] == (size > 2000).sum() > 0 and rows["crowded"] <= rows["frequent"] < len(values) / 10
+        assert got == 3000
