@@ -19,16 +19,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
+
+
+def _done(edges: DataFrame) -> bool:
+    """Whether each node has one edge up or only edges down: then all edges lead to roots, and a round would change nothing."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root): the smallest node reachable, for each node of edges (a, b); nodes without edges are not in it."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e, seen = settle(e, "edges"), None
-    while True:
-        e = settle(_star(_star(e, True), False), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        seen = now
+    e = settle(e, "edges")
+    while not _done(e):
+        e = settle(_star(_star(e, True), False).distinct(), "edges")
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -108,3 +108,20 @@ def test_only_frequent_nodes_are_counted(spark, monkeypatch):
         got = components.components(near_copies.proposed(spread, 2000)).where("root = 0").count()
         assert rows["crowded"] == (size > 2000).sum() > 0 and rows["crowded"] <= rows["frequent"] < len(values) / 10
         assert got == 3000
+
+
+def test_components_end_once_all_links_lead_to_roots(spark, monkeypatch):
+    """Links that lead to roots take no round; paths, rings, repeated links and loops match a walk over all links."""
+    rounds, settle = [], components.settle
+    monkeypatch.setattr(components, "settle", lambda d, name: rounds.append(name) or settle(d, name))
+    found = lambda links: {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found([(i, i % 7) for i in range(7, 200)]) == {i: i % 7 for i in range(200)} and len(rounds) == 1
+    assert found([]) == {} and len(rounds) == 2
+    rng = random.Random(5)
+    links = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + (i + 1) % 30) for i in range(30)] + [(rng.randrange(200, 500), rng.randrange(200, 500)) for _ in range(170)] + [(700, 700)]
+    root = {x: x for a, b in links if a != b for x in (a, b)}
+    for a, b in links:
+        if a != b and root[a] != root[b]:
+            x, y = sorted((root[a], root[b]))
+            root = {k: x if r == y else r for k, r in root.items()}
+    assert found(links + links[:40]) == root
