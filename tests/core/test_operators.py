@@ -253,6 +253,30 @@ def test_rate_and_usage(spark):
     assert rows(quota.usage(u), "app", "entities", "bytes") == [("a", 1, 500), ("b", 0, 0)]
 
 
+def test_requests_are_folded_whole_when_a_join_turns_into_a_broadcast(spark):
+    n = 4000
+    r = spark.range(n, numPartitions=8).selectExpr("id % 3 as app", "(id * 7919) % 4001 as `order`", "id % 11 as bytes")
+    limits = r.groupBy("app").agg(F.lit(200).cast("long").alias("max_entities"), F.lit(600).cast("long").alias("max_bytes"))
+    used = r.groupBy("app").agg(F.lit(0).cast("long").alias("entities"), F.lit(0).cast("long").alias("bytes"))
+    # sort-merge joins as planned, broadcast ones once sizes are known; parts as many as in a large run
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = rows(quota.check_requests(r, used, limits), "app", "order", "reject")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want, state = [], {}
+    for app, order, size in sorted((i % 3, i * 7919 % 4001, i % 11) for i in range(n)):
+        entities, total = state.get(app, (0, 0))
+        reject = "entities" if entities + 1 > 200 else "storage" if total + size > 600 else None
+        state[app] = (entities, total) if reject else (entities + 1, total + size)
+        want.append((app, order, reject))
+    assert len(got) == n and got == sorted(want, key=repr)
+
+
 def test_import_merge(spark):
     s = "id int, a int, b int, c int, _version int"
     x, i = spark.createDataFrame([(1, 1, 2, None, 3)], s), spark.createDataFrame([(1, 99, None, 3, 1)], s)
