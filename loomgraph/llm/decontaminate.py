@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Documents are windows of words (passages), weighted by TF-IDF over hashed terms. A randomised SVD, whose products with the term matrix
-are summed by Spark over a bounded sample of passages and all benchmark items, gives the latent space; a block of items has a space of
+are summed by Spark over all passages of all documents and all benchmark items, gives the latent space; a block of items has a space of
 its own. Every passage of every document, at the window size that suits an item's length, is projected and compared by cosine with the
 items. Items whose first words stand in a document as they are come in by these too, so that no verbatim leak hangs on a cosine. Of
 these candidates the longest common subsequence of words, and for paraphrases the answer, decide.
@@ -15,29 +15,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import settle
-from loomgraph.llm.tokens import Words, chunks, mix
+from loomgraph.llm.tokens import Words, chunks
 
 #: Words of a block; windows are of that many blocks, and start at every quarter of that, for items of up to that many words (the last: any).
 STRIDE, WINDOWS = 8, ((2, 12), (4, 28), (8, 1 << 30))
-#: Words of a passage that the space is fitted on.
-FIT_WORDS = 64
+#: Words of a passage that the space is fitted on; passages begin at every half of that. Bytes of terms that a task multiplies at a time.
+FIT_WORDS, FIT_BYTES = 64, 1 << 20
 #: Hashed terms, terms of the latent space (all of the items', then the most frequent), its dimensions, extra columns and rounds of the SVD.
 BITS, TERMS, RANK, EXTRA, ROUNDS = 18, 24_000, 64, 8, 2
-#: Passages that the space is fitted on at most, about; it is fitted on all items besides.
-SAMPLE = 20_000
 #: Benchmark items to a space, and spaces that one pass over the documents searches.
 ITEMS, SPACES = 1024, 8
 COSINE = 0.4
 #: Share of an item's words, in order: a leak as such, or one if the answer's words are there too. Shorter items must be whole.
 VERBATIM, PARAPHRASE, ANSWER, LEAST_WORDS = 0.75, 0.5, 0.8, 8
 BLOCK = 1 << 14
-#: Tasks that the space is fitted in at most, and blobs of a block that are added up together.
-FAN = 64
+#: Blobs of a block that are added up together, and passages to a task of a product where there are more than tasks at a time: its blobs are of fixed size.
+FAN, PASSAGES = 64, 1 << 19
 
 
 def bare_words(texts: pa.Array) -> Words:
@@ -59,30 +58,25 @@ def block_starts(counts: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray,
     return (np.cumsum(counts) - counts)[doc] + (np.arange(len(doc)) - first[doc]) * stride, doc
 
 
-def _gather_task(share: float):  # noqa: ANN202
-    """Numbers of documents by hashed term as blobs, and the sampled passages' terms."""
+def _gather_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashed terms of each document's words, in order, and how many passages they make; numbers of documents by hashed term as blobs."""
+    df = np.zeros(1 << BITS, np.int64)
+    for b in chunks(batches):
+        w = bare_words(b.column("text"))
+        terms = buckets(w)[w.codes]
+        df += np.bincount(np.unique(w.doc << BITS | terms) & (1 << BITS) - 1, minlength=1 << BITS)
+        n = len(w.counts)
+        offsets = np.r_[0, w.ends].astype(np.int32) * 4
+        blobs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(terms.astype("<i4").tobytes())])
+        yield _row([None] * n, [None] * n, [None] * n, blobs, -(-w.counts // (FIT_WORDS // 2)))
+    parts = [df[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, 1 << BITS, BLOCK)]
+    n = len(parts)
+    yield _row([TaskContext.get().partitionId()] * n, list(range(n)), parts, [None] * n, [None] * n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1 << BITS, np.int64)
-        for b in chunks(batches):
-            w = bare_words(b.column("text"))
-            of = buckets(w)
-            terms = of[w.codes]
-            df += np.bincount(np.unique(w.doc << BITS | terms) & (1 << BITS) - 1, minlength=1 << BITS)
-            starts, doc = block_starts(w.counts, FIT_WORDS // 2)
-            nth = mix(b.column("mark").to_numpy().view(np.uint64)[doc] + np.arange(len(doc), dtype=np.uint64) - np.searchsorted(doc, doc).astype(np.uint64))
-            pick = (nth >> np.uint64(32)).astype(np.int64) < int(share * (1 << 32))
-            rows = [terms[s : min(s + FIT_WORDS, int(w.ends[d]))] for s, d in zip(starts[pick].tolist(), doc[pick].tolist(), strict=True)]
-            if rows:
-                yield _row(len(rows), -1, [1] * len(rows), [-1] * len(rows), [None] * len(rows), rows)
-        parts = [df[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, 1 << BITS, BLOCK)]
-        yield _row(len(parts), TaskContext.get().partitionId(), [0] * len(parts), list(range(len(parts))), parts, [[]] * len(parts))
-
-    return run
 
-
-def _row(n: int, slot: int, kind: list[int], block: list[int], blob: list, terms: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([slot] * n, pa.int64()), pa.array(kind, pa.int32()), pa.array(block, pa.int32()), pa.array(blob, pa.binary()), pa.array(terms, pa.list_(pa.int32()))], ["slot", "kind", "block", "blob", "terms"])
+def _row(slot: list, block: list, blob: list, terms: pa.Array | list, passages: np.ndarray | list) -> pa.RecordBatch:
+    terms = terms if isinstance(terms, pa.Array) else pa.array(terms, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(block, pa.int32()), pa.array(blob, pa.binary()), terms, pa.array(passages, pa.int64())], ["slot", "block", "blob", "terms", "passages"])
 
 
 def _total(t: pa.Table, kind: str) -> pa.Array:
@@ -126,12 +120,16 @@ class Space:
         return self.place[of] % len(self.v)
 
 
-def weighted(terms: pa.ListArray, weights: np.ndarray, place: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, value) of TF-IDF rows of length 1 times their weight."""
-    counts = np.diff(np.asarray(terms.offsets))
+def flat(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the terms of all rows, how many each row has)."""
+    rows = blobs.to_pylist()
+    return np.frombuffer(b"".join(rows), "<i4"), np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+
+
+def weighted(at: np.ndarray, counts: np.ndarray, weights: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, value) of TF-IDF rows of length 1 times their weight; at: places of the rows' terms, the last one of none."""
     row = np.repeat(np.arange(len(counts)), counts)
-    at = place[terms.flatten().to_numpy(zero_copy_only=False).astype(np.int64)]
-    row, at = row[at >= 0], at[at >= 0]
+    row, at = row[at < len(idf)], at[at < len(idf)].astype(np.int64)
     both, tf = np.unique(row * (len(idf) + 1) + at, return_counts=True)
     row, at = both // (len(idf) + 1), both % (len(idf) + 1)
     x = tf * idf[at]
@@ -139,54 +137,122 @@ def weighted(terms: pa.ListArray, weights: np.ndarray, place: np.ndarray, idf: n
     return row, at, (x * weights[row] / np.maximum(norm[row], 1e-12)).astype(np.float32)
 
 
+def halves(at: np.ndarray, counts: np.ndarray, none: int, most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of the terms of half passages, filled up with none, and of one half more; whether the next half is the same text's), most passages at a time. A passage is a half and the next one of its text, if there is one."""
+    starts, doc = block_starts(counts, FIT_WORDS // 2)
+    ends = np.cumsum(counts)[doc]
+    for lo in range(0, len(starts), most):
+        words = starts[lo : lo + most + 1, None] + np.arange(FIT_WORDS // 2)
+        h = np.where(words < ends[lo : lo + most + 1, None], at[np.minimum(words, len(at) - 1)], at.dtype.type(none))
+        d = doc[lo : lo + most + 1]
+        if lo + most >= len(starts):
+            h, d = np.concatenate([h, np.full_like(h[:1], none)]), np.r_[d, -1]
+        yield h, d[1:] == d[:-1]
+
+
+def lengths_of(h: np.ndarray, goes_on: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """The length of each passage's TF-IDF row; squares: of each term's IDF, and 0 for none."""
+    both = np.concatenate([h[:-1], np.where(goes_on[:, None], h[1:], h.dtype.type(len(squares) - 1))], axis=1)
+    both.sort(axis=1)
+    nth = np.arange(both.shape[1], dtype=np.int16)
+    first = np.zeros(both.shape, np.int16)
+    first[:, 1:] = np.where(both[:, 1:] != both[:, :-1], nth[1:], 0)
+    times = nth - np.maximum.accumulate(first, axis=1)  # a term's n places give 1 + 3 + ... = n * n
+    return np.maximum(np.sqrt(np.einsum("ij,ij->i", np.take(squares, both, mode="clip"), 2 * times + 1)), 1e-12)
+
+
+def summed(rows: np.ndarray, at: np.ndarray, step: int = 512) -> np.ndarray:
+    """The sum of rows[at[i]] for each i, at having two axes; in steps that stay in a processor's cache."""
+    out, more = np.empty((len(at), rows.shape[1]), rows.dtype), np.empty((min(step, len(at)), rows.shape[1]), rows.dtype)
+    for lo in range(0, len(at), step):
+        columns = np.ascontiguousarray(at[lo : lo + step].T, np.intp)
+        total, one = out[lo : lo + step], more[: columns.shape[1]]
+        np.take(rows, columns[0], axis=0, out=total, mode="clip")
+        for c in columns[1:]:
+            total += np.take(rows, c, axis=0, out=one, mode="clip")
+    return out
+
+
+def add_rows(z: np.ndarray, to: np.ndarray, rows: np.ndarray, at: np.ndarray, step: int = 8) -> None:
+    """z[to[i]] += rows[at[i]] for every i: those of one place are added some at a time until one is left."""
+    order = np.argsort(to, kind="stable")
+    to, at = to[order], at[order]
+    while len(to):
+        first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        n = np.diff(np.r_[first, len(to)])
+        one = first[n == 1]
+        z[to[one]] += rows[at[one]]
+        first, n = first[n > 1], n[n > 1]
+        per = -(-n // step)
+        begin = np.repeat(first - step * (np.cumsum(per) - per), per) + step * np.arange(per.sum())
+        i = begin[:, None] + np.arange(step)
+        i = np.where(i < np.repeat(first + n, per)[:, None], at[np.minimum(i, len(at) - 1)], len(rows))
+        rows = summed(np.concatenate([rows, np.zeros((1, rows.shape[1]), rows.dtype)]), i)
+        to, at = np.repeat(to[first], per), np.arange(len(rows))
+
+
 def _products(sent, what: str):  # noqa: ANN001, ANN202
-    """For rows A of the task: A'(A Q) in blobs by rows of terms, or (A Q)'(A Q) as one blob."""
+    """For rows A of the task, all passages of texts and the items, which have weights: A'(A Q) in blobs by rows of terms, or (A Q)'(A Q) as one blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, idf, q = sent.value
-        k = q.shape[1]
-        z, gram = np.zeros(q.shape, np.float32), np.zeros((k, k))
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                c = b.slice(lo, 512)
-                n = c.num_rows
-                row, at, x = weighted(pa.array(c.column("terms").to_pylist(), pa.list_(pa.int32())), c.column("weight").to_numpy(), place, idf)
-                y = np.zeros((n, k), np.float32)
+        k, none = q.shape[1], len(idf)
+        places = np.where(place < 0, none, place).astype(np.uint16 if none < 1 << 16 else np.uint32)
+        own = np.concatenate([idf[:, None] * q, np.zeros((1, k))]).astype(np.float32)
+        squares = np.r_[idf**2, 0].astype(np.float32)
+        z, of_items, gram = np.zeros((none + 1, k), np.float32), np.zeros((none, k), np.float32), np.zeros((k, k))
+        for b in chunks(batches, "terms", FIT_BYTES):
+            item = pc.is_valid(b.column("weight"))
+            c = b.filter(item)
+            if c.num_rows:
+                terms, counts = flat(c.column("terms"))
+                row, at, x = weighted(places[terms], counts, c.column("weight").to_numpy(), idf)
+                y = np.zeros((len(counts), k), np.float32)
                 np.add.at(y, row, x[:, None] * q[at])
                 if what == "gram":
                     gram += y.T.astype(float) @ y
                 else:
-                    np.add.at(z, at, x[:, None] * y[row])
+                    np.add.at(of_items, at, x[:, None] * y[row])
+            terms, counts = flat(b.filter(pc.invert(item)).column("terms"))
+            for h, goes_on in halves(places[terms], counts, none):
+                by = (1 / lengths_of(h, goes_on, squares))[:, None].astype(np.float32)
+                y = summed(own, h)
+                y = (y[:-1] + y[1:] * goes_on[:, None]) * by
+                if what == "gram":
+                    gram += y.T.astype(float) @ y
+                    continue
+                share = np.concatenate([y * by, np.zeros((1, k), np.float32)])
+                share[1:] += share[:-1] * goes_on[:, None]
+                there = np.flatnonzero(h.ravel() < none)
+                add_rows(z, h.ravel()[there], share, there // h.shape[1])
+        z = z[:-1] * idf[:, None].astype(np.float32) + of_items
         blobs = [gram.tobytes()] if what == "gram" else [z[i : i + 4096].tobytes() for i in range(0, len(z), 4096)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["block", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * len(blobs), pa.int64()), pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["slot", "block", "blob"])
 
     return run
 
 
 @dataclass
 class Corpus:
-    """rows and document frequencies of all documents, a sample of their passages (terms) and how many passages there are."""
+    """rows and document frequencies of all documents, their words' hashed terms (terms, a row for each) and how many passages they make."""
 
     rows: int
     df: np.ndarray
-    sample: DataFrame
-    passages: float
+    texts: DataFrame
+    passages: int
 
 
 def gather(docs: DataFrame) -> Corpus:
-    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    passages = max(1.0, (size or 0) / (3 * FIT_WORDS))  # six bytes to a word, a passage at every half
-    d = docs.select("text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"))
-    got = settle(d.mapInArrow(_gather_task(min(1.0, SAMPLE / passages)), "slot long, kind int, block int, blob binary, terms array<int>"), "passages")
-    tasks = (got.agg(F.max("slot")).first()[0] or 0) + 1
-    df = summed_blobs(got.where("kind = 0").select("slot", "block", "blob"), "<i8", tasks)
-    return Corpus(rows, df if len(df) else np.zeros(1 << BITS, np.int64), got.where("kind = 1").select("terms"), passages)
-
-
-def fit(corpus: Corpus, items: DataFrame) -> Space:
-    """The latent space of the items (terms, as arrays of hashed terms) and a sample of the passages; IDF over all documents."""
-    spark = items.sparkSession
-    own = np.array([r[0] for r in items.select(F.explode("terms").alias("t")).distinct().collect()], np.int64)  # bounded by 2 ** BITS
+    got = settle(docs.select("text").mapInArrow(_gather_task, "slot long, block int, blob binary, terms binary, passages long"), "passages")
+    rows, passages, last = got.agg(F.count("passages"), F.sum("passages"), F.max("slot")).first()
+    df = summed_blobs(got.where("blob is not null").select("slot", "block", "blob"), "<i8", (last or 0) + 1)
+    return Corpus(rows, df if len(df) else np.zeros(1 << BITS, np.int64), got.where("terms is not null").select("terms"), passages or 0)
+
+
+def fit(corpus: Corpus, items: list[np.ndarray]) -> Space:
+    """The latent space of the items (the hashed terms of each) and all passages of all documents; IDF over all documents."""
+    spark = corpus.texts.sparkSession
+    own = np.unique(np.concatenate([np.zeros(0, np.int64), *items]))
     df, rows = corpus.df, corpus.rows
     rank = df.copy()
     rank[own] += rows + 1
@@ -194,22 +260,24 @@ def fit(corpus: Corpus, items: DataFrame) -> Space:
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     idf = np.log((1 + rows) / (1 + df[chosen])) + 0.05
-    weight = float(np.sqrt(max(1.0, min(SAMPLE, corpus.passages) / max(1, items.count()))))  # half of all weight is the items'
-    a = corpus.sample.select("terms", F.lit(1.0).alias("weight")).unionByName(items.select("terms", F.lit(weight).alias("weight")))
-    a = settle(a.repartition(max(2, min(FAN, spark.sparkContext.defaultParallelism))), "fit")
     k = min(RANK + EXTRA, max(1, len(chosen)))
-    q = np.linalg.qr(np.random.default_rng(11).normal(size=(max(1, len(chosen)), k)))[0].astype(np.float32)
     if not len(chosen):
         return Space(place, np.zeros((0, k)), np.zeros(k))
-    for _ in range(ROUNDS):
+    weight = float(np.sqrt(max(1.0, corpus.passages / max(1, len(items)))))  # half of all weight is the items'
+    given = spark.createDataFrame([(t.astype("<i4").tobytes(), weight) for t in items], "terms binary, weight double").coalesce(1)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-corpus.passages // PASSAGES))
+    a = corpus.texts.withColumn("weight", F.lit(None).cast("double")).coalesce(tasks).unionByName(given)
+
+    def product(q: np.ndarray, what: str, kind: str) -> np.ndarray:
         sent = spark.sparkContext.broadcast((place, idf, q))  # bounded by 2 ** BITS x RANK
-        z = summed_blobs(a.mapInArrow(_products(sent, "z"), "block int, blob binary"), "<f4").reshape(len(chosen), k)
-        q = np.linalg.qr(z)[0].astype(np.float32)
+        out = summed_blobs(a.mapInArrow(_products(sent, what), "slot long, block int, blob binary"), kind, tasks + 1)
         sent.unpersist()
-    sent = spark.sparkContext.broadcast((place, idf, q))
-    gram = summed_blobs(a.mapInArrow(_products(sent, "gram"), "block int, blob binary"), "<f8").reshape(k, k)
-    sent.unpersist()
-    values, turn = np.linalg.eigh(gram)
+        return out.reshape(-1, k)
+
+    q = np.linalg.qr(np.random.default_rng(11).normal(size=(len(chosen), k)))[0].astype(np.float32)
+    for _ in range(ROUNDS):
+        q = np.linalg.qr(product(q, "z", "<f4"))[0].astype(np.float32)
+    values, turn = np.linalg.eigh(product(q, "gram", "<f8"))
     order = np.argsort(-values)[:RANK]
     q, values = q @ turn[:, order], values[order]
     return Space(place, q * idf[:, None], np.sqrt(np.maximum(values, 0)))
@@ -344,7 +412,7 @@ def similar(rows: np.ndarray, numbers: np.ndarray, counts: np.ndarray, space: Sp
         d = doc[lo : hi + ahead]
         at = s[:, None] + np.arange(STRIDE)
         at = np.where(at < ends[d][:, None], rows[np.minimum(at, len(rows) - 1)], len(space.v) - 1)
-        sums = space.v[at].sum(axis=1)
+        sums = summed(space.v, at)
         size = 1
         for blocks, _ in WINDOWS:
             while size < blocks:  # the window and the next one after it
@@ -418,8 +486,7 @@ def _searched(docs: DataFrame, benchmark: DataFrame) -> list[list[tuple[Space, I
     def block() -> None:
         w = bare_words(pa.array([r["text"] for r in rows], pa.large_string()))
         of = buckets(w)[w.codes]
-        terms = docs.sparkSession.createDataFrame([(of[s:e].tolist(),) for s, e in zip(w.starts, w.ends, strict=True)], "terms array<int>")
-        space = fit(corpus, terms)
+        space = fit(corpus, [of[s:e] for s, e in zip(w.starts, w.ends, strict=True)])
         out.append((space, prepare(rows, space)))
 
     for r in b.toLocalIterator():
